@@ -40,3 +40,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE: dict[str, str] = oracle_sql.SQL
+
+# --- L: listings and nested reports ------------------------------------------
+from glazier.operators import listings as _L  # noqa: E402
+from pyspark.sql import functions as _F  # noqa: E402
+
+for _name in ("inventory_listing", "inventory_summary", "available_inventory", "master_inventory",
+              "product_catalog", "product_detail", "store_products", "active_categories", "store_list",
+              "store_admin_list", "store_admin_profiles", "master_admin_profiles", "invoice_history"):
+    register(_name)((lambda fn: lambda s, d: fn(_t(s, d)))(getattr(_L, _name)))
+
+register("invoice_history_page")(lambda s, d: _L.page(
+    _L.invoice_history(_t(s, d)), [_F.col("created_at").desc(), _F.col("invoice_id").desc()], 2, 10))
+register("inventory_listing_page")(lambda s, d: _L.page(
+    _L.inventory_listing(_t(s, d)), ["store_name", "category_name", "product_name", "id"], 3, 10))
+register("invoice_page_info")(lambda s, d: _L.page_info(_t(s, d).invoices, 1, 10))
+
+
+def _lookup_users(s, d):
+    t = _t(s, d)
+    return _L.lookup(t.users, "username", t.stores.filter(_F.col("status")).select("store_name"))
+
+
+register("lookup_users_by_username")(_lookup_users)
