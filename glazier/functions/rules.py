@@ -79,7 +79,10 @@ def line_price(rate, line_area, quantity, discount, charged_rate=None) -> dict[s
     A given charged_rate replaces the whole line: base = final = charged_rate
     (a line total, not per unit) and discount = 0.
     """
-    base = (_c(rate) * _c(line_area)).cast("decimal(24,6)") * _c(quantity).cast("decimal(10,0)")
+    # Widths are pinned at each step so no product passes 38 digits (where
+    # Spark would silently drop scale): base (24,6), discount (34,10).
+    base = ((_c(rate) * _c(line_area)).cast("decimal(20,6)")
+            * _c(quantity).cast("decimal(10,0)")).cast("decimal(24,6)")
     disc_amt = (base * _c(discount).cast("decimal(5,2)")) * F.lit(0.01).cast("decimal(3,2)")
     final = base - disc_amt
     if charged_rate is None:
