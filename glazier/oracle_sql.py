@@ -342,3 +342,121 @@ FROM invoices""", "invoices")
 
 SQL["lookup_users_by_username"] = with_views("""
 SELECT * FROM users WHERE username IN (SELECT store_name FROM stores WHERE status = true)""", "users", "stores")
+
+# --- rules (E1-E10) ------------------------------------------------------------
+
+SQL["product_billing_sizes"] = with_views(f"""
+SELECT id, {_bracket('length')} AS billing_length, {_bracket('width')} AS billing_width,
+       {_area(_bracket('length'), _bracket('width'), 'dimension_unit', 'unit')} AS billing_area,
+       {_area('length', 'width', 'dimension_unit', 'unit')} AS sheet_area
+FROM products""", "products")
+
+SQL["inventory_stock_rules"] = with_views(f"""
+SELECT i.id, {_status('i.available_stock', 'i.minimum_stock')} AS stock_status,
+       CAST(i.available_stock * i.selling_rate AS DECIMAL(23,2)) AS stock_value,
+       {_eff('i.override_max_discount', 's.default_max_discount')} AS effective_max_discount
+FROM inventory i LEFT JOIN stores s ON i.store_id = s.store_id""", "inventory", "stores")
+
+SQL["user_roles"] = with_views("""
+SELECT id, UPPER(role) IN ('MASTER_ADMIN', 'MASTERADMIN') AS is_master, UPPER(role) = 'STORE_ADMIN' AS is_store_admin
+FROM users""", "users")
+
+SQL["category_keys"] = with_views("""
+SELECT id, lower(trim(category_name)) AS category_key FROM glass_categories""", "glass_categories")
+
+# --- bills (B1-B7, B9) -----------------------------------------------------------
+
+VIEWS["bill_lines"] = """
+        SELECT r.bill_id, r.store_id, r.created_at, r.line_no, r.product_id, r.quantity, r.height, r.length,
+               r.width, r.area, r.charged_rate, r.charged_dimension,
+               CASE WHEN r.product_id IS NULL OR r.quantity IS NULL OR r.quantity <= 0
+                         THEN 'invalid_product_or_quantity'
+                    WHEN r.width IS NOT NULL AND r.width <= 0 THEN 'invalid_width'
+                    WHEN r.height IS NOT NULL AND r.height <= 0 THEN 'invalid_height'
+                    WHEN r.charged_rate IS NOT NULL AND r.charged_rate < 0 THEN 'invalid_charged_rate'
+                    WHEN r.area IS NOT NULL AND r.area <= 0 THEN 'invalid_area' END AS invalid_reason,
+               (i.store_id IS NOT NULL AND p.id IS NOT NULL AND s.store_id IS NOT NULL) AS found,
+               COALESCE(i.available_stock, 0) AS start_stock,
+               CAST(COALESCE(i.override_max_discount, s.default_max_discount, 0) AS DECIMAL(5,2)) AS max_discount,
+               CAST(COALESCE(r.discount_applied, 0) AS DECIMAL(5,2)) AS applied_discount,
+               i.selling_rate, p.length AS p_length, p.width AS p_width, p.dimension_unit, p.unit
+        FROM bill_requests r
+        LEFT JOIN inventory i ON r.store_id = i.store_id AND r.product_id = i.product_id
+        LEFT JOIN products p ON r.product_id = p.id
+        LEFT JOIN stores s ON r.store_id = s.store_id"""
+VIEWS["bill_checked"] = """
+        SELECT *, CASE WHEN NOT found THEN 'not_found'
+                       WHEN applied_discount > max_discount THEN 'discount_limit_exceeded' END AS static_reason,
+               CAST(COALESCE(height, length, p_length) AS DECIMAL(10,2)) AS line_length,
+               CAST(COALESCE(width, p_width) AS DECIMAL(10,2)) AS line_width
+        FROM bill_lines"""
+VIEWS["bill_sized"] = f"""
+        SELECT *, CAST(COALESCE(CAST(area AS DECIMAL(14,4)),
+                   {_area(_bracket('line_length'), _bracket('line_width'), 'dimension_unit', 'unit')})
+                   AS DECIMAL(14,4)) AS line_area,
+               {_bracket('line_length')} AS line_billing_length, {_bracket('line_width')} AS line_billing_width
+        FROM bill_checked"""
+VIEWS["bill_priced"] = """
+        SELECT *,
+               CASE WHEN charged_rate IS NOT NULL THEN charged_rate ELSE raw_base END AS base_total,
+               CASE WHEN charged_rate IS NOT NULL THEN 0 ELSE raw_base * applied_discount * 0.01 END
+                   AS discount_amount,
+               CASE WHEN charged_rate IS NOT NULL THEN charged_rate
+                    ELSE raw_base - raw_base * applied_discount * 0.01 END AS final_total
+        FROM (SELECT *, CAST(CAST(selling_rate * line_area AS DECIMAL(20,6)) * CAST(quantity AS DECIMAL(10,0))
+                             AS DECIMAL(24,6)) AS raw_base
+              FROM bill_sized) b"""
+VIEWS["clean_bills"] = """
+        SELECT bill_id FROM bill_priced GROUP BY bill_id
+        HAVING count(*) FILTER (WHERE invalid_reason IS NOT NULL OR static_reason IS NOT NULL) = 0"""
+
+_BILL_VIEWS = ("bill_requests", "inventory", "products", "stores", "bill_lines", "bill_checked", "bill_sized",
+               "bill_priced", "clean_bills")
+
+SQL["bill_line_checks"] = with_views("""
+SELECT bill_id, line_no, store_id, product_id, quantity, invalid_reason, found, start_stock, max_discount,
+       applied_discount, static_reason
+FROM bill_checked""", *_BILL_VIEWS[:6])
+
+SQL["bill_line_prices"] = with_views("""
+SELECT bill_id, line_no, line_length, line_width, line_billing_length, line_billing_width, line_area,
+       CAST(base_total AS DECIMAL(38,6)) AS base_total, CAST(discount_amount AS DECIMAL(38,10)) AS discount_amount,
+       CAST(final_total AS DECIMAL(38,10)) AS final_total, CAST(final_total AS DECIMAL(12,2)) AS total_price
+FROM bill_priced""", *_BILL_VIEWS[:8])
+
+SQL["bill_quote_headers"] = with_views("""
+SELECT bill_id AS invoice_id, store_id, CAST(NULL AS INT) AS billed_by, CAST(NULL AS VARCHAR) AS customer_name,
+       CAST(NULL AS VARCHAR) AS customer_phone, CAST(SUM(base_total) AS DECIMAL(12,2)) AS sub_total,
+       CAST(NULL AS DECIMAL(12,2)) AS total_gst, CAST(SUM(final_total) AS DECIMAL(12,2)) AS grand_total, created_at
+FROM bill_priced WHERE bill_id IN (SELECT bill_id FROM clean_bills)
+GROUP BY bill_id, store_id, created_at""", *_BILL_VIEWS)
+
+SQL["bill_quote_items"] = with_views("""
+SELECT bill_id AS invoice_id, product_id, quantity, selling_rate AS unit_price, applied_discount AS discount_percent,
+       CAST(final_total AS DECIMAL(12,2)) AS total_price, line_length AS length, line_width AS width,
+       charged_dimension, CAST(line_area AS DECIMAL(10,4)) AS area, charged_rate
+FROM bill_priced WHERE bill_id IN (SELECT bill_id FROM clean_bills)""", *_BILL_VIEWS)
+
+SQL["stock_after_quotes"] = with_views("""
+SELECT i.id, i.store_id, i.product_id, i.purchase_rate, i.selling_rate,
+       CASE WHEN q.sold IS NOT NULL THEN CAST(i.available_stock - q.sold AS INT) ELSE i.available_stock END
+           AS available_stock,
+       i.minimum_stock, i.override_max_discount, i.created_at,
+       CASE WHEN q.sold IS NOT NULL THEN greatest(i.updated_at, q.sold_at) ELSE i.updated_at END AS updated_at
+FROM inventory i LEFT JOIN (
+    SELECT store_id, product_id, SUM(quantity) AS sold, MAX(created_at) AS sold_at FROM bill_priced
+    WHERE bill_id IN (SELECT bill_id FROM clean_bills) GROUP BY store_id, product_id) q
+  ON i.store_id = q.store_id AND i.product_id = q.product_id""", *_BILL_VIEWS)
+
+SQL["bill_receipts"] = with_views("""
+SELECT i.invoice_id, i.customer_name, i.grand_total AS total_price, i.created_at,
+       list(struct_pack(productId := ii.product_id, productName := p.product_name,
+                        category := COALESCE(CAST(p.category_id AS VARCHAR), 'N/A'), thickness := p.thickness,
+                        length := ii.length, width := ii.width, charged_dimension := ii.charged_dimension,
+                        color := p.color, area := ii.area, unit := p.unit, quantity := ii.quantity,
+                        charged_rate := ii.total_price)
+            ORDER BY ii.product_id NULLS FIRST, ii.quantity NULLS FIRST, ii.total_price NULLS FIRST,
+                     ii.length NULLS FIRST, ii.width NULLS FIRST, ii.area NULLS FIRST,
+                     ii.charged_dimension NULLS FIRST) AS items
+FROM invoices i JOIN invoice_items ii ON i.invoice_id = ii.invoice_id JOIN products p ON ii.product_id = p.id
+GROUP BY i.invoice_id, i.customer_name, i.grand_total, i.created_at""", "invoices", "invoice_items", "products")

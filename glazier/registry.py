@@ -63,3 +63,71 @@ def _lookup_users(s, d):
 
 
 register("lookup_users_by_username")(_lookup_users)
+
+# --- E: row rules ------------------------------------------------------------------
+from glazier.functions import rules as _R  # noqa: E402
+
+
+def _product_sizes(s, d):
+    p = _t(s, d).products
+    bl, bw = _R.billing_dimension("length"), _R.billing_dimension("width")
+    return p.select("id", bl.alias("billing_length"), bw.alias("billing_width"),
+                    _R.area(bl, bw, "dimension_unit", "unit").alias("billing_area"),
+                    _R.area("length", "width", "dimension_unit", "unit").alias("sheet_area"))
+
+
+def _inventory_rules(s, d):
+    t = _t(s, d)
+    j = t.inventory.join(t.stores.select("store_id", "default_max_discount"), "store_id", "left")
+    return j.select("id", _R.stock_status("available_stock", "minimum_stock").alias("stock_status"),
+                    _R.stock_value("available_stock", "selling_rate").alias("stock_value"),
+                    _R.effective_max_discount("override_max_discount", "default_max_discount")
+                    .alias("effective_max_discount"))
+
+
+register("product_billing_sizes")(_product_sizes)
+register("inventory_stock_rules")(_inventory_rules)
+register("user_roles")(lambda s, d: _t(s, d).users.select(
+    "id", _R.role_is("role", "master").alias("is_master"), _R.role_is("role", "store").alias("is_store_admin")))
+register("category_keys")(lambda s, d: _t(s, d).glass_categories.select(
+    "id", _R.category_key("category_name").alias("category_key")))
+
+# --- B: bills ----------------------------------------------------------------------
+from glazier.operators import billing as _B  # noqa: E402
+
+
+def _bill_lines(s, d):
+    t = _t(s, d)
+    return _B.prepare_bill_lines(t.bill_requests, t)
+
+
+def _clean_lines(s, d):
+    lines = _bill_lines(s, d)
+    dirty = lines.filter(_F.col("invalid_reason").isNotNull() | _F.col("static_reason").isNotNull())
+    return lines.join(dirty.select("bill_id"), "bill_id", "left_anti")
+
+
+register("bill_line_checks")(lambda s, d: _bill_lines(s, d).select(
+    "bill_id", "line_no", "store_id", "product_id", "quantity", "invalid_reason", "found", "start_stock",
+    "max_discount", "applied_discount", "static_reason"))
+register("bill_line_prices")(lambda s, d: _bill_lines(s, d).select(
+    "bill_id", "line_no", "line_length", "line_width", "line_billing_length", "line_billing_width", "line_area",
+    _F.col("base_total").cast("decimal(38,6)").alias("base_total"),
+    _F.col("discount_amount").cast("decimal(38,10)").alias("discount_amount"),
+    _F.col("final_total").cast("decimal(38,10)").alias("final_total"), "total_price"))
+register("bill_quote_headers")(lambda s, d: _B.build_invoices(_clean_lines(s, d)))
+register("bill_quote_items")(lambda s, d: _B.build_invoice_items(_clean_lines(s, d)))
+register("stock_after_quotes")(lambda s, d: _B.apply_stock(_t(s, d).inventory, _clean_lines(s, d)))
+
+
+def _receipts(s, d):
+    t = _t(s, d)
+    return _B.bill_receipts(t.invoices, t.invoice_items, t.products)
+
+
+register("bill_receipts")(_receipts)
+# An ordered fold, not expressible in SQL -> rows-only check plus the
+# serial-model test in tests/test_billing.py.
+register("post_bills_decisions")(lambda s, d: _B.post_bills(_t(s, d)).decisions)
+register("post_bills_invoices")(lambda s, d: _B.post_bills(_t(s, d)).invoices)
+register("post_bills_stock")(lambda s, d: _B.post_bills(_t(s, d)).inventory)
