@@ -131,3 +131,123 @@ register("bill_receipts")(_receipts)
 register("post_bills_decisions")(lambda s, d: _B.post_bills(_t(s, d)).decisions)
 register("post_bills_invoices")(lambda s, d: _B.post_bills(_t(s, d)).invoices)
 register("post_bills_stock")(lambda s, d: _B.post_bills(_t(s, d)).inventory)
+
+# --- W: change-set jobs ----------------------------------------------------------------
+from glazier.operators import changes as _W  # noqa: E402
+from glazier.sources.fixtures import change_feeds as _feeds  # noqa: E402
+
+
+def _w(fn):
+    """Register a change-set job under its name: (tables, feeds) -> DataFrame."""
+    def deco(build):
+        register(fn)(lambda s, d: build(_t(s, d), _feeds(s, d)))
+        return build
+    return deco
+
+
+@_w("upsert_inventory")
+def _q_upsert(t, f):
+    return _W.upsert_inventory(t.inventory, f["inventory_changes"]).table
+
+
+_INV_FIELDS = ["purchase_rate", "selling_rate", "available_stock", "minimum_stock"]
+
+
+@_w("patch_inventory")
+def _q_patch(t, f):
+    return _W.patch_rows(t.inventory, f["inventory_patches"], ["store_id", "product_id"], _INV_FIELDS).table
+
+
+@_w("patch_inventory_rejects")
+def _q_patch_rej(t, f):
+    return _W.patch_rows(t.inventory, f["inventory_patches"], ["store_id", "product_id"], _INV_FIELDS).rejects
+
+
+@_w("set_store_discount")
+def _q_disc(t, f):
+    return _W.set_store_discount(t.stores, f["store_discount_changes"]).table
+
+
+@_w("set_store_discount_rejects")
+def _q_disc_rej(t, f):
+    return _W.set_store_discount(t.stores, f["store_discount_changes"]).rejects
+
+
+@_w("set_discount_override")
+def _q_override(t, f):
+    return _W.set_discount_override(t.inventory, f["override_changes"]).table
+
+
+@_w("delete_inventory")
+def _q_del_inv(t, f):
+    return _W.delete_inventory(t.inventory, f["inventory_delete_keys"]).table
+
+
+@_w("delete_inventory_rejects")
+def _q_del_inv_rej(t, f):
+    return _W.delete_inventory(t.inventory, f["inventory_delete_keys"]).rejects
+
+
+@_w("delete_products")
+def _q_del_prod(t, f):
+    return _W.delete_products(t, f["product_delete_ids"]).table
+
+
+@_w("delete_products_rejects")
+def _q_del_prod_rej(t, f):
+    return _W.delete_products(t, f["product_delete_ids"]).rejects
+
+
+@_w("delete_categories")
+def _q_del_cat(t, f):
+    return _W.delete_categories(t, f["category_delete_ids"]).table
+
+
+@_w("delete_categories_rejects")
+def _q_del_cat_rej(t, f):
+    return _W.delete_categories(t, f["category_delete_ids"]).rejects
+
+
+@_w("deactivate_stores")
+def _q_deact(t, f):
+    return _W.deactivate_stores(t.stores, f["store_deactivate_ids"]).table
+
+
+@_w("insert_categories")
+def _q_ins_cat(t, f):
+    return _W.insert_categories(t.glass_categories, f["category_inserts"]).table
+
+
+@_w("resolve_category")
+def _q_resolve(t, f):
+    return _W.resolve_category(f["category_requests"], t.glass_categories).table.select(
+        "seq", "resolved_category_id")
+
+
+@_w("insert_users")
+def _q_ins_users(t, f):
+    return _W.insert_users(t.users, f["user_inserts"]).extra["new_users"]
+
+
+@_w("reassign_admins")
+def _q_reassign(t, f):
+    return _W.reassign_admins(t.users, f["user_reassignments"]).table
+
+
+register("constraint_violations")(lambda s, d: _W.constraint_violations(_t(s, d)))
+
+
+# Rows-only (their in-batch ordering rules are covered by unit tests).
+@_w("insert_products")
+def _q_ins_prod(t, f):
+    return _W.insert_products(t, f["product_inserts"]).extra["new_products"]
+
+
+@_w("update_store_products")
+def _q_edit(t, f):
+    return _W.update_store_products(t, f["store_product_edits"]).table
+
+
+@_w("create_stores_with_admins")
+def _q_signup(t, f):
+    return _W.create_stores_with_admins(t, f["store_signups"]).extra["new_stores"]

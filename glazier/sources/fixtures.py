@@ -175,3 +175,124 @@ def sale_events_from(events: DataFrame, n_stores) -> DataFrame:
     return (events.filter(F.col("event_type") == "purchase")
             .select(F.col("ts"), (F.col("user_id") % n_stores).cast("int").alias("store_id"),
                     _dec(F.col("value"), 12, 2).alias("amount")))
+
+
+# --- change feeds: one request per source row, for the change-set jobs ---------------
+
+FEED_TIME = "2001-08-01 09:00:00"
+
+
+def _seq_from_lineitem():
+    # unique per lineitem row at the fixture scales (part keys < 1e6)
+    return (F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("long")
+
+
+def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    read = _reader(spark, sf_dir)
+    lineitem, part, customer = read("lineitem"), read("part"), read("customer")
+    n_parts = part.select(F.count(F.lit(1))).scalar()
+    ln = F.col("l_linenumber")
+    ext = _dec(F.col("l_extendedprice"), 12, 2)
+    feeds: dict[str, DataFrame] = {}
+    feeds["inventory_changes"] = lineitem.select(
+        _seq_from_lineitem().alias("seq"), F.col("l_suppkey").cast("int").alias("store_id"),
+        ((F.col("l_partkey") + ln - 1) % n_parts).cast("int").alias("product_id"),
+        _dec(ext * F.lit(0.01).cast("decimal(3,2)"), 12, 2).alias("purchase_rate"),
+        _dec(ext * F.lit(0.02).cast("decimal(3,2)"), 12, 2).alias("selling_rate"),
+        (F.col("l_quantity").cast("int") - 20).alias("available_stock"),
+        ln.cast("int").alias("minimum_stock"), F.col("l_shipdate").alias("changed_at"))
+    feeds["inventory_patches"] = lineitem.select(
+        F.col("l_suppkey").cast("int").alias("store_id"),
+        (F.col("l_partkey") + F.when(ln == 4, 1).otherwise(0)).cast("int").alias("product_id"),
+        _seq_from_lineitem().alias("seq"), F.col("l_shipdate").alias("patched_at"),
+        F.col("l_quantity").cast("int").alias("available_stock"), (ln % 2 == 0).alias("set_available_stock"),
+        F.when(ln == 3, F.lit(None)).otherwise(ln).cast("int").alias("minimum_stock"),
+        (ln % 3 == 0).alias("set_minimum_stock"),
+        _dec(ext * F.lit(0.01).cast("decimal(3,2)"), 12, 2).alias("purchase_rate"),
+        (ln == 5).alias("set_purchase_rate"),
+        _dec(ext * F.lit(0.02).cast("decimal(3,2)"), 12, 2).alias("selling_rate"),
+        ((ln == 5) | (ln == 2)).alias("set_selling_rate"))
+    t = retail_tables(spark, sf_dir)
+    sid = F.col("store_id")
+    feeds["store_discount_changes"] = t.stores.select(
+        sid.cast("long").alias("seq"),
+        F.when(sid % 17 == 16, sid + 100000).otherwise(sid).cast("int").alias("store_id"),
+        _dec(F.when(sid % 11 == 0, F.lit(None)).otherwise((sid % 13) * 10 - 10), 5, 2).alias("max_discount"))
+    iid = F.col("id")
+    feeds["override_changes"] = t.inventory.select(
+        iid.alias("seq"), "store_id",
+        F.when(iid % 5 == 0, F.col("product_id") + 1000000).otherwise(F.col("product_id")).cast("int")
+        .alias("product_id"),
+        F.when(iid % 4 == 0, F.lit("")).when(iid % 4 == 1, F.lit(None)).when(iid % 4 == 2, F.lit("abc"))
+        .otherwise((iid % 60).cast("string")).alias("override_value"),
+        F.col("updated_at").alias("changed_at"))
+    feeds["inventory_delete_keys"] = lineitem.select(
+        F.col("l_suppkey").cast("int").alias("store_id"),
+        (F.col("l_partkey") + ln % 2).cast("int").alias("product_id"))
+    feeds["product_delete_ids"] = part.select((F.col("p_partkey") * 2).cast("int").alias("id"))
+    feeds["category_delete_ids"] = t.glass_categories.select(
+        F.explode(F.array(F.col("id"), (F.col("id") + 7).cast("int"))).alias("id"))
+    feeds["store_deactivate_ids"] = t.stores.select((sid * 2).cast("int").alias("store_id"))
+    pk = F.col("p_partkey")
+    feeds["category_inserts"] = part.select(
+        pk.alias("seq"),
+        F.when(pk % 4 == 0, F.concat(F.lit(" "), "p_brand", F.lit(" "))).when(pk % 4 == 1, F.lower("p_type"))
+        .when(pk % 4 == 2, F.lit("  ")).otherwise(F.col("p_brand")).alias("category_name"),
+        F.when(pk % 3 == 0, F.lit("")).otherwise(F.col("p_name")).alias("description"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("created_at"))
+    feeds["category_requests"] = part.select(
+        pk.alias("seq"), F.when(pk % 3 == 0, _category_id(F.col("p_type"))).alias("category_id"),
+        F.when(pk % 4 == 0, F.lower("p_type")).when(pk % 4 == 1, F.concat(F.lit(" "), "p_type", F.lit(" ")))
+        .when(pk % 4 == 2, F.concat("p_type", F.lit("X"))).otherwise(F.col("p_type")).alias("category_name"))
+    uid = F.col("id")
+    feeds["user_reassignments"] = t.users.select(
+        uid.cast("long").alias("seq"), F.when(uid % 13 == 0, uid + 1000).otherwise(uid).alias("user_id"),
+        (uid + 1).cast("int").alias("store_id"), F.lit(FEED_TIME).cast("timestamp_ntz").alias("changed_at"))
+    ck = F.col("c_custkey")
+    feeds["user_inserts"] = customer.select(
+        ck.alias("seq"), F.col("c_name").alias("full_name"),
+        F.when(ck % 5 == 0, F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).otherwise(F.col("c_name"))
+        .alias("username"),
+        F.concat(F.lit("c"), (ck % 500).cast("string"), F.lit("@mail.test")).alias("email"),
+        F.when(ck % 3 == 0, F.lit("store_admin")).when(ck % 3 == 1, F.lit("MASTER_ADMIN")).otherwise(F.lit("clerk"))
+        .alias("role"),
+        F.col("c_nationkey").cast("int").alias("store_id"), F.lit(FEED_TIME).cast("timestamp_ntz").alias("created_at"))
+    n_stores = read("supplier").select(F.count(F.lit(1))).scalar()
+    feeds["product_inserts"] = part.select(
+        pk.alias("seq"), F.concat("p_name", F.lit(" II")).alias("product_name"),
+        F.when(F.col("p_size") % 10 == 0, F.lit(None)).otherwise(F.split_part("p_name", F.lit(" "), F.lit(2)))
+        .alias("color"),
+        F.concat((F.col("p_size") % 8).cast("string"), F.lit("mm")).alias("thickness"),
+        F.lit(None).cast("int").alias("category_id"),
+        F.when(pk % 7 == 0, F.lit("Unknown")).otherwise(F.col("p_type")).alias("category_name"),
+        F.lit(None).cast("string").alias("product_image"),
+        F.when(pk % 2 == 0, pk % n_stores).cast("int").alias("store_id"),
+        _dec(F.col("p_retailprice"), 12, 2).alias("purchase_rate"),
+        _dec(F.col("p_retailprice") * 1.5, 12, 2).alias("selling_rate"),
+        F.col("p_size").cast("int").alias("available_stock"), F.lit(5).alias("minimum_stock"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("created_at"))
+    feeds["store_signups"] = customer.select(
+        ck.alias("seq"),
+        F.concat(F.when(ck % 4 == 0, F.replace("c_name", F.lit("Customer"), F.lit("Supplier")))
+                 .otherwise(F.col("c_name")), F.lit("@example.test")).alias("store_email"),
+        F.concat(F.lit("Shop "), "c_name").alias("store_name"), F.col("c_mktsegment").alias("store_location"),
+        F.col("c_name").alias("full_name"),
+        F.concat(F.lit("owner-"), (ck % 700).cast("string")).alias("username"),
+        F.concat(F.lit("owner"), ck.cast("string"), F.lit("@mail.test")).alias("email"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("created_at"))
+    br = t.bill_requests
+    feeds["store_product_edits"] = br.select(
+        (F.col("bill_id") * 100 + F.col("line_no")).alias("seq"), "store_id",
+        (F.col("product_id") + F.when(F.col("line_no") == 2, 1).otherwise(0)).cast("int").alias("product_id"),
+        F.col("created_at").alias("patched_at"),
+        F.concat(F.lit("Edited "), F.col("product_id").cast("string")).alias("product_name"),
+        (F.col("line_no") == 1).alias("set_product_name"),
+        *[F.lit(None).alias(f) for f in ("category_id", "color", "thickness", "length", "width",
+                                           "dimension_unit", "area", "unit", "product_image")],
+        *[F.lit(False).alias(f"set_{f}") for f in ("category_id", "color", "thickness", "length", "width",
+                                                     "dimension_unit", "area", "unit", "product_image")],
+        _dec(F.col("quantity") * 10, 12, 2).alias("selling_rate"), (F.col("line_no") <= 3).alias("set_selling_rate"),
+        F.lit(None).cast("decimal(12,2)").alias("purchase_rate"), F.lit(False).alias("set_purchase_rate"),
+        F.col("quantity").alias("available_stock"), (F.col("line_no") == 3).alias("set_available_stock"),
+        F.lit(None).cast("int").alias("minimum_stock"), F.lit(False).alias("set_minimum_stock"))
+    return feeds
