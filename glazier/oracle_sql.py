@@ -742,3 +742,11 @@ SQL["constraint_violations"] = with_views("\nUNION ALL\n".join([
     _orphans_sql("invoice_items", "invoice_id", "invoices", "invoice_id"),
     _orphans_sql("invoice_items", "product_id", "products", "id"),
 ]), "stores", "users", "glass_categories", "products", "inventory", "invoices", "invoice_items")
+
+# --- streaming (T2; T1 is rows-only) ------------------------------------------------------------
+
+SQL["stream_daily_revenue"] = """
+SELECT CAST(user_id % (SELECT count(*) FROM supplier) AS INT) AS store_id, CAST(ts AS DATE) AS day,
+       CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS revenue, CAST(count(*) AS BIGINT) AS sales
+FROM events WHERE event_type = 'purchase'
+GROUP BY 1, 2"""

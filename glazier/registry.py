@@ -251,3 +251,30 @@ def _q_edit(t, f):
 @_w("create_stores_with_admins")
 def _q_signup(t, f):
     return _W.create_stores_with_admins(t, f["store_signups"]).extra["new_stores"]
+
+# --- T: streaming --------------------------------------------------------------------
+from glazier.plans.session import shared_path as _shared  # noqa: E402
+from glazier.streaming import streams as _S  # noqa: E402
+
+
+def _stream_daily_revenue(s, d):
+    n_stores = s.read.parquet(f"{d.rstrip('/')}/supplier.parquet").count()
+    out, ckpt = _shared(s, "t2-tiles"), _shared(s, "t2-ckpt")
+    _S.run_daily_revenue(_S.sales_stream(s, d, n_stores), out, ckpt)
+    return _S.current_tiles(s, out)
+
+
+# The time ranges the demo stream replays, one micro-batch each.
+STREAM_BOUNDS = ["1997-01-01", "1999-01-01", "2001-01-01"]
+
+
+def _stream_post_bills(s, d):
+    t = _t(s, d)
+    staged = _S.stage_bill_requests(t.bill_requests, _shared(s, "t1-requests"), STREAM_BOUNDS)
+    out = _shared(s, "t1-out")
+    _S.run_post_bills(t, _S.bill_request_stream(s, staged), out, _shared(s, "t1-ckpt"))
+    return s.read.parquet(f"{out}/decisions")
+
+
+register("stream_daily_revenue")(_stream_daily_revenue)
+register("stream_post_bills")(_stream_post_bills)
