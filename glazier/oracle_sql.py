@@ -542,7 +542,7 @@ SQL["upsert_inventory"] = with_views(f"""
          CAST(COALESCE(l.minimum_stock, 0) AS INT) AS c_minimum_stock
   FROM (SELECT store_id, product_id, SUM(COALESCE(available_stock, 0)) AS add_stock, MAX(changed_at) AS changed_at
         FROM inventory_changes GROUP BY store_id, product_id) f
-  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY seq DESC) AS rn
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY seq DESC, purchase_rate DESC NULLS LAST, selling_rate DESC NULLS LAST, minimum_stock DESC NULLS LAST, available_stock DESC NULLS LAST) AS rn
                        FROM inventory_changes) WHERE rn = 1) l
     ON f.store_id = l.store_id AND f.product_id = l.product_id)
 SELECT i.id, i.store_id, i.product_id,
@@ -563,13 +563,13 @@ FROM c WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.store_id = c.store_id
     "inventory", "inventory_changes")
 
 _PATCH_FOLD = """
+  -- last supplied value per field: highest seq, ties to the larger value (NULL lowest)
   SELECT store_id, product_id, max(patched_at) AS patched_at,
-         arg_max_null(available_stock, seq) FILTER (WHERE set_available_stock) AS n_avail,
-         bool_or(set_available_stock) AS a_avail,
-         arg_max_null(minimum_stock, seq) FILTER (WHERE set_minimum_stock) AS n_min, bool_or(set_minimum_stock) AS a_min,
-         arg_max_null(purchase_rate, seq) FILTER (WHERE set_purchase_rate) AS n_pr, bool_or(set_purchase_rate) AS a_pr,
-         arg_max_null(selling_rate, seq) FILTER (WHERE set_selling_rate) AS n_sr, bool_or(set_selling_rate) AS a_sr
-  FROM inventory_patches GROUP BY store_id, product_id"""
+         max(CASE WHEN set_available_stock AND seq = ms_avail THEN available_stock END) AS n_avail, bool_or(set_available_stock) AS a_avail,
+         max(CASE WHEN set_minimum_stock AND seq = ms_min THEN minimum_stock END) AS n_min, bool_or(set_minimum_stock) AS a_min,
+         max(CASE WHEN set_purchase_rate AND seq = ms_pr THEN purchase_rate END) AS n_pr, bool_or(set_purchase_rate) AS a_pr,
+         max(CASE WHEN set_selling_rate AND seq = ms_sr THEN selling_rate END) AS n_sr, bool_or(set_selling_rate) AS a_sr
+  FROM (SELECT *, max(CASE WHEN set_available_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_avail, max(CASE WHEN set_minimum_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_min, max(CASE WHEN set_purchase_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_pr, max(CASE WHEN set_selling_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_sr FROM inventory_patches) w GROUP BY store_id, product_id"""
 
 SQL["patch_inventory"] = with_views(f"""
 SELECT i.id, i.store_id, i.product_id,
