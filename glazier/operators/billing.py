@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glazier.functions.rules import effective_max_discount, line_dimensions, line_price
+from glazier.plans.session import cut_lineage
 from glazier.sources.tables import Tables, conform
 
 # Reasons a bill is refused.
@@ -177,7 +178,8 @@ def bill_receipts(invoices: DataFrame, items: DataFrame, products: DataFrame) ->
 # --- B8 -----------------------------------------------------------------------
 
 DECISION_SCHEMA = T.StructType([
-    T.StructField("bill_id", T.LongType()), T.StructField("status", T.StringType()),
+    T.StructField("bill_id", T.LongType()), T.StructField("store_id", T.IntegerType()),
+    T.StructField("created_at", T.TimestampNTZType()), T.StructField("status", T.StringType()),
     T.StructField("reason", T.StringType()), T.StructField("failed_line", T.IntegerType())])
 
 
@@ -188,15 +190,17 @@ def _decide_rows(pdf: pd.DataFrame, stock: dict) -> pd.DataFrame:
     static failure).  A bill fails at the first line whose key's current stock
     is below the quantity; otherwise it fails at its static line, if any;
     otherwise it is accepted and its contended quantities are taken."""
-    out_bill, out_status, out_reason, out_line = [], [], [], []
-    bills = pdf["bill_id"].to_numpy()
-    stores = pdf["store_id"].to_numpy()
-    products = pdf["product_id"].to_numpy()
-    qtys = pdf["quantity"].to_numpy()
-    starts = pdf["start_stock"].to_numpy()
-    lines = pdf["line_no"].to_numpy()
-    s_lines = pdf["static_line"].to_numpy()
-    s_reasons = pdf["static_reason"].to_numpy()
+    out_bill, out_store, out_at, out_status, out_reason, out_line = [], [], [], [], [], []
+    # Plain lists: per-element access is much cheaper than on numpy arrays.
+    bills = pdf["bill_id"].tolist()
+    times = pdf["created_at"].to_numpy()
+    stores = pdf["store_id"].tolist()
+    products = pdf["product_id"].tolist()
+    qtys = pdf["quantity"].tolist()
+    starts = pdf["start_stock"].tolist()
+    lines = pdf["line_no"].tolist()
+    s_lines = pdf["static_line"].tolist()
+    s_reasons = pdf["static_reason"].tolist()
     n = len(pdf)
     i = 0
     while i < n:
@@ -214,17 +218,19 @@ def _decide_rows(pdf: pd.DataFrame, stock: dict) -> pd.DataFrame:
             if cur < qtys[k]:
                 failed = (R_STOCK, int(lines[k]))
                 break
-        if failed is None and not pd.isna(s_lines[i]):
+        if failed is None and s_lines[i] is not None and s_lines[i] == s_lines[i]:
             failed = (s_reasons[i], int(s_lines[i]))
+        out_bill.append(int(bill)); out_store.append(int(stores[i])); out_at.append(times[i])
         if failed is None:
             for k in range(i, j):
                 stock[(stores[k], products[k])] -= int(qtys[k])
-            out_bill.append(int(bill)); out_status.append(ACCEPTED); out_reason.append(None); out_line.append(None)
+            out_status.append(ACCEPTED); out_reason.append(None); out_line.append(None)
         else:
-            out_bill.append(int(bill)); out_status.append(REJECTED)
-            out_reason.append(failed[0]); out_line.append(failed[1])
+            out_status.append(REJECTED); out_reason.append(failed[0]); out_line.append(failed[1])
         i = j
     return pd.DataFrame({"bill_id": pd.Series(out_bill, dtype="int64"),
+                         "store_id": pd.Series(out_store, dtype="int32"),
+                         "created_at": pd.Series(out_at, dtype="datetime64[us]"),
                          "status": pd.Series(out_status, dtype="object"),
                          "reason": pd.Series(out_reason, dtype="object"),
                          "failed_line": pd.Series(out_line, dtype="Int32")})
@@ -281,53 +287,59 @@ class Posting:
     lines: DataFrame           # priced lines of accepted bills
 
 
-def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
+def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = False) -> Posting:
     """Post many bills, each all-or-nothing, per store in (created_at,
-    bill_id) order; accepted bills lower the stock later bills see."""
+    bill_id) order; accepted bills lower the stock later bills see.
+
+    With ``checkpoint`` the decisions are written to the shared checkpoint
+    folder once, so the four outputs reuse them (and a lost executor
+    recomputes from there, not from the fold)."""
     reqs = t.bill_requests if reqs is None else reqs
     lines = prepare_bill_lines(reqs, t)
 
-    bills = lines.groupBy("bill_id", "store_id", "created_at").agg(
-        F.min_by(F.struct("line_no", "invalid_reason"),
-                 F.when(F.col("invalid_reason").isNotNull(), F.col("line_no"))).alias("inv"),
-        F.min(F.when(F.col("static_reason").isNotNull(), F.col("line_no"))).alias("static_line"),
-        F.min_by("static_reason", F.when(F.col("static_reason").isNotNull(), F.col("line_no")))
-        .alias("static_reason"))
-    bills = bills.select("bill_id", "store_id", "created_at",
-                         F.when(F.col("inv.invalid_reason").isNotNull(), F.col("inv.line_no")).alias("invalid_line"),
-                         F.col("inv.invalid_reason").alias("invalid_reason"), "static_line", "static_reason")
+    # Per-bill facts on every line, from one window over the bill (one
+    # shuffle by bill_id): first invalid line and its reason, first line
+    # failing a stock-independent check and its reason, first line.
+    w = Window.partitionBy("bill_id")
+    first_invalid = F.min(F.when(F.col("invalid_reason").isNotNull(), F.col("line_no"))).over(w)
+    first_static = F.min(F.when(F.col("static_reason").isNotNull(), F.col("line_no"))).over(w)
+    lines = (lines.withColumn("invalid_line", first_invalid)
+             .withColumn("static_line", first_static)
+             .withColumn("first_line", F.min("line_no").over(w)))
+    at_line = lambda col, reason: F.max(F.when(F.col("line_no") == F.col(col), F.col(reason))).over(w)
+    lines = (lines.withColumn("bill_invalid_reason", at_line("invalid_line", "invalid_reason"))
+             .withColumn("bill_static_reason", at_line("static_line", "static_reason")))
+    if checkpoint:
+        lines = cut_lineage(lines)
 
     # Demand per key from every bill that passes validation, on its lines up
-    # to (and including) its first static failure: those are the only lines
-    # whose stock test can ever be run.
-    lb = (lines.select("bill_id", "line_no", "product_id", "quantity", "start_stock", "found")
-          .join(bills.filter(F.col("invalid_line").isNull()).select("bill_id", "store_id", "created_at",
-                                                                     "static_line", "static_reason"), "bill_id")
-          .filter(F.col("found") & (F.col("static_line").isNull() | (F.col("line_no") <= F.col("static_line")))))
+    # to (and including) its first static failure: the only lines whose
+    # stock test can ever run.  Keys whose demand fits their stock can never
+    # fail; only bills with a line on a contended key need the ordered fold.
+    lb = lines.filter(F.col("invalid_line").isNull() & F.col("found")
+                      & (F.col("static_line").isNull() | (F.col("line_no") <= F.col("static_line"))))
     demand = lb.groupBy("store_id", "product_id").agg(F.sum("quantity").alias("demand"),
                                                       F.max("start_stock").alias("stock"))
-    contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id",
-                                                                       F.lit(True).alias("contended"))
-    lbc = lb.join(contended, ["store_id", "product_id"], "left")
-    fold_lines = lbc.filter(F.col("contended").isNotNull())
-    fold_bills = fold_lines.select("bill_id").distinct()
+    contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id")
+    fold_lines = lb.join(contended, ["store_id", "product_id"], "left_semi")
 
     fold_in = (fold_lines.select("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity",
-                                 "start_stock", "static_line", "static_reason")
+                                 "start_stock", "static_line", F.col("bill_static_reason").alias("static_reason"))
                .repartition("store_id")
                .sortWithinPartitions("store_id", *BILL_ORDER, "line_no"))
     folded = fold_in.mapInPandas(_fold_partition, DECISION_SCHEMA)
 
-    native = (bills.join(fold_bills, "bill_id", "left_anti")
-              .select("bill_id",
+    bill_rows = lines.filter(F.col("line_no") == F.col("first_line"))
+    native = (bill_rows.join(fold_lines.select("bill_id").distinct(), "bill_id", "left_anti")
+              .select("bill_id", "store_id", "created_at",
                       F.when(F.col("invalid_line").isNull() & F.col("static_line").isNull(), F.lit(ACCEPTED))
                       .otherwise(F.lit(REJECTED)).alias("status"),
-                      F.coalesce("invalid_reason", "static_reason").alias("reason"),
+                      F.coalesce("bill_invalid_reason", "bill_static_reason").alias("reason"),
                       F.coalesce("invalid_line", "static_line").cast("int").alias("failed_line")))
-    decisions = (native.unionByName(folded)
-                 .join(bills.select("bill_id", "store_id", "created_at"), "bill_id")
-                 .select("bill_id", "store_id", "created_at", "status", "reason", "failed_line"))
+    decisions = native.unionByName(folded)
 
+    if checkpoint:
+        decisions = cut_lineage(decisions)
     accepted = lines.join(decisions.filter(F.col("status") == ACCEPTED).select("bill_id"), "bill_id", "left_semi")
     return Posting(decisions=decisions, invoices=build_invoices(accepted),
                    invoice_items=build_invoice_items(accepted),

@@ -97,7 +97,7 @@ def post_bills_batch(t: Tables, out_dir: str):
         prev = f"{base}/inventory/v={batch_id - 1}"
         inventory = (spark.read.schema(SCHEMAS["inventory"]).parquet(prev) if batch_id > 0 and _exists(spark, prev)
                      else t.inventory)
-        posting = post_bills(t.with_(inventory=inventory), batch)
+        posting = post_bills(t.with_(inventory=inventory), batch, checkpoint=True)
         tag = F.lit(batch_id).cast("long").alias("batch_id")
         posting.decisions.select("*", tag).write.mode("overwrite").parquet(f"{base}/decisions/batch={batch_id}")
         posting.invoices.select("*", tag).write.mode("overwrite").parquet(f"{base}/invoices/batch={batch_id}")
