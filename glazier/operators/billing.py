@@ -183,13 +183,15 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("reason", T.StringType()), T.StructField("failed_line", T.IntegerType())])
 
 
-def _decide_rows(pdf: pd.DataFrame, stock: dict) -> pd.DataFrame:
+def _decide_rows(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
     """Sequential decision for rows sorted by (store, created_at, bill_id, line_no).
 
     Each row is one contended line of a bill (``line_no`` <= the bill's first
     static failure).  A bill fails at the first line whose key's current stock
     is below the quantity; otherwise it fails at its static line, if any;
-    otherwise it is accepted and its contended quantities are taken."""
+    otherwise it is accepted and its contended quantities are taken.
+    ``state`` holds the current group and its key -> stock map; the map is
+    dropped when the group changes (no key spans two groups)."""
     out_bill, out_store, out_at, out_status, out_reason, out_line = [], [], [], [], [], []
     # Plain lists: per-element access is much cheaper than on numpy arrays.
     bills = pdf["bill_id"].tolist()
@@ -201,9 +203,14 @@ def _decide_rows(pdf: pd.DataFrame, stock: dict) -> pd.DataFrame:
     lines = pdf["line_no"].tolist()
     s_lines = pdf["static_line"].tolist()
     s_reasons = pdf["static_reason"].tolist()
+    groups = pdf["fold_group"].tolist()
+    stock = state["stock"]
     n = len(pdf)
     i = 0
     while i < n:
+        if groups[i] != state["group"]:
+            stock = state["stock"] = {}
+            state["group"] = groups[i]
         j = i
         bill = bills[i]
         while j < n and bills[j] == bill:
@@ -238,44 +245,76 @@ def _decide_rows(pdf: pd.DataFrame, stock: dict) -> pd.DataFrame:
 
 def _fold_partition(batches):
     """mapInPandas body: stream sorted batches; a bill cut by a batch edge is
-    carried to the next batch.  State is the stock of the keys seen, reset
-    whenever the store changes (keys never span stores)."""
-    stock: dict = {}
-    store = None
+    carried to the next batch.  Memory is one batch plus the stock of the
+    current group's keys."""
+    state = {"group": None, "stock": {}}
     pending = None
     for pdf in batches:
         if pending is not None and len(pending):
             pdf = pd.concat([pending, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        last_bill = pdf["bill_id"].iloc[-1]
-        tail_start = len(pdf)
         bills = pdf["bill_id"].to_numpy()
-        while tail_start > 0 and bills[tail_start - 1] == last_bill:
+        tail_start = len(pdf)
+        while tail_start > 0 and bills[tail_start - 1] == bills[-1]:
             tail_start -= 1
         head, pending = pdf.iloc[:tail_start], pdf.iloc[tail_start:].reset_index(drop=True)
-        for part in _split_by_store(head):
-            s = part["store_id"].iloc[0]
-            if s != store:
-                stock, store = {}, s
-            yield _decide_rows(part, stock)
+        if len(head):
+            yield _decide_rows(head, state)
     if pending is not None and len(pending):
-        for part in _split_by_store(pending):
-            s = part["store_id"].iloc[0]
-            if s != store:
-                stock, store = {}, s
-            yield _decide_rows(part, stock)
-
-
-def _split_by_store(pdf: pd.DataFrame):
-    if not len(pdf):
-        return
-    stores = pdf["store_id"].to_numpy()
-    start = 0
-    for k in range(1, len(pdf) + 1):
-        if k == len(pdf) or stores[k] != stores[start]:
-            yield pdf.iloc[start:k]
-            start = k
+        yield _decide_rows(pending, state)
+
+
+def _node(store: str = "store_id", product: str = "product_id"):
+    return F.col(store).cast("long") * F.lit(1 << 32) + F.col(product).cast("long")
+
+
+def fold_groups(fold_lines: DataFrame, hot_share: float = 0.05, max_rounds: int = 12) -> DataFrame:
+    """Group key for each contended (store, product): ``fold_group``.
+
+    A store is its own group unless it holds more than ``hot_share`` of all
+    contended lines.  Such a hot store is split into connected components of
+    its keys (two keys are linked when one bill touches both): bills of
+    different components never share stock, so each component is folded on
+    its own.  Components come from min-label propagation over the bills
+    (each key takes the smallest label among the bills touching it; a
+    bill's label is the smallest of its keys), with the lineage cut every
+    round.  If it has not settled after ``max_rounds`` the hot stores fall
+    back to one group each, which is always exact, only less parallel."""
+    edges = fold_lines.select("bill_id", "store_id", _node().alias("node")).distinct()
+    per_store = edges.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
+    total, largest = per_store.agg(F.sum("n"), F.max("n")).first()   # one small action
+    threshold = max((total or 0) * hot_share, 1.0)
+    store_group = (-(F.col("store_id").cast("long") + 1)).alias("fold_group")
+    keys = fold_lines.select("store_id", _node().alias("node")).distinct()
+    if (largest or 0) <= threshold:
+        return keys.select("node", store_group)
+    hot = per_store.filter(F.col("n") > F.lit(threshold)).select("store_id")
+
+    hot_edges = cut_lineage(edges.join(hot, "store_id", "left_semi").select("bill_id", "node"))
+    labels = cut_lineage(hot_edges.select("node").distinct().withColumn("label", F.col("node")))
+    settled = False
+    for round_no in range(max_rounds):
+        bill_label = hot_edges.join(labels, "node").groupBy("bill_id").agg(F.min("label").alias("bl"))
+        new = (hot_edges.join(bill_label, "bill_id").groupBy("node").agg(F.min("bl").alias("label")))
+        # Pointer jumping: a label is itself a node, so take its label too;
+        # reach doubles per round instead of growing by one hop.
+        hop = new.select(F.col("node").alias("label"), F.col("label").alias("hop"))
+        new = cut_lineage(new.join(hop, "label", "left").select(
+            "node", F.least("label", F.coalesce("hop", "label")).alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(
+            F.col("label") != F.col("old")).limit(1).count()
+        labels = new
+        if changed == 0:
+            settled = True
+            break
+    fold_groups.last_rounds = round_no + 1
+    cold_keys = keys.join(hot, "store_id", "left_anti").select("node", store_group)
+    if settled:
+        hot_keys = labels.select("node", F.col("label").alias("fold_group"))
+    else:
+        hot_keys = keys.join(hot, "store_id", "left_semi").select("node", store_group)
+    return cold_keys.unionByName(hot_keys)
 
 
 @dataclass(frozen=True)
@@ -287,13 +326,15 @@ class Posting:
     lines: DataFrame           # priced lines of accepted bills
 
 
-def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = False) -> Posting:
+def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = False,
+               hot_share: float = 0.05) -> Posting:
     """Post many bills, each all-or-nothing, per store in (created_at,
     bill_id) order; accepted bills lower the stock later bills see.
 
     With ``checkpoint`` the decisions are written to the shared checkpoint
     folder once, so the four outputs reuse them (and a lost executor
-    recomputes from there, not from the fold)."""
+    recomputes from there, not from the fold).  ``hot_share``: see
+    ``fold_groups``."""
     reqs = t.bill_requests if reqs is None else reqs
     lines = prepare_bill_lines(reqs, t)
 
@@ -323,10 +364,13 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
     contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id")
     fold_lines = lb.join(contended, ["store_id", "product_id"], "left_semi")
 
+    groups = fold_groups(fold_lines, hot_share)
     fold_in = (fold_lines.select("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity",
-                                 "start_stock", "static_line", F.col("bill_static_reason").alias("static_reason"))
-               .repartition("store_id")
-               .sortWithinPartitions("store_id", *BILL_ORDER, "line_no"))
+                                 "start_stock", "static_line", F.col("bill_static_reason").alias("static_reason"),
+                                 _node().alias("node"))
+               .join(groups, "node").drop("node")
+               .repartition("fold_group")
+               .sortWithinPartitions("fold_group", *BILL_ORDER, "line_no"))
     folded = fold_in.mapInPandas(_fold_partition, DECISION_SCHEMA)
 
     bill_rows = lines.filter(F.col("line_no") == F.col("first_line"))

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from brute import post_bills_loop
@@ -66,9 +68,11 @@ def test_pricing_and_totals(spark):
     assert items[3].length == D(30)                                    # original, not bracketed
 
 
-def test_matches_serial_model(spark, small_tables):
+@pytest.mark.parametrize("hot_share", [0.05, 0.0, 0.1])
+def test_matches_serial_model(spark, small_tables, hot_share):
+    """0.0 splits every store into key components, 0.1 some, 0.05 (default) none here."""
     t = small_tables
-    post = B.post_bills(t)
+    post = B.post_bills(t, hot_share=hot_share)
     got = {r.bill_id: (r.status, r.reason, r.failed_line) for r in post.decisions.collect()}
     lines = B.prepare_bill_lines(t.bill_requests, t).select(
         "bill_id", "store_id", "created_at", "line_no", "product_id", "quantity", "start_stock", "found",
