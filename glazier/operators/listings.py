@@ -290,6 +290,24 @@ def page(df: DataFrame, order: list, page_no=DEFAULT_PAGE, limit=DEFAULT_LIMIT)
     return df.orderBy(*order).offset((p - 1) * n).limit(n)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: dict | None, limit=DEFAULT_LIMIT) -> DataFrame:
+    """L14, keyset form: the ``limit`` rows that follow the cursor ``after``
+    (the sort-key values of the last row shown) in ``order`` = [(column,
+    ascending)].  The predicate is pushed to the scan, so a deep page costs
+    the same as the first one (OFFSET has to sort and skip all rows before).
+    The sort keys must be unique and non-NULL."""
+    n = _page_arg(limit, DEFAULT_LIMIT)
+    sort = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
+    if not after:
+        return df.orderBy(*sort).limit(n)
+    cond = None
+    for k in range(len(order) - 1, -1, -1):
+        c, asc = order[k]
+        step = (F.col(c) > F.lit(after[c])) if asc else (F.col(c) < F.lit(after[c]))
+        cond = step if cond is None else (step | ((F.col(c) == F.lit(after[c])) & cond))
+    return df.filter(cond).orderBy(*sort).limit(n)
+
+
 def page_info(counted: DataFrame, page_no=DEFAULT_PAGE, limit=DEFAULT_LIMIT) -> DataFrame:
     """Total rows of ``counted`` (the base the caller counts), current
     page and number of pages."""

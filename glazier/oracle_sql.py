@@ -705,29 +705,38 @@ FROM users u LEFT JOIN (
   ON u.id = a.user_id""", "users", "user_reassignments")
 
 
+_SRC: dict[str, str] = {}   # table name -> relation to read it from (default: the view itself)
+
+
+def _src(table: str) -> str:
+    return _SRC.get(table, table)
+
+
 def _dupes_sql(table: str, cols: list[str]) -> str:
     key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
     nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
     return (f"SELECT '{table}' AS table_name, 'unique:{','.join(cols)}' AS rule, {key} AS key_value, "
-            f"CAST(count(*) AS BIGINT) AS n FROM {table} WHERE {nn} GROUP BY {key} HAVING count(*) > 1")
+            f"CAST(count(*) AS BIGINT) AS n FROM {_src(table)} WHERE {nn} GROUP BY {key} HAVING count(*) > 1")
 
 
 def _nulls_sql(table: str, key: str, col: str) -> str:
-    return (f"SELECT '{table}', 'not_null:{col}', CAST({key} AS VARCHAR), CAST(1 AS BIGINT) FROM {table} "
+    return (f"SELECT '{table}', 'not_null:{col}', CAST({key} AS VARCHAR), CAST(1 AS BIGINT) FROM {_src(table)} "
             f"WHERE {col} IS NULL")
 
 
 def _orphans_sql(table: str, fk: str, parent: str, pk: str) -> str:
-    return (f"SELECT '{table}', 'foreign_key:{fk}', CAST({fk} AS VARCHAR), CAST(count(*) AS BIGINT) FROM {table} c "
-            f"WHERE {fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk}) GROUP BY {fk}")
+    return (f"SELECT '{table}', 'foreign_key:{fk}', CAST({fk} AS VARCHAR), CAST(count(*) AS BIGINT) "
+            f"FROM {_src(table)} c WHERE {fk} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {_src(parent)} p WHERE p.{pk} = c.{fk}) GROUP BY {fk}")
 
 
-SQL["constraint_violations"] = with_views("\nUNION ALL\n".join([
+def _violations_body() -> str:
+    return "\nUNION ALL\n".join([
     _dupes_sql("stores", ["store_id"]), _dupes_sql("stores", ["store_email"]),
     _nulls_sql("stores", "store_id", "store_email"),
     _dupes_sql("users", ["id"]), _dupes_sql("users", ["username"]), _dupes_sql("users", ["email"]),
     _nulls_sql("users", "id", "username"), _nulls_sql("users", "id", "role"),
-    "SELECT 'users', 'check:role', CAST(id AS VARCHAR), CAST(1 AS BIGINT) FROM users "
+    f"SELECT 'users', 'check:role', CAST(id AS VARCHAR), CAST(1 AS BIGINT) FROM {_src('users')} "
     "WHERE role NOT IN ('MASTER_ADMIN', 'STORE_ADMIN')",
     _dupes_sql("glass_categories", ["id"]), _dupes_sql("glass_categories", ["category_name"]),
     _nulls_sql("glass_categories", "id", "category_name"),
@@ -741,7 +750,31 @@ SQL["constraint_violations"] = with_views("\nUNION ALL\n".join([
     _orphans_sql("invoices", "store_id", "stores", "store_id"), _orphans_sql("invoices", "billed_by", "users", "id"),
     _orphans_sql("invoice_items", "invoice_id", "invoices", "invoice_id"),
     _orphans_sql("invoice_items", "product_id", "products", "id"),
-]), "stores", "users", "glass_categories", "products", "inventory", "invoices", "invoice_items")
+    ])
+
+
+SQL["constraint_violations"] = with_views(_violations_body(), "stores", "users", "glass_categories", "products",
+                                          "inventory", "invoices", "invoice_items")
+
+# The same report over tables with the raw change feeds appended unchecked,
+# so duplicates, bad roles and dangling keys really occur.
+VIEWS["users_raw"] = """
+        SELECT * FROM users
+        UNION ALL
+        SELECT CAST(seq AS INT) AS id, store_id, full_name, username, email, role, true AS status,
+               created_at, created_at AS updated_at
+        FROM user_inserts"""
+VIEWS["inventory_raw"] = """
+        SELECT * FROM inventory
+        UNION ALL
+        SELECT seq AS id, store_id, product_id, purchase_rate, selling_rate, available_stock, minimum_stock,
+               CAST(NULL AS DECIMAL(5,2)) AS override_max_discount, changed_at AS created_at, changed_at AS updated_at
+        FROM inventory_changes"""
+_SRC.update({"users": "users_raw", "inventory": "inventory_raw"})
+SQL["constraint_violations_raw_feeds"] = with_views(
+    _violations_body(), "stores", "users", "glass_categories", "products", "inventory", "invoices", "invoice_items",
+    "user_inserts", "inventory_changes", "users_raw", "inventory_raw")
+_SRC.clear()
 
 # --- streaming (T2; T1 is rows-only) ------------------------------------------------------------
 

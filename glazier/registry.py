@@ -278,3 +278,27 @@ def _stream_post_bills(s, d):
 
 register("stream_daily_revenue")(_stream_daily_revenue)
 register("stream_post_bills")(_stream_post_bills)
+
+
+def _violations_raw(s, d):
+    """W16 over tables with the raw feeds appended without any checks."""
+    from glazier.sources.tables import conform
+    t, f = _t(s, d), _feeds(s, d)
+    raw_users = f["user_inserts"].select(
+        _F.col("seq").cast("int").alias("id"), "store_id", "full_name", "username", "email", "role",
+        _F.lit(True).alias("status"), "created_at", _F.col("created_at").alias("updated_at"))
+    raw_inv = f["inventory_changes"].select(
+        _F.col("seq").alias("id"), "store_id", "product_id", "purchase_rate", "selling_rate", "available_stock",
+        "minimum_stock", _F.col("changed_at").alias("created_at"), _F.col("changed_at").alias("updated_at"))
+    t2 = t.with_(users=t.users.unionByName(conform(raw_users, "users")),
+                 inventory=t.inventory.unionByName(conform(raw_inv, "inventory")))
+    return _W.constraint_violations(t2)
+
+
+register("constraint_violations_raw_feeds")(_violations_raw)
+
+# --- S: sinks ---------------------------------------------------------------------------
+from glazier.sources.tables import to_json_rows as _to_json  # noqa: E402
+
+# Rows-only: JSON text formatting (number and time rendering) differs between engines.
+register("invoice_history_json")(lambda s, d: _to_json(_L.invoice_history(_t(s, d)), ["invoice_id"]))
