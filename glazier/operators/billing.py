@@ -317,13 +317,20 @@ def fold_groups(fold_lines: DataFrame, hot_share: float = 0.05, max_rounds: int
     return cold_keys.unionByName(hot_keys)
 
 
+# The line columns posting needs: decision inputs and the stored outputs.
+POSTING_COLUMNS = ("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity", "start_stock", "found",
+                   "invalid_reason", "static_reason", "selling_rate", "applied_discount", "total_price",
+                   "line_length", "line_width", "charged_dimension", "line_area", "charged_rate", "base_total",
+                   "final_total")
+
+
 @dataclass(frozen=True)
 class Posting:
     decisions: DataFrame       # bill_id, store_id, created_at, status, reason, failed_line
     invoices: DataFrame        # headers of accepted bills
     invoice_items: DataFrame   # items of accepted bills
     inventory: DataFrame       # stock after the accepted bills
-    lines: DataFrame           # priced lines of accepted bills
+    lines: DataFrame           # priced lines of accepted bills (POSTING_COLUMNS)
 
 
 def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = False,
@@ -336,7 +343,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
     recomputes from there, not from the fold).  ``hot_share``: see
     ``fold_groups``."""
     reqs = t.bill_requests if reqs is None else reqs
-    lines = prepare_bill_lines(reqs, t)
+    lines = prepare_bill_lines(reqs, t).select(*POSTING_COLUMNS)
 
     # Per-bill facts on every line, from one window over the bill (one
     # shuffle by bill_id): first invalid line and its reason, first line
@@ -363,6 +370,8 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
                                                       F.max("start_stock").alias("stock"))
     contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id")
     fold_lines = lb.join(contended, ["store_id", "product_id"], "left_semi")
+    if checkpoint:
+        fold_lines = cut_lineage(fold_lines)
 
     groups = fold_groups(fold_lines, hot_share)
     fold_in = (fold_lines.select("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity",
