@@ -85,9 +85,11 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
                       F.coalesce("last.purchase_rate", F.lit(0)).cast("decimal(12,2)").alias("c_purchase_rate"),
                       F.coalesce("last.selling_rate", F.lit(0)).cast("decimal(12,2)").alias("c_selling_rate"),
                       F.coalesce("last.minimum_stock", F.lit(0)).cast("int").alias("c_minimum_stock"))
-    j = inv.join(c, (inv.store_id == c.c_store_id) & (inv.product_id == c.c_product_id), "full_outer")
+    # Existing rows: one left join.  New keys: the folded changes without a
+    # stock row (anti join on the keys only), so only they reach the id step.
+    j = inv.join(c, (inv.store_id == c.c_store_id) & (inv.product_id == c.c_product_id), "left")
     hit = F.col("c_store_id").isNotNull()
-    existing = j.filter(F.col("id").isNotNull()).select(
+    existing = j.select(
         "id", "store_id", "product_id",
         F.when(hit, F.col("c_purchase_rate")).otherwise(F.col("purchase_rate")).alias("purchase_rate"),
         F.when(hit, F.col("c_selling_rate")).otherwise(F.col("selling_rate")).alias("selling_rate"),
@@ -96,7 +98,8 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
         F.when(hit, F.col("c_minimum_stock")).otherwise(F.col("minimum_stock")).alias("minimum_stock"),
         "override_max_discount", "created_at",
         F.when(hit, F.col("changed_at")).otherwise(F.col("updated_at")).alias("updated_at"))
-    new = j.filter(F.col("id").isNull()).select(
+    keys = inv.select(F.col("store_id").alias("c_store_id"), F.col("product_id").alias("c_product_id"))
+    new = c.join(keys, ["c_store_id", "c_product_id"], "left_anti").select(
         F.col("c_store_id").alias("store_id"), F.col("c_product_id").alias("product_id"),
         F.col("c_purchase_rate").alias("purchase_rate"), F.col("c_selling_rate").alias("selling_rate"),
         F.col("add_stock").cast("int").alias("available_stock"),
@@ -112,13 +115,17 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
 
 def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[str],
                updated_col: str | None = "updated_at",
-               unique: dict[str, bool] | None = None) -> Change:
+               unique: dict[str, bool] | None = None, clean: dict | None = None) -> Change:
     """Sparse update.  Only supplied fields change (``set_<f>`` tells
     "set to NULL" from "not supplied"); the latest supplied value per field
     wins.  Unknown keys and patches without fields are refused.  Fields in
     ``unique`` (name -> ignore case) are refused when the new value equals
-    another row's value.  ``patch``: key..., seq, patched_at, f..., set_f..."""
+    another row's value.  ``clean`` (name -> Column function) normalises a
+    supplied value first (e.g. trim a category name).
+    ``patch``: key..., seq, patched_at, f..., set_f..."""
     unique = unique or {}
+    for f, fn in (clean or {}).items():
+        patch = patch.withColumn(f, fn(F.col(f)))
     aggs = [F.max("patched_at").alias("_patched_at")]
     for f in fields:
         flag = F.coalesce(F.col(f"set_{f}"), F.lit(False))
@@ -168,6 +175,16 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[
     return Change(j.select(*cols), out_rejects)
 
 
+CATEGORY_FIELDS = ["category_name", "description", "status"]
+
+
+def patch_categories(cats: DataFrame, patch: DataFrame) -> Change:
+    """W2, category form: names are trimmed and must not equal another
+    category's name ignoring case."""
+    return patch_rows(cats, patch, ["id"], CATEGORY_FIELDS, unique={"category_name": True},
+                      clean={"category_name": F.trim})
+
+
 # --- W3 / W4 ------------------------------------------------------------------------
 
 def set_store_discount(stores: DataFrame, changes: DataFrame) -> Change:

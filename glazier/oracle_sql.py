@@ -783,3 +783,45 @@ SELECT CAST(user_id % (SELECT count(*) FROM supplier) AS INT) AS store_id, CAST(
        CAST(SUM(CAST(value AS DECIMAL(12,2))) AS DECIMAL(38,2)) AS revenue, CAST(count(*) AS BIGINT) AS sales
 FROM events WHERE event_type = 'purchase'
 GROUP BY 1, 2"""
+
+VIEWS["category_patches"] = f"""
+        SELECT {_CAT_ID} AS id, p_partkey AS seq, {_FEED_TIME} AS patched_at,
+               CASE WHEN p_partkey % 5 = 0 THEN concat(' ', upper(p_type[1]) || lower(p_type[2:]), ' ')
+                    WHEN p_partkey % 5 = 1 THEN 'promo' ELSE concat(p_type, ' glass') END AS category_name,
+               p_partkey % 5 <= 2 AS set_category_name,
+               CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name END AS description,
+               p_partkey % 3 = 0 AS set_description,
+               p_size > 25 AS status, p_partkey % 7 = 0 AS set_status
+        FROM part"""
+
+_CAT_FOLD = """
+  SELECT id, max(patched_at) AS patched_at,
+         max(CASE WHEN set_category_name AND seq = ms_n THEN trim(category_name) END) AS n_name,
+         bool_or(set_category_name) AS a_name,
+         max(CASE WHEN set_description AND seq = ms_d THEN description END) AS n_desc,
+         bool_or(set_description) AS a_desc,
+         max(CASE WHEN set_status AND seq = ms_s THEN status END) AS n_status, bool_or(set_status) AS a_status
+  FROM (SELECT *, max(CASE WHEN set_category_name THEN seq END) OVER (PARTITION BY id) AS ms_n,
+               max(CASE WHEN set_description THEN seq END) OVER (PARTITION BY id) AS ms_d,
+               max(CASE WHEN set_status THEN seq END) OVER (PARTITION BY id) AS ms_s
+        FROM category_patches) w
+  GROUP BY id"""
+
+_CAT_CLASH = f"""
+  SELECT f.id FROM ({_CAT_FOLD}) f
+  WHERE f.a_name AND EXISTS (SELECT 1 FROM glass_categories g
+                             WHERE lower(g.category_name) = lower(f.n_name) AND g.id <> f.id)"""
+
+SQL["patch_categories"] = with_views(f"""
+SELECT g.id,
+       CASE WHEN k.id IS NOT NULL AND k.a_name THEN k.n_name ELSE g.category_name END AS category_name,
+       CASE WHEN k.id IS NOT NULL AND k.a_desc THEN k.n_desc ELSE g.description END AS description,
+       CASE WHEN k.id IS NOT NULL AND k.a_status THEN k.n_status ELSE g.status END AS status,
+       g.created_at, CASE WHEN k.id IS NOT NULL THEN k.patched_at ELSE g.updated_at END AS updated_at
+FROM glass_categories g LEFT JOIN (
+    SELECT * FROM ({_CAT_FOLD}) f
+    WHERE (a_name OR a_desc OR a_status) AND id NOT IN ({_CAT_CLASH})) k ON g.id = k.id""",
+    "glass_categories", "category_patches")
+
+SQL["patch_categories_rejects"] = with_views(f"""
+SELECT id, 'duplicate_category_name' AS reason FROM ({_CAT_CLASH}) c""", "glass_categories", "category_patches")

@@ -302,3 +302,13 @@ from glazier.sources.tables import to_json_rows as _to_json  # noqa: E402
 
 # Rows-only: JSON text formatting (number and time rendering) differs between engines.
 register("invoice_history_json")(lambda s, d: _to_json(_L.invoice_history(_t(s, d)), ["invoice_id"]))
+
+
+@_w("patch_categories")
+def _q_patch_cats(t, f):
+    return _W.patch_categories(t.glass_categories, f["category_patches"]).table
+
+
+@_w("patch_categories_rejects")
+def _q_patch_cats_rej(t, f):
+    return _W.patch_categories(t.glass_categories, f["category_patches"]).rejects

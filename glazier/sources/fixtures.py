@@ -244,6 +244,16 @@ def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         pk.alias("seq"), F.when(pk % 3 == 0, _category_id(F.col("p_type"))).alias("category_id"),
         F.when(pk % 4 == 0, F.lower("p_type")).when(pk % 4 == 1, F.concat(F.lit(" "), "p_type", F.lit(" ")))
         .when(pk % 4 == 2, F.concat("p_type", F.lit("X"))).otherwise(F.col("p_type")).alias("category_name"))
+    ps = F.col("p_size")
+    feeds["category_patches"] = part.select(
+        _category_id(F.col("p_type")).alias("id"), pk.alias("seq"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("patched_at"),
+        F.when(pk % 5 == 0, F.concat(F.lit(" "), F.initcap("p_type"), F.lit(" ")))
+        .when(pk % 5 == 1, F.lit("promo")).otherwise(F.concat(F.col("p_type"), F.lit(" glass"))).alias("category_name"),
+        (pk % 5 <= 2).alias("set_category_name"),
+        F.when(pk % 4 == 0, F.lit(None)).otherwise(F.col("p_name")).alias("description"),
+        (pk % 3 == 0).alias("set_description"),
+        (ps > 25).alias("status"), (pk % 7 == 0).alias("set_status"))
     uid = F.col("id")
     feeds["user_reassignments"] = t.users.select(
         uid.cast("long").alias("seq"), F.when(uid % 13 == 0, uid + 1000).otherwise(uid).alias("user_id"),
