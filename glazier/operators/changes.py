@@ -185,6 +185,27 @@ def patch_categories(cats: DataFrame, patch: DataFrame) -> Change:
                       clean={"category_name": F.trim})
 
 
+CREDENTIAL_FIELDS = ["email", "username"]
+STORE_ADMIN_FIELDS = ["full_name", "username", "email", "status"]
+
+
+def patch_users(users: DataFrame, patch: DataFrame, fields: list[str] | None = None,
+                store_admins_only: bool = False) -> Change:
+    """W2, user forms: credential edits (email, username) or store-admin
+    edits (name, username, email, status; only rows whose role is
+    STORE_ADMIN, others refused).  A new email or username must not belong
+    to another user (exact case).  Passwords are not handled here."""
+    fields = fields or (STORE_ADMIN_FIELDS if store_admins_only else CREDENTIAL_FIELDS)
+    rejects = None
+    if store_admins_only:
+        others = users.filter(~role_is("role", "store")).select("id")
+        rejects = _reject(patch.join(others, "id", "left_semi").select("id").distinct(), ["id"], NOT_STORE_ADMIN)
+        patch = patch.join(others, "id", "left_anti")
+    res = patch_rows(users, patch, ["id"], fields,
+                     unique={f: False for f in ("email", "username") if f in fields})
+    return Change(res.table, res.rejects if rejects is None else rejects.unionByName(res.rejects))
+
+
 # --- W3 / W4 ------------------------------------------------------------------------
 
 def set_store_discount(stores: DataFrame, changes: DataFrame) -> Change:

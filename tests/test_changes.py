@@ -80,3 +80,22 @@ def test_delete_product_restricted_by_invoices(spark):
     assert [r.id for r in res.table.collect()] == [1]
     assert [r.product_id for r in res.extra["inventory"].collect()] == [1]
     assert {(r.id, r.reason) for r in res.rejects.collect()} == {(1, "product_invoiced"), (3, "not_found")}
+
+
+def test_patch_users_uniqueness_and_admin_guard(spark):
+    users = make(spark, "users", [
+        {"id": 1, "username": "ann", "email": "a@x", "role": "STORE_ADMIN"},
+        {"id": 2, "username": "bob", "email": "b@x", "role": "store_admin"},
+        {"id": 3, "username": "cy", "email": "c@x", "role": "MASTER_ADMIN"}])
+    patch = spark.createDataFrame(
+        [(1, 1, T0, "b@x", True, None, False, None, False, None, False),      # email taken by user 2
+         (2, 2, T0, None, False, "Ann", True, "Bob B", True, False, True),    # 'Ann' differs from 'ann' (exact case)
+         (3, 3, T0, "z@x", True, None, False, None, False, None, False)],     # not a store admin
+        "id int, seq long, patched_at timestamp_ntz, email string, set_email boolean, username string, "
+        "set_username boolean, full_name string, set_full_name boolean, status boolean, set_status boolean")
+    res = W.patch_users(users, patch, store_admins_only=True)
+    rows = {r.id: r for r in res.table.collect()}
+    assert rows[1].email == "a@x"
+    assert (rows[2].username, rows[2].full_name, rows[2].status) == ("Ann", "Bob B", False)
+    assert rows[3].email == "c@x"
+    assert {(r.id, r.reason) for r in res.rejects.collect()} == {(1, "duplicate_email"), (3, "not_store_admin")}
