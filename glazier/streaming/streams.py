@@ -33,12 +33,16 @@ EVENTS_SCHEMA = T.StructType([
 def daily_revenue(sales: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Revenue per store per day over a (streaming or batch) sales feed
     (ts, store_id, amount)."""
-    s = sales.withColumn("ts", F.col("ts").cast("timestamp"))
+    # Read the wall clock as UTC whatever the session zone, so the 1-day
+    # windows (aligned to UTC) are calendar days of the recorded times.
+    zone = sales.sparkSession.conf.get("spark.sql.session.timeZone")
+    s = sales.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
     if sales.isStreaming:
         s = s.withWatermark("ts", watermark)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return (s.groupBy(F.window("ts", "1 day").alias("w"), "store_id")
             .agg(F.sum("amount").cast("decimal(38,2)").alias("revenue"), F.count(F.lit(1)).alias("sales"))
-            .select("store_id", F.to_date(F.col("w.start")).alias("day"), "revenue", "sales"))
+            .select("store_id", day.alias("day"), "revenue", "sales"))
 
 
 def sales_stream(spark: SparkSession, directory: str, n_stores: int, glob: str = "events.parquet",
