@@ -175,6 +175,25 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[
     return Change(j.select(*cols), out_rejects)
 
 
+STORE_FIELDS = ["store_name", "store_location", "status"]
+
+
+def patch_inventory(inv: DataFrame, patch: DataFrame) -> Change:
+    """W2, stock form: rates, stock and minimum of (store, product) rows."""
+    return patch_rows(inv, patch, ["store_id", "product_id"], INVENTORY_FIELDS)
+
+
+def patch_products(products: DataFrame, patch: DataFrame) -> Change:
+    """W2, catalogue form: product columns only (stock rates sent with a
+    product edit are not applied, as in the reference)."""
+    return patch_rows(products, patch, ["id"], PRODUCT_FIELDS)
+
+
+def patch_stores(stores: DataFrame, patch: DataFrame) -> Change:
+    """W2, store form: name, location, status; stores keep no updated_at."""
+    return patch_rows(stores, patch, ["store_id"], STORE_FIELDS, updated_col=None)
+
+
 CATEGORY_FIELDS = ["category_name", "description", "status"]
 
 

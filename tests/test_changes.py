@@ -99,3 +99,14 @@ def test_patch_users_uniqueness_and_admin_guard(spark):
     assert (rows[2].username, rows[2].full_name, rows[2].status) == ("Ann", "Bob B", False)
     assert rows[3].email == "c@x"
     assert {(r.id, r.reason) for r in res.rejects.collect()} == {(1, "duplicate_email"), (3, "not_store_admin")}
+
+
+def test_patch_stores_keeps_no_updated_at(spark):
+    stores = make(spark, "stores", [{"store_id": 1, "store_name": "A", "store_location": "X", "status": True,
+                                     "created_at": T0}])
+    patch = spark.createDataFrame([(1, 1, T0, "B", True, None, False, False, True)],
+                                  "store_id int, seq long, patched_at timestamp_ntz, store_name string, "
+                                  "set_store_name boolean, store_location string, set_store_location boolean, "
+                                  "status boolean, set_status boolean")
+    r = W.patch_stores(stores, patch).table.first()
+    assert (r.store_name, r.store_location, r.status, r.created_at) == ("B", "X", False, T0)
