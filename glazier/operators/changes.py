@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from glazier.functions.rules import category_key, role_is
 from glazier.plans.ids import assign_dense_ids
+from glazier.plans.session import cut_lineage
 from glazier.sources.tables import Tables, conform
 
 # Reasons a change is refused.
@@ -65,6 +66,11 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
+def _absent(c: Column) -> Column:
+    """A required request field that is missing or empty (whitespace counts as given)."""
+    return c.isNull() | (c == "")
+
+
 # --- W1 -------------------------------------------------------------------------
 
 def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
@@ -426,33 +432,74 @@ def update_store_products(t: Tables, feed: DataFrame) -> Change:
 
 # --- W13 - W15: stores and users ---------------------------------------------------------------
 
-def _staged_unique(rows: DataFrame, checks: list[tuple[str, DataFrame, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Refuse rows whose value clashes, in the order of ``checks`` (column,
-    existing values, existing column, reason): first against existing rows,
-    then against an earlier (lower seq) surviving row of the batch."""
-    rejects = []
-    alive = rows
-    for col, existing, existing_col, reason in checks:
-        clash = alive.join(existing.select(F.col(existing_col).alias("_ev")), F.col(col) == F.col("_ev"),
-                           "left_semi")
-        alive = alive.join(clash.select("seq"), "seq", "left_anti")
-        first, later = _first_per(alive, F.col(col))
-        rejects += [_reject(clash, ["seq"], reason), _reject(later, ["seq"], reason)]
-        alive = first
-    out = rejects[0]
-    for r in rejects[1:]:
-        out = out.unionByName(r)
-    return alive, out
+def _sequential_unique(rows: DataFrame, checks: list[tuple[str, DataFrame, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Refuse rows whose values are taken, exactly as one-at-a-time
+    processing in ``seq`` order would: a value is taken by an existing row
+    or by an *accepted* earlier row of the batch.  ``checks`` = [(column,
+    existing rows, existing column, reason)] in the endpoint's order.
+
+    Rows clashing with existing rows are refused and block nobody.  The rest
+    are peeled in rounds: a row that is the earliest undecided holder of
+    each of its values is accepted; undecided rows sharing a value with it
+    are refused.  Every round decides at least the earliest row, and the
+    lineage is cut each round.  A refused row's reason is its first check
+    whose value is taken (existing, or accepted with a lower seq)."""
+    cols = [c for c, _, _, _ in checks]
+    taken_existing = [existing.select(F.col(ecol).alias("_v")).distinct() for _, existing, ecol, _ in checks]
+    doomed = None
+    for (col, _, _, _), ex in zip(checks, taken_existing):
+        hit = rows.join(ex, F.col(col) == F.col("_v"), "left_semi").select("seq")
+        doomed = hit if doomed is None else doomed.unionByName(hit)
+    doomed = doomed.distinct()
+    undecided = cut_lineage(rows.join(doomed, "seq", "left_anti"))
+    accepted = None
+    while undecided.limit(1).count() > 0:
+        free = undecided
+        for col in cols:
+            first = undecided.groupBy(F.col(col).alias("_v")).agg(F.min("seq").alias("_s"))
+            free = free.join(first, (F.col(col) == F.col("_v")) & (F.col("seq") == F.col("_s")), "left_semi")
+        free = cut_lineage(free)
+        accepted = free if accepted is None else cut_lineage(accepted.unionByName(free))
+        rest = undecided.join(free.select("seq"), "seq", "left_anti")
+        blocked = None
+        for col in cols:
+            hit = rest.join(free.select(F.col(col).alias("_v")), F.col(col) == F.col("_v"), "left_semi").select("seq")
+            blocked = hit if blocked is None else blocked.unionByName(hit)
+        undecided = cut_lineage(rest.join(blocked.distinct(), "seq", "left_anti"))
+    if accepted is None:
+        accepted = rows.limit(0)
+    refused = rows.join(accepted.select("seq"), "seq", "left_anti")
+    # reason: first check whose value is taken by an existing row or an earlier accepted row
+    out = refused.select("seq", *cols)
+    flags = []
+    for k, ((col, _, _, why), ex) in enumerate(zip(checks, taken_existing)):
+        acc = accepted.select(F.col(col).alias(f"_a{k}"), F.col("seq").alias(f"_as{k}"))
+        ex_hit = out.join(ex, F.col(col) == F.col("_v"), "left_semi").select("seq").withColumn(f"_e{k}", F.lit(True))
+        acc_hit = (out.join(acc, (F.col(col) == F.col(f"_a{k}")) & (F.col(f"_as{k}") < F.col("seq")), "left_semi")
+                   .select("seq").withColumn(f"_e{k}", F.lit(True)))
+        flag = ex_hit.unionByName(acc_hit).distinct()
+        out = out.join(flag, "seq", "left")
+        flags.append((f"_e{k}", why))
+    reason = None
+    for name, why in reversed(flags):
+        reason = F.when(F.col(name).isNotNull(), F.lit(why)) if reason is None else \
+            F.when(F.col(name).isNotNull(), F.lit(why)).otherwise(reason)
+    rejects = out.select("seq", reason.alias("reason"))
+    return rows.join(accepted.select("seq"), "seq", "left_semi"), rejects
 
 
 def create_stores_with_admins(t: Tables, feed: DataFrame) -> Change:
     """Each request creates a store and its admin together or neither.
     Refused, in this order: store email taken, admin email taken, admin
-    username taken (exact case).  Within the batch, a value is taken by the
-    lowest-seq row still standing after the earlier checks.  The admin's
-    role is STORE_ADMIN.  ``feed``: seq, store_email, store_name,
-    store_location, full_name, username, email, created_at."""
-    alive, rejects = _staged_unique(feed, [
+    username taken (exact case), by an existing row or by an earlier
+    accepted request of the batch (``_sequential_unique``).  The admin's
+    role is STORE_ADMIN.  Requests missing a store or admin field are
+    refused first.  ``feed``: seq, store_email, store_name, store_location,
+    full_name, username, email, created_at."""
+    required = ["store_email", "store_name", "store_location", "full_name", "username", "email"]
+    missing = feed.filter(F.greatest(*[_absent(F.col(c)) for c in required]))
+    feed = feed.join(missing.select("seq"), "seq", "left_anti")
+    alive, rejects = _sequential_unique(feed, [
         ("store_email", t.stores, "store_email", DUP_STORE_EMAIL),
         ("email", t.users, "email", DUP_EMAIL),
         ("username", t.users, "username", DUP_USERNAME)])
@@ -465,22 +512,23 @@ def create_stores_with_admins(t: Tables, feed: DataFrame) -> Change:
                                  ["seq"], _max_id(t.users))
     user_rows = conform(users_new.withColumn("role", F.lit("STORE_ADMIN")).withColumn("status", F.lit(True))
                         .withColumn("updated_at", F.col("created_at")), "users")
+    rejects = _reject(missing, ["seq"], MISSING_FIELDS).unionByName(rejects)
     return Change(t.stores.unionByName(store_rows), rejects,
                   {"users": t.users.unionByName(user_rows), "new_stores": store_rows, "new_users": user_rows})
 
 
 def insert_users(users: DataFrame, feed: DataFrame) -> Change:
     """Register users.  full_name, username, email and role are
-    required; the role, upper-cased, must be MASTER_ADMIN or STORE_ADMIN;
-    email then username must be unused (existing rows, then earlier rows of
-    the batch).  A ``store_id`` is kept (store-admin form).
+    required (missing or empty); the role, upper-cased, must be MASTER_ADMIN or STORE_ADMIN;
+    email then username must be unused by existing rows and by earlier
+    accepted requests of the batch (``_sequential_unique``).  A ``store_id`` is kept (store-admin form).
     ``feed``: seq, full_name, username, email, role, store_id, created_at."""
-    missing = feed.filter(_blank(F.col("full_name")) | _blank(F.col("username")) | _blank(F.col("email"))
-                          | _blank(F.col("role")))
+    missing = feed.filter(_absent(F.col("full_name")) | _absent(F.col("username")) | _absent(F.col("email"))
+                          | _absent(F.col("role")))
     rest = feed.join(missing.select("seq"), "seq", "left_anti")
     bad_role = rest.filter(~F.upper("role").isin(*ROLES))
     rest = rest.join(bad_role.select("seq"), "seq", "left_anti")
-    alive, dup = _staged_unique(rest, [("email", users, "email", DUP_EMAIL),
+    alive, dup = _sequential_unique(rest, [("email", users, "email", DUP_EMAIL),
                                        ("username", users, "username", DUP_USERNAME)])
     rows = assign_dense_ids(alive.withColumn("role", F.upper("role")), ["seq"], _max_id(users))
     rows = conform(rows.withColumn("status", F.lit(True)).withColumn("updated_at", F.col("created_at")), "users")

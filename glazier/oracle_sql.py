@@ -680,19 +680,9 @@ LEFT JOIN (SELECT lower(category_name) AS ck, min(id) AS cid FROM glass_categori
   ON f.category_id IS NULL AND lower(trim(f.category_name)) = b.ck
 WHERE COALESCE(f.category_id, b.cid) IS NOT NULL""", "glass_categories", "category_requests")
 
-SQL["insert_users"] = with_views("""
-, rest AS (SELECT * FROM user_inserts
-           WHERE NOT (full_name IS NULL OR trim(full_name) = '' OR username IS NULL OR trim(username) = ''
-                      OR email IS NULL OR trim(email) = '' OR role IS NULL OR trim(role) = '')
-             AND upper(role) IN ('MASTER_ADMIN', 'STORE_ADMIN')),
-f1 AS (SELECT * EXCLUDE (m) FROM (SELECT *, min(seq) OVER (PARTITION BY email) AS m FROM rest
-                                  WHERE email NOT IN (SELECT email FROM users WHERE email IS NOT NULL)) WHERE seq = m),
-f2 AS (SELECT * EXCLUDE (m) FROM (SELECT *, min(seq) OVER (PARTITION BY username) AS m FROM f1
-                                  WHERE username NOT IN (SELECT username FROM users WHERE username IS NOT NULL))
-       WHERE seq = m)
-SELECT CAST((SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS INT) AS id, store_id, full_name,
-       username, email, upper(role) AS role, true AS status, created_at, created_at AS updated_at
-FROM f2""", "users", "user_inserts")
+# insert_users (W14) has no SQL oracle: a request's acceptance depends on
+# which earlier requests were accepted (an ordered fixpoint); it is checked
+# against a one-at-a-time Python model in tests/test_changes.py.
 
 SQL["reassign_admins"] = with_views("""
 SELECT u.id, CASE WHEN a.user_id IS NOT NULL THEN CAST(a.sid AS INT) ELSE u.store_id END AS store_id,

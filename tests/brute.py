@@ -40,3 +40,24 @@ def post_bills_loop(lines: pd.DataFrame) -> dict:
                 stock[(r.store_id, r.product_id)] -= int(r.quantity)
             decisions[bill_id] = ("accepted", None, None)
     return {"decisions": decisions, "stock": stock}
+
+
+def register_users_loop(existing: list[dict], requests: list[dict]) -> dict:
+    """One-at-a-time model of user registration: seq -> reason or 'accepted'."""
+    emails = {u["email"] for u in existing}
+    names = {u["username"] for u in existing}
+    out = {}
+    for r in sorted(requests, key=lambda r: r["seq"]):
+        if any(not r[f] for f in ("full_name", "username", "email", "role")):
+            out[r["seq"]] = "missing_fields"
+        elif r["role"].upper() not in ("MASTER_ADMIN", "STORE_ADMIN"):
+            out[r["seq"]] = "invalid_role"
+        elif r["email"] in emails:
+            out[r["seq"]] = "duplicate_email"
+        elif r["username"] in names:
+            out[r["seq"]] = "duplicate_username"
+        else:
+            out[r["seq"]] = "accepted"
+            emails.add(r["email"])
+            names.add(r["username"])
+    return out

@@ -110,3 +110,36 @@ def test_patch_stores_keeps_no_updated_at(spark):
                                   "status boolean, set_status boolean")
     r = W.patch_stores(stores, patch).table.first()
     assert (r.store_name, r.store_location, r.status, r.created_at) == ("B", "X", False, T0)
+
+
+def test_store_signup_all_or_nothing(spark):
+    t = tables(spark, stores=[{"store_id": 5, "store_email": "s@x"}],
+               users=[{"id": 9, "username": "taken", "email": "u@x", "role": "STORE_ADMIN"}])
+    feed = spark.createDataFrame(
+        [(1, "s@x", "A", "L", "F", "new1", "n1@x", T0),      # store email exists
+         (2, "t@x", "B", "L", "F", "taken", "n2@x", T0),     # username exists: no store either
+         (3, "t@x", "C", "L", "F", "new3", "n3@x", T0),      # store email free again (row 2 refused)
+         (4, "v@x", "", "L", "F", "new4", "n4@x", T0),       # empty store name
+         (5, "w@x", "D", "L", "F", "new5", "n3@x", T0)],     # admin email used by row 3
+        "seq long, store_email string, store_name string, store_location string, full_name string, "
+        "username string, email string, created_at timestamp_ntz")
+    res = W.create_stores_with_admins(t, feed)
+    assert [(r.store_id, r.store_email) for r in res.extra["new_stores"].collect()] == [(6, "t@x")]
+    assert [(r.id, r.store_id, r.role) for r in res.extra["new_users"].collect()] == [(10, 6, "STORE_ADMIN")]
+    assert {(r.seq, r.reason) for r in res.rejects.collect()} == {
+        (1, "duplicate_store_email"), (2, "duplicate_username"), (4, "missing_fields"), (5, "duplicate_email")}
+
+
+def test_insert_users_matches_one_at_a_time_model(spark):
+    from brute import register_users_loop
+    from glazier.sources.fixtures import change_feeds, retail_tables
+    sf = "/root/testdata/sf0.01"
+    users = retail_tables(spark, sf).users
+    feed = change_feeds(spark, sf)["user_inserts"]
+    res = W.insert_users(users, feed)
+    got = {r.seq: r.reason for r in res.rejects.collect()}
+    got.update({r.seq: "accepted" for r in feed.join(res.extra["new_users"].select(
+        "username", "email"), ["username", "email"], "left_semi").collect()})
+    model = register_users_loop([r.asDict() for r in users.collect()], [r.asDict() for r in feed.collect()])
+    assert got == model
+    assert sum(v == "accepted" for v in model.values()) > 0 and len(set(model.values())) >= 3
