@@ -82,11 +82,18 @@ def current_tiles(spark: SparkSession, out_dir: str) -> DataFrame:
 # --- T1 ------------------------------------------------------------------------------
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a *committed* write (its ``_SUCCESS`` marker,
+    which the file committer writes last)."""
     try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except AnalysisException:
-        return False
+        jvm = spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+        return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
+    except Exception:  # no JVM gateway (e.g. a remote client): probe by reading
+        try:
+            spark.read.parquet(path).limit(0).collect()
+            return True
+        except AnalysisException:
+            return False
 
 
 def post_bills_batch(t: Tables, out_dir: str):
