@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from glazier.llm.fingerprints import op7_imatch_fingerprints
+from glazier.llm.html_extraction import op5_tag_path_ratios
+from glazier.llm.packing import op9_ffd_packing
 from glazier.llm.sharding import op8_jump_sharding
+from glazier.llm.toxicity import op6_toxic_lexicon
 
 QUERIES = {
+    "op5_tag_path_ratios": op5_tag_path_ratios,
+    "op6_toxic_lexicon": op6_toxic_lexicon,
+    "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op8_jump_sharding": op8_jump_sharding,
+    "op9_ffd_packing": op9_ffd_packing,
 }
 
 ORACLE: dict[str, str] = {}
