@@ -3,10 +3,11 @@
 * Lexicon: terms whose inverse document frequency over the whole corpus lies in a chosen band.
   With a band up to ``max_idf`` a term occurs in at least exp(-max_idf) of all documents, so the
   lexicon holds at most (terms per document) x exp(max_idf) terms whatever the corpus size.
-* Subsets: a term's hash puts it into randomised subsets of falling rates (``RATES``, ``CLASSES``
-  each), so that short and long documents both have subsets with a few terms.
+* Subsets: bits of a term's hash put it into randomised subsets of falling rates (1 / 2^bits for
+  the ``RATES``, ``CLASSES`` subsets each), so that short and long documents both have subsets with a few terms.
 * Fingerprint: for every subset, the document's distinct terms there are sorted and hashed; a
-  subset without terms leaves an empty field.  Fields are joined by dots.
+  subset without terms leaves an empty field, and so do the subsets of rates too dense for the
+  text, which any edit would change.  Fields are joined by dots.
 * Likeness of two fingerprints: equal fields over fields filled in either, 0 if none is.
 
 Everything is DataFrame expressions.  The lexicon reaches the documents as a constant array
@@ -35,6 +36,7 @@ from glazier.llm.common import read_table, tasks, text_or_empty
 RATES = (3, 5, 7, 9, 11)
 CLASSES = 8
 CELL_BITS = 14
+FULL = 8  # subsets of a rate that takes more terms of a text than this on average are left out
 _FIRST_BIT = {bits: sum(RATES[:i]) for i, bits in enumerate(RATES)}
 _CELL_AT = sum(RATES)
 MIN_IDF, MAX_IDF = math.log(2), math.log(1000)
@@ -44,26 +46,14 @@ def _bits(h: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _in_subset(h: Column, bits: int, chosen: int) -> Column:
-    return _bits(h, _FIRST_BIT[bits], bits) == F.lit(chosen)
-
-
 def term_hashes(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of a text's lower-cased words, those of any subset only."""
+    """Distinct 64-bit hashes of a text's lower-cased words."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
-    hashes = F.transform(F.filter(words, lambda w: w != F.lit("")), lambda w: F.xxhash64(w))
-
-    def used(h: Column) -> Column:
-        test = F.lit(False)
-        for bits in RATES:
-            test = test | (_bits(h, _FIRST_BIT[bits], bits) < F.lit(CLASSES))
-        return test
-
-    return F.array_sort(F.filter(hashes, used))
+    return F.transform(F.filter(words, lambda w: w != F.lit("")), lambda w: F.xxhash64(w))
 
 
 def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> DataFrame:
-    """Terms (as hashes) of the subsets with min_idf <= ln(documents / document frequency) <= max_idf,
+    """Terms (as hashes) with min_idf <= ln(documents / document frequency) <= max_idf,
     in at least two documents."""
     total = docs.select(F.count(F.lit(1)).alias("_docs"))
     found = (docs.select(F.explode(term_hashes(text_or_empty())).alias("term"))
@@ -87,13 +77,23 @@ def fingerprint(text: Column, cells: Column) -> Column:
         return F.array_contains(F.element_at(cells, (_bits(h, _CELL_AT, CELL_BITS) + 1).cast("int")), h)
 
     def field(terms: Column, bits: int, chosen: int) -> Column:
-        held = F.filter(terms, lambda h: _in_subset(h, bits, chosen))
+        held = F.filter(terms, lambda h: _bits(h, _FIRST_BIT[bits], bits) == F.lit(chosen))
         return F.when(F.size(held) == 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(
             F.xxhash64(held).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
 
-    fields = F.transform(F.array(F.filter(term_hashes(text), known)), lambda terms: F.concat_ws(
-        ".", *[field(terms, bits, chosen) for bits in RATES for chosen in range(CLASSES)]))
-    return F.element_at(fields, 1)
+    def fields(terms: Column, bits: int) -> Column:
+        held = terms if 1 << bits <= CLASSES else F.filter(
+            terms, lambda h: _bits(h, _FIRST_BIT[bits], bits) < F.lit(CLASSES))
+        filled = _bound(held, lambda t: F.concat_ws(".", *[field(t, bits, chosen) for chosen in range(CLASSES)]))
+        return F.when(F.size(terms) > (FULL << bits), F.lit("." * (CLASSES - 1))).otherwise(filled)
+
+    terms = F.sort_array(F.filter(term_hashes(text), known))
+    return _bound(terms, lambda t: F.concat_ws(".", *[fields(t, bits) for bits in RATES]))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def fingerprint_texts(docs: DataFrame, cells: Column, text: str = "text", name: str = "fingerprint") -> DataFrame:
