@@ -40,7 +40,8 @@ def area(length, width, dimension_unit, unit) -> Column:
     Sides in "feet"/"ft" are used as they are, "inch"/"in" are divided by 12,
     anything else (NULL too) counts as millimetres.  The area is in square
     metres when the unit is "sq.m", "sqm" or mentions "meter", else in square
-    feet.  A missing side gives 0, like a failed number parse.
+    feet.  A missing side gives 0, like a failed number parse; an area beyond
+    the column's range is NULL.
     """
     l = _c(length).cast("double")
     w = _c(width).cast("double")
@@ -53,7 +54,7 @@ def area(length, width, dimension_unit, unit) -> Column:
     is_sqm = (o_unit == "sq.m") | (o_unit == "sqm") | o_unit.contains("meter")
     value = F.when(is_sqm, sq_ft * F.lit(SQFT_TO_SQM)).otherwise(sq_ft)
     return F.when(l.isNull() | w.isNull() | F.isnan(l) | F.isnan(w), F.lit(0.0)) \
-        .otherwise(F.round(value, 4)).cast("decimal(14,4)")
+        .otherwise(F.round(value, 4)).try_cast("decimal(14,4)")
 
 
 def stock_status(available, minimum) -> Column:
@@ -77,12 +78,13 @@ def line_price(rate, line_area, quantity, discount, charged_rate=None) -> dict[s
 
     base = rate x area x qty, discount = base x pct / 100, final = base - discount.
     A given charged_rate replaces the whole line: base = final = charged_rate
-    (a line total, not per unit) and discount = 0.
+    (a line total, not per unit) and discount = 0.  An amount beyond the
+    widths below is NULL: its line is refused (B3), the batch goes on.
     """
     # Widths are pinned at each step so no product passes 38 digits (where
     # Spark would silently drop scale): base (24,6), discount (34,10).
-    base = ((_c(rate) * _c(line_area)).cast("decimal(20,6)")
-            * _c(quantity).cast("decimal(10,0)")).cast("decimal(24,6)")
+    base = ((_c(rate) * _c(line_area)).try_cast("decimal(20,6)")
+            * _c(quantity).cast("decimal(10,0)")).try_cast("decimal(24,6)")
     disc_amt = (base * _c(discount).cast("decimal(5,2)")) * F.lit(0.01).cast("decimal(3,2)")
     final = base - disc_amt
     if charged_rate is None:
@@ -101,9 +103,9 @@ def line_dimensions(item_height, item_length, item_width, item_area,
     length = F.coalesce(_c(item_height), _c(item_length), _c(product_length)).cast("decimal(10,2)")
     width = F.coalesce(_c(item_width), _c(product_width)).cast("decimal(10,2)")
     b_len, b_wid = billing_dimension(length), billing_dimension(width)
-    line_area = F.coalesce(_c(item_area).cast("decimal(14,4)"), area(b_len, b_wid, dimension_unit, unit))
+    line_area = F.coalesce(_c(item_area).try_cast("decimal(14,4)"), area(b_len, b_wid, dimension_unit, unit))
     return {"length": length, "width": width, "billing_length": b_len,
-            "billing_width": b_wid, "area": line_area.cast("decimal(14,4)")}
+            "billing_width": b_wid, "area": line_area.try_cast("decimal(14,4)")}
 
 
 def role_is(role, kind: str) -> Column:

@@ -39,6 +39,7 @@ R_INVALID_AREA = "invalid_area"
 R_NOT_FOUND = "not_found"
 R_STOCK = "insufficient_stock"
 R_DISCOUNT = "discount_limit_exceeded"
+R_AMOUNT = "amount_out_of_range"
 ACCEPTED, REJECTED = "accepted", "rejected"
 
 BILL_ORDER = ("created_at", "bill_id")
@@ -112,7 +113,14 @@ def price_bill_lines(lines: DataFrame) -> DataFrame:
     amounts = line_price("selling_rate", "line_area", "quantity", "applied_discount", "charged_rate")
     for name, col in amounts.items():
         out = out.withColumn(name, col)
-    return out.withColumn("total_price", F.col("final_total").cast("decimal(12,2)"))
+    # A line whose amounts pass the columns' range is refused with its bill;
+    # the other bills go on.
+    out = out.withColumn("total_price", F.col("final_total").try_cast("decimal(12,2)"))
+    fits = (F.col("total_price").isNotNull() & F.col("base_total").try_cast("decimal(12,2)").isNotNull()
+            & F.col("line_area").try_cast("decimal(10,4)").isNotNull())
+    priced = F.col("selling_rate").isNotNull() | F.col("charged_rate").isNotNull()
+    return out.withColumn("static_reason", F.when(F.col("static_reason").isNull() & priced & ~fits, F.lit(R_AMOUNT))
+                          .otherwise(F.col("static_reason")))
 
 
 def prepare_bill_lines(reqs: DataFrame, t: Tables) -> DataFrame:
@@ -121,21 +129,22 @@ def prepare_bill_lines(reqs: DataFrame, t: Tables) -> DataFrame:
 
 
 def build_invoices(lines: DataFrame) -> DataFrame:
-    """One header per bill: sub_total = sum of line bases, grand_total =
-    sum of line finals, each rounded once to cents."""
-    return conform(lines.groupBy("bill_id", "store_id", "created_at").agg(
-        F.sum("base_total").cast("decimal(12,2)").alias("sub_total"),
-        F.sum("final_total").cast("decimal(12,2)").alias("grand_total"))
+    """One header per bill with its cashier and customer: sub_total = sum
+    of line bases, grand_total = sum of line finals, each rounded once to
+    cents."""
+    return conform(lines.groupBy("bill_id", "store_id", "created_at", "billed_by", "customer_name", "customer_phone").agg(
+        F.sum("base_total").try_cast("decimal(12,2)").alias("sub_total"),
+        F.sum("final_total").try_cast("decimal(12,2)").alias("grand_total"))
         .withColumnRenamed("bill_id", "invoice_id"), "invoices")
 
 
 def build_invoice_items(lines: DataFrame) -> DataFrame:
-    """The stored item columns (original, not bracketed, sides)."""
+    """The stored item columns (original, not bracketed, sides) in request order."""
     return conform(lines.select(
         F.col("bill_id").alias("invoice_id"), "product_id", "quantity",
         F.col("selling_rate").alias("unit_price"), F.col("applied_discount").alias("discount_percent"),
         "total_price", F.col("line_length").alias("length"), F.col("line_width").alias("width"),
-        "charged_dimension", F.col("line_area").alias("area"), "charged_rate"), "invoice_items")
+        "charged_dimension", F.col("line_area").alias("area"), "charged_rate", "line_no"), "invoice_items")
 
 
 def apply_stock(inventory: DataFrame, lines: DataFrame) -> DataFrame:
@@ -156,14 +165,14 @@ def apply_stock(inventory: DataFrame, lines: DataFrame) -> DataFrame:
 
 def bill_receipts(invoices: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """The receipt returned for a posted bill; the line field
-    ``charged_rate`` there carries the line's *total*."""
+    ``charged_rate`` there carries the line's *total*.  Lines are in request order."""
     p = products.select(F.col("id").alias("p_id"), "product_name", "category_id", "thickness", "color", "unit")
     line = F.struct(
         F.col("product_id").alias("productId"), F.col("product_name").alias("productName"),
         F.coalesce(F.col("category_id").cast("string"), F.lit("N/A")).alias("category"),
         "thickness", "length", "width", "charged_dimension", "color", "area", "unit", "quantity",
         F.col("total_price").alias("charged_rate"))
-    keys = [F.col("product_id"), F.col("quantity"), F.col("total_price"), F.col("length"), F.col("width"),
+    keys = [F.col("line_no"), F.col("product_id"), F.col("quantity"), F.col("total_price"), F.col("length"), F.col("width"),
             F.col("area"), F.col("charged_dimension")]
     key_fields = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     per_invoice = (items.join(p, items.product_id == p.p_id)
@@ -321,7 +330,7 @@ def fold_groups(fold_lines: DataFrame, hot_share: float = 0.05, max_rounds: int
 POSTING_COLUMNS = ("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity", "start_stock", "found",
                    "invalid_reason", "static_reason", "selling_rate", "applied_discount", "total_price",
                    "line_length", "line_width", "charged_dimension", "line_area", "charged_rate", "base_total",
-                   "final_total")
+                   "final_total", "billed_by", "customer_name", "customer_phone")
 
 
 @dataclass(frozen=True)
@@ -357,6 +366,12 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
     at_line = lambda col, reason: F.max(F.when(F.col("line_no") == F.col(col), F.col(reason))).over(w)
     lines = (lines.withColumn("bill_invalid_reason", at_line("invalid_line", "invalid_reason"))
              .withColumn("bill_static_reason", at_line("static_line", "static_reason")))
+    # A bill whose sum passes the header's range fails once its lines have passed.
+    too_large = (F.count("base_total").over(w) > 0) & F.sum("base_total").over(w).try_cast("decimal(12,2)").isNull()
+    fails_late = too_large & F.col("static_line").isNull() & F.col("invalid_line").isNull()
+    lines = lines.withColumns({
+        "static_line": F.when(fails_late, F.max("line_no").over(w)).otherwise(F.col("static_line")),
+        "bill_static_reason": F.when(fails_late, F.lit(R_AMOUNT)).otherwise(F.col("bill_static_reason"))})
     if checkpoint:
         lines = cut_lineage(lines)
 

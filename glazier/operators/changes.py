@@ -73,19 +73,30 @@ def _absent(c: Column) -> Column:
 
 # --- W1 -------------------------------------------------------------------------
 
-def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
+def upsert_inventory(inv: DataFrame, changes: DataFrame, stores: DataFrame | None = None,
+                     products: DataFrame | None = None) -> Change:
     """Assign a product to a store, or restock it.
 
     New key -> a new stock row; existing key -> rates and minimum are
     *replaced*, stock is *added*.  Missing numbers count as 0; the discount
-    override is left alone.  ``changes``: seq, store_id, product_id,
-    purchase_rate, selling_rate, available_stock, minimum_stock, changed_at."""
+    override is left alone.  A missing store_id or product_id is refused,
+    and so is a store or product that ``stores`` / ``products`` (when given)
+    do not hold.  ``changes``: seq, store_id, product_id, purchase_rate,
+    selling_rate, available_stock, minimum_stock, changed_at."""
+    whole = F.col("store_id").isNotNull() & F.col("product_id").isNotNull()
+    rejects = _reject(changes.filter(~whole), ["seq"], MISSING_FIELDS)
+    changes = changes.filter(whole)
+    for parent, key, column in ((stores, "store_id", "store_id"), (products, "id", "product_id")):
+        if parent is not None:
+            known = parent.select(F.col(key).alias(column)).distinct()
+            rejects = rejects.unionByName(_reject(changes.join(known, column, "left_anti"), ["seq"], NOT_FOUND))
+            changes = changes.join(known, column, "left_semi")
     vals = ["purchase_rate", "selling_rate", "minimum_stock"]
     order = F.struct("seq", *vals, "available_stock")
     folded = changes.groupBy("store_id", "product_id").agg(
         F.sum(F.coalesce("available_stock", F.lit(0))).alias("add_stock"),
         F.max_by(F.struct(*vals), order).alias("last"),
-        F.max("changed_at").alias("changed_at"))
+        F.max_by("changed_at", F.struct("seq", "changed_at")).alias("changed_at"))
     c = folded.select(F.col("store_id").alias("c_store_id"), F.col("product_id").alias("c_product_id"),
                       "add_stock", "changed_at",
                       F.coalesce("last.purchase_rate", F.lit(0)).cast("decimal(12,2)").alias("c_purchase_rate"),
@@ -113,8 +124,7 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame) -> Change:
         F.col("changed_at").alias("created_at"), F.col("changed_at").alias("updated_at"))
     new = assign_dense_ids(new, ["store_id", "product_id"], _max_id(inv))
     table = conform(existing, "inventory").unionByName(conform(new, "inventory"))
-    empty = changes.select("store_id", "product_id", F.lit(None).cast("string").alias("reason")).limit(0)
-    return Change(table, empty)
+    return Change(table, rejects.distinct())
 
 
 # --- W2 -------------------------------------------------------------------------
@@ -259,7 +269,8 @@ def set_discount_override(inv: DataFrame, changes: DataFrame) -> Change:
     bad = parsed.filter(raw.isNotNull() & F.col("_v").isNull())
     ok = parsed.filter(raw.isNull() | F.col("_v").isNotNull())
     last = ok.groupBy(F.col("store_id").alias("c_store_id"), F.col("product_id").alias("c_product_id")).agg(
-        F.max_by(F.col("_v"), F.struct("seq", "_v")).alias("_new"), F.max("changed_at").alias("_at"))
+        F.max_by(F.col("_v"), F.struct("seq", "_v")).alias("_new"),
+        F.max_by("changed_at", F.struct("seq", "changed_at")).alias("_at"))
     j = inv.join(last, (inv.store_id == last.c_store_id) & (inv.product_id == last.c_product_id), "left")
     hit = F.col("c_store_id").isNotNull()
     cols = []
@@ -288,8 +299,8 @@ def delete_products(t: Tables, ids: DataFrame) -> Change:
     any invoice item is refused (RESTRICT); unknown ids are refused."""
     k = ids.select(F.col(ids.columns[0]).cast("int").alias("id")).distinct()
     unknown = k.join(t.products.select("id"), "id", "left_anti")
-    sold = t.invoice_items.select(F.col("product_id").alias("id"))
     known = k.join(t.products.select("id"), "id", "left_semi")
+    sold = (t.invoice_items.select(F.col("product_id").alias("id")).join(known, "id", "left_semi").distinct())
     invoiced = known.join(sold, "id", "left_semi")
     gone = known.join(invoiced, "id", "left_anti")
     products = t.products.join(gone, "id", "left_anti")
@@ -304,7 +315,8 @@ def delete_categories(t: Tables, ids: DataFrame) -> Change:
     cats = t.glass_categories
     unknown = k.join(cats.select("id"), "id", "left_anti")
     known = k.join(cats.select("id"), "id", "left_semi")
-    used = known.join(t.products.select(F.col("category_id").alias("id")), "id", "left_semi")
+    in_use = t.products.select(F.col("category_id").alias("id")).join(known, "id", "left_semi").distinct()
+    used = known.join(in_use, "id", "left_semi")
     gone = known.join(used, "id", "left_anti")
     return Change(cats.join(gone, "id", "left_anti"),
                   _reject(unknown, ["id"], NOT_FOUND).unionByName(_reject(used, ["id"], IN_USE)))
@@ -384,7 +396,7 @@ def insert_products(t: Tables, feed: DataFrame) -> Change:
     store through W1.  ``feed``: seq, product_name, color, thickness,
     category_id, category_name, product_image, store_id, purchase_rate,
     selling_rate, available_stock, minimum_stock, created_at."""
-    missing = feed.filter(_blank(F.col("product_name")) | _blank(F.col("color")) | _blank(F.col("thickness")))
+    missing = feed.filter(_absent(F.col("product_name")) | _absent(F.col("color")) | _absent(F.col("thickness")))
     complete = feed.join(missing.select("seq"), "seq", "left_anti")
     res = resolve_category(complete, t.glass_categories)
     rows = res.table.select(
@@ -398,8 +410,9 @@ def insert_products(t: Tables, feed: DataFrame) -> Change:
     stocked = rows.filter(F.col("store_id").isNotNull()).select(
         "seq", "store_id", F.col("id").cast("int").alias("product_id"), "purchase_rate", "selling_rate",
         "available_stock", "minimum_stock", F.col("created_at").alias("changed_at"))
-    inventory = upsert_inventory(t.inventory, stocked).table
-    rejects = _reject(missing, ["seq"], MISSING_FIELDS).unionByName(res.rejects)
+    stocking = upsert_inventory(t.inventory, stocked, stores=t.stores)
+    inventory = stocking.table
+    rejects = _reject(missing, ["seq"], MISSING_FIELDS).unionByName(res.rejects).unionByName(stocking.rejects)
     return Change(products, rejects, {"inventory": inventory, "new_products": conform(rows, "products")})
 
 
@@ -539,11 +552,14 @@ def insert_users(users: DataFrame, feed: DataFrame) -> Change:
 
 def reassign_admins(users: DataFrame, changes: DataFrame) -> Change:
     """Move store admins to another store (no check that the store
-    exists); the latest change per user wins.  Users that are not store
-    admins are refused, unknown users too.  ``changes``: seq, user_id,
-    store_id, changed_at."""
+    exists); the latest change per user wins.  A change without a user or a
+    store is refused; users that are not store admins are refused, unknown
+    users too.  ``changes``: seq, user_id, store_id, changed_at."""
+    partial = changes.filter(F.col("user_id").isNull() | F.col("store_id").isNull())
+    changes = changes.filter(F.col("user_id").isNotNull() & F.col("store_id").isNotNull())
     last = changes.groupBy(F.col("user_id").alias("_uid")).agg(
-        F.max_by(F.col("store_id"), F.struct("seq", "store_id")).alias("_sid"), F.max("changed_at").alias("_at"))
+        F.max_by(F.col("store_id"), F.struct("seq", "store_id")).alias("_sid"),
+        F.max_by("changed_at", F.struct("seq", "changed_at")).alias("_at"))
     admins = users.filter(role_is("role", "store")).select(F.col("id").alias("_uid"))
     unknown = last.join(users.select(F.col("id").alias("_uid")), "_uid", "left_anti")
     not_admin = last.join(users.select(F.col("id").alias("_uid")), "_uid", "left_semi").join(
@@ -560,7 +576,8 @@ def reassign_admins(users: DataFrame, changes: DataFrame) -> Change:
         else:
             cols.append(F.col(c))
     rejects = (_reject(unknown, [F.col("_uid").alias("user_id")], NOT_FOUND)
-               .unionByName(_reject(not_admin, [F.col("_uid").alias("user_id")], NOT_STORE_ADMIN)))
+               .unionByName(_reject(not_admin, [F.col("_uid").alias("user_id")], NOT_STORE_ADMIN))
+               .unionByName(_reject(partial, ["user_id"], MISSING_FIELDS)))
     return Change(j.select(*cols), rejects)
 
 
@@ -574,17 +591,33 @@ def _dupes(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
                     "key_value", "n"))
 
 
-def _nulls(df: DataFrame, table: str, key: str, col: str) -> DataFrame:
-    return df.filter(F.col(col).isNull()).select(
-        F.lit(table).alias("table_name"), F.lit("not_null:" + col).alias("rule"),
-        F.col(key).cast("string").alias("key_value"), F.lit(1).cast("long").alias("n"))
+def _broken_rows(df: DataFrame, table: str, key: str, not_null: list[str], checks: dict[str, Column] | None = None) -> DataFrame:
+    """NOT NULL and CHECK rules of one table in one scan: a row per broken rule."""
+    rules = [F.when(F.col(c).isNull(), F.lit("not_null:" + c)) for c in not_null]
+    rules += [F.when(broken, F.lit("check:" + name)) for name, broken in (checks or {}).items()]
+    broken = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    return (df.select(F.col(key).cast("string").alias("key_value"), F.explode(broken).alias("rule"))
+            .select(F.lit(table).alias("table_name"), "rule", "key_value", F.lit(1).cast("long").alias("n")))
 
 
-def _orphans(child: DataFrame, table: str, key: str, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    c = child.filter(F.col(fk).isNotNull())
-    orphans = c.join(parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti")
-    return orphans.groupBy(F.col(fk).cast("string").alias("key_value")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(table).alias("table_name"), F.lit(f"foreign_key:{fk}").alias("rule"), "key_value", "n")
+def _orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """Foreign keys without a parent: counted per value first, so the anti join meets distinct values."""
+    held = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("n"))
+    return held.join(parent.select(F.col(pk).alias("_fk")), "_fk", "left_anti").select(
+        F.lit(table).alias("table_name"), F.lit(f"foreign_key:{fk}").alias("rule"),
+        F.col("_fk").cast("string").alias("key_value"), "n")
+
+
+# The schema's NOT NULL columns (passwords are not kept here).
+NOT_NULL = {
+    "stores": ["store_email", "store_name", "store_location"],
+    "users": ["full_name", "username", "role"],
+    "glass_categories": ["category_name"],
+    "products": ["product_name", "category_id", "color", "thickness", "length", "width", "area"],
+    "inventory": ["product_id", "purchase_rate", "selling_rate"],
+    "invoices": ["store_id", "billed_by", "sub_total", "grand_total"],
+    "invoice_items": ["invoice_id", "product_id", "quantity", "unit_price", "total_price"],
+}
 
 
 def constraint_violations(t: Tables) -> DataFrame:
@@ -594,27 +627,24 @@ def constraint_violations(t: Tables) -> DataFrame:
     s, u, c, p, i, inv, it = (t.stores, t.users, t.glass_categories, t.products, t.inventory, t.invoices,
                               t.invoice_items)
     parts = [
+        _broken_rows(s, "stores", "store_id", NOT_NULL["stores"]),
+        _broken_rows(u, "users", "id", NOT_NULL["users"], {"role": ~F.col("role").isin(*ROLES)}),
+        _broken_rows(c, "glass_categories", "id", NOT_NULL["glass_categories"]),
+        _broken_rows(p, "products", "id", NOT_NULL["products"]),
+        _broken_rows(i, "inventory", "id", NOT_NULL["inventory"]),
+        _broken_rows(inv, "invoices", "invoice_id", NOT_NULL["invoices"]),
+        _broken_rows(it, "invoice_items", "invoice_id", NOT_NULL["invoice_items"]),
         _dupes(s, "stores", ["store_id"]), _dupes(s, "stores", ["store_email"]),
-        _nulls(s, "stores", "store_id", "store_email"),
         _dupes(u, "users", ["id"]), _dupes(u, "users", ["username"]), _dupes(u, "users", ["email"]),
-        _nulls(u, "users", "id", "username"), _nulls(u, "users", "id", "role"),
-        u.filter(~F.col("role").isin(*ROLES)).select(
-            F.lit("users").alias("table_name"), F.lit("check:role").alias("rule"),
-            F.col("id").cast("string").alias("key_value"), F.lit(1).cast("long").alias("n")),
         _dupes(c, "glass_categories", ["id"]), _dupes(c, "glass_categories", ["category_name"]),
-        _nulls(c, "glass_categories", "id", "category_name"),
         _dupes(p, "products", ["id"]),
-        *[_nulls(p, "products", "id", col) for col in ("product_name", "color", "thickness", "length", "width",
-                                                       "area")],
-        _orphans(p, "products", "id", "category_id", c, "id"),
         _dupes(i, "inventory", ["id"]), _dupes(i, "inventory", ["store_id", "product_id"]),
-        _nulls(i, "inventory", "id", "purchase_rate"), _nulls(i, "inventory", "id", "selling_rate"),
-        _orphans(i, "inventory", "id", "product_id", p, "id"), _orphans(i, "inventory", "id", "store_id", s, "store_id"),
         _dupes(inv, "invoices", ["invoice_id"]),
-        _orphans(inv, "invoices", "invoice_id", "store_id", s, "store_id"),
-        _orphans(inv, "invoices", "invoice_id", "billed_by", u, "id"),
-        _orphans(it, "invoice_items", "invoice_id", "invoice_id", inv, "invoice_id"),
-        _orphans(it, "invoice_items", "invoice_id", "product_id", p, "id"),
+        _orphans(p, "products", "category_id", c, "id"),
+        _orphans(i, "inventory", "product_id", p, "id"), _orphans(i, "inventory", "store_id", s, "store_id"),
+        _orphans(inv, "invoices", "store_id", s, "store_id"), _orphans(inv, "invoices", "billed_by", u, "id"),
+        _orphans(it, "invoice_items", "invoice_id", inv, "invoice_id"),
+        _orphans(it, "invoice_items", "product_id", p, "id"),
     ]
     out = parts[0]
     for x in parts[1:]:

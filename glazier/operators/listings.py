@@ -9,6 +9,8 @@ and projecting the payload back out, all in native expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,10 +276,11 @@ def invoice_history(t: Tables, store_id: int | None = None) -> DataFrame:
 
 
 def _page_arg(value, default: int) -> int:
-    try:
-        n = int(value)
-    except (TypeError, ValueError):
+    # The leading integer counts, as in "3abc" or "2.5".
+    found = re.match(r"\s*([+-]?\d+)", str(value)) if value is not None else None
+    if not found:
         return default
+    n = int(found[1])
     if n < 0:
         raise ValueError(f"page and limit must not be negative, got {value!r}")
     return n or default
@@ -319,11 +322,12 @@ def page_info(counted: DataFrame, page_no=DEFAULT_PAGE, limit=DEFAULT_LIMIT) ->
 
 def lookup(df: DataFrame, column: str, keys: DataFrame, key_column: str | None = None,
            ignore_case: bool = False) -> DataFrame:
-    """Bulk key lookup (left-semi join of ``df`` with a key DataFrame)."""
+    """Bulk key lookup (left-semi join of ``df`` with a key DataFrame).
+    With ``ignore_case`` wanted keys are also trimmed; stored ones are not."""
     key_column = key_column or keys.columns[0]
     k = keys.select(F.col(key_column).alias("_lookup_key")).distinct()
     left = F.col(column)
     if ignore_case:
-        left, k = F.lower(left), k.select(F.lower("_lookup_key").alias("_lookup_key"))
+        left, k = F.lower(left), k.select(F.lower(F.trim("_lookup_key")).alias("_lookup_key")).distinct()
     return df.join(k, left == F.col("_lookup_key"), "left_semi")
 

@@ -128,13 +128,14 @@ def monthly_revenue(t: Tables, as_of, store_id: int | None = None, months: int =
 
 
 def store_summary(t: Tables, as_of, store_id: int | None = None) -> DataFrame:
-    """Per-store dashboard tiles for every store (or one)."""
+    """Per-store dashboard tiles for every store (or one; zeros for an unknown one)."""
     is_today, is_month = _day_and_month(F.col("created_at"), as_of)
     inv, stock, stores = t.invoices, t.inventory, t.stores.select("store_id")
     if store_id is not None:
         inv = inv.filter(F.col("store_id") == F.lit(store_id))
         stock = stock.filter(F.col("store_id") == F.lit(store_id))
-        stores = stores.filter(F.col("store_id") == F.lit(store_id))
+        # One row for the store asked for, known or not.
+        stores = stores.sparkSession.range(1).select(F.lit(store_id).cast(stores.schema["store_id"].dataType).alias("store_id"))
     sales = inv.groupBy("store_id").agg(
         money(_cond_sum(is_today, F.col("grand_total"))).alias("today_revenue"),
         money(_cond_sum(is_month, F.col("grand_total"))).alias("month_revenue"),

@@ -49,8 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, snapshots and stream state.
 
     The cluster names it in ``spark.checkpoint.dir``; that value is always
-    used when present.  Only when it is unset (local tests) a fresh local
-    folder is taken and recorded in the session, so later calls agree.
+    used when present.  Only when it is unset and the master is local (tests)
+    a fresh local folder is taken and recorded in the session, so later calls
+    agree.  On a cluster an unset folder is an error: executors would not
+    share a local one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="glazier-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

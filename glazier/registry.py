@@ -312,3 +312,94 @@ def _q_patch_cats(t, f):
 @_w("patch_categories_rejects")
 def _q_patch_cats_rej(t, f):
     return _W.patch_categories(t.glass_categories, f["category_patches"]).rejects
+
+# --- store forms, ids, and what change-set jobs refuse ------------------------------------
+ONE_STORE, NO_STORE = 3, 987654
+
+register("low_stock_alerts_store")(lambda s, d: reports.low_stock_alerts(_t(s, d), ONE_STORE))
+register("top_products_store")(lambda s, d: reports.top_products(_t(s, d), store_id=ONE_STORE))
+register("monthly_revenue_store")(lambda s, d: reports.monthly_revenue(_t(s, d), FIXTURE_AS_OF, ONE_STORE))
+register("store_summary_store")(lambda s, d: reports.store_summary(_t(s, d), FIXTURE_AS_OF, ONE_STORE))
+register("store_summary_unknown_store")(lambda s, d: reports.store_summary(_t(s, d), FIXTURE_AS_OF, NO_STORE))
+register("available_inventory_store")(lambda s, d: _L.available_inventory(_t(s, d), ONE_STORE))
+register("store_products_store")(lambda s, d: _L.store_products(_t(s, d), ONE_STORE))
+register("invoice_history_store")(lambda s, d: _L.invoice_history(_t(s, d), ONE_STORE))
+
+
+def _detail_ids(s, d):
+    t = _t(s, d)
+    return _L.product_detail(t, t.inventory.filter(_F.col("available_stock") <= 0).select("product_id").distinct())
+
+
+def _lookup_categories(s, d):
+    t = _t(s, d)
+    return _L.lookup(t.glass_categories, "category_name", _feeds(s, d)["category_requests"], "category_name", ignore_case=True)
+
+
+def _lookup_products(s, d):
+    t = _t(s, d)
+    return _L.lookup(t.products, "id", _feeds(s, d)["product_delete_ids"])
+
+
+register("product_detail_ids")(_detail_ids)
+register("lookup_categories_by_name")(_lookup_categories)
+register("lookup_products_by_id")(_lookup_products)
+
+
+@_w("upsert_inventory_rejects")
+def _q_upsert_rej(t, f):
+    return _W.upsert_inventory(t.inventory, f["inventory_changes"], t.stores.filter("status"), t.products).rejects
+
+
+@_w("set_discount_override_rejects")
+def _q_override_rej(t, f):
+    return _W.set_discount_override(t.inventory, f["override_changes"]).rejects
+
+
+@_w("deactivate_stores_rejects")
+def _q_deact_rej(t, f):
+    return _W.deactivate_stores(t.stores, f["store_deactivate_ids"]).rejects
+
+
+@_w("insert_categories_rejects")
+def _q_ins_cat_rej(t, f):
+    return _W.insert_categories(t.glass_categories, f["category_inserts"]).rejects
+
+
+@_w("resolve_category_rejects")
+def _q_resolve_rej(t, f):
+    return _W.resolve_category(f["category_requests"], t.glass_categories).rejects
+
+
+@_w("reassign_admins_rejects")
+def _q_reassign_rej(t, f):
+    return _W.reassign_admins(t.users, f["user_reassignments"]).rejects
+
+
+@_w("insert_products_rejects")
+def _q_ins_prod_rej(t, f):
+    return _W.insert_products(t, f["product_inserts"]).rejects
+
+
+def _after_inserts(t, f):
+    """The tables after W11, in which some products are on no invoice."""
+    made = _W.insert_products(t, f["product_inserts"])
+    return t.with_(products=made.table, inventory=made.extra["inventory"])
+
+
+@_w("delete_new_products")
+def _q_del_new(t, f):
+    return _W.delete_products(_after_inserts(t, f), f["product_delete_ids"]).table.select(
+        "id", "product_name", "category_id", "color", "thickness", "unit")
+
+
+@_w("delete_new_products_inventory")
+def _q_del_new_stock(t, f):
+    stock = _W.delete_products(_after_inserts(t, f), f["product_delete_ids"]).extra["inventory"]
+    return stock.groupBy("store_id").agg(_F.count(_F.lit(1)).alias("stock_rows"), _F.sum("product_id").alias("id_sum"))
+
+
+@_w("delete_new_categories")
+def _q_del_new_cat(t, f):
+    made = _W.insert_categories(t.glass_categories, f["category_inserts"]).table
+    return _W.delete_categories(t.with_(glass_categories=made), f["category_delete_ids"]).table.select("id", "category_name")

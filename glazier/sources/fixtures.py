@@ -128,7 +128,8 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> Tables:
         disc.alias("discount_percent"),
         _dec(ext * (1 - _dec(F.col("l_discount"), 5, 2)), 12, 2).alias("total_price"),
         _dec(F.when(ln % 2 == 0, ln * 7), 10, 2).alias("length"),
-        _dec(F.when(ln == 7, F.col("l_extendedprice")), 12, 2).alias("charged_rate"))
+        _dec(F.when(ln == 7, F.col("l_extendedprice")), 12, 2).alias("charged_rate"),
+        ln.cast("int").alias("line_no"))
 
     tables = Tables(
         stores=conform(stores, "stores"),
@@ -150,17 +151,27 @@ def bill_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Clustered by l_orderkey after the join, so the window adds no shuffle.
     w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy(
         "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
-    lines = (lineitem.join(orders.select("o_orderkey", "o_orderdate"),
+    key, first = F.col("l_orderkey"), ln == 1
+    lines = (lineitem.join(orders.select("o_orderkey", "o_orderdate", "o_custkey"),
                            lineitem.l_orderkey == orders.o_orderkey)
-             .select((F.col("l_orderkey") * 10000 + F.col("l_suppkey")).alias("bill_id"),
+             .select((key * 10000 + F.col("l_suppkey")).alias("bill_id"),
                      F.col("l_suppkey").cast("int").alias("store_id"),
                      F.col("o_orderdate").alias("created_at"),
                      F.row_number().over(w).cast("int").alias("line_no"),
-                     F.col("l_partkey").cast("int").alias("product_id"),
-                     (F.col("l_quantity").cast("int") % 10 + 1).cast("int").alias("quantity"),
+                     F.when((key % 29 == 0) & (ln == 2), F.col("l_partkey") + 1000000)
+                     .when((key % 31 == 0) & first, F.lit(None)).otherwise(F.col("l_partkey")).cast("int").alias("product_id"),
+                     F.when((key % 37 == 0) & first, 0).otherwise(F.col("l_quantity").cast("int") % 10 + 1)
+                     .cast("int").alias("quantity"),
                      _dec(_dec(F.col("l_discount"), 5, 2) * 100, 5, 2).alias("discount_applied"),
-                     _dec(F.when(ln % 2 == 0, ln * 7), 10, 2).alias("height"),
-                     _dec(F.when(ln % 3 == 0, ln * 5), 10, 2).alias("width")))
+                     _dec(F.when((key % 43 == 0) & first, -1).when(ln % 2 == 0, ln * 7), 10, 2).alias("height"),
+                     _dec(F.when(ln == 5, 33), 10, 2).alias("length"),
+                     _dec(F.when((key % 41 == 0) & first, 0).when(ln % 3 == 0, ln * 5), 10, 2).alias("width"),
+                     _dec(F.when((key % 53 == 0) & first, 0).when(ln == 4, 2.5), 10, 4).alias("area"),
+                     _dec(F.when((key % 47 == 0) & first, -5).when(ln == 6, key % 500), 12, 2).alias("charged_rate"),
+                     F.when(ln == 5, "3 x 4").alias("charged_dimension"),
+                     F.col("l_suppkey").cast("int").alias("billed_by"),
+                     F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
+                     F.when(F.col("o_custkey") % 4 != 0, (F.col("o_custkey") + 5550000).cast("string")).alias("customer_phone")))
     return conform(lines, "bill_requests")
 
 

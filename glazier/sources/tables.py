@@ -52,13 +52,15 @@ SCHEMAS: dict[str, T.StructType] = {
     "invoice_items": _schema(
         ("invoice_id", T.LongType()), ("product_id", T.IntegerType()), ("quantity", T.IntegerType()),
         ("unit_price", MONEY), ("discount_percent", PCT), ("total_price", MONEY), ("length", DIM),
-        ("width", DIM), ("charged_dimension", T.StringType()), ("area", AREA), ("charged_rate", MONEY)),
+        ("width", DIM), ("charged_dimension", T.StringType()), ("area", AREA), ("charged_rate", MONEY),
+        ("line_no", T.IntegerType())),
     # One row per requested bill line (the request body of "create bill").
     "bill_requests": _schema(
         ("bill_id", T.LongType()), ("store_id", T.IntegerType()), ("created_at", TS),
         ("line_no", T.IntegerType()), ("product_id", T.IntegerType()), ("quantity", T.IntegerType()),
         ("discount_applied", PCT), ("height", DIM), ("length", DIM), ("width", DIM), ("area", AREA),
-        ("charged_rate", MONEY), ("charged_dimension", T.StringType())),
+        ("charged_rate", MONEY), ("charged_dimension", T.StringType()), ("billed_by", T.IntegerType()),
+        ("customer_name", T.StringType()), ("customer_phone", T.StringType())),
 }
 
 TABLE_NAMES = ("stores", "users", "glass_categories", "products", "inventory", "invoices",

@@ -7,14 +7,17 @@ update mode.  Each micro-batch's updated rows are appended with their batch
 id; the current value of a tile is the row of its highest batch id.
 
 T1 posts bills as they arrive: ``foreachBatch`` runs the batch job B8 on
-each micro-batch against the stock snapshot written by the previous batch,
-and writes a new snapshot keyed by the batch id.  A replayed batch finds its
-snapshot already committed and is skipped, so no bill is posted twice.
+each micro-batch against the stock the previous batch left, and writes the
+stock rows it changed keyed by the batch id (every COMPACT_EVERY batches the
+whole stock).  A replayed batch finds its stock already committed and is
+skipped, so no bill is posted twice; a batch whose predecessor is missing
+raises; an output folder belongs to one checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,46 +84,102 @@ def current_tiles(spark: SparkSession, out_dir: str) -> DataFrame:
 
 # --- T1 ------------------------------------------------------------------------------
 
+# A full stock snapshot is written every so many batches; the batches between
+# write only the stock rows they changed.
+COMPACT_EVERY = 20
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` holds a *committed* write (its ``_SUCCESS`` marker,
-    which the file committer writes last)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-        return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
-    except Exception:  # no JVM gateway (e.g. a remote client): probe by reading
-        try:
-            spark.read.parquet(path).limit(0).collect()
-            return True
-        except AnalysisException:
-            return False
+    """True when ``path`` holds a *committed* write: its ``_SUCCESS`` marker,
+    which the file committer writes last."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return bool(marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker))
+
+
+def _stock_paths(base: str, batch_id: int) -> tuple[str, list[str]]:
+    """Snapshot and change folders that make up the stock after a batch."""
+    start = batch_id - batch_id % COMPACT_EVERY
+    return (f"{base}/inventory/v={start}", [f"{base}/stock_changes/v={v}" for v in range(start + 1, batch_id + 1)])
+
+
+def _committed(spark: SparkSession, base: str, batch_id: int) -> bool:
+    snapshot, changed = _stock_paths(base, batch_id)
+    return _exists(spark, changed[-1] if changed else snapshot)
+
+
+def stock_after(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame:
+    """Stock after a committed batch: the last full snapshot with the rows
+    changed since, the latest change of a row winning."""
+    snapshot, changed = _stock_paths(out_dir.rstrip("/"), batch_id)
+    stock = spark.read.schema(SCHEMAS["inventory"]).parquet(snapshot)
+    if not changed:
+        return stock
+    rows = spark.read.schema(SCHEMAS["inventory"]).parquet(changed[0]).withColumn("_v", F.lit(0))
+    for v, path in enumerate(changed[1:], 1):
+        rows = rows.unionByName(spark.read.schema(SCHEMAS["inventory"]).parquet(path).withColumn("_v", F.lit(v)))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("available_stock", "updated_at"), "_v").alias("_now"))
+    return stock.join(last, "id", "left").withColumns({
+        "available_stock": F.coalesce("_now.available_stock", "available_stock"),
+        "updated_at": F.when(F.col("_now").isNotNull(), F.col("_now.updated_at")).otherwise(F.col("updated_at")),
+    }).select(*[f.name for f in SCHEMAS["inventory"].fields])
 
 
 def post_bills_batch(t: Tables, out_dir: str):
-    """The ``foreachBatch`` body of T1 (B8 per micro-batch)."""
+    """The ``foreachBatch`` body of T1 (B8 per micro-batch).
+
+    A batch needs the stock its predecessor left: if that is missing, the
+    batch raises instead of starting from the original stock again."""
     base = out_dir.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        snap = f"{base}/inventory/v={batch_id}"
-        if _exists(spark, snap):          # replayed batch: already committed
+        if _committed(spark, base, batch_id):          # replayed batch
             return
-        prev = f"{base}/inventory/v={batch_id - 1}"
-        inventory = (spark.read.schema(SCHEMAS["inventory"]).parquet(prev) if batch_id > 0 and _exists(spark, prev)
-                     else t.inventory)
+        if batch_id == 0:
+            inventory = t.inventory
+        elif _committed(spark, base, batch_id - 1):
+            inventory = stock_after(spark, base, batch_id - 1)
+        else:
+            raise RuntimeError(f"stock after batch {batch_id - 1} is missing in {base}; batch {batch_id} cannot be posted")
         posting = post_bills(t.with_(inventory=inventory), batch, checkpoint=True)
         tag = F.lit(batch_id).cast("long").alias("batch_id")
         posting.decisions.select("*", tag).write.mode("overwrite").parquet(f"{base}/decisions/batch={batch_id}")
         posting.invoices.select("*", tag).write.mode("overwrite").parquet(f"{base}/invoices/batch={batch_id}")
         posting.invoice_items.select("*", tag).write.mode("overwrite").parquet(f"{base}/items/batch={batch_id}")
-        # The snapshot is written last: its presence marks the batch as done.
-        posting.inventory.write.mode("overwrite").parquet(snap)
+        # The stock is written last: its presence marks the batch as done.
+        snapshot, changed = _stock_paths(base, batch_id)
+        if changed:
+            sold = posting.lines.select("store_id", "product_id").distinct()
+            rows = posting.inventory.join(sold, ["store_id", "product_id"], "left_semi").select(*posting.inventory.columns)
+            rows.write.mode("overwrite").parquet(changed[-1])
+        else:
+            posting.inventory.write.mode("overwrite").parquet(snapshot)
 
     return handle
 
 
+def _token(spark: SparkSession, path: str) -> str | None:
+    return spark.read.schema("token string").json(path).first()[0] if _exists(spark, path) else None
+
+
+def _claim(spark: SparkSession, out_dir: str, checkpoint: str) -> None:
+    """Tie an output folder to one query's checkpoint.  A new query numbers its
+    batches from 0 again, so on another query's folder its bills would pass
+    for replayed ones: that is refused."""
+    ours, theirs = f"{checkpoint.rstrip('/')}-owner", f"{out_dir.rstrip('/')}/_owner"
+    mine, owner = _token(spark, ours), _token(spark, theirs)
+    if owner != mine or (owner is None and _exists(spark, f"{out_dir.rstrip('/')}/inventory/v=0")):
+        if owner is not None or mine is None:
+            raise ValueError(f"{out_dir} holds the output of another query; use its checkpoint or a new folder")
+    if owner is None:
+        row = spark.createDataFrame([(mine or uuid.uuid4().hex,)], "token string")
+        for path in (ours, theirs):
+            row.write.mode("overwrite").json(path)
+
+
 def run_post_bills(t: Tables, requests: DataFrame, out_dir: str, checkpoint: str) -> str:
     """Post a stream of bill requests until the source is drained."""
+    _claim(requests.sparkSession, out_dir, checkpoint)
     q = (requests.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(post_bills_batch(t, out_dir)).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -129,9 +188,10 @@ def run_post_bills(t: Tables, requests: DataFrame, out_dir: str, checkpoint: str
 
 def latest_stock(spark: SparkSession, out_dir: str) -> DataFrame:
     """Stock after the last committed batch of T1."""
-    versions = spark.read.parquet(f"{out_dir.rstrip('/')}/inventory")
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.filter(F.col("v") == last).drop("v")
+    last = 0
+    while _committed(spark, out_dir.rstrip("/"), last + 1):
+        last += 1
+    return stock_after(spark, out_dir, last)
 
 
 def bill_request_stream(spark: SparkSession, directory: str, files_per_trigger: int = 1) -> DataFrame:
