@@ -44,7 +44,8 @@ WORDS, PERCENT = 5, 75
 BUCKET_BITS, RANGE_BITS = 26, 16  # hashed buckets of shingle counts, and buckets per range
 MOST_FREQUENT = 1 << 20  # frequent buckets at most
 LEAST_FREQUENT = 32
-FLUSH = 4_000_000  # shingles counted at once in a task
+FLUSH = 1_000_000  # shingles counted at once in a task
+PAIRS = 250_000  # pairs of entries tested at once in a task
 BLOCK = 1024  # entries of a list block
 LEADERS = 8  # orders in which lists choose their leaders, a round
 
@@ -73,8 +74,11 @@ def _needed(n_a, n_b):
     return -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return column(batch, "text").cast(pa.binary()).to_pylist()
+def _texts(batch: pa.RecordBatch):
+    """The batch's texts as bytes, a few at a time."""
+    texts = column(batch, "text").cast(pa.binary())
+    for at in range(0, len(texts), 256):
+        yield from texts.slice(at, 256).to_pylist()
 
 
 # --- statistics -------------------------------------------------------------------------------
@@ -286,15 +290,17 @@ def _list_pairs(group, token, side, sid, place, label, leaders: int | None):
             continue
         starts = runs[alone & (lengths == length)]
         i, j = np.triu_indices(length, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, PAIRS // len(i))
         for at in range(0, len(starts), step):
             some = starts[at:at + step, None]
             yield tested((some + i).ravel(), (some + j).ravel())
     for start, length in zip(runs[~alone].tolist(), lengths[~alone].tolist()):
         split = start + int(np.searchsorted(side[start:start + length], 2))
         a, b = np.arange(start, split), np.arange(split, start + length)
-        if len(a) and len(b):
-            yield tested(np.repeat(a, len(b)), np.tile(b, len(a)))
+        few = max(1, PAIRS // max(len(b), 1))
+        for at in range(0, len(a) if len(b) else 0, few):
+            some = a[at:at + few]
+            yield tested(np.repeat(some, len(b)), np.tile(b, len(some)))
 
 
 _ENTRY = ("token", "i", "j", "side", "sid", "place", "label")
