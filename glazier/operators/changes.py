@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glazier.functions.rules import category_key, role_is
+from glazier.plans.groups import connected_groups
 from glazier.plans.ids import assign_dense_ids
 from glazier.plans.session import cut_lineage
 from glazier.sources.tables import Tables, conform
@@ -92,13 +94,12 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame, stores: DataFrame | Non
             rejects = rejects.unionByName(_reject(changes.join(known, column, "left_anti"), ["seq"], NOT_FOUND))
             changes = changes.join(known, column, "left_semi")
     vals = ["purchase_rate", "selling_rate", "minimum_stock"]
-    order = F.struct("seq", *vals, "available_stock")
+    order = F.struct("seq", *vals, "available_stock", "changed_at")
     folded = changes.groupBy("store_id", "product_id").agg(
         F.sum(F.coalesce("available_stock", F.lit(0))).alias("add_stock"),
-        F.max_by(F.struct(*vals), order).alias("last"),
-        F.max_by("changed_at", F.struct("seq", "changed_at")).alias("changed_at"))
+        F.max_by(F.struct(*vals, "changed_at"), order).alias("last"))
     c = folded.select(F.col("store_id").alias("c_store_id"), F.col("product_id").alias("c_product_id"),
-                      "add_stock", "changed_at",
+                      "add_stock", F.col("last.changed_at").alias("changed_at"),
                       F.coalesce("last.purchase_rate", F.lit(0)).cast("decimal(12,2)").alias("c_purchase_rate"),
                       F.coalesce("last.selling_rate", F.lit(0)).cast("decimal(12,2)").alias("c_selling_rate"),
                       F.coalesce("last.minimum_stock", F.lit(0)).cast("int").alias("c_minimum_stock"))
@@ -129,52 +130,95 @@ def upsert_inventory(inv: DataFrame, changes: DataFrame, stores: DataFrame | Non
 
 # --- W2 -------------------------------------------------------------------------
 
+def _judge_unique(requests: DataFrame, table: DataFrame, key: list[str], unique: dict[str, bool]) -> DataFrame:
+    """(seq, reason) of the requests that set a unique field, each judged alone in ``seq`` order against the
+    values the table holds by then: reason NULL when accepted.
+
+    Requests that share a row or a value, old or new, belong to one group; a group is judged in order by
+    one streamed fold that keeps the group's moved values only, and groups are independent."""
+    def value(name: str) -> Column:
+        return F.lower(F.col(name)) if unique[name] else F.col(name)
+
+    fields = list(unique)
+    held = table.select(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row"),
+                        *[value(f).alias(f"old_{f}") for f in fields])
+    asked = requests.select("seq", F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row"),
+                            *[F.when(F.coalesce(F.col(f"set_{f}"), F.lit(False)), value(f)).alias(f"new_{f}") for f in fields],
+                            *[F.coalesce(F.col(f"set_{f}"), F.lit(False)).alias(f"sets_{f}") for f in fields])
+    asked = asked.filter(" or ".join(f"sets_{f}" for f in fields)).join(held, "row")
+    for f in fields:
+        owners = held.filter(F.col(f"old_{f}").isNotNull()).groupBy(F.col(f"old_{f}").alias(f"new_{f}")).agg(
+            F.collect_set("row").alias(f"owners_{f}"))
+        asked = asked.join(owners, f"new_{f}", "left")
+    asked = cut_lineage(asked)
+    nodes = F.filter(F.array(F.xxhash64(F.lit("row"), "row"), *[
+        F.when(F.col(f"{age}_{f}").isNotNull(), F.xxhash64(F.lit(f), f"{age}_{f}")) for f in fields for age in ("old", "new")]),
+        lambda n: n.isNotNull())
+    groups = connected_groups(asked.select(F.col("seq").alias("item"), F.explode(nodes).alias("node")))
+    rows = (asked.withColumn("node", F.xxhash64(F.lit("row"), "row")).join(groups, "node")
+            .repartition("label").sortWithinPartitions("label", "seq"))
+
+    def judge(batches):
+        group, now, at = None, {}, {}   # of the group: (field, row) -> value, (field, value) -> rows moved there
+        for batch in batches:
+            seqs, reasons = [], []
+            for r in batch.to_pylist():
+                if r["label"] != group:
+                    group, now, at = r["label"], {}, {}
+                row, reason = r["row"], None
+                for f in fields:
+                    want = r[f"new_{f}"]
+                    if reason is None and want is not None and (
+                            any(o != row and now.get((f, o), want) == want for o in r[f"owners_{f}"] or ())
+                            or at.get((f, want), set()) - {row}):
+                        reason = f"duplicate_{f}"
+                if reason is None:
+                    for f in fields:
+                        if r[f"sets_{f}"]:
+                            at.get((f, now.get((f, row))), set()).discard(row)
+                            now[f, row] = r[f"new_{f}"]
+                            at.setdefault((f, r[f"new_{f}"]), set()).add(row)
+                seqs.append(r["seq"])
+                reasons.append(reason)
+            yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64()), "reason": pa.array(reasons, pa.string())})
+
+    return rows.mapInArrow(judge, "seq long, reason string")
+
+
 def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[str],
                updated_col: str | None = "updated_at",
                unique: dict[str, bool] | None = None, clean: dict | None = None) -> Change:
-    """Sparse update.  Only supplied fields change (``set_<f>`` tells
-    "set to NULL" from "not supplied"); the latest supplied value per field
-    wins.  Unknown keys and patches without fields are refused.  Fields in
-    ``unique`` (name -> ignore case) are refused when the new value equals
-    another row's value.  ``clean`` (name -> Column function) normalises a
-    supplied value first (e.g. trim a category name).
+    """Sparse update.  Only supplied fields change (``set_<f>`` tells "set to NULL" from "not
+    supplied").  Every request is judged alone, in ``seq`` order: one without fields, one for an unknown
+    key, and one whose value in a ``unique`` field (name -> ignore case) another row holds by then is
+    refused as a whole, and refused requests change nothing.  Of the accepted ones the latest value per
+    field wins.  ``clean`` (name -> Column function) normalises a supplied value first (e.g. trim a
+    category name).  Rejects carry key, seq and reason.
     ``patch``: key..., seq, patched_at, f..., set_f..."""
-    unique = unique or {}
     for f, fn in (clean or {}).items():
         patch = patch.withColumn(f, fn(F.col(f)))
-    aggs = [F.max("patched_at").alias("_patched_at")]
+    flags = {f: F.coalesce(F.col(f"set_{f}"), F.lit(False)) for f in fields}
+    anything = F.greatest(*flags.values()) if len(fields) > 1 else flags[fields[0]]
+    unnamed = patch.filter(~anything)
+    named = patch.filter(anything)
+    unknown = named.join(table.select(*key), key, "left_anti")
+    accepted = named.join(table.select(*key), key, "left_semi")
+    rejects = _reject(unnamed, [*key, "seq"], NO_FIELDS).unionByName(_reject(unknown, [*key, "seq"], NOT_FOUND))
+    if unique:
+        refused = cut_lineage(_judge_unique(accepted, table, key, unique).filter("reason is not null"))
+        rejects = rejects.unionByName(accepted.select(*key, "seq").join(refused, "seq").select(*key, "seq", "reason"))
+        accepted = accepted.join(refused, "seq", "left_anti")
+
+    aggs = [F.max_by("patched_at", F.struct("seq", "patched_at")).alias("_patched_at")]
     for f in fields:
-        flag = F.coalesce(F.col(f"set_{f}"), F.lit(False))
-        aggs.append(F.max_by(F.col(f), F.when(flag, F.struct("seq", F.col(f)))).alias(f"_new_{f}"))
-        aggs.append(F.max(flag).alias(f"_any_{f}"))
-    folded = patch.groupBy(*key).agg(*aggs)
-    any_set = F.greatest(*[F.col(f"_any_{f}") for f in fields]) if len(fields) > 1 else F.col(f"_any_{fields[0]}")
-    folded = folded.withColumn("_any", any_set)
-
-    no_fields = folded.filter(~F.col("_any"))
-    candidates = folded.filter(F.col("_any"))
-    unknown = candidates.join(table.select(*key), key, "left_anti")
-    known = candidates.join(table.select(*key), key, "left_semi")
-    rejects = [_reject(no_fields, key, NO_FIELDS), _reject(unknown, key, NOT_FOUND)]
-    for f, ignore_case in unique.items():
-        new_v = F.lower(F.col(f"_new_{f}")) if ignore_case else F.col(f"_new_{f}")
-        others = table.select(*[F.col(k).alias(f"_o_{k}") for k in key],
-                              (F.lower(F.col(f)) if ignore_case else F.col(f)).alias("_o_val"))
-        differs = None
-        for k in key:
-            d = F.col(k) != F.col(f"_o_{k}")
-            differs = d if differs is None else (differs | d)
-        clash = known.filter(F.col(f"_any_{f}")).join(others, (new_v == F.col("_o_val")) & differs, "left_semi")
-        rejects.append(_reject(clash, key, f"duplicate_{f}"))
-        known = known.join(clash.select(*key), key, "left_anti")
-
-    renamed = known.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_patched_at",
-                           *[c for f in fields for c in (f"_new_{f}", f"_any_{f}")])
+        aggs.append(F.max_by(F.col(f), F.when(flags[f], F.struct("seq", F.col(f)))).alias(f"_new_{f}"))
+        aggs.append(F.max(flags[f]).alias(f"_any_{f}"))
+    folded = accepted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(*aggs)
     cond = None
     for k in key:
         e = table[k] == F.col(f"_k_{k}")
         cond = e if cond is None else (cond & e)
-    j = table.join(renamed, cond, "left")
+    j = table.join(folded, cond, "left")
     hit = F.col(f"_k_{key[0]}").isNotNull()
     cols = []
     for c in table.columns:
@@ -185,10 +229,7 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[
             cols.append(F.when(hit, F.col("_patched_at")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    out_rejects = rejects[0]
-    for r in rejects[1:]:
-        out_rejects = out_rejects.unionByName(r)
-    return Change(j.select(*cols), out_rejects)
+    return Change(j.select(*cols), rejects)
 
 
 STORE_FIELDS = ["store_name", "store_location", "status"]
@@ -233,8 +274,8 @@ def patch_users(users: DataFrame, patch: DataFrame, fields: list[str] | None = N
     fields = fields or (STORE_ADMIN_FIELDS if store_admins_only else CREDENTIAL_FIELDS)
     rejects = None
     if store_admins_only:
-        others = users.filter(~role_is("role", "store")).select("id")
-        rejects = _reject(patch.join(others, "id", "left_semi").select("id").distinct(), ["id"], NOT_STORE_ADMIN)
+        others = users.filter(~F.coalesce(role_is("role", "store"), F.lit(False))).select("id")
+        rejects = _reject(patch.join(others, "id", "left_semi"), ["id", "seq"], NOT_STORE_ADMIN)
         patch = patch.join(others, "id", "left_anti")
     res = patch_rows(users, patch, ["id"], fields,
                      unique={f: False for f in ("email", "username") if f in fields})
@@ -421,14 +462,30 @@ PRODUCT_FIELDS = ["product_name", "category_id", "color", "thickness", "length",
 INVENTORY_FIELDS = ["purchase_rate", "selling_rate", "available_stock", "minimum_stock"]
 
 
+def resolve_patched_category(patch: DataFrame, cats: DataFrame) -> Change:
+    """The category check of product edits: an edit that sets a category names it by id (which must exist)
+    or by ``category_name`` when the patch has that column (W10 with ``verify_id``); no match refuses the edit."""
+    if "category_name" not in patch.columns:
+        patch = patch.withColumn("category_name", F.lit(None).cast("string"))
+    asks = F.coalesce(F.col("set_category_id"), F.lit(False)) | F.col("category_name").isNotNull()
+    patch = patch.withColumn("category_id", F.when(F.coalesce(F.col("set_category_id"), F.lit(False)), F.col("category_id"))
+                             .cast("int"))
+    res = resolve_category(patch.filter(asks), cats, verify_id=True)
+    done = (res.table.withColumn("category_id", F.col("resolved_category_id").cast("int"))
+            .withColumn("set_category_id", F.lit(True)).select(*patch.columns))
+    return Change(patch.filter(~asks).unionByName(done), res.rejects)
+
+
 def update_store_products(t: Tables, feed: DataFrame) -> Change:
     """A store admin edits a product it stocks: refused unless the
-    (store, product) stock row exists; then product fields and that store's
-    stock fields are patched (W2).  ``feed``: seq, store_id, product_id,
-    patched_at, f / set_f for product and stock fields."""
+    (store, product) stock row exists and a category it names is known (W10);
+    then product fields and that store's stock fields are patched (W2).
+    ``feed``: seq, store_id, product_id, patched_at, f / set_f for product
+    and stock fields, optionally category_name."""
     k = feed.select("seq", "store_id", "product_id")
     not_in = k.join(t.inventory.select("store_id", "product_id"), ["store_id", "product_id"], "left_anti")
-    ok = feed.join(not_in.select("seq"), "seq", "left_anti")
+    checked = resolve_patched_category(feed.join(not_in.select("seq"), "seq", "left_anti"), t.glass_categories)
+    ok = checked.table
     prod_patch = ok.select(F.col("product_id").alias("id"), "seq", "patched_at",
                            *[c for f in PRODUCT_FIELDS for c in (f, f"set_{f}")])
     has_prod = F.greatest(*[F.coalesce(F.col(f"set_{f}"), F.lit(False)) for f in PRODUCT_FIELDS])
@@ -437,7 +494,7 @@ def update_store_products(t: Tables, feed: DataFrame) -> Change:
     inv_patch = ok.filter(has_inv).select("store_id", "product_id", "seq", "patched_at",
                                           *[c for f in INVENTORY_FIELDS for c in (f, f"set_{f}")])
     i = patch_rows(t.inventory, inv_patch, ["store_id", "product_id"], INVENTORY_FIELDS)
-    rejects = _reject(not_in, ["seq"], NOT_IN_STORE)
+    rejects = _reject(not_in, ["seq"], NOT_IN_STORE).unionByName(checked.rejects)
     nothing = ok.filter(~has_prod & ~has_inv)
     return Change(p.table, rejects.unionByName(_reject(nothing, ["seq"], NO_FIELDS)),
                   {"inventory": i.table})

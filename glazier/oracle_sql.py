@@ -560,7 +560,7 @@ SQL["upsert_inventory"] = with_views(f"""
          CAST(COALESCE(l.minimum_stock, 0) AS INT) AS c_minimum_stock
   FROM (SELECT store_id, product_id, SUM(COALESCE(available_stock, 0)) AS add_stock
         FROM inventory_changes GROUP BY store_id, product_id) f
-  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY seq DESC, purchase_rate DESC NULLS LAST, selling_rate DESC NULLS LAST, minimum_stock DESC NULLS LAST, available_stock DESC NULLS LAST) AS rn
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY seq DESC, purchase_rate DESC NULLS LAST, selling_rate DESC NULLS LAST, minimum_stock DESC NULLS LAST, available_stock DESC NULLS LAST, changed_at DESC NULLS LAST) AS rn
                        FROM inventory_changes) WHERE rn = 1) l
     ON f.store_id = l.store_id AND f.product_id = l.product_id)
 SELECT i.id, i.store_id, i.product_id,
@@ -582,12 +582,15 @@ FROM c WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.store_id = c.store_id
 
 _PATCH_FOLD = """
   -- last supplied value per field: highest seq, ties to the larger value (NULL lowest)
-  SELECT store_id, product_id, max(patched_at) AS patched_at,
+  SELECT store_id, product_id,
+         max(CASE WHEN any_set AND seq = ms_any THEN patched_at END) AS patched_at,
          max(CASE WHEN set_available_stock AND seq = ms_avail THEN available_stock END) AS n_avail, bool_or(set_available_stock) AS a_avail,
          max(CASE WHEN set_minimum_stock AND seq = ms_min THEN minimum_stock END) AS n_min, bool_or(set_minimum_stock) AS a_min,
          max(CASE WHEN set_purchase_rate AND seq = ms_pr THEN purchase_rate END) AS n_pr, bool_or(set_purchase_rate) AS a_pr,
          max(CASE WHEN set_selling_rate AND seq = ms_sr THEN selling_rate END) AS n_sr, bool_or(set_selling_rate) AS a_sr
-  FROM (SELECT *, max(CASE WHEN set_available_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_avail, max(CASE WHEN set_minimum_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_min, max(CASE WHEN set_purchase_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_pr, max(CASE WHEN set_selling_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_sr FROM inventory_patches) w GROUP BY store_id, product_id"""
+  FROM (SELECT *, max(CASE WHEN any_set THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_any, max(CASE WHEN set_available_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_avail, max(CASE WHEN set_minimum_stock THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_min, max(CASE WHEN set_purchase_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_pr, max(CASE WHEN set_selling_rate THEN seq END) OVER (PARTITION BY store_id, product_id) AS ms_sr
+        FROM (SELECT *, set_available_stock OR set_minimum_stock OR set_purchase_rate OR set_selling_rate AS any_set FROM inventory_patches) p) w
+  GROUP BY store_id, product_id"""
 
 SQL["patch_inventory"] = with_views(f"""
 SELECT i.id, i.store_id, i.product_id,
@@ -601,13 +604,13 @@ FROM inventory i LEFT JOIN ({_PATCH_FOLD}) k
   ON i.store_id = k.store_id AND i.product_id = k.product_id AND (k.a_avail OR k.a_min OR k.a_pr OR k.a_sr)""",
     "inventory", "inventory_patches")
 
-SQL["patch_inventory_rejects"] = with_views(f"""
-SELECT store_id, product_id, 'no_fields' AS reason FROM ({_PATCH_FOLD}) k
-WHERE NOT (a_avail OR a_min OR a_pr OR a_sr)
-UNION ALL
-SELECT store_id, product_id, 'not_found' FROM ({_PATCH_FOLD}) k
-WHERE (a_avail OR a_min OR a_pr OR a_sr)
-  AND NOT EXISTS (SELECT 1 FROM inventory i WHERE i.store_id = k.store_id AND i.product_id = k.product_id)""",
+SQL["patch_inventory_rejects"] = with_views("""
+SELECT store_id, product_id, seq,
+       CASE WHEN set_available_stock OR set_minimum_stock OR set_purchase_rate OR set_selling_rate THEN 'not_found'
+            ELSE 'no_fields' END AS reason
+FROM inventory_patches p
+WHERE NOT (set_available_stock OR set_minimum_stock OR set_purchase_rate OR set_selling_rate)
+   OR NOT EXISTS (SELECT 1 FROM inventory i WHERE i.store_id = p.store_id AND i.product_id = p.product_id)""",
     "inventory", "inventory_patches")
 
 SQL["set_store_discount"] = with_views("""
@@ -806,37 +809,50 @@ VIEWS["category_patches"] = f"""
                p_size > 25 AS status, p_partkey % 7 = 0 AS set_status
         FROM part"""
 
-_CAT_FOLD = """
-  SELECT id, max(patched_at) AS patched_at,
-         max(CASE WHEN set_category_name AND seq = ms_n THEN trim(category_name) END) AS n_name,
-         bool_or(set_category_name) AS a_name,
-         max(CASE WHEN set_description AND seq = ms_d THEN description END) AS n_desc,
-         bool_or(set_description) AS a_desc,
-         max(CASE WHEN set_status AND seq = ms_s THEN status END) AS n_status, bool_or(set_status) AS a_status
-  FROM (SELECT *, max(CASE WHEN set_category_name THEN seq END) OVER (PARTITION BY id) AS ms_n,
-               max(CASE WHEN set_description THEN seq END) OVER (PARTITION BY id) AS ms_d,
-               max(CASE WHEN set_status THEN seq END) OVER (PARTITION BY id) AS ms_s
-        FROM category_patches) w
-  GROUP BY id"""
-
-_CAT_CLASH = f"""
-  SELECT f.id FROM ({_CAT_FOLD}) f
-  WHERE f.a_name AND EXISTS (SELECT 1 FROM glass_categories g
-                             WHERE lower(g.category_name) = lower(f.n_name) AND g.id <> f.id)"""
-
-SQL["patch_categories"] = with_views(f"""
-SELECT g.id,
-       CASE WHEN k.id IS NOT NULL AND k.a_name THEN k.n_name ELSE g.category_name END AS category_name,
-       CASE WHEN k.id IS NOT NULL AND k.a_desc THEN k.n_desc ELSE g.description END AS description,
-       CASE WHEN k.id IS NOT NULL AND k.a_status THEN k.n_status ELSE g.status END AS status,
-       g.created_at, CASE WHEN k.id IS NOT NULL THEN k.patched_at ELSE g.updated_at END AS updated_at
+# Requests are judged one by one in seq order: ``names`` maps every category to the name it holds by then.
+_CAT_JUDGED = """
+numbered AS (
+  SELECT *, lower(trim(category_name)) AS want, row_number() OVER (ORDER BY seq) AS nth
+  FROM category_patches WHERE set_category_name AND id IN (SELECT id FROM glass_categories)),
+judged AS (
+  SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, true AS ok,
+         map(list(id ORDER BY id), list(lower(category_name) ORDER BY id)) AS names
+  FROM glass_categories
+  UNION ALL
+  SELECT n.nth, n.seq,
+         len(list_filter(map_entries(j.names), lambda e: e.key <> n.id AND e.value = n.want)) = 0,
+         CASE WHEN len(list_filter(map_entries(j.names), lambda e: e.key <> n.id AND e.value = n.want)) = 0
+              THEN map_concat(j.names, MAP {n.id: n.want}) ELSE j.names END
+  FROM judged j JOIN numbered n ON n.nth = j.nth + 1),
+refused AS (SELECT seq FROM judged WHERE NOT ok),
+accepted AS (
+  SELECT * FROM category_patches
+  WHERE (set_category_name OR set_description OR set_status) AND id IN (SELECT id FROM glass_categories)
+    AND seq NOT IN (SELECT seq FROM refused))"""
+
+
+def _last_set(value: str, flag: str) -> str:
+    return f"arg_max_null({value}, seq) FILTER ({flag})"
+
+
+SQL["patch_categories"] = with_views(f""", {_CAT_JUDGED}
+SELECT g.id, CASE WHEN k.a_name THEN k.n_name ELSE g.category_name END AS category_name,
+       CASE WHEN k.a_desc THEN k.n_desc ELSE g.description END AS description,
+       CASE WHEN k.a_status THEN k.n_status ELSE g.status END AS status, g.created_at,
+       CASE WHEN k.id IS NOT NULL THEN k.at ELSE g.updated_at END AS updated_at
 FROM glass_categories g LEFT JOIN (
-    SELECT * FROM ({_CAT_FOLD}) f
-    WHERE (a_name OR a_desc OR a_status) AND id NOT IN ({_CAT_CLASH})) k ON g.id = k.id""",
-    "glass_categories", "category_patches")
-
-SQL["patch_categories_rejects"] = with_views(f"""
-SELECT id, 'duplicate_category_name' AS reason FROM ({_CAT_CLASH}) c""", "glass_categories", "category_patches")
+    SELECT id, arg_max(patched_at, seq) AS at, bool_or(set_category_name) AS a_name, bool_or(set_description) AS a_desc,
+           bool_or(set_status) AS a_status, {_last_set('trim(category_name)', 'set_category_name')} AS n_name,
+           {_last_set('description', 'set_description')} AS n_desc, {_last_set('status', 'set_status')} AS n_status
+    FROM accepted GROUP BY id) k ON g.id = k.id""",
+    "glass_categories", "category_patches").replace("WITH ", "WITH RECURSIVE ", 1)
+
+SQL["patch_categories_rejects"] = with_views(f""", {_CAT_JUDGED}
+SELECT id, seq, CASE WHEN NOT (set_category_name OR set_description OR set_status) THEN 'no_fields'
+                     WHEN id NOT IN (SELECT id FROM glass_categories) THEN 'not_found'
+                     ELSE 'duplicate_category_name' END AS reason
+FROM category_patches WHERE seq NOT IN (SELECT seq FROM accepted)""",
+    "glass_categories", "category_patches").replace("WITH ", "WITH RECURSIVE ", 1)
 
 # --- store forms, ids, and what change-set jobs refuse ---------------------------------------------
 

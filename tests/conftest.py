@@ -17,7 +17,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_session("local[4]", 8)
+    return get_session(os.environ.get("TEST_MASTER", "local[4]"), 8)
 
 
 @pytest.fixture(scope="session")

@@ -44,7 +44,62 @@ def test_patch_absent_vs_null(spark):
     res = W.patch_rows(inv, patch, ["store_id", "product_id"], ["available_stock", "minimum_stock"])
     r = res.table.first()
     assert (r.available_stock, r.minimum_stock, r.updated_at) == (7, None, T0)
-    assert {(x.product_id, x.reason) for x in res.rejects.collect()} == {(9, "not_found")}
+    assert {(x.product_id, x.seq, x.reason) for x in res.rejects.collect()} == {
+        (9, 3, "not_found"), (1, 2, "no_fields"), (1, 4, "no_fields")}
+
+
+def _renames(spark, rows):
+    return spark.createDataFrame(
+        [(seq, id_, T0, name, name is not None, text, text is not None, None, False) for seq, id_, name, text in rows],
+        "seq long, id int, patched_at timestamp_ntz, category_name string, set_category_name boolean, "
+        "description string, set_description boolean, status boolean, set_status boolean")
+
+
+def test_patches_are_judged_one_by_one(spark):
+    cats = make(spark, "glass_categories", [{"id": i, "category_name": n, "status": True} for i, n in enumerate("ABCD")])
+
+    def run(rows):
+        res = W.patch_categories(cats, _renames(spark, rows))
+        return ({r.id: (r.category_name, r.description) for r in res.table.collect()},
+                {(r.seq, r.reason) for r in res.rejects.collect()})
+
+    table, refused = run([(1, 0, "New", None), (2, 1, "new", None)])
+    assert (table[0][0], table[1][0]) == ("New", "B") and refused == {(2, "duplicate_category_name")}
+    table, refused = run([(1, 0, None, "kept"), (2, 0, "b", None)])       # a refused rename loses nothing else
+    assert table[0] == ("A", "kept") and refused == {(2, "duplicate_category_name")}
+    table, refused = run([(1, 0, "X", None), (2, 1, " a ", None), (3, 2, "b", "x"), (4, 3, "c", None), (5, 9, "q", None),
+                          (6, 3, "x", "lost"), (7, 3, None, None)])       # names freed earlier in the batch
+    assert [table[i][0] for i in range(4)] == ["X", "a", "b", "c"] and table[3][1] is None
+    assert refused == {(5, "not_found"), (6, "duplicate_category_name"), (7, "no_fields")}
+
+
+def test_dense_ids_keep_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from glazier.plans.ids import assign_dense_ids
+    n = 300_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("k"), *[F.sha2(F.col("id").cast("string"), 256).alias(f"c{i}") for i in range(4)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = assign_dense_ids(rows, ["k"], 10).agg(F.count("id"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+            assert tuple(out) == (n, n, 11, n + 10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_refused_stock_requests(spark):
+    inv = make(spark, "inventory", [{"id": 5, "store_id": 1, "product_id": 1, "available_stock": 10}])
+    stores = make(spark, "stores", [{"store_id": 1}])
+    products = make(spark, "products", [{"id": 1}])
+    ch = _chg(spark, [{"seq": 1, "store_id": None, "product_id": 1}, {"seq": 2, "store_id": 1, "product_id": None},
+                      {"seq": 3, "store_id": 2, "product_id": 1}, {"seq": 4, "store_id": 1, "product_id": 7},
+                      {"seq": 5, "store_id": 1, "product_id": 1, "stock": 1}])
+    res = W.upsert_inventory(inv, ch, stores, products)
+    assert {(r.seq, r.reason) for r in res.rejects.collect()} == {
+        (1, "missing_fields"), (2, "missing_fields"), (3, "not_found"), (4, "not_found")}
+    assert [r.available_stock for r in res.table.collect()] == [11]
 
 
 def test_category_inserts_and_uniqueness(spark):
