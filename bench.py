@@ -42,7 +42,7 @@ def headline(spark, t, feeds):
     a = FIXTURE_AS_OF
 
     def post():
-        p = billing.post_bills(t, checkpoint=True)
+        p = billing.post_bills(t)
         for df in (p.decisions, p.invoices, p.invoice_items, p.inventory):
             _run(df)
 

@@ -6,27 +6,25 @@ that does not depend on earlier outcomes runs as native, set-based Spark
 (validation, enrichment, discount limits, pricing, totals, stock update).
 
 Only the accept/reject decision of bills that touch *contended* stock needs
-an ordered fold.  A (store, product) key is uncontended when the total
-quantity requested on it by every bill that passes validation is within its
-starting stock: then no line on it can ever fail, whatever is accepted
-before it.  Bills touching only uncontended keys are decided natively and
-exactly; the rest go through ``_fold_partition`` (mapInPandas over rows
-hash-partitioned by store and sorted by time), which streams Arrow batches
-and keeps only a key -> stock dict, so no group is ever held in memory whole.
+order.  A (store, product) key is uncontended when the total quantity
+requested on it by every bill that passes validation is within its starting
+stock: then no line on it can ever fail, whatever is accepted before it.
+Bills touching only uncontended keys are decided at once.  The others are
+decided by rounds of prefix sums per key (``_accepted_contended``), and only
+chains of bills that would need many rounds by an ordered fold
+(``_fold_rest``), which streams and keeps one stock number per key.
 """
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glazier.functions.rules import effective_max_discount, line_dimensions, line_price
+from glazier.plans.groups import connected_groups
 from glazier.plans.session import cut_lineage
 from glazier.sources.tables import Tables, conform
 
@@ -44,11 +42,6 @@ ACCEPTED, REJECTED = "accepted", "rejected"
 
 BILL_ORDER = ("created_at", "bill_id")
 
-# The fold runs in Python workers; ship this module's code with the task so
-# executors need no copy of the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def validate_bill_requests(reqs: DataFrame) -> DataFrame:
     """B1: per-line request checks, in the order the request is read.
 
@@ -186,144 +179,100 @@ def bill_receipts(invoices: DataFrame, items: DataFrame, products: DataFrame) ->
 
 # --- B8 -----------------------------------------------------------------------
 
-DECISION_SCHEMA = T.StructType([
-    T.StructField("bill_id", T.LongType()), T.StructField("store_id", T.IntegerType()),
-    T.StructField("created_at", T.TimestampNTZType()), T.StructField("status", T.StringType()),
-    T.StructField("reason", T.StringType()), T.StructField("failed_line", T.IntegerType())])
-
-
-def _decide_rows(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
-    """Sequential decision for rows sorted by (store, created_at, bill_id, line_no).
-
-    Each row is one contended line of a bill (``line_no`` <= the bill's first
-    static failure).  A bill fails at the first line whose key's current stock
-    is below the quantity; otherwise it fails at its static line, if any;
-    otherwise it is accepted and its contended quantities are taken.
-    ``state`` holds the current group and its key -> stock map; the map is
-    dropped when the group changes (no key spans two groups)."""
-    out_bill, out_store, out_at, out_status, out_reason, out_line = [], [], [], [], [], []
-    # Plain lists: per-element access is much cheaper than on numpy arrays.
-    bills = pdf["bill_id"].tolist()
-    times = pdf["created_at"].to_numpy()
-    stores = pdf["store_id"].tolist()
-    products = pdf["product_id"].tolist()
-    qtys = pdf["quantity"].tolist()
-    starts = pdf["start_stock"].tolist()
-    lines = pdf["line_no"].tolist()
-    s_lines = pdf["static_line"].tolist()
-    s_reasons = pdf["static_reason"].tolist()
-    groups = pdf["fold_group"].tolist()
-    stock = state["stock"]
-    n = len(pdf)
-    i = 0
-    while i < n:
-        if groups[i] != state["group"]:
-            stock = state["stock"] = {}
-            state["group"] = groups[i]
-        j = i
-        bill = bills[i]
-        while j < n and bills[j] == bill:
-            j += 1
-        failed = None
-        for k in range(i, j):
-            key = (stores[k], products[k])
-            cur = stock.get(key)
-            if cur is None:
-                cur = int(starts[k])
-                stock[key] = cur
-            if cur < qtys[k]:
-                failed = (R_STOCK, int(lines[k]))
-                break
-        if failed is None and s_lines[i] is not None and s_lines[i] == s_lines[i]:
-            failed = (s_reasons[i], int(s_lines[i]))
-        out_bill.append(int(bill)); out_store.append(int(stores[i])); out_at.append(times[i])
-        if failed is None:
-            for k in range(i, j):
-                stock[(stores[k], products[k])] -= int(qtys[k])
-            out_status.append(ACCEPTED); out_reason.append(None); out_line.append(None)
-        else:
-            out_status.append(REJECTED); out_reason.append(failed[0]); out_line.append(failed[1])
-        i = j
-    return pd.DataFrame({"bill_id": pd.Series(out_bill, dtype="int64"),
-                         "store_id": pd.Series(out_store, dtype="int32"),
-                         "created_at": pd.Series(out_at, dtype="datetime64[us]"),
-                         "status": pd.Series(out_status, dtype="object"),
-                         "reason": pd.Series(out_reason, dtype="object"),
-                         "failed_line": pd.Series(out_line, dtype="Int32")})
-
-
-def _fold_partition(batches):
-    """mapInPandas body: stream sorted batches; a bill cut by a batch edge is
-    carried to the next batch.  Memory is one batch plus the stock of the
-    current group's keys."""
-    state = {"group": None, "stock": {}}
-    pending = None
-    for pdf in batches:
-        if pending is not None and len(pending):
-            pdf = pd.concat([pending, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        bills = pdf["bill_id"].to_numpy()
-        tail_start = len(pdf)
-        while tail_start > 0 and bills[tail_start - 1] == bills[-1]:
-            tail_start -= 1
-        head, pending = pdf.iloc[:tail_start], pdf.iloc[tail_start:].reset_index(drop=True)
-        if len(head):
-            yield _decide_rows(head, state)
-    if pending is not None and len(pending):
-        yield _decide_rows(pending, state)
-
-
-def _node(store: str = "store_id", product: str = "product_id"):
-    return F.col(store).cast("long") * F.lit(1 << 32) + F.col(product).cast("long")
-
-
-def fold_groups(fold_lines: DataFrame, hot_share: float = 0.05, max_rounds: int = 12) -> DataFrame:
-    """Group key for each contended (store, product): ``fold_group``.
-
-    A store is its own group unless it holds more than ``hot_share`` of all
-    contended lines.  Such a hot store is split into connected components of
-    its keys (two keys are linked when one bill touches both): bills of
-    different components never share stock, so each component is folded on
-    its own.  Components come from min-label propagation over the bills
-    (each key takes the smallest label among the bills touching it; a
-    bill's label is the smallest of its keys), with the lineage cut every
-    round.  If it has not settled after ``max_rounds`` the hot stores fall
-    back to one group each, which is always exact, only less parallel."""
-    edges = fold_lines.select("bill_id", "store_id", _node().alias("node")).distinct()
-    per_store = edges.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
-    total, largest = per_store.agg(F.sum("n"), F.max("n")).first()   # one small action
-    threshold = max((total or 0) * hot_share, 1.0)
-    store_group = (-(F.col("store_id").cast("long") + 1)).alias("fold_group")
-    keys = fold_lines.select("store_id", _node().alias("node")).distinct()
-    if (largest or 0) <= threshold:
-        return keys.select("node", store_group)
-    hot = per_store.filter(F.col("n") > F.lit(threshold)).select("store_id")
-
-    hot_edges = cut_lineage(edges.join(hot, "store_id", "left_semi").select("bill_id", "node"))
-    labels = cut_lineage(hot_edges.select("node").distinct().withColumn("label", F.col("node")))
-    settled = False
-    for round_no in range(max_rounds):
-        bill_label = hot_edges.join(labels, "node").groupBy("bill_id").agg(F.min("label").alias("bl"))
-        new = (hot_edges.join(bill_label, "bill_id").groupBy("node").agg(F.min("bl").alias("label")))
-        # Pointer jumping: a label is itself a node, so take its label too;
-        # reach doubles per round instead of growing by one hop.
-        hop = new.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        new = cut_lineage(new.join(hop, "label", "left").select(
-            "node", F.least("label", F.coalesce("hop", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(
-            F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            settled = True
+SLOW_ROUND = 0.1  # rounds that decide a smaller share of the open bills leave the rest to the fold
+
+
+def _accepted_contended(wants: DataFrame) -> DataFrame:
+    """(bill_id) of the accepted bills among those that want contended stock.
+
+    ``wants``: per bill and key the quantity taken and the largest line
+    (``taken``, ``most``), the key's starting stock and the bill's place.
+    Rounds of prefix sums over the keys decide bills exactly: a bill all of
+    whose lines fit even if every open earlier bill is accepted is accepted; a
+    bill with a line that cannot fit after only the accepted earlier bills is
+    refused.  The earliest open bill of a key chain is decided in every round.
+    Chains that would take many rounds are left to ``_fold_rest``."""
+    place = Window.partitionBy("store_id", "product_id").orderBy(*BILL_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut_lineage(wants.withColumn("accepted", F.lit(False)))
+    left = None
+    while True:
+        before = F.coalesce(F.sum("taken").over(place), F.lit(0))
+        sold = F.coalesce(F.sum(F.when(F.col("accepted"), F.col("taken"))).over(place), F.lit(0))
+        judged = rows.withColumns({"fits": F.col("start_stock") - before >= F.col("most"),
+                                   "fails": F.col("start_stock") - sold < F.col("most")})
+        bills = (judged.filter(~F.col("accepted")).groupBy("bill_id")
+                 .agg(F.min("fits").alias("all_fit"), F.max("fails").alias("any_fails")))
+        rows = cut_lineage(rows.join(bills, "bill_id", "left").filter(~F.coalesce("any_fails", F.lit(False)))
+                           .withColumn("accepted", F.col("accepted") | F.coalesce("all_fit", F.lit(False)))
+                           .drop("all_fit", "any_fails"))
+        still = rows.filter(~F.col("accepted")).select("bill_id").distinct().count()
+        if still == 0:
+            return rows.select("bill_id").distinct()
+        if left is not None and still > (1 - SLOW_ROUND) * left:
             break
-    fold_groups.last_rounds = round_no + 1
-    cold_keys = keys.join(hot, "store_id", "left_anti").select("node", store_group)
-    if settled:
-        hot_keys = labels.select("node", F.col("label").alias("fold_group"))
-    else:
-        hot_keys = keys.join(hot, "store_id", "left_semi").select("node", store_group)
-    return cold_keys.unionByName(hot_keys)
+        left = still
+    keys = rows.filter(~F.col("accepted")).select("store_id", "product_id").distinct()
+    node = F.col("store_id").cast("long") * F.lit(1 << 32) + F.col("product_id").cast("long")
+    rest = cut_lineage(rows.join(keys, ["store_id", "product_id"], "left_semi").withColumn("node", node))
+    groups = connected_groups(rest.select(F.col("bill_id").alias("item"), "node"))
+    folded = (rest.join(groups, "node").repartition("label").sortWithinPartitions("label", *BILL_ORDER)
+              .select("label", "bill_id", "node", "taken", "most", "start_stock", "accepted")
+              .mapInArrow(_fold_rest, "bill_id long"))
+    return rows.filter("accepted").select("bill_id").union(folded).distinct()
+
+
+def _fold_rest(batches):
+    """Bills of a connected group of keys in order: the stock of the group's
+    keys is all that is kept.  Yields the accepted open bills."""
+    group, stock, bill, held = None, {}, None, []
+
+    def close():
+        fits = all(r["accepted"] or stock[r["node"]] >= r["most"] for r in held)
+        if fits:
+            for r in held:
+                stock[r["node"]] -= r["taken"]
+        return fits and held and not held[0]["accepted"]
+
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if (r["label"], r["bill_id"]) != bill:
+                if held and close():
+                    out.append(held[0]["bill_id"])
+                held, bill = [], (r["label"], r["bill_id"])
+            if r["label"] != group:
+                group, stock = r["label"], {}
+            stock.setdefault(r["node"], r["start_stock"])
+            held.append(r)
+        yield pa.RecordBatch.from_pydict({"bill_id": pa.array(out, pa.int64())})
+    if held and close():
+        yield pa.RecordBatch.from_pydict({"bill_id": pa.array([held[0]["bill_id"]], pa.int64())})
+
+
+def _decide_contended(lines: DataFrame) -> DataFrame:
+    """Decisions of the bills with a line on a contended key (``lines``: those
+    lines up to the bill's first stock-independent failure)."""
+    wants = lines.groupBy("store_id", "product_id", *BILL_ORDER).agg(
+        F.sum("quantity").alias("taken"), F.max("quantity").alias("most"), F.first("start_stock").alias("start_stock"),
+        F.max("static_line").alias("static_line"))
+    wants = cut_lineage(wants)
+    accepted = cut_lineage(_accepted_contended(wants.filter("static_line is null").drop("static_line"))
+                           .withColumn("accepted", F.lit(True)))
+    # Stock each bill met: the start less what the accepted earlier bills took.
+    place = Window.partitionBy("store_id", "product_id").orderBy(*BILL_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    met = (wants.join(accepted, "bill_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+           .withColumn("met", F.col("start_stock") - F.coalesce(
+               F.sum(F.when(F.col("accepted"), F.col("taken"))).over(place), F.lit(0)))
+           .select("store_id", "product_id", "bill_id", "accepted", "met"))
+    short = F.when(F.col("met") < F.col("quantity"), F.col("line_no"))
+    judged = (lines.join(met, ["store_id", "product_id", "bill_id"]).groupBy("bill_id", "store_id", "created_at")
+              .agg(F.max("accepted").alias("accepted"), F.min(short).alias("short_line"),
+                   F.max("static_line").alias("static_line"), F.max("bill_static_reason").alias("static_reason")))
+    refused = ~F.col("accepted")
+    return judged.select(
+        "bill_id", "store_id", "created_at", F.when(refused, F.lit(REJECTED)).otherwise(F.lit(ACCEPTED)).alias("status"),
+        F.when(refused, F.when(F.col("short_line").isNotNull(), F.lit(R_STOCK)).otherwise(F.col("static_reason"))).alias("reason"),
+        F.when(refused, F.coalesce("short_line", "static_line")).cast("int").alias("failed_line"))
 
 
 # The line columns posting needs: decision inputs and the stored outputs.
@@ -342,15 +291,12 @@ class Posting:
     lines: DataFrame           # priced lines of accepted bills (POSTING_COLUMNS)
 
 
-def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = False,
-               hot_share: float = 0.05) -> Posting:
+def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
     """Post many bills, each all-or-nothing, per store in (created_at,
     bill_id) order; accepted bills lower the stock later bills see.
 
-    With ``checkpoint`` the decisions are written to the shared checkpoint
-    folder once, so the four outputs reuse them (and a lost executor
-    recomputes from there, not from the fold).  ``hot_share``: see
-    ``fold_groups``."""
+    Lines and decisions are written to the shared checkpoint folder once, so
+    the outputs reuse them and a lost executor recomputes from there."""
     reqs = t.bill_requests if reqs is None else reqs
     lines = prepare_bill_lines(reqs, t).select(*POSTING_COLUMNS)
 
@@ -372,8 +318,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
     lines = lines.withColumns({
         "static_line": F.when(fails_late, F.max("line_no").over(w)).otherwise(F.col("static_line")),
         "bill_static_reason": F.when(fails_late, F.lit(R_AMOUNT)).otherwise(F.col("bill_static_reason"))})
-    if checkpoint:
-        lines = cut_lineage(lines)
+    lines = cut_lineage(lines)
 
     # Demand per key from every bill that passes validation, on its lines up
     # to (and including) its first static failure: the only lines whose
@@ -384,18 +329,8 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
     demand = lb.groupBy("store_id", "product_id").agg(F.sum("quantity").alias("demand"),
                                                       F.max("start_stock").alias("stock"))
     contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id")
-    fold_lines = lb.join(contended, ["store_id", "product_id"], "left_semi")
-    if checkpoint:
-        fold_lines = cut_lineage(fold_lines)
-
-    groups = fold_groups(fold_lines, hot_share)
-    fold_in = (fold_lines.select("bill_id", "store_id", "created_at", "line_no", "product_id", "quantity",
-                                 "start_stock", "static_line", F.col("bill_static_reason").alias("static_reason"),
-                                 _node().alias("node"))
-               .join(groups, "node").drop("node")
-               .repartition("fold_group")
-               .sortWithinPartitions("fold_group", *BILL_ORDER, "line_no"))
-    folded = fold_in.mapInPandas(_fold_partition, DECISION_SCHEMA)
+    fold_lines = cut_lineage(lb.join(contended, ["store_id", "product_id"], "left_semi"))
+    folded = _decide_contended(fold_lines)
 
     bill_rows = lines.filter(F.col("line_no") == F.col("first_line"))
     native = (bill_rows.join(fold_lines.select("bill_id").distinct(), "bill_id", "left_anti")
@@ -404,10 +339,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None, checkpoint: bool = Fals
                       .otherwise(F.lit(REJECTED)).alias("status"),
                       F.coalesce("bill_invalid_reason", "bill_static_reason").alias("reason"),
                       F.coalesce("invalid_line", "static_line").cast("int").alias("failed_line")))
-    decisions = native.unionByName(folded)
-
-    if checkpoint:
-        decisions = cut_lineage(decisions)
+    decisions = cut_lineage(native.unionByName(folded))
     accepted = lines.join(decisions.filter(F.col("status") == ACCEPTED).select("bill_id"), "bill_id", "left_semi")
     return Posting(decisions=decisions, invoices=build_invoices(accepted),
                    invoice_items=build_invoice_items(accepted),

@@ -1,5 +1,6 @@
 """Bill posting: edge bills, the serial model, invariants, and streaming = batch."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -68,11 +69,7 @@ def test_pricing_and_totals(spark):
     assert items[3].length == D(30)                                    # original, not bracketed
 
 
-@pytest.mark.parametrize("hot_share", [0.05, 0.0, 0.1])
-def test_matches_serial_model(spark, small_tables, hot_share):
-    """0.0 splits every store into key components, 0.1 some, 0.05 (default) none here."""
-    t = small_tables
-    post = B.post_bills(t, hot_share=hot_share)
+def _equals_serial_model(post, t):
     got = {r.bill_id: (r.status, r.reason, r.failed_line) for r in post.decisions.collect()}
     lines = B.prepare_bill_lines(t.bill_requests, t).select(
         "bill_id", "store_id", "created_at", "line_no", "product_id", "quantity", "start_stock", "found",
@@ -84,6 +81,39 @@ def test_matches_serial_model(spark, small_tables, hot_share):
     assert Counter(s for s, _, _ in got.values())["rejected"] > 0
 
 
+def test_matches_serial_model(spark, small_tables):
+    _equals_serial_model(B.post_bills(small_tables), small_tables)
+
+
+@pytest.mark.parametrize("slow_round", [0.1, 1.0])
+def test_one_giant_store_with_long_chains(spark, monkeypatch, slow_round):
+    """Multi-line bills on a few products; with 1.0 the fold decides all that the first rounds leave."""
+    monkeypatch.setattr(B, "SLOW_ROUND", slow_round)
+    rng = random.Random(11)
+    lines = [_line(b, k + 1, rng.randint(1, 3), rng.randint(1, 4), ts=f"2001-01-{1 + b // 12:02d} 00:00:00",
+                   disc=rng.choice([0, 0, 0, 11])) for b in range(1, 250) for k in range(rng.randint(1, 4))]
+    t = tables(spark, stores=[STORE], products=PRODUCTS, inventory=[_inv(1, 150), _inv(2, 90), _inv(3, 200)],
+               bill_requests=lines)
+    _equals_serial_model(B.post_bills(t), t)
+
+
+def test_headers_name_cashier_and_customer(spark):
+    lines = [_line(1, k, p, 1, billed_by=7, customer_name="Ann", customer_phone="555") for k, p in ((1, 3), (2, 1), (3, 2))]
+    post = _post(spark, [_inv(1, 9), _inv(2, 9), _inv(3, 9)], lines)
+    head = post.invoices.first()
+    assert (head.billed_by, head.customer_name, head.customer_phone) == (7, "Ann", "555")
+    t = tables(spark, products=PRODUCTS)
+    receipt = B.bill_receipts(post.invoices, post.invoice_items, t.products).first()
+    assert [x.productId for x in receipt["items"]] == [3, 1, 2]  # request order
+
+
+def test_an_oversized_line_refuses_its_bill_only(spark):
+    lines = [_line(1, 1, 1, 1, height=D("99999999"), width=D("99999999")), _line(2, 1, 1, 1)]
+    post = _post(spark, [_inv(1, 9)], lines)
+    assert {r.bill_id: (r.status, r.reason) for r in post.decisions.collect()} == {
+        1: ("rejected", "amount_out_of_range"), 2: ("accepted", None)}
+
+
 def test_item_totals_add_up(spark, small_tables):
     post = B.post_bills(small_tables)
     per_bill = post.invoice_items.groupBy("invoice_id").agg(F.sum("total_price").alias("s"),
@@ -118,3 +148,17 @@ def test_replayed_batch_is_not_posted_twice(spark, tmp_path):
     assert stock == 3
     handle(make(spark, "bill_requests", [_line(2, 1, 1, 2, ts="2001-01-02 00:00:00")]), 1)
     assert S.latest_stock(spark, str(tmp_path / "out")).first().available_stock == 1
+
+
+def test_stream_needs_its_predecessor_and_its_own_folder(spark, tmp_path):
+    from glazier.streaming import streams as S
+    t = tables(spark, stores=[STORE], products=PRODUCTS, inventory=[_inv(1, 5)])
+    handle = S.post_bills_batch(t, str(tmp_path / "out"))
+    handle(make(spark, "bill_requests", [_line(1, 1, 1, 4)]), 0)
+    with pytest.raises(RuntimeError):
+        handle(make(spark, "bill_requests", [_line(2, 1, 1, 4, ts="2001-01-02 00:00:00")]), 2)
+    out, first = str(tmp_path / "other"), str(tmp_path / "ck1")
+    S._claim(spark, out, first)
+    S._claim(spark, out, first)                         # the same query again
+    with pytest.raises(ValueError):
+        S._claim(spark, out, str(tmp_path / "ck2"))
