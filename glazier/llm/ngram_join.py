@@ -18,7 +18,7 @@ one member of the index.  The steps:
 
 All steps are exact: prefix, size, position and bitmap tests only drop pairs that cannot be similar.
 
-Bounds: at most 2^20 frequent buckets are broadcast.  Lists are streamed and cut into blocks, copies
+Bounds: at most 2^22 frequent buckets are broadcast, after a check of their number.  Lists are streamed and cut into blocks, copies
 are collapsed before the shuffle, and no list, component or set of pairs is collected.
 
 Defined cases: documents without words have an empty set, no links and their own id as component; with
@@ -41,12 +41,13 @@ from glazier.llm.components import components
 from glazier.llm.shingles import shingle_set
 
 WORDS, PERCENT = 5, 75
-BUCKET_BITS, RANGE_BITS = 26, 16  # hashed buckets of shingle counts, and buckets per range
-MOST_FREQUENT = 1 << 20  # frequent buckets at most
+RANGE_BITS = 16  # hashed buckets of shingle counts are counted by ranges of 2^RANGE_BITS
+MOST_FREQUENT = 1 << 22  # frequent buckets broadcast at most
 LEAST_FREQUENT = 32
-FLUSH = 1_000_000  # shingles counted at once in a task
+FLUSH = 1_000_000  # shingles counted at once in a task, at least
 PAIRS = 250_000  # pairs of entries tested at once in a task
 BLOCK = 1024  # entries of a list block
+LONG, LIST_CELLS = 64, 1024  # lists of so many entries carry bitmaps of so many cells
 LEADERS = 8  # orders in which lists choose their leaders, a round
 
 
@@ -56,8 +57,8 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles of each of 2n to 4n cells (256 to 65536)."""
-    cells = min(max(256, 1 << (2 * len(shingles) - 1).bit_length()), 1 << 16)
+    """Parity of the shingles of each of 2n to 4n cells (1024 to 65536)."""
+    cells = min(max(LIST_CELLS, 1 << (2 * len(shingles) - 1).bit_length()), 1 << 16)
     return np.packbits(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
 
@@ -84,20 +85,26 @@ def _texts(batch: pa.RecordBatch):
 # --- statistics -------------------------------------------------------------------------------
 
 _COUNTED = "part int, doc_id long, n long, sid long, sid2 long, bitmap binary, buckets binary"
-_STATISTICS = "doc_id long, n long, sid long, sid2 long, bitmap binary, bucket int, times long"
+_STATISTICS = "doc_id long, n long, sid long, sid2 long, bitmap binary, bucket long, times long"
 
 
-def _statistics(docs: DataFrame) -> DataFrame:
+def _bucket_bits(docs: DataFrame) -> int:
+    """Bits of a shingle's count bucket: about 256 buckets a document, so that buckets hold few chance meetings."""
+    return min(max(26, (docs.count() * 256 - 1).bit_length()), 40)
+
+
+def _statistics(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of documents (size, signature, bitmap) and rows of buckets with their frequent counts."""
-    ranges = 1 << (BUCKET_BITS - RANGE_BITS)
+    ranges = 1 << (bits - RANGE_BITS)
+    flush = max(FLUSH, 64 * ranges)
     counted = pa.schema([("part", pa.int32())] + [(c, pa.int64()) for c in ("doc_id", "n", "sid", "sid2")]
                         + [("bitmap", pa.binary()), ("buckets", pa.binary())])
 
     def bucket_rows(found: list[np.ndarray]) -> pa.RecordBatch:
-        buckets = np.sort(np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
-        cuts = np.searchsorted(buckets, np.arange(ranges + 1, dtype=np.uint32) << np.uint32(RANGE_BITS))
-        low = (buckets & np.uint32((1 << RANGE_BITS) - 1)).astype(np.uint16)
-        parts = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+        buckets = np.sort(np.concatenate(found) >> np.uint64(64 - bits))
+        cuts = np.searchsorted(buckets, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
+        low = (buckets & np.uint64((1 << RANGE_BITS) - 1)).astype(np.uint16)
+        parts = np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
         nulls = [None] * len(parts)
         return batch_of(counted, parts, nulls, nulls, nulls, nulls, nulls,
                         [low[cuts[r]:cuts[r + 1]].tobytes() for r in parts])
@@ -114,7 +121,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
                     rows[name].append(value)
                 found.append(shingles)
                 held += len(shingles)
-                if held >= FLUSH:
+                if held >= flush:
                     yield bucket_rows(found)
                     found, held = [], 0
             yield pa.RecordBatch.from_pydict(rows, counted)
@@ -122,7 +129,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
             yield bucket_rows(found)
 
     out = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sid", "sid2")]
-                    + [("bitmap", pa.binary()), ("bucket", pa.int32()), ("times", pa.int64())])
+                    + [("bitmap", pa.binary()), ("bucket", pa.int64()), ("times", pa.int64())])
 
     def add_up(batches):
         part, times = None, None
@@ -131,14 +138,14 @@ def _statistics(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(times >= LEAST_FREQUENT)
             nulls = pa.nulls(len(at), pa.int64())
             return batch_of(out, nulls, nulls, nulls, nulls, pa.nulls(len(at), pa.binary()),
-                            ((part << RANGE_BITS) + at).astype(np.int32), times[at])
+                            (part << RANGE_BITS) + at, times[at])
 
         for batch in batches:
             is_document = column(batch, "buckets").is_null()
             rows = batch.filter(is_document)
             if rows.num_rows:
                 yield batch_of(out, *[column(rows, c) for c in ("doc_id", "n", "sid", "sid2", "bitmap")],
-                               pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.int64()))
+                               pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int64()))
             rows = batch.filter(column(batch, "buckets").is_valid())
             for p, blob in zip(longs(rows, "part").tolist(), column(rows, "buckets").to_pylist()):
                 if p != part:
@@ -155,25 +162,27 @@ def _statistics(docs: DataFrame) -> DataFrame:
 
 
 def _frequent_buckets(statistics: DataFrame):
-    """Broadcast of the frequent buckets and their counts: at most ``MOST_FREQUENT`` of them, since
-    each is hit by that share of all shingles."""
-    total = statistics.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
+    """Broadcast of the frequent buckets and their counts.  Buckets of ``LEAST_FREQUENT`` shingles or more
+    are frequent; were they more than ``MOST_FREQUENT``, the bound is doubled until they are not.  The
+    order stays exact for any bound: it only decides which shingles come last."""
+    least = LEAST_FREQUENT
+    while statistics.filter(F.col("times") >= least).count() > MOST_FREQUENT:
+        least *= 2
     rows = statistics.filter(F.col("times") >= least).select("bucket", "times").toArrow()
-    bucket, times = rows["bucket"].to_numpy().astype(np.uint32), rows["times"].to_numpy().astype(np.int64)
+    bucket, times = rows["bucket"].to_numpy().astype(np.uint64), rows["times"].to_numpy().astype(np.int64)
     order = np.argsort(bucket)
     return statistics.sparkSession.sparkContext.broadcast((bucket[order], times[order]))
 
 
 # --- index lists ------------------------------------------------------------------------------
 
-def _prefix(shingles: np.ndarray, buckets: np.ndarray, times: np.ndarray) -> np.ndarray:
+def _prefix(shingles: np.ndarray, buckets: np.ndarray, times: np.ndarray, bits: int) -> np.ndarray:
     """The first shingles of a set in the global order: as many as can miss all similar sets, plus one."""
     n = len(shingles)
     length = n - -(-PERCENT * n // 100) + 1
     if not len(buckets):
         return shingles[:length]
-    bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+    bucket = shingles >> np.uint64(64 - bits)
     at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
     frequent = buckets[at] == bucket
     rare = shingles[~frequent]
@@ -186,7 +195,7 @@ def _prefix(shingles: np.ndarray, buckets: np.ndarray, times: np.ndarray) -> np.
 _LISTS = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64()), ("entry", pa.int64())])
 
 
-def _index(docs: DataFrame, frequent) -> DataFrame:
+def _index(docs: DataFrame, frequent, bits: int) -> DataFrame:
     """Entries of lists of two sets or more: token, sid, place (size << 32 | position), entry number."""
     posted = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64())])
 
@@ -202,7 +211,7 @@ def _index(docs: DataFrame, frequent) -> DataFrame:
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(signature)
-                prefix = _prefix(shingles, buckets, times)
+                prefix = _prefix(shingles, buckets, times, bits)
                 tokens.append(prefix.view(np.int64))
                 sids.append(np.full(len(prefix), signature[0]))
                 places.append((len(shingles) << 32) + np.arange(len(prefix), dtype=np.int64))
@@ -243,24 +252,42 @@ def _index(docs: DataFrame, frequent) -> DataFrame:
                   .mapInArrow(number, "token long, sid long, place long, entry long"), "ngram-lists")
 
 
+def _with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries of long lists with their sets' bitmaps, folded to ``LIST_CELLS`` cells; of others with NULL."""
+    long = lists.filter(F.col("entry") == LONG - 1).select("token")
+    entries = lists.join(long, "token", "left_semi")
+    schema = pa.schema([("sid", pa.int64()), ("bits", pa.binary())])
+
+    def fold(batches):
+        for batch in batches:
+            folded = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, LIST_CELLS // 8), axis=0).tobytes()
+                      for b in column(batch, "bitmap").to_pylist()]
+            yield batch_of(schema, column(batch, "sid"), folded)
+
+    wanted = sets.join(entries.select("sid").distinct(), "sid", "left_semi").select("sid", "bitmap")
+    bits = wanted.dropDuplicates(["sid"]).mapInArrow(fold, "sid long, bits binary")
+    return stored(entries.join(bits, "sid").select(*lists.columns, "bits").union(
+        lists.join(long, "token", "left_anti").select(*lists.columns, F.lit(None).cast("binary"))), "ngram-entries")
+
+
 def _blocks(lists: DataFrame) -> DataFrame:
     """Entries dealt to pairs of blocks (i, j) of their list: side 0 for i = j, else 1 in i and 2 in j.
     Pairs of blocks are skipped if the sizes in them exclude the similarity."""
     block = F.floor(F.col("entry") / BLOCK).cast("long")
     rows = lists.withColumn("i", block)
-    alone = rows.select("token", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "sid", "place", "label")
+    alone = rows.select("token", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "sid", "place", "label", "bits")
     size = F.shiftright("place", 32)
     longer = rows.join(rows.filter("i = 1").select("token").distinct(), "token", "left_semi")
     ranges = longer.groupBy("token", "i").agg(F.min(size).alias("low"), F.max(size).alias("high"))
     right = ranges.select("token", F.col("i").alias("j"), F.col("low").alias("least"))
     pairs = ranges.join(right, "token").filter((F.col("i") < F.col("j")) & (F.col("high") * 100 >= F.col("least") * PERCENT))
     dealt = [longer.withColumnRenamed("i", "b").join(pairs.select("token", "i", "j", F.col(at).alias("b")), ["token", "b"])
-             .select("token", "i", "j", F.lit(side).alias("side"), "sid", "place", "label")
+             .select("token", "i", "j", F.lit(side).alias("side"), "sid", "place", "label", "bits")
              for at, side in (("i", 1), ("j", 2))]
     return alone.union(dealt[0]).union(dealt[1])
 
 
-def _list_pairs(group, token, side, sid, place, label, leaders: int | None):
+def _list_pairs(group, token, side, sid, place, label, bits, leaders: int | None):
     """Arrays of pairs (smaller, larger) of entries that may be similar; ``group`` tells pairs of blocks apart."""
     size, position = place >> 32, place & 0xFFFFFFFF
     runs = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -274,7 +301,13 @@ def _list_pairs(group, token, side, sid, place, label, leaders: int | None):
         # Of the smaller set a shorter prefix suffices.
         ok &= p <= n - -(-2 * PERCENT * n // (100 + PERCENT))
         ok &= np.minimum(p, q) + np.minimum(n - p, m - q) >= _needed(n, m)
-        return a[ok], b[ok]
+        a, b = a[ok], b[ok]
+        if bits is not None and len(a):
+            most = size[a] + size[b] - 2 * _needed(size[a], size[b])
+            far = np.concatenate([np.bitwise_count(bits[a[k:k + 50_000]] ^ bits[b[k:k + 50_000]]).sum(axis=1, dtype=np.int64)
+                                  for k in range(0, len(a), 50_000)])
+            a, b = a[far <= most], b[far <= most]
+        return a, b
 
     if leaders is not None:
         salt = (token.view(np.uint64) % np.uint64(LEADERS)) + np.uint64(LEADERS * leaders)
@@ -303,6 +336,12 @@ def _list_pairs(group, token, side, sid, place, label, leaders: int | None):
             yield tested(np.repeat(some, len(b)), np.tile(b, len(some)))
 
 
+def _bits(batch: pa.RecordBatch) -> np.ndarray:
+    """The entries' bitmaps as rows of 64-bit words; zero where there is none, which excludes no pair of a list."""
+    none = bytes(LIST_CELLS // 8)
+    return np.frombuffer(b"".join(b or none for b in column(batch, "bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+
+
 _ENTRY = ("token", "i", "j", "side", "sid", "place", "label")
 
 
@@ -314,7 +353,7 @@ def _pairs(lists: DataFrame, leaders: int | None = None, only_count: bool = Fals
     def form(batches):
         rest = None
         for batch in itertools.chain(batches, [None]):  # None: the lists held back end too
-            arrays = [longs(batch, c) for c in _ENTRY] if batch is not None else [x[:0] for x in rest or []]
+            arrays = [*[longs(batch, c) for c in _ENTRY], _bits(batch)] if batch is not None else [x[:0] for x in rest or []]
             if rest is not None:
                 arrays = [np.concatenate(x) for x in zip(rest, arrays)]
             if not arrays or not len(arrays[0]):
@@ -325,9 +364,10 @@ def _pairs(lists: DataFrame, leaders: int | None = None, only_count: bool = Fals
             rest = [x[whole:] for x in arrays]
             if not whole:
                 continue
-            token, _, _, side, sid, place, label = (x[:whole] for x in arrays)
+            token, _, _, side, sid, place, label, bits = (x[:whole] for x in arrays)
+            bits = bits if bits.any() else None
             total = 0
-            for a, b in _list_pairs(group[:whole], token, side, sid, place, label, leaders):
+            for a, b in _list_pairs(group[:whole], token, side, sid, place, label, bits, leaders):
                 total += len(a)
                 if not only_count and len(a):
                     both = np.unique(np.stack([sid[a], sid[b]], axis=1), axis=0)
@@ -384,11 +424,13 @@ def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    statistics = _statistics(docs)
+    bits = _bucket_bits(docs)
+    statistics = _statistics(docs, bits)
     documents = statistics.filter("bucket is null")
     sets = stored(documents.filter("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "ngram-members")
-    lists = _index(docs, _frequent_buckets(statistics))
+    lists = _index(docs, _frequent_buckets(statistics), bits)
+    lists = _with_bits(lists, sets)
     entries = lists.count()
     labelled, links, parts, before, turn = lists.withColumn("label", F.col("sid")), None, None, None, 0
     while True:
