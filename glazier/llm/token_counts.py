@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from glazier.llm.common import column, read_table
 
 WORD_MARK = "▁"
-KEPT = 500_000
+KEPT = 200_000
 SLICE = 256
 UNKNOWN = -25.0  # score of one byte of a character outside the vocabulary
 
