@@ -506,56 +506,40 @@ def _sequential_unique(rows: DataFrame, checks: list[tuple[str, DataFrame, str,
     """Refuse rows whose values are taken, exactly as one-at-a-time
     processing in ``seq`` order would: a value is taken by an existing row
     or by an *accepted* earlier row of the batch.  ``checks`` = [(column,
-    existing rows, existing column, reason)] in the endpoint's order.
-
-    Rows clashing with existing rows are refused and block nobody.  The rest
-    are peeled in rounds: a row that is the earliest undecided holder of
-    each of its values is accepted; undecided rows sharing a value with it
-    are refused.  Every round decides at least the earliest row, and the
-    lineage is cut each round.  A refused row's reason is its first check
-    whose value is taken (existing, or accepted with a lower seq)."""
-    cols = [c for c, _, _, _ in checks]
-    taken_existing = [existing.select(F.col(ecol).alias("_v")).distinct() for _, existing, ecol, _ in checks]
-    doomed = None
-    for (col, _, _, _), ex in zip(checks, taken_existing):
-        hit = rows.join(ex, F.col(col) == F.col("_v"), "left_semi").select("seq")
-        doomed = hit if doomed is None else doomed.unionByName(hit)
-    doomed = doomed.distinct()
-    undecided = cut_lineage(rows.join(doomed, "seq", "left_anti"))
-    accepted = None
-    while undecided.limit(1).count() > 0:
-        free = undecided
-        for col in cols:
-            first = undecided.groupBy(F.col(col).alias("_v")).agg(F.min("seq").alias("_s"))
-            free = free.join(first, (F.col(col) == F.col("_v")) & (F.col("seq") == F.col("_s")), "left_semi")
-        free = cut_lineage(free)
-        accepted = free if accepted is None else cut_lineage(accepted.unionByName(free))
-        rest = undecided.join(free.select("seq"), "seq", "left_anti")
-        blocked = None
-        for col in cols:
-            hit = rest.join(free.select(F.col(col).alias("_v")), F.col(col) == F.col("_v"), "left_semi").select("seq")
-            blocked = hit if blocked is None else blocked.unionByName(hit)
-        undecided = cut_lineage(rest.join(blocked.distinct(), "seq", "left_anti"))
-    if accepted is None:
-        accepted = rows.limit(0)
-    refused = rows.join(accepted.select("seq"), "seq", "left_anti")
-    # reason: first check whose value is taken by an existing row or an earlier accepted row
-    out = refused.select("seq", *cols)
-    flags = []
-    for k, ((col, _, _, why), ex) in enumerate(zip(checks, taken_existing)):
-        acc = accepted.select(F.col(col).alias(f"_a{k}"), F.col("seq").alias(f"_as{k}"))
-        ex_hit = out.join(ex, F.col(col) == F.col("_v"), "left_semi").select("seq").withColumn(f"_e{k}", F.lit(True))
-        acc_hit = (out.join(acc, (F.col(col) == F.col(f"_a{k}")) & (F.col(f"_as{k}") < F.col("seq")), "left_semi")
-                   .select("seq").withColumn(f"_e{k}", F.lit(True)))
-        flag = ex_hit.unionByName(acc_hit).distinct()
-        out = out.join(flag, "seq", "left")
-        flags.append((f"_e{k}", why))
-    reason = None
-    for name, why in reversed(flags):
-        reason = F.when(F.col(name).isNotNull(), F.lit(why)) if reason is None else \
-            F.when(F.col(name).isNotNull(), F.lit(why)).otherwise(reason)
-    rejects = out.select("seq", reason.alias("reason"))
-    return rows.join(accepted.select("seq"), "seq", "left_semi"), rejects
+    existing rows, existing column, reason)] in the endpoint's order; a
+    refused row's reason is its first check whose value is taken.
+
+    Rows that share a value belong to one group.  Groups are independent; a
+    group is judged in order by one streamed fold that keeps only the values
+    its accepted rows took, however long its chains of conflicts are."""
+    cols, whys = [c for c, _, _, _ in checks], [why for _, _, _, why in checks]
+    flagged = rows.select("seq", *cols)
+    for col, existing, column, _ in checks:
+        held = existing.select(F.col(column).alias(col)).filter(F.col(col).isNotNull()).distinct()
+        flagged = flagged.join(held.withColumn(f"held_{col}", F.lit(True)), col, "left")
+    flagged = cut_lineage(flagged)
+    nodes = [F.xxhash64(F.lit(c), c) for c in cols]
+    groups = connected_groups(flagged.select(F.col("seq").alias("item"), F.explode(F.array(*nodes)).alias("node")))
+    ordered = (flagged.withColumn("node", nodes[0]).join(groups, "node")
+               .repartition("label").sortWithinPartitions("label", "seq"))
+
+    def judge(batches):
+        group, taken = None, set()
+        for batch in batches:
+            seqs, reasons = [], []
+            for r in batch.to_pylist():
+                if r["label"] != group:
+                    group, taken = r["label"], set()
+                reason = next((why for c, why in zip(cols, whys) if r[f"held_{c}"] or (c, r[c]) in taken), None)
+                if reason is None:
+                    taken.update((c, r[c]) for c in cols if r[c] is not None)
+                seqs.append(r["seq"])
+                reasons.append(reason)
+            yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64()), "reason": pa.array(reasons, pa.string())})
+
+    judged = cut_lineage(ordered.mapInArrow(judge, "seq long, reason string"))
+    return (rows.join(judged.filter("reason is null").select("seq"), "seq", "left_semi"),
+            judged.filter("reason is not null"))
 
 
 def create_stores_with_admins(t: Tables, feed: DataFrame) -> Change:

@@ -116,13 +116,15 @@ def test_category_inserts_and_uniqueness(spark):
 
 def test_constraint_violations_found(spark):
     t = tables(spark,
-               stores=[{"store_id": 1, "store_email": "a"}, {"store_id": 2, "store_email": "a"}],
+               stores=[{"store_id": 1, "store_email": "a", "store_name": "n", "store_location": "l"},
+                       {"store_id": 2, "store_email": "a", "store_name": "n"}],
                users=[{"id": 1, "username": "u", "role": "CLERK"}],
                products=[{"id": 1, "product_name": "p", "category_id": 99, "color": "c", "thickness": "t",
                           "length": D(1), "width": D(1), "area": D(1)}],
                inventory=[{"id": 1, "store_id": 3, "product_id": 1, "purchase_rate": D(1), "selling_rate": None}])
     got = {(r.table_name, r.rule, r.key_value) for r in W.constraint_violations(t).collect()}
-    assert got == {("stores", "unique:store_email", "a"), ("users", "check:role", "1"),
+    assert got == {("stores", "unique:store_email", "a"), ("stores", "not_null:store_location", "2"),
+                   ("users", "check:role", "1"), ("users", "not_null:full_name", "1"),
                    ("products", "foreign_key:category_id", "99"),
                    ("inventory", "not_null:selling_rate", "1"), ("inventory", "foreign_key:store_id", "3")}
 
@@ -198,3 +200,16 @@ def test_insert_users_matches_one_at_a_time_model(spark):
     model = register_users_loop([r.asDict() for r in users.collect()], [r.asDict() for r in feed.collect()])
     assert got == model
     assert sum(v == "accepted" for v in model.values()) > 0 and len(set(model.values())) >= 3
+
+
+def test_a_long_chain_of_conflicts(spark):
+    """Each request shares its email with the one before and its username with the one after."""
+    from brute import register_users_loop
+    n = 10_000
+    rows = [(i, "N", f"u{(i + 1) // 2}", f"e{i // 2}@x", "STORE_ADMIN", 1, T0) for i in range(n)]
+    feed = spark.createDataFrame(rows, "seq long, full_name string, username string, email string, role string, "
+                                       "store_id int, created_at timestamp_ntz")
+    res = W.insert_users(make(spark, "users", []), feed)
+    want = register_users_loop([], [dict(zip(feed.columns, r)) for r in rows])
+    assert {r.seq: r.reason for r in res.rejects.collect()} == {k: v for k, v in want.items() if v != "accepted"}
+    assert res.extra["new_users"].count() == sum(v == "accepted" for v in want.values())
