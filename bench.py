@@ -57,7 +57,7 @@ def headline(spark, t, feeds):
         "inventory_summary": lambda: _run(listings.inventory_summary(t)),
         "product_catalog": lambda: _run(listings.product_catalog(t)),
         "invoice_history": lambda: _run(listings.invoice_history(t)),
-        "invoice_history_page": lambda: _run(listings.page(listings.invoice_history(t), ["created_at"], 3, 10)),
+        "invoice_history_page": lambda: _run(listings.invoice_history_page(t, 3, 10)),
         "post_bills": post,
         "upsert_inventory": lambda: _run(changes.upsert_inventory(t.inventory, feeds["inventory_changes"]).table),
         "constraint_violations": lambda: _run(changes.constraint_violations(t)),

@@ -50,8 +50,7 @@ for _name in ("inventory_listing", "inventory_summary", "available_inventory", "
               "store_admin_list", "store_admin_profiles", "master_admin_profiles", "invoice_history"):
     register(_name)((lambda fn: lambda s, d: fn(_t(s, d)))(getattr(_L, _name)))
 
-register("invoice_history_page")(lambda s, d: _L.page(
-    _L.invoice_history(_t(s, d)), [_F.col("created_at").desc(), _F.col("invoice_id").desc()], 2, 10))
+register("invoice_history_page")(lambda s, d: _L.invoice_history_page(_t(s, d), 2, 10))
 register("inventory_listing_page")(lambda s, d: _L.page(
     _L.inventory_listing(_t(s, d)), ["store_name", "category_name", "product_name", "id"], 3, 10))
 register("invoice_page_info")(lambda s, d: _L.page_info(_t(s, d).invoices, 1, 10))
