@@ -19,7 +19,7 @@ PAGES = [(0, "u", None), (1, None, ""), (2, "u", "just text &amp; more"), (2, "u
          (None, "u", "<p>" + "long words, many. " * 20_000 + "</p>"), (5, "u", "<script>var a='<p>x</p>';</script><style>p{}</style>")]
 VECTORS = [(0, [1.0, 0.0, 0.0], 1), (1, [2.0, 0.1, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (3, [1.0, 0.0, 0.0], None), (4, None, 1),
            (5, [0.0, 0.0, 0.0], 1), (6, [float("nan"), 1.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [1.0, 0.0], 1),
-           (9, [1.0, 0.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 2), (None, [1.0, 0.0, 0.0], 1), (10, [1e200, 1e198, 0.0], 1),
+           (9, [1.0, 0.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 2), (None, [1.0, 0.0, 0.0], 1), (10, [1e30, 1e28, 0.0], 1),
            (11, [float("inf"), 0.0, 0.0], 1), (12, [], 1)]
 TURNS = [(1, 0, "user", "How do I sort\nthis list?"), (1, 1, "assistant", "> How do I sort\n> this list?\nUse sorted."),
          (1, 2, "user", "> > How do I   sort\n> Use sorted.\nThanks!"), (1, 3, "user", "> how do i sort\nMe too"),
