@@ -18,7 +18,8 @@ one member of the index.  The steps:
 
 All steps are exact: prefix, size, position and bitmap tests only drop pairs that cannot be similar.
 
-Bounds: at most 2^22 frequent buckets are broadcast, after a check of their number.  Lists are streamed and cut into blocks, copies
+Bounds: at most 2^22 frequent buckets are broadcast, after a check of their number, and a bitmap of 4 MB
+that picks the documents whose sets are read again.  Lists are streamed and cut into blocks, copies
 are collapsed before the shuffle, and no list, component or set of pairs is collected.
 
 Defined cases: documents without words have an empty set, no links and their own id as component; with
@@ -48,6 +49,7 @@ FLUSH = 1_000_000  # shingles counted at once in a task, at least
 PAIRS = 250_000  # pairs of entries tested at once in a task
 BLOCK = 1024  # entries of a list block
 LONG, LIST_CELLS = 64, 1024  # lists of so many entries carry bitmaps of so many cells
+MARKS = 1 << 25  # bits of the bitmap that picks documents to read again
 LEADERS = 8  # orders in which lists choose their leaders, a round
 
 
@@ -57,8 +59,8 @@ def _signature(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles of each of 2n to 4n cells (1024 to 65536)."""
-    cells = min(max(LIST_CELLS, 1 << (2 * len(shingles) - 1).bit_length()), 1 << 16)
+    """Parity of the shingles of each of n to 2n cells (1024 to 65536)."""
+    cells = min(max(LIST_CELLS, 1 << (len(shingles) - 1).bit_length()), 1 << 16)
     return np.packbits(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
 
@@ -254,8 +256,7 @@ def _index(docs: DataFrame, frequent, bits: int) -> DataFrame:
 
 def _with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Entries of long lists with their sets' bitmaps, folded to ``LIST_CELLS`` cells; of others with NULL."""
-    long = lists.filter(F.col("entry") == LONG - 1).select("token")
-    entries = lists.join(long, "token", "left_semi")
+    long = lists.filter(F.col("entry") == LONG - 1).select("token", F.lit(True).alias("long"))
     schema = pa.schema([("sid", pa.int64()), ("bits", pa.binary())])
 
     def fold(batches):
@@ -264,10 +265,10 @@ def _with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
                       for b in column(batch, "bitmap").to_pylist()]
             yield batch_of(schema, column(batch, "sid"), folded)
 
-    wanted = sets.join(entries.select("sid").distinct(), "sid", "left_semi").select("sid", "bitmap")
-    bits = wanted.dropDuplicates(["sid"]).mapInArrow(fold, "sid long, bits binary")
-    return stored(entries.join(bits, "sid").select(*lists.columns, "bits").union(
-        lists.join(long, "token", "left_anti").select(*lists.columns, F.lit(None).cast("binary"))), "ngram-entries")
+    bits = sets.select("sid", "bitmap").dropDuplicates(["sid"]).mapInArrow(fold, "sid long, bits binary")
+    flagged = lists.join(long, "token", "left").withColumn("long", F.coalesce("long", F.lit(False)))
+    return stored(flagged.join(bits.withColumn("long", F.lit(True)), ["sid", "long"], "left")
+                  .select(*lists.columns, "bits"), "ngram-entries")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
@@ -382,6 +383,28 @@ def _pairs(lists: DataFrame, leaders: int | None = None, only_count: bool = Fals
 
 # --- verification and components --------------------------------------------------------------
 
+def _mark_cells(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+
+
+def _marked(wanted: DataFrame):
+    """Broadcast of a bitmap of ``MARKS`` bits (4 MB at any size) with a bit set for every wanted document."""
+    schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
+
+    def mark(batches):
+        for batch in batches:
+            cell = _mark_cells(longs(batch, "doc_id"))
+            word, at = np.unique(cell >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, at, np.uint64(1) << (cell & 63).astype(np.uint64))
+            yield batch_of(schema, word, bits.view(np.int64))
+
+    rows = wanted.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(MARKS >> 6, np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(words)
+
+
 def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets (ids of their first documents) that are similar: by bitmaps first, then exactly."""
     def side(of: str) -> DataFrame:
@@ -401,17 +424,23 @@ def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
                   .select(*schema.names, "bitmap_a", "bitmap_b")
                   .mapInArrow(bounded, "rep_a long, rep_b long, n_a long, n_b long"), "ngram-near")
     wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
+    marks = _marked(wanted)
     held = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def read(batches):
+        words = marks.value
         for batch in batches:
+            batch = batch.filter(column(batch, "doc_id").is_valid())
+            cell = _mark_cells(longs(batch, "doc_id"))
+            batch = batch.filter(pa.array((words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 yield batch_of(held, column(some, "doc_id"),
                                [shingle_set(t, WORDS).view(np.int64) for t in _texts(some)])
 
+    # The marks pass all wanted documents and few others; the joins below are exact.
     shingled = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-                      .join(wanted, "doc_id", "left_semi").mapInArrow(read, "doc_id long, shingles array<bigint>"), "ngram-sets")
+                      .mapInArrow(read, "doc_id long, shingles array<bigint>"), "ngram-sets")
 
     def of(s: str) -> DataFrame:
         return shingled.select(F.col("doc_id").alias(f"rep_{s}"), F.col("shingles").alias(f"shingles_{s}"))
@@ -435,8 +464,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labelled, links, parts, before, turn = lists.withColumn("label", F.col("sid")), None, None, None, 0
     while True:
         left = _pairs(labelled, only_count=True).agg(F.sum("a")).first()[0] or 0
-        # Leaders are asked while they save pairs and the pairs exceed a few times the index.
-        if left <= 4 * entries or (before is not None and left > 0.9 * before):
+        # Leaders are asked while they save pairs and the pairs are not far fewer than the entries.
+        if 2 * left <= entries or (before is not None and left > 0.8 * before):
             break
         found = _links(docs, _pairs(labelled, leaders=turn), sets)
         links = found if links is None else links.union(found)
