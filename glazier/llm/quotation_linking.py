@@ -83,9 +83,10 @@ def _paths(messages: DataFrame) -> DataFrame:
     chains = stored(messages.select("mid", F.col("parent").alias("up"), F.array(F.struct("turn", "mid")).alias("path")), "replies")
     while chains.filter("up is not null").limit(1).count():
         above = chains.select(F.col("mid").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        chains = stored(chains.join(above, "up", "left").select(
+        longer = chains.filter("up is not null").join(above, "up", "left").select(
             "mid", F.col("next").alias("up"),
-            F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path")), "replies")
+            F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
+        chains = stored(chains.filter("up is null").select("mid", "up", "path").union(longer), "replies")
     return chains.select("mid", "path")
 
 
