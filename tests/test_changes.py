@@ -205,7 +205,7 @@ def test_insert_users_matches_one_at_a_time_model(spark):
 def test_a_long_chain_of_conflicts(spark):
     """Each request shares its email with the one before and its username with the one after."""
     from brute import register_users_loop
-    n = 1_000
+    n = 100
     rows = [(i, "N", f"u{(i + 1) // 2}", f"e{i // 2}@x", "STORE_ADMIN", 1, T0) for i in range(n)]
     feed = spark.createDataFrame(rows, "seq long, full_name string, username string, email string, role string, "
                                        "store_id int, created_at timestamp_ntz")
