@@ -1,8 +1,10 @@
 """Operator 4, mixing sources to target weights by iterative proportional fitting.
 
 1. Every document gets its token weight (words) and a topic.  Topics are those of a small k-means
-   model of hashed word counts less the mean of the document's language, so that topics cross
-   languages; it is fitted on a bounded sample in hash order and applied to every document.
+   model of hashed word counts less the mean of the document's language class, so that topics cross
+   languages.  Texts are read once into stored word counts; means and rounds are sums over the
+   distinct ones of all documents, so copies count once.  Sums are of whole numbers: no order of
+   tasks changes a topic.
 2. Token weights are summed per cell of the target classes: source x language x topic.  Values without
    a target of their own share the class ``*``, so the cells are bounded by the targets, not the data.
 3. Raking: the cell weights are scaled to each marginal in turn until all agree with the targets.
@@ -30,7 +32,7 @@ from glazier.llm.common import column, mix64, read_table, stored
 from glazier.llm.shingles import word_hashes
 
 REST = "*"
-TOPICS, TOPIC_CELLS, TOPIC_SAMPLE = 6, 256, 2000
+TOPICS, TOPIC_CELLS = 6, 256
 # Production targets: shares of tokens by source and language.
 TARGETS = {
     "source": {"src0": 0.15, "src1": 0.06, "src2": 0.06, "src3": 0.06, REST: 0.67},
@@ -39,13 +41,24 @@ TARGETS = {
 TOPIC_TEMPER = 0.8  # topic targets: shares of tokens to this power
 BUDGET = 0.5
 MOST_RATIO = 30.0
+_UNIT = 2.0**30  # vectors are summed as whole numbers of 1 / _UNIT: 2^33 documents fit a sum
 
 
-def _word_vector(words: np.ndarray) -> np.ndarray:
-    """Unit vector of the square roots of hashed word counts."""
-    v = np.sqrt(np.bincount((words & np.uint64(TOPIC_CELLS - 1)).astype(np.int64), minlength=TOPIC_CELLS).astype(float))
-    norm = np.sqrt((v * v).sum())
-    return v / norm if norm else v
+def _word_counts(words: np.ndarray) -> bytes:
+    """Hashed word counts, each in as few bytes as the largest one needs."""
+    counts = np.bincount((words & np.uint64(TOPIC_CELLS - 1)).astype(np.int64), minlength=TOPIC_CELLS)
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1.0)
+
+
+def _word_vectors(counts: list[bytes]) -> np.ndarray:
+    """Unit vectors of the square roots of word counts."""
+    rows = [np.frombuffer(c, f"u{len(c) // TOPIC_CELLS}").astype(float) for c in counts]
+    return _unit(np.sqrt(np.array(rows).reshape(-1, TOPIC_CELLS)))
 
 
 def _texts(batch: pa.RecordBatch, text: str) -> list[bytes | None]:
@@ -62,70 +75,103 @@ class Topics:
     def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
         self.means, self.centres = means, centres
 
-    def of(self, words: np.ndarray, lang: str) -> int:
-        v = _word_vector(words)
-        return int((self.centres @ (v - self.means.get(lang, 0.0))).argmax())
+    def differences(self, counts: list[bytes], langs: list[str]) -> np.ndarray:
+        none = np.zeros(TOPIC_CELLS)
+        return _word_vectors(counts) - np.array([self.means.get(g, none) for g in langs]).reshape(-1, TOPIC_CELLS)
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        # Row by row sums, so that a document's topic does not depend on its batch.
+        return np.stack([(x * c).sum(axis=1) for c in self.centres], axis=1).argmax(axis=1)
 
-def fit_topics(docs: DataFrame, langs: dict[str, float], lang: str = "lang", text: str = "text", key: str = "doc_id",
-               topics: int = TOPICS, rows: int = TOPIC_SAMPLE, rounds: int = 20, seed: int = 4) -> Topics:
-    """Topics from the ``rows`` documents first in hash order."""
-    ids = docs.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(rows)
-    sample = docs.select(key, F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(ids), key)  # at most ``rows`` ids
+    def of(self, counts: list[bytes], langs: list[str]) -> np.ndarray:
+        return self.nearest(self.differences(counts, langs))
 
-    def vectors(batches):
+
+def _sums(vectors: DataFrame, grouped) -> dict[str, tuple[np.ndarray, int]]:
+    """Sums and numbers of the vectors of every group; ``grouped`` gives a batch's groups and vectors.  A task
+    passes on one row a group, and the groups' sums reach the driver."""
+    def add(batches):
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, key), pa.array([_known(v, langs) for v in column(batch, "lang").to_pylist()]),
-                 pa.array([_word_vector(word_hashes(t or b"")) for t in _texts(batch, "text")], pa.list_(pa.float64()))],
-                ["id", "lang", "v"])
-
-    found = sample.mapInArrow(vectors, "id long, lang string, v array<double>").orderBy("id").collect()
-    x = np.array([r["v"] for r in found]).reshape(-1, TOPIC_CELLS)
-    of = np.array([r["lang"] for r in found], dtype=object)
-    means = {k: x[of == k].mean(axis=0) for k in sorted(set(of))}
-    for k, mean in means.items():
-        x[of == k] -= mean
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = rng.standard_normal((topics, TOPIC_CELLS))
-    for _ in range(rounds if len(x) else 0):
-        centres /= np.maximum(np.sqrt((centres ** 2).sum(axis=1, keepdims=True)), 1e-12)
-        near = (x @ centres.T).argmax(axis=1)
-        for k in range(topics):
-            if (near == k).any():
-                centres[k] = x[near == k].sum(axis=0)
-    return Topics(means, centres / np.maximum(np.sqrt((centres ** 2).sum(axis=1, keepdims=True)), 1e-12))
-
-
-def _profiles(batch: pa.RecordBatch, topics: Topics, langs: dict[str, float], lang: str, text: str, key: str, seed: int):
-    """Token weights, topics and uniform numbers of a batch's documents."""
-    weights, found = [], []
-    for t, g in zip(_texts(batch, text), column(batch, lang).to_pylist()):
+            names, x = grouped(column(batch, "counts").to_pylist(), column(batch, "lang").to_pylist())
+            x = np.column_stack([np.rint(x * _UNIT).astype(np.int64), np.ones(len(x), np.int64)])
+            for k in sorted(set(names.tolist())):
+                held[str(k)] = held.get(str(k), 0) + x[names == k].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(
+            [v.tolist() for v in held.values()], pa.list_(pa.int64()))], ["name", "parts"])
+
+    rows = (vectors.mapInArrow(add, "name string, parts array<long>").select("name", F.posexplode("parts").alias("at", "part"))
+            .groupBy("name", "at").agg(F.sum("part").alias("part")).collect())
+    found = {r["name"]: np.zeros(TOPIC_CELLS + 1, np.int64) for r in rows}
+    for r in rows:
+        found[r["name"]][r["at"]] = r["part"]
+    return {k: (v[:-1] / _UNIT, int(v[-1])) for k, v in found.items()}
+
+
+def fit_topics(measured: DataFrame, langs: dict[str, float], lang: str = "lang", topics: int = TOPICS, rounds: int = 20,
+               seed: int = 4) -> Topics:
+    """Topics from the distinct word counts of all rows of ``profile``."""
+    vectors = stored(measured.select(F.coalesce(_class(lang, langs), F.lit(REST)).alias("lang"), "counts").distinct(), "vectors")
+    sums = _sums(vectors, lambda counts, of: (np.array(of, dtype=object), _word_vectors(counts)))
+    model = Topics({k: total / n for k, (total, n) in sorted(sums.items())},
+                   _unit(np.random.default_rng(seed).standard_normal((topics, TOPIC_CELLS))))
+
+    def near(counts, of):
+        x = _unit(model.differences(counts, of))
+        return model.nearest(x), x
+
+    for _ in range(rounds if sums else 0):
+        centres = model.centres.copy()
+        for k, (total, _n) in _sums(vectors, near).items():
+            centres[int(k)] = total
+        centres = _unit(centres)
+        if (centres == model.centres).all():
+            break
+        model = Topics(model.means, centres)
+    return model
+
+
+def _profiles(batch: pa.RecordBatch, text: str, key: str, seed: int):
+    """Token weights, word counts and uniform numbers of a batch's documents."""
+    weights, counts = [], []
+    for t in _texts(batch, text):
         words = word_hashes(t or b"")
         weights.append(len(words))
-        found.append(str(topics.of(words, _known(g, langs))))
+        counts.append(_word_counts(words))
     ids = column(batch, key).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
     uniform = (mix64(ids.view(np.uint64) * np.uint64(2) + mix64(np.array([seed], np.uint64))) >> np.uint64(11)) / 2.0**53
-    return weights, found, uniform
+    return weights, counts, uniform
 
 
-def profile(docs: DataFrame, topics: Topics, langs: dict[str, float], keep: list[str], lang: str = "lang",
-            text: str = "text", key: str = "doc_id", seed: int = 4) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with n_words, topic (as text) and the document's uniform number."""
-    kinds = docs.select(*keep).schema.add("n_words", "long").add("topic", "string").add("uniform", "double")
+def profile(docs: DataFrame, keep: list[str], text: str = "text", key: str = "doc_id", seed: int = 4) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with n_words, counts (of hashed words) and the document's uniform number."""
+    kinds = docs.select(*keep).schema.add("n_words", "long").add("counts", "binary").add("uniform", "double")
 
     def measure(batches):
         for batch in batches:
-            weights, found, uniform = _profiles(batch, topics, langs, lang, text, key, seed)
+            weights, counts, uniform = _profiles(batch, text, key, seed)
             yield pa.RecordBatch.from_arrays(
-                [*[column(batch, c) for c in keep], pa.array(weights, pa.int64()), pa.array(found, pa.string()),
-                 pa.array(uniform)], [*keep, "n_words", "topic", "uniform"])
+                [*[column(batch, c) for c in keep], pa.array(weights, pa.int64()), pa.array(counts, pa.binary()),
+                 pa.array(uniform)], [*keep, "n_words", "counts", "uniform"])
 
     return docs.mapInArrow(measure, kinds)
 
 
+def with_topics(measured: DataFrame, topics: Topics, langs: dict[str, float], lang: str = "lang") -> DataFrame:
+    """Rows of ``profile`` with their topic (as text) in place of the counts."""
+    kept = [c for c in measured.columns if c not in ("counts", "uniform")]
+    kinds = measured.select(*kept).schema.add("topic", "string").add("uniform", "double")
+
+    def name(batches):
+        for batch in batches:
+            found = topics.of(column(batch, "counts").to_pylist(), [_known(g, langs) for g in column(batch, lang).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [*[column(batch, c) for c in kept], pa.array([str(k) for k in found], pa.string()), column(batch, "uniform")],
+                [*kept, "topic", "uniform"])
+
+    return measured.mapInArrow(name, kinds)
+
+
 def rake(tokens: np.ndarray, classes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500,
          within: float = 1e-9, most: float = MOST_RATIO) -> np.ndarray:
     """Cell weights with the given marginal shares, as near the cells' tokens as proportional fitting
@@ -209,8 +255,9 @@ def tempered(profiles: DataFrame, name: str, power: float, tokens: str = "n_word
 
 def _production(docs: DataFrame) -> tuple[Topics, DataFrame, dict[str, dict[str, float]]]:
     """Topics, stored profiles of all documents, and the production targets."""
-    topics = fit_topics(docs, TARGETS["lang"])
-    profiles = stored(profile(docs, topics, TARGETS["lang"], ["doc_id", "source", "lang"]), "profiles")
+    measured = stored(profile(docs, ["doc_id", "source", "lang"]), "word-counts")
+    topics = fit_topics(measured, TARGETS["lang"])
+    profiles = stored(with_topics(measured, topics, TARGETS["lang"]), "profiles")
     return topics, profiles, {**TARGETS, "topic": tempered(profiles, "topic", TOPIC_TEMPER)}
 
 
@@ -228,8 +275,10 @@ def sample_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def draw(batches):
         for batch in batches:
-            _, found, uniform = _profiles(batch, topics, langs, "lang", "text", "doc_id", 4)
-            rows = zip(column(batch, "source").to_pylist(), column(batch, "lang").to_pylist(), found)
+            _, counts, uniform = _profiles(batch, "text", "doc_id", 4)
+            spoken = column(batch, "lang").to_pylist()
+            found = topics.of(counts, [_known(g, langs) for g in spoken])
+            rows = zip(column(batch, "source").to_pylist(), spoken, [str(k) for k in found])
             classes = [tuple(_known(v, targets[n]) for n, v in zip(targets, row)) for row in rows]
             yield batch.filter(pa.array([u < chances.get(c, 0.0) for c, u in zip(classes, uniform)], pa.bool_()))
 

@@ -359,6 +359,24 @@ def test_drawn_tokens_follow_the_probabilities(spark):
     assert all(shares[k] == pytest.approx(v / sum(wanted.values()), abs=1e-6) for k, v in wanted.items())
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Means over all distinct texts, also of a language with 3 rows in 5,000; copies change nothing."""
+    rng = random.Random(8)
+    rows = [(i, "src0", "fr" if i % 2000 == 7 else "en", " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(5000)]
+    kinds, langs = "doc_id long, source string, lang string, text string", mixing.TARGETS["lang"]
+
+    def fitted(made):
+        docs = spark.createDataFrame(made, kinds).repartition(5)
+        return mixing.fit_topics(mixing.profile(docs, ["doc_id", "lang"]), langs, rounds=3)
+
+    model = fitted(rows)
+    for lang in ("en", "fr"):
+        vectors = [np.sqrt(np.bincount(shingles.word_hashes(r[3].encode()) % np.uint64(256), minlength=256)) for r in rows if r[2] == lang]
+        assert model.means[lang] == pytest.approx(np.mean([v / np.linalg.norm(v) for v in vectors], axis=0), abs=1e-8)
+    copied = fitted(rows + [(i, *rows[0][1:]) for i in range(5000, 7500)])
+    assert (copied.centres == model.centres).all() and all((copied.means[k] == model.means[k]).all() for k in model.means)
+
+
 def test_replies_follow_the_turns(spark):
     """In the stand-in mail every turn quotes the one before, unless that has no text."""
     rows = queries.QUERIES["op1_quotation_linking"](spark, SF).collect()
