@@ -4,10 +4,11 @@ Messages (conv_id, turn, role, text) quote earlier ones with ``>`` marks, possib
 
 1. Lines are parsed into a quote level (number of leading marks) and a body; neighbouring lines of one
    level form a passage.
-2. Passages and their lines are normalised (case, white space) and hashed with the conversation.  Only
-   the earliest message that wrote a hash itself is kept per hash, so a phrase used by many messages
-   stays one row and every quotation meets one original at most.
-3. A quoted passage votes for originals with the characters matched; earlier messages only.  The
+2. Passages and their lines are normalised (case, white space) and hashed with the conversation.  All
+   writers of a hash are kept; in the order of (hash, turn) every quotation sees the latest one of an
+   earlier turn before it, so that no pairs are formed.  The order is cut into ranges, each followed on
+   its own, and the last writer of a cut is handed on to the next ones.
+3. A quoted passage votes for originals with the characters matched; the nearest wins a tie.  The
    original of the least quoted level is what a message replies to; a message without a linked
    quotation replies to the one before it.
 4. Reply chains are resolved by pointer doubling, each round written to the shared folder, into paths
@@ -66,15 +67,38 @@ def _units(found: DataFrame) -> DataFrame:
                     F.xxhash64("conv_id", "u.kind", "u.unit").alias("hash")))
 
 
+def _latest_writers(units: DataFrame) -> DataFrame:
+    """Quoting ``units`` with o, the latest (turn, mid) of an earlier turn that wrote their hash; null if none.
+    Of several writers in one turn it is the one with the least mid."""
+    # Writers follow the quotations of their own turn; null turns are no one's earlier turn.
+    written = (units.filter("level = 0 and turn is not null").groupBy("hash", "turn").agg(F.min("mid").alias("mid"))
+               .select("hash", "turn", F.lit(1).alias("wrote"), "mid", F.lit(None).cast("int").alias("run"),
+                       F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("weight")))
+    rows = written.unionByName(units.filter("level > 0").withColumn("wrote", F.lit(0)).select(written.columns))
+    line = ["hash", "turn", "wrote", "mid", "run", "weight"]
+    # One stored copy of the range sort: a second evaluation may cut elsewhere.
+    cuts = stored(rows.orderBy(*line).withColumn("cut", F.shiftright(F.monotonically_increasing_id(), 33)), "units")
+    writer = F.when(F.col("wrote") == 1, F.struct("turn", "mid"))
+    # The last writer of a hash in a cut, for the hash's later cuts: only a cut's last hash has any.
+    ends = cuts.groupBy("cut").agg(F.max("hash").alias("hash"))
+    last = (cuts.join(F.broadcast(ends), ["cut", "hash"]).groupBy("cut", "hash")
+            .agg(F.max(writer).alias("o")))  # a row a cut
+    handed = last.filter("o is not null").select(F.col("cut").alias("from"), F.col("hash").alias("of"), "o")
+    starts = cuts.groupBy("cut").agg(F.min("hash").alias("of"))
+    handed = (starts.join(handed, "of").filter(F.col("from") < F.col("cut"))
+              .groupBy(F.col("cut"), F.col("of").alias("hash")).agg(F.max("o").alias("earlier")))
+    within = Window.partitionBy("cut", "hash").orderBy(*line[1:])
+    seen = cuts.withColumn("o", F.last(writer, ignorenulls=True).over(within)).filter("wrote = 0")
+    return (seen.join(F.broadcast(handed), ["cut", "hash"], "left")
+            .select("mid", "run", "level", "weight", F.coalesce("o", "earlier").alias("o")))
+
+
 def link_quotations(found: DataFrame) -> DataFrame:
     """(mid, run, level, original, original_turn) of the quoted passages that have an original."""
-    units = _units(found)
-    originals = (units.filter("level = 0").groupBy("hash")
-                 .agg(F.min(F.struct("turn", "mid")).alias("o")).select("hash", "o"))
-    votes = (units.filter("level > 0").join(originals, "hash").filter(F.col("o.turn") < F.col("turn"))
+    votes = (_latest_writers(_units(found)).filter("o is not null")
              .groupBy("mid", "run", "level", "o").agg(F.sum("weight").alias("votes")))
     return (votes.groupBy("mid", "run", "level")
-            .agg(F.max_by("o", F.struct("votes", -F.col("o.turn"), "o.mid")).alias("o"))
+            .agg(F.max_by("o", F.struct("votes", "o.turn", "o.mid")).alias("o"))
             .select("mid", "run", "level", F.col("o.mid").alias("original"), F.col("o.turn").alias("original_turn")))
 
 

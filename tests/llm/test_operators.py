@@ -386,3 +386,23 @@ def test_replies_follow_the_turns(spark):
         assert re.sub(r"\s+", " ", r.content).strip() == re.sub(r"\s+", " ", own[r.conv_id, r.turn]).strip()
         assert r.parent_turn == (r.turn - 1 if r.turn else None) and r.reply_order == r.turn
         assert r.n_quotes == min(r.turn, 2) and r.n_linked == r.n_quotes
+
+
+def test_a_repeated_text_is_linked_to_its_latest_writer(spark):
+    """Greetings written in many turns, against a plain search; the hot line spans several cuts of the order."""
+    from glazier.llm import quotation_linking
+    rng = random.Random(9)
+    rows, wanted = [], {}
+    for conv in range(4):
+        own = []
+        for turn in range(300 if conv == 0 else 12):
+            text = rng.choice(["Hello there.", "Thank you!", f"Answer {turn} of mine."])
+            # A quotation of a writer, as its latest copy before this turn.
+            quoted = rng.choice(own) if own else None
+            rows.append((conv, turn, "user", f"> {quoted}\n{text}" if quoted else text))
+            wanted[conv, turn] = max(i for i, t in enumerate(own) if t == quoted) if quoted else None
+            own.append(text)
+    found = quotation_linking.link_conversations(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in found} == wanted
+    assert all(r.n_linked == r.n_quotes for r in found)
