@@ -7,7 +7,8 @@
   the ``RATES``, ``CLASSES`` subsets each), so that short and long documents both have subsets with a few terms.
 * Fingerprint: for every subset, the document's distinct terms there are sorted and hashed; a
   subset without terms leaves an empty field, and so do the subsets of rates too dense for the
-  text, which any edit would change.  Fields are joined by dots.
+  text, which any edit would change.  Sparser rates follow the ``RATES`` until the last one suits a
+  text with all terms of the lexicon, so no text is too long for all of them.  Fields are joined by dots.
 * Likeness of two fingerprints: equal fields over fields filled in either, 0 if none is.
 
 Everything is DataFrame expressions.  The lexicon reaches the documents as a constant array
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import json
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,25 @@ def _bits(h: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def rates_for(terms: int) -> tuple[int, ...]:
+    """The RATES and as many sparser ones as texts of up to ``terms`` lexicon terms need."""
+    rates = list(RATES)
+    while FULL << rates[-1] < terms:
+        rates.append(rates[-1] + 2)
+    return tuple(rates)
+
+
+def _subset(h: Column, bits: int) -> Column:
+    """Number of a term at a rate: bits of its own up to the last of RATES, of its hash's hash beyond."""
+    return _bits(h, _FIRST_BIT[bits], bits) if bits in _FIRST_BIT else _bits(F.xxhash64(h, F.lit(bits)), 0, bits)
+
+
+class Cells(NamedTuple):
+    """A lexicon as a constant column, and the rates its size asks for."""
+    known: Column
+    rates: tuple[int, ...]
+
+
 def term_hashes(text: Column) -> Column:
     """Distinct 64-bit hashes of a text's lower-cased words."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
@@ -62,33 +83,34 @@ def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF)
     return found.filter((idf >= F.lit(min_idf)) & (idf <= F.lit(max_idf))).select("term", "df")
 
 
-def lexicon_cells(terms: DataFrame) -> Column:
+def lexicon_cells(terms: DataFrame) -> Cells:
     """The lexicon as a constant: an array of 2^CELL_BITS arrays of term hashes.  Its terms, bounded by
     the band (above), pass through the driver into the plan."""
     cells: list[list[int]] = [[] for _ in range(1 << CELL_BITS)]
     for (term,) in terms.select("term").toLocalIterator():
         cells[(term >> _CELL_AT) & ((1 << CELL_BITS) - 1)].append(term)
-    return F.from_json(F.lit(json.dumps([sorted(c) for c in cells])), "array<array<bigint>>")
+    return Cells(F.from_json(F.lit(json.dumps([sorted(c) for c in cells])), "array<array<bigint>>"),
+                 rates_for(sum(map(len, cells))))
 
 
-def fingerprint(text: Column, cells: Column) -> Column:
+def fingerprint(text: Column, cells: Cells) -> Column:
     """Fingerprint column of ``text`` given the lexicon as ``lexicon_cells``."""
     def known(h: Column) -> Column:
-        return F.array_contains(F.element_at(cells, (_bits(h, _CELL_AT, CELL_BITS) + 1).cast("int")), h)
+        return F.array_contains(F.element_at(cells.known, (_bits(h, _CELL_AT, CELL_BITS) + 1).cast("int")), h)
 
     def field(terms: Column, bits: int, chosen: int) -> Column:
-        held = F.filter(terms, lambda h: _bits(h, _FIRST_BIT[bits], bits) == F.lit(chosen))
+        held = F.filter(terms, lambda h: _subset(h, bits) == F.lit(chosen))
         return F.when(F.size(held) == 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(
             F.xxhash64(held).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
 
     def fields(terms: Column, bits: int) -> Column:
         held = terms if 1 << bits <= CLASSES else F.filter(
-            terms, lambda h: _bits(h, _FIRST_BIT[bits], bits) < F.lit(CLASSES))
+            terms, lambda h: _subset(h, bits) < F.lit(CLASSES))
         filled = _bound(held, lambda t: F.concat_ws(".", *[field(t, bits, chosen) for chosen in range(CLASSES)]))
         return F.when(F.size(terms) > (FULL << bits), F.lit("." * (CLASSES - 1))).otherwise(filled)
 
     terms = F.sort_array(F.filter(term_hashes(text), known))
-    return _bound(terms, lambda t: F.concat_ws(".", *[fields(t, bits) for bits in RATES]))
+    return _bound(terms, lambda t: F.concat_ws(".", *[fields(t, bits) for bits in cells.rates]))
 
 
 def _bound(value: Column, use) -> Column:
@@ -96,7 +118,7 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def fingerprint_texts(docs: DataFrame, cells: Column, text: str = "text", name: str = "fingerprint") -> DataFrame:
+def fingerprint_texts(docs: DataFrame, cells: Cells, text: str = "text", name: str = "fingerprint") -> DataFrame:
     return docs.withColumn(name, fingerprint(text_or_empty(text), cells))
 
 

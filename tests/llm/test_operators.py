@@ -83,6 +83,19 @@ def test_lexicon_is_the_idf_band(spark):
     assert hashes["all"] not in found and all(n in (3, 20) for n in found.values())
 
 
+def test_very_long_texts_have_fields(spark, tmp_path):
+    """Copies of texts with 21,000 in-band terms, too many for the fixed rates."""
+    long = [" ".join(f"{name}{i}" for i in range(21_000)) for name in "ab"]
+    rows = [(9, long[0]), (8, long[0]), (7, long[1]), (6, long[1]), *[(i, f"short text {i}") for i in range(6)]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.QUERIES["op7_imatch_fingerprints"](spark, str(tmp_path)).collect()}
+    assert found[9].fingerprint.strip(".") and found[7].fingerprint.strip(".")
+    assert found[9].fingerprint == found[8].fingerprint != found[7].fingerprint
+    assert found[9].near_next == found[7].near_next == 1 and found[8].near_next == 0
+    assert 0 < found[9].near_edited <= 1
+    assert fingerprints.rates_for(16_384) == fingerprints.RATES and fingerprints.rates_for(10**6)[-1] == 17
+
+
 # --- 9 packing --------------------------------------------------------------------------------
 
 def test_packing_round_trip(spark, texts):
