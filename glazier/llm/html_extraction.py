@@ -5,7 +5,9 @@ cases).  Text is gathered into blocks; every block has its root-to-leaf path of
 
 1. Aggregate per path: text length, punctuation, blocks and linked text.
 2. Ratios: text length and punctuation per block of the path, less the linked share; blocks of
-   menus, notices, adverts, forms, side and foot parts and comments have ratio 0.
+   menus, notices, adverts, forms, side and foot parts and comments have ratio 0.  A class or id tells
+   them by a whole token or a known compound (``sidebar``, ``cookie-notice``, not ``has-sidebar``); no name
+   spares html, body or main, nor an element with most of the page's score and all its articles' text.
 3. Smooth both ratios over the sequence of blocks with a Gaussian, fuse them (geometric mean), and
    threshold the mean of every path at a share of the page's spread.
 4. The blocks of the chosen paths fix the content node: the ``article`` or ``main`` element around
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from glazier.llm.common import column, read_table
 
 # Element kinds.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
+RAW = "script|style|noscript|template|svg|annotation-xml|annotation|iframe|object|textarea|select|title"
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section "
@@ -45,6 +47,12 @@ SPARED_WORDS = COMMENT_WORDS | frozenset(
     "notice notices alert newsletter subscribe subscription signup sidebar side menu nav navbar navigation breadcrumb "
     "breadcrumbs footer header masthead related recommended recommendations share sharing social popup modal overlay "
     "widget toolbar pagination pager skip login search".split())
+# What else a compound with such a word may hold; others (has, with, no, open, closed) make it a state.
+COMPANIONS = frozenset(
+    "area bar block bottom box button col column container feed fixed form google group icon icons inline inner item "
+    "items left link links list message outer page panel post primary right row secondary section site slot sticky "
+    "text thread top unit wrapper zone".split())
+UNNAMED = frozenset("html body main".split())
 # Elements an opening tag closes first, and the elements that stop the search.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -78,22 +86,34 @@ class Block:
     linked: int
 
 
-def _state(tag: str, attrs: str, parent: int, in_content: bool) -> tuple[str, int]:
-    """Name for the path, and whether the element's text is spared."""
-    words = {w for found in _NAMES.findall(attrs) for w in _PART.findall("".join(found).lower())} if attrs else set()
-    name = ".".join([tag, *sorted(words)])
+def _named(token: str) -> frozenset[str]:
+    """The spared words of a class or id that is one of them or a known compound."""
+    parts = _PART.findall(token)
+    found = SPARED_WORDS.intersection(parts)
+    return found if all(p in found or p in COMPANIONS or len(p) == 1 for p in parts) else frozenset()
+
+
+def _state(tag: str, attrs: str, parent: int, in_content: bool, exempt: bool) -> tuple[str, int, bool]:
+    """Name for the path, whether the element's text is spared, and whether by its names alone."""
+    tokens = {t for found in _NAMES.findall(attrs) for t in "".join(found).lower().split()} if attrs else set()
+    name = ".".join([tag, *sorted({w for t in tokens for w in _PART.findall(t)})])
+    words = frozenset().union(*map(_named, tokens)) if tokens and tag not in UNNAMED else frozenset()
+    by_name = bool(words)
+    if exempt:
+        words = frozenset()
     if parent == SPARE_COMMENT or words & COMMENT_WORDS:
-        return name, SPARE_COMMENT
-    if tag in SPARED_TAGS or (tag == "header" and not in_content) or words & SPARED_WORDS \
-            or attrs and _HIDDEN.search(attrs):
-        return name, SPARE
+        return name, SPARE_COMMENT, by_name
+    if tag in SPARED_TAGS or (tag == "header" and not in_content) or words or attrs and _HIDDEN.search(attrs):
+        return name, SPARE, by_name
     # An article begins anew where a menu or an advert before it was not closed.
-    return name, KEEP if tag in ("article", "main", "body") else parent
+    return name, KEEP if tag in ("article", "main", "body") else parent, by_name
 
 
-def read_blocks(page: str) -> list[Block]:
-    """The page's blocks of text in page order."""
+def read_blocks(page: str, exempt: frozenset[int] = frozenset()) -> tuple[list[Block], frozenset[int]]:
+    """The page's blocks of text in page order, and the elements with names that spare them; those of
+    ``exempt`` are not spared by name."""
     blocks: list[Block] = []
+    named: list[int] = []
     stack = [_Element("", "", KEEP, 0)]
     parts: list[str] = []
     links = opened = linked = at = 0
@@ -141,12 +161,36 @@ def read_blocks(page: str) -> list[Block]:
                     break
         if tag not in VOID:
             opened += 1
-            name, state = _state(tag, found["attrs"], stack[-1].state, any(e.tag in ("article", "main") for e in stack))
+            name, state, by_name = _state(tag, found["attrs"], stack[-1].state,
+                                          any(e.tag in ("article", "main") for e in stack), opened in exempt)
+            if by_name:
+                named.append(opened)
             stack.append(_Element(tag, name, state, opened))
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return blocks
+    return blocks, frozenset(named)
+
+
+def _wrongly_named(page: str, blocks: list[Block], named: frozenset[int]) -> frozenset[int]:
+    """Elements of ``named`` with all unspared text of articles and most of the score the page has without names."""
+    def held(found: list[Block], values: list[float]) -> dict[int, float]:
+        sums = dict.fromkeys(named, 0.0)
+        for b, v in zip(found, values):
+            for number, _ in b.elements:
+                if number in sums:
+                    sums[number] += v
+        return sums
+
+    kept = [b for b in blocks if not b.spared and any(tag in ("article", "main") for _, tag in b.elements)]
+    inside = held(kept, [1.0] * len(kept))
+    if all(n < len(kept) for n in inside.values()):
+        return frozenset()
+    whole, _ = read_blocks(page, named)
+    scores = path_scores(whole)
+    values = [scores[b.path] for b in whole]
+    most = held(whole, values)
+    return frozenset(n for n in named if inside[n] == len(kept) and 2 * most[n] > sum(values))
 
 
 def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
@@ -178,7 +222,10 @@ def extract_text(page: str | None) -> str:
     """Main text of one page."""
     if not page:
         return ""
-    blocks = read_blocks(page)
+    blocks, named = read_blocks(page)
+    wrong = _wrongly_named(page, blocks, named) if named else named
+    if wrong:
+        blocks, _ = read_blocks(page, wrong)
     scores = path_scores(blocks)
     values = [scores[b.path] for b in blocks]
     top = max(values, default=0.0)

@@ -330,6 +330,23 @@ def test_page_cases(page, text):
     assert html_extraction.extract_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='has-sidebar'><div class=sidebar>Side.</div><p>Text one, fine. It goes on.</p><p>Text two, here.</p></body>",
+     "Text one, fine. It goes on. Text two, here."),
+    ("<body><main class='with-sidebar'><p>Text one, fine.</p></main></body>", "Text one, fine."),
+    ("<body><main class='sidebar'><p>Text one, fine.</p></main></body>", "Text one, fine."),
+    ("<body class='comments-closed'><article class='post comments-open'><p>Text one, fine.</p>"
+     "<div class='comment-list'><p>Nice.</p></div></article></body>", "Text one, fine."),
+    ("<div class='no-banner'><p>Text one, fine.</p></div><div class='ad-slot'><p>Buy, now.</p></div>", "Text one, fine."),
+    ("<div class='widget'><p>Text one, fine, and long enough.</p><p>Text two, here.</p></div><p>Short</p>",
+     "Text one, fine, and long enough. Text two, here."),
+    ("<div class='discussion'><article><p>Text one, fine.</p></article></div>", "Text one, fine."),
+    ("<article><p>As <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>a=2</annotation></math>, so.</p></article>",
+     "As a=2, so.")])
+def test_names_that_do_not_spare(page, text):
+    assert html_extraction.extract_text(page) == text
+
+
 def test_trie_counts_equal_a_plain_viterbi(texts):
     scores = token_counts.unigram_scores(token_counts.vocabulary_file())
     trie = token_counts.PretokenTrie(scores)
