@@ -5,12 +5,12 @@
    languages.  Texts are read once into stored word counts; means and rounds are sums over the
    distinct ones of all documents, so copies count once.  Sums are of whole numbers: no order of
    tasks changes a topic.
-2. Token weights are summed per cell of the target classes: source x language x topic.  Values without
-   a target of their own share the class ``*``, so the cells are bounded by the targets, not the data.
+2. Token weights are summed per cell of the target classes: source x language x topic.  Every source
+   has a target: those without one of their own share that of ``*`` by their tempered shares.  Languages
+   without one share the class ``*``.  The cells, sources x targets, pass through the driver.
 3. Raking: the cell weights are scaled to each marginal in turn until all agree with the targets.
-   Classes without documents leave their share to the others of their marginal.  A cell's weight per
-   token stays within ``MOST_RATIO`` of the corpus', so targets that no weights can meet are approached
-   without starving cells.
+   Classes without documents leave their share to the others of their marginal.  Targets that no
+   weights meet together are warned of with the largest miss; the last marginal (topic) is met then.
 4. A document's probability is the raked weight of its cell over the cell's tokens, scaled so that the
    expected sample holds ``budget`` of all tokens; probabilities stop at 1 and the others make up for it.
 5. A document is sampled if a uniform number drawn from its id lies below its probability, so the
@@ -23,6 +23,8 @@ empty table gives no rows; extra columns are kept but for output names.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +40,9 @@ TARGETS = {
     "source": {"src0": 0.15, "src1": 0.06, "src2": 0.06, "src3": 0.06, REST: 0.67},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.11, REST: 0.02},
 }
-TOPIC_TEMPER = 0.8  # topic targets: shares of tokens to this power
+TOPIC_TEMPER = 0.8  # topic targets, and sources within *: shares of tokens to this power
 BUDGET = 0.5
-MOST_RATIO = 30.0
+MISSED = 1e-6
 _UNIT = 2.0**30  # vectors are summed as whole numbers of 1 / _UNIT: 2^33 documents fit a sum
 
 
@@ -173,11 +175,11 @@ def with_topics(measured: DataFrame, topics: Topics, langs: dict[str, float], la
 
 
 def rake(tokens: np.ndarray, classes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500,
-         within: float = 1e-9, most: float = MOST_RATIO) -> np.ndarray:
+         within: float = 1e-9) -> np.ndarray:
     """Cell weights with the given marginal shares, as near the cells' tokens as proportional fitting
-    leaves them.  ``classes[d]`` is each cell's class number in marginal d, ``targets[d]`` the shares."""
-    base = tokens.astype(float) / max(tokens.sum(), 1)
-    weights = base
+    leaves them.  ``classes[d]`` is each cell's class number in marginal d, ``targets[d]`` the shares.
+    Warns if a share is missed by more than ``MISSED`` after all rounds."""
+    weights = tokens.astype(float) / max(tokens.sum(), 1)
     wanted = []
     for c, t in zip(classes, targets):
         held = np.bincount(c, weights=weights, minlength=len(t)) > 0
@@ -190,9 +192,12 @@ def rake(tokens: np.ndarray, classes: list[np.ndarray], targets: list[np.ndarray
             factor = np.divide(t, now, out=np.zeros_like(t), where=now > 0)
             worst = max(worst, float(np.abs(now - t).max()))
             weights = weights * factor[c]
-        weights = np.clip(weights, base / most, base * most)
         if worst < within:
             break
+    missed = [float(np.abs(np.bincount(c, weights=weights, minlength=len(t)) - t).max()) for c, t in zip(classes, wanted)]
+    if max(missed, default=0.0) > MISSED:
+        warnings.warn(f"targets conflict: after {rounds} rounds the marginals miss theirs by up to "
+                      + ", ".join(f"{m:.2g}" for m in missed), stacklevel=2)
     return weights
 
 
@@ -253,12 +258,22 @@ def tempered(profiles: DataFrame, name: str, power: float, tokens: str = "n_word
     return {k: p / sum(parts.values()) for k, p in parts.items()} or {REST: 1.0}
 
 
+def spread(profiles: DataFrame, name: str, targets: dict[str, float], power: float, tokens: str = "n_words") -> dict[str, float]:
+    """``targets`` with the share of ``*`` dealt to the column's other values by their tempered shares; nulls keep
+    the class ``*``."""
+    value = F.col(name).cast("string")
+    own = [v for v in targets if v != REST]
+    others = tempered(profiles.withColumn(name, F.coalesce(value, F.lit(REST))).filter(~F.col(name).isin(own)), name, power, tokens)
+    return {**{v: targets[v] for v in own}, **{v: targets[REST] * p for v, p in others.items()}}
+
+
 def _production(docs: DataFrame) -> tuple[Topics, DataFrame, dict[str, dict[str, float]]]:
     """Topics, stored profiles of all documents, and the production targets."""
     measured = stored(profile(docs, ["doc_id", "source", "lang"]), "word-counts")
     topics = fit_topics(measured, TARGETS["lang"])
     profiles = stored(with_topics(measured, topics, TARGETS["lang"]), "profiles")
-    return topics, profiles, {**TARGETS, "topic": tempered(profiles, "topic", TOPIC_TEMPER)}
+    return topics, profiles, {**TARGETS, "source": spread(profiles, "source", TARGETS["source"], TOPIC_TEMPER),
+                              "topic": tempered(profiles, "topic", TOPIC_TEMPER)}
 
 
 def op4_ipf_mixing(spark, sf_dir: str) -> DataFrame:

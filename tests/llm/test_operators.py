@@ -376,6 +376,23 @@ def test_raked_weights_meet_the_targets():
     assert (chances <= 1).all() and (chances * tokens).sum() == pytest.approx(0.3 * tokens.sum())
 
 
+def test_a_rare_class_meets_its_target():
+    tokens = np.array([1.0, 1999.0, 1.0, 1999.0])
+    classes, targets = [np.array([0, 1, 0, 1]), np.array([0, 0, 1, 1])], [np.array([0.2, 0.8]), np.array([0.3, 0.7])]
+    weights = mixing.rake(tokens, classes, targets)
+    for c, t in zip(classes, targets):
+        assert np.bincount(c, weights=weights) == pytest.approx(t)
+    with pytest.warns(UserWarning, match="targets conflict"):  # the same documents cannot be 20 % and 30 %
+        mixing.rake(tokens[:2], [np.array([0, 1])] * 2, targets)
+
+
+def test_every_source_has_a_target(spark):
+    rows = [(s, n) for s, n in (("src0", 50), ("hot", 900), ("b", 90), ("c", 9), (None, 1))]
+    made = mixing.spread(spark.createDataFrame(rows, "source string, n_words long"), "source", {"src0": 0.4, "src1": 0.1, "*": 0.5}, 0.8)
+    parts = {k: (n / 1000) ** 0.8 for k, n in (("hot", 900), ("b", 90), ("c", 9), ("*", 1))}
+    assert made == pytest.approx({"src0": 0.4, "src1": 0.1} | {k: 0.5 * p / sum(parts.values()) for k, p in parts.items()})
+
+
 def test_drawn_tokens_follow_the_probabilities(spark):
     rows = queries.QUERIES["op4_ipf_mixing"](spark, "/root/testdata/sf0.01").collect()
     expected = sum(r.probability * r.n_words for r in rows)
