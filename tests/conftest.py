@@ -1,7 +1,5 @@
-import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
@@ -10,7 +8,6 @@ sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from glazier.plans.session import get_session  # noqa: E402
-from glazier.sources.tables import SCHEMAS, Tables  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -24,24 +21,3 @@ def spark():
 def small_tables(spark):
     from glazier.sources.fixtures import retail_tables
     return retail_tables(spark, SF_SMALL)
-
-
-def D(x):
-    return None if x is None else Decimal(str(x))
-
-
-def TS(s):
-    return dt.datetime.fromisoformat(s)
-
-
-def make(spark, name, rows):
-    schema = SCHEMAS[name]
-    data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
-    return spark.createDataFrame(data, schema)
-
-
-def tables(spark, **given):
-    frames = {n: make(spark, n, given.get(n, [])) for n in
-              ("stores", "users", "glass_categories", "products", "inventory", "invoices", "invoice_items",
-               "bill_requests")}
-    return Tables(**frames)

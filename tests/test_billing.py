@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import post_bills_loop
-from conftest import D, TS, make, tables
+from retail_rows import D, TS, make, tables
 from glazier.operators import billing as B
 
 STORE = {"store_id": 1, "status": True, "default_max_discount": D(10)}

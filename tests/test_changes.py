@@ -1,6 +1,6 @@
 """Change-set jobs on hand-made tables."""
 
-from conftest import D, TS, make, tables
+from retail_rows import D, TS, make, tables
 from glazier.operators import changes as W
 
 T0 = TS("2001-08-01 00:00:00")

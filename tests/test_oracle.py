@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry_mod
+from glazier import registry
 from oracle_check import compare, duck_connection
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry_mod.oracle_sql()
-QUERIES = entry_mod.queries()
+ORACLE = {name: sql for name, sql in registry.ORACLE.items() if name in registry.QUERIES}
+QUERIES = registry.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,10 @@ def test_every_query_has_oracle_or_is_rows_only():
                          "invoice_history_json", "insert_users"}
 
 
+def test_the_entry_module_has_every_query():
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0

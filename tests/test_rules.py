@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import D, TS, make, tables
+from retail_rows import D, TS, make, tables
 from glazier.functions import rules as R
 from glazier.operators import listings as L
 from glazier.operators import reports as Rep
