@@ -10,7 +10,8 @@ order.  A (store, product) key is uncontended when the total quantity
 requested on it by every bill that passes validation is within its starting
 stock: then no line on it can ever fail, whatever is accepted before it.
 Bills touching only uncontended keys are decided at once.  The others are
-decided by rounds of prefix sums per key (``_accepted_contended``), and only
+decided by rounds of running sums per key (``_accepted_contended``), in which a hot
+key is spread over all tasks (``glazier.plans.prefix``), and only
 chains of bills that would need many rounds by an ordered fold
 (``_fold_rest``), which streams and keeps one stock number per key.
 """
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from glazier.functions.rules import effective_max_discount, line_dimensions, line_price
 from glazier.plans.groups import connected_groups
+from glazier.plans.prefix import cut_ranges, sums_before
 from glazier.plans.session import cut_lineage
 from glazier.sources.tables import Tables, conform
 
 # Reasons a bill is refused.
+R_NO_ITEMS = "no_items"
 R_INVALID_ITEM = "invalid_product_or_quantity"
 R_INVALID_WIDTH = "invalid_width"
 R_INVALID_HEIGHT = "invalid_height"
@@ -46,10 +49,12 @@ def validate_bill_requests(reqs: DataFrame) -> DataFrame:
     """B1: per-line request checks, in the order the request is read.
 
     ``invalid_reason`` is the line's first failing check (NULL when valid).
+    A bill needs an item: one without any is a single row without ``line_no``.
     A product id must be present (0 is a valid id here) and the quantity > 0;
     width, height and area must be > 0 and charged_rate >= 0 when given."""
     q = F.col("quantity")
-    reason = (F.when(F.col("product_id").isNull() | q.isNull() | (q <= 0), F.lit(R_INVALID_ITEM))
+    reason = (F.when(F.col("line_no").isNull(), F.lit(R_NO_ITEMS))
+              .when(F.col("product_id").isNull() | q.isNull() | (q <= 0), F.lit(R_INVALID_ITEM))
               .when(F.col("width").isNotNull() & (F.col("width") <= 0), F.lit(R_INVALID_WIDTH))
               .when(F.col("height").isNotNull() & (F.col("height") <= 0), F.lit(R_INVALID_HEIGHT))
               .when(F.col("charged_rate").isNotNull() & (F.col("charged_rate") < 0), F.lit(R_INVALID_CHARGED_RATE))
@@ -179,59 +184,62 @@ def bill_receipts(invoices: DataFrame, items: DataFrame, products: DataFrame) ->
 
 # --- B8 -----------------------------------------------------------------------
 
-SLOW_ROUND = 0.1  # rounds that decide a smaller share of the open bills leave the rest to the fold
+SLOW_ROUND = 0.1  # rounds that decide a smaller share of the open rows leave the rest to the fold
+STOCK_KEY = ["store_id", "product_id"]
 
 
 def _accepted_contended(wants: DataFrame) -> DataFrame:
     """(bill_id) of the accepted bills among those that want contended stock.
 
-    ``wants``: per bill and key the quantity taken and the largest line
-    (``taken``, ``most``), the key's starting stock and the bill's place.
-    Rounds of prefix sums over the keys decide bills exactly: a bill all of
-    whose lines fit even if every open earlier bill is accepted is accepted; a
-    bill with a line that cannot fit after only the accepted earlier bills is
-    refused.  The earliest open bill of a key chain is decided in every round.
-    Chains that would take many rounds are left to ``_fold_rest``."""
-    place = Window.partitionBy("store_id", "product_id").orderBy(*BILL_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut_lineage(wants.withColumn("accepted", F.lit(False)))
-    left = None
-    while True:
-        before = F.coalesce(F.sum("taken").over(place), F.lit(0))
-        sold = F.coalesce(F.sum(F.when(F.col("accepted"), F.col("taken"))).over(place), F.lit(0))
-        judged = rows.withColumns({"fits": F.col("start_stock") - before >= F.col("most"),
-                                   "fails": F.col("start_stock") - sold < F.col("most")})
-        bills = (judged.filter(~F.col("accepted")).groupBy("bill_id")
-                 .agg(F.min("fits").alias("all_fit"), F.max("fails").alias("any_fails")))
-        rows = cut_lineage(rows.join(bills, "bill_id", "left").filter(~F.coalesce("any_fails", F.lit(False)))
-                           .withColumn("accepted", F.col("accepted") | F.coalesce("all_fit", F.lit(False)))
-                           .drop("all_fit", "any_fails"))
-        still = rows.filter(~F.col("accepted")).select("bill_id").distinct().count()
-        if still == 0:
-            return rows.select("bill_id").distinct()
-        if left is not None and still > (1 - SLOW_ROUND) * left:
+    ``wants`` (from ``cut_ranges``): per bill and key the quantity taken and the largest line (``taken``, ``most``),
+    the key's starting stock and the bill's place.  Rounds of running sums over the keys decide bills
+    exactly: a bill all of whose lines fit even if every open earlier bill is accepted is accepted; a
+    bill with a line that cannot fit after only the accepted earlier bills is refused.  The earliest
+    open bill of a key chain is decided in every round.  Decided bills leave the rows; what the accepted
+    ones took is carried in ``sold``.  Chains that would take many rounds are left to ``_fold_rest``."""
+    rows = wants.withColumns({"sold": F.lit(0).cast("long"), "accepted": F.lit(False)})
+    done, left, before = [], rows.count(), None
+    while left:
+        newly = F.when(F.col("accepted"), F.col("taken"))
+        ahead = F.when(~F.col("accepted"), F.col("taken"))
+        still = (sums_before(rows, STOCK_KEY, list(BILL_ORDER), gone=newly, ahead=ahead).filter(~F.col("accepted"))
+                 .withColumn("sold", F.col("sold") + F.col("gone")).drop("gone", "accepted"))
+        if before is not None and left > (1 - SLOW_ROUND) * before:
+            done.append(_folded(still.drop("ahead")))
             break
-        left = still
-    keys = rows.filter(~F.col("accepted")).select("store_id", "product_id").distinct()
+        free = F.col("start_stock") - F.col("sold")
+        bills = still.groupBy("bill_id").agg(F.min(free - F.col("ahead") >= F.col("most")).alias("accepted"),
+                                             F.max(free < F.col("most")).alias("fails"))
+        rows = cut_lineage(still.join(bills, "bill_id").filter(F.col("accepted") | ~F.col("fails")).drop("fails", "ahead"))
+        done.append(rows.filter("accepted").select("bill_id").distinct())
+        before, left = left, rows.filter(~F.col("accepted")).count()
+    out = wants.select("bill_id").limit(0)
+    for part in done:
+        out = out.union(part)
+    return out
+
+
+def _folded(rest: DataFrame) -> DataFrame:
+    """(bill_id) of the accepted bills of what the rounds leave, by one ordered fold per connected group of keys."""
     node = F.col("store_id").cast("long") * F.lit(1 << 32) + F.col("product_id").cast("long")
-    rest = cut_lineage(rows.join(keys, ["store_id", "product_id"], "left_semi").withColumn("node", node))
+    rest = cut_lineage(rest.withColumn("node", node))
     groups = connected_groups(rest.select(F.col("bill_id").alias("item"), "node"))
-    folded = (rest.join(groups, "node").repartition("label").sortWithinPartitions("label", *BILL_ORDER)
-              .select("label", "bill_id", "node", "taken", "most", "start_stock", "accepted")
-              .mapInArrow(_fold_rest, "bill_id long"))
-    return rows.filter("accepted").select("bill_id").union(folded).distinct()
+    return (rest.join(groups, "node").repartition("label").sortWithinPartitions("label", *BILL_ORDER)
+            .select("label", "bill_id", "node", "taken", "most", (F.col("start_stock") - F.col("sold")).alias("free"))
+            .mapInArrow(_fold_rest, "bill_id long"))
 
 
 def _fold_rest(batches):
-    """Bills of a connected group of keys in order: the stock of the group's
-    keys is all that is kept.  Yields the accepted open bills."""
-    group, stock, bill, held = None, {}, None, []
+    """Open bills of a connected group of keys in order: what the group's bills took of each key so far is
+    all that is kept; ``free`` is the stock left by the bills decided before.  Yields the accepted bills."""
+    group, took, bill, held = None, {}, None, []
 
     def close():
-        fits = all(r["accepted"] or stock[r["node"]] >= r["most"] for r in held)
+        fits = all(r["free"] - took.get(r["node"], 0) >= r["most"] for r in held)
         if fits:
             for r in held:
-                stock[r["node"]] -= r["taken"]
-        return fits and held and not held[0]["accepted"]
+                took[r["node"]] = took.get(r["node"], 0) + r["taken"]
+        return fits
 
     for batch in batches:
         out = []
@@ -241,8 +249,7 @@ def _fold_rest(batches):
                     out.append(held[0]["bill_id"])
                 held, bill = [], (r["label"], r["bill_id"])
             if r["label"] != group:
-                group, stock = r["label"], {}
-            stock.setdefault(r["node"], r["start_stock"])
+                group, took = r["label"], {}
             held.append(r)
         yield pa.RecordBatch.from_pydict({"bill_id": pa.array(out, pa.int64())})
     if held and close():
@@ -252,20 +259,19 @@ def _fold_rest(batches):
 def _decide_contended(lines: DataFrame) -> DataFrame:
     """Decisions of the bills with a line on a contended key (``lines``: those
     lines up to the bill's first stock-independent failure)."""
-    wants = lines.groupBy("store_id", "product_id", *BILL_ORDER).agg(
+    wants = lines.groupBy(*STOCK_KEY, *BILL_ORDER).agg(
         F.sum("quantity").alias("taken"), F.max("quantity").alias("most"), F.first("start_stock").alias("start_stock"),
         F.max("static_line").alias("static_line"))
-    wants = cut_lineage(wants)
+    wants = cut_ranges(wants, STOCK_KEY, list(BILL_ORDER))
     accepted = cut_lineage(_accepted_contended(wants.filter("static_line is null").drop("static_line"))
                            .withColumn("accepted", F.lit(True)))
     # Stock each bill met: the start less what the accepted earlier bills took.
-    place = Window.partitionBy("store_id", "product_id").orderBy(*BILL_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    met = (wants.join(accepted, "bill_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-           .withColumn("met", F.col("start_stock") - F.coalesce(
-               F.sum(F.when(F.col("accepted"), F.col("taken"))).over(place), F.lit(0)))
-           .select("store_id", "product_id", "bill_id", "accepted", "met"))
+    met = sums_before(wants.join(accepted, "bill_id", "left"), STOCK_KEY, list(BILL_ORDER),
+                      sold=F.when(F.col("accepted"), F.col("taken")))
+    met = met.select(*STOCK_KEY, "bill_id", F.coalesce("accepted", F.lit(False)).alias("accepted"),
+                     (F.col("start_stock") - F.col("sold")).alias("met"))
     short = F.when(F.col("met") < F.col("quantity"), F.col("line_no"))
-    judged = (lines.join(met, ["store_id", "product_id", "bill_id"]).groupBy("bill_id", "store_id", "created_at")
+    judged = (lines.join(met, [*STOCK_KEY, "bill_id"]).groupBy("bill_id", "store_id", "created_at")
               .agg(F.max("accepted").alias("accepted"), F.min(short).alias("short_line"),
                    F.max("static_line").alias("static_line"), F.max("bill_static_reason").alias("static_reason")))
     refused = ~F.col("accepted")
@@ -298,7 +304,8 @@ def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
     Lines and decisions are written to the shared checkpoint folder once, so
     the outputs reuse them and a lost executor recomputes from there."""
     reqs = t.bill_requests if reqs is None else reqs
-    lines = prepare_bill_lines(reqs, t).select(*POSTING_COLUMNS)
+    # A bill without items is refused at line 0, before any line.
+    lines = prepare_bill_lines(reqs, t).select(*POSTING_COLUMNS).withColumn("line_no", F.coalesce("line_no", F.lit(0)))
 
     # Per-bill facts on every line, from one window over the bill (one
     # shuffle by bill_id): first invalid line and its reason, first line
@@ -338,7 +345,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
                       F.when(F.col("invalid_line").isNull() & F.col("static_line").isNull(), F.lit(ACCEPTED))
                       .otherwise(F.lit(REJECTED)).alias("status"),
                       F.coalesce("bill_invalid_reason", "bill_static_reason").alias("reason"),
-                      F.coalesce("invalid_line", "static_line").cast("int").alias("failed_line")))
+                      F.nullif(F.coalesce("invalid_line", "static_line"), F.lit(0)).cast("int").alias("failed_line")))
     decisions = cut_lineage(native.unionByName(folded))
     accepted = lines.join(decisions.filter(F.col("status") == ACCEPTED).select("bill_id"), "bill_id", "left_semi")
     return Posting(decisions=decisions, invoices=build_invoices(accepted),

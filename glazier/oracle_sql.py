@@ -110,7 +110,12 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN l_linenumber = 5 THEN '3 x 4' END AS VARCHAR) AS charged_dimension,
                CAST(l_suppkey AS INT) AS billed_by, concat('Customer ', CAST(o_custkey AS VARCHAR)) AS customer_name,
                CAST(CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey + 5550000 AS VARCHAR) END AS VARCHAR) AS customer_phone
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL BY NAME
+        SELECT o_orderkey * 10000 + 9999 AS bill_id, CAST(o_custkey % (SELECT count(*) FROM supplier) AS INT) AS store_id,
+               o_orderdate AS created_at, CAST(o_custkey % (SELECT count(*) FROM supplier) AS INT) AS billed_by,
+               concat('Customer ', CAST(o_custkey AS VARCHAR)) AS customer_name
+        FROM orders WHERE o_orderkey % 59 = 0""",
 }
 
 
@@ -388,8 +393,8 @@ SELECT id, lower(trim(category_name)) AS category_key FROM glass_categories""",
 VIEWS["bill_lines"] = """
         SELECT r.bill_id, r.store_id, r.created_at, r.billed_by, r.customer_name, r.customer_phone, r.line_no, r.product_id, r.quantity, r.height, r.length,
                r.width, r.area, r.charged_rate, r.charged_dimension,
-               CASE WHEN r.product_id IS NULL OR r.quantity IS NULL OR r.quantity <= 0
-                         THEN 'invalid_product_or_quantity'
+               CASE WHEN r.line_no IS NULL THEN 'no_items'
+                    WHEN r.product_id IS NULL OR r.quantity IS NULL OR r.quantity <= 0 THEN 'invalid_product_or_quantity'
                     WHEN r.width IS NOT NULL AND r.width <= 0 THEN 'invalid_width'
                     WHEN r.height IS NOT NULL AND r.height <= 0 THEN 'invalid_height'
                     WHEN r.charged_rate IS NOT NULL AND r.charged_rate < 0 THEN 'invalid_charged_rate'

@@ -172,7 +172,14 @@ def bill_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_suppkey").cast("int").alias("billed_by"),
                      F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
                      F.when(F.col("o_custkey") % 4 != 0, (F.col("o_custkey") + 5550000).cast("string")).alias("customer_phone")))
-    return conform(lines, "bill_requests")
+    # Every 59th order asks for one more bill, without any item.
+    n_stores = read("supplier").select(F.count(F.lit(1))).scalar()
+    store = (F.col("o_custkey") % n_stores).cast("int")
+    empty = orders.filter(F.col("o_orderkey") % 59 == 0).select(
+        (F.col("o_orderkey") * 10000 + 9999).alias("bill_id"), store.alias("store_id"),
+        F.col("o_orderdate").alias("created_at"), store.alias("billed_by"),
+        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"))
+    return conform(lines, "bill_requests").unionByName(conform(empty, "bill_requests"))
 
 
 def sale_events_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +308,7 @@ def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.concat(F.lit("owner-"), (ck % 700).cast("string")).alias("username"),
         F.concat(F.lit("owner"), ck.cast("string"), F.lit("@mail.test")).alias("email"),
         F.lit(FEED_TIME).cast("timestamp_ntz").alias("created_at"))
-    br = t.bill_requests
+    br = t.bill_requests.filter(F.col("line_no").isNotNull())
     feeds["store_product_edits"] = br.select(
         (F.col("bill_id") * 100 + F.col("line_no")).alias("seq"), "store_id",
         (F.col("product_id") + F.when(F.col("line_no") == 2, 1).otherwise(0)).cast("int").alias("product_id"),

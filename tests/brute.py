@@ -20,7 +20,8 @@ def post_bills_loop(lines: pd.DataFrame) -> dict:
         invalid = g[g.invalid_reason.notna()]
         if len(invalid):
             first = invalid.iloc[0]
-            decisions[bill_id] = ("rejected", first.invalid_reason, int(first.line_no))
+            line = None if pd.isna(first.line_no) else int(first.line_no)   # a bill without items has no line
+            decisions[bill_id] = ("rejected", first.invalid_reason, line)
             continue
         failed = None
         for r in g.itertuples(index=False):

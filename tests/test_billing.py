@@ -97,6 +97,48 @@ def test_one_giant_store_with_long_chains(spark, monkeypatch, slow_round):
     _equals_serial_model(B.post_bills(t), t)
 
 
+def test_a_bill_without_items_is_refused(spark):
+    lines = [_line(1, None, None, None), _line(2, 1, 1, 2), _line(3, None, None, None), _line(3, 1, 1, 1)]
+    post = _post(spark, [_inv(1, 9)], lines)
+    assert {r.bill_id: (r.status, r.reason, r.failed_line) for r in post.decisions.collect()} == {
+        1: ("rejected", "no_items", None), 2: ("accepted", None, None), 3: ("rejected", "no_items", None)}
+    assert [r.available_stock for r in post.inventory.collect()] == [7]
+
+
+def test_running_sums_spread_a_hot_key(spark):
+    from glazier.plans.prefix import CUT, cut_ranges, sums_before
+    rows = spark.range(20_000).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.col("id"),
+                                      (F.xxhash64("id") % 50).alias("v"))
+    cut = cut_ranges(rows, ["k"], ["id"])
+    spread = cut.filter("k = 0").groupBy(CUT).count().collect()
+    assert len(spread) >= 7 and max(r["count"] for r in spread) < 6_000
+    got = sums_before(cut.filter("id % 3 <> 0"), ["k"], ["id"], s=F.col("v"), n=F.lit(1)).orderBy("k", "id").collect()
+    key, total, n = None, 0, 0
+    for r in got:
+        if r.k != key:
+            key, total, n = r.k, 0, 0
+        assert (r.s, r.n) == (total, n)
+        total, n = total + r.v, n + 1
+
+
+def test_one_hot_key_of_many_bills(spark):
+    """200,000 one-line bills on one product; a loop over (quantity) decides them in order."""
+    n, stock = 200_000, 250_000
+    reqs = spark.range(n).select(
+        F.col("id").alias("bill_id"), F.lit(1).alias("store_id"), F.lit(TS("2001-01-01 00:00:00")).alias("created_at"),
+        F.lit(1).alias("line_no"), F.lit(1).alias("product_id"), (1 + F.abs(F.xxhash64("id")) % 3).cast("int").alias("quantity"))
+    from glazier.sources.tables import conform
+    t = tables(spark, stores=[STORE], products=PRODUCTS, inventory=[_inv(1, stock)])
+    post = B.post_bills(t, conform(reqs, "bill_requests"))
+    got = {r.bill_id for r in post.decisions.filter("status = 'accepted'").select("bill_id").collect()}
+    want = set()
+    for r in reqs.select("bill_id", "quantity").orderBy("bill_id").toLocalIterator():
+        if r.quantity <= stock:
+            stock -= r.quantity
+            want.add(r.bill_id)
+    assert got == want and 0 < len(want) < n
+
+
 def test_headers_name_cashier_and_customer(spark):
     lines = [_line(1, k, p, 1, billed_by=7, customer_name="Ann", customer_phone="555") for k, p in ((1, 3), (2, 1), (3, 2))]
     post = _post(spark, [_inv(1, 9), _inv(2, 9), _inv(3, 9)], lines)
