@@ -134,8 +134,9 @@ def _judge_unique(requests: DataFrame, table: DataFrame, key: list[str], unique:
     """(seq, reason) of the requests that set a unique field, each judged alone in ``seq`` order against the
     values the table holds by then: reason NULL when accepted.
 
-    Requests that share a row or a value, old or new, belong to one group; a group is judged in order by
-    one streamed fold that keeps the group's moved values only, and groups are independent."""
+    Requests that share a row or a value, old or new, belong to one group.  A request alone in its group is
+    judged against the table; any other group in order by one streamed fold that keeps the group's moved
+    values only, and groups are independent."""
     def value(name: str) -> Column:
         return F.lower(F.col(name)) if unique[name] else F.col(name)
 
@@ -154,8 +155,16 @@ def _judge_unique(requests: DataFrame, table: DataFrame, key: list[str], unique:
     nodes = F.filter(F.array(F.xxhash64(F.lit("row"), "row"), *[
         F.when(F.col(f"{age}_{f}").isNotNull(), F.xxhash64(F.lit(f), f"{age}_{f}")) for f in fields for age in ("old", "new")]),
         lambda n: n.isNotNull())
-    groups = connected_groups(asked.select(F.col("seq").alias("item"), F.explode(nodes).alias("node")))
-    rows = (asked.withColumn("node", F.xxhash64(F.lit("row"), "row")).join(groups, "node")
+    touched = cut_lineage(asked.select("seq", F.explode(F.array_distinct(nodes)).alias("node")))
+    met = touched.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    crowded = cut_lineage(touched.join(met.filter("met > 1"), "node", "left_semi").select("seq").distinct())
+    reason = None
+    for f in reversed(fields):
+        taken = F.col(f"new_{f}").isNotNull() & F.coalesce(F.exists(f"owners_{f}", lambda o: o != F.col("row")), F.lit(False))
+        reason = F.when(taken, F.lit(f"duplicate_{f}")).otherwise(F.lit(None) if reason is None else reason)
+    alone = asked.join(crowded, "seq", "left_anti").select("seq", reason.cast("string").alias("reason"))
+    groups = connected_groups(touched.join(crowded, "seq", "left_semi").withColumnRenamed("seq", "item"))
+    rows = (asked.join(crowded, "seq", "left_semi").withColumn("node", F.xxhash64(F.lit("row"), "row")).join(groups, "node")
             .repartition("label").sortWithinPartitions("label", "seq"))
 
     def judge(batches):
@@ -182,7 +191,7 @@ def _judge_unique(requests: DataFrame, table: DataFrame, key: list[str], unique:
                 reasons.append(reason)
             yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64()), "reason": pa.array(reasons, pa.string())})
 
-    return rows.mapInArrow(judge, "seq long, reason string")
+    return alone.unionByName(rows.mapInArrow(judge, "seq long, reason string"))
 
 
 def patch_rows(table: DataFrame, patch: DataFrame, key: list[str], fields: list[str],
@@ -240,10 +249,14 @@ def patch_inventory(inv: DataFrame, patch: DataFrame) -> Change:
     return patch_rows(inv, patch, ["store_id", "product_id"], INVENTORY_FIELDS)
 
 
-def patch_products(products: DataFrame, patch: DataFrame) -> Change:
+def patch_products(products: DataFrame, patch: DataFrame, cats: DataFrame) -> Change:
     """W2, catalogue form: product columns only (stock rates sent with a
-    product edit are not applied, as in the reference)."""
-    return patch_rows(products, patch, ["id"], PRODUCT_FIELDS)
+    product edit are not applied, as in the reference).  An edit that names a category, by id or (in a
+    column ``category_name``) by name, is refused as a whole unless ``cats`` holds it."""
+    checked = resolve_patched_category(patch, cats)
+    res = patch_rows(products, checked.table, ["id"], PRODUCT_FIELDS)
+    lost = patch.select("id", "seq").join(checked.rejects, "seq").select("id", "seq", "reason")
+    return Change(res.table, res.rejects.unionByName(lost))
 
 
 def patch_stores(stores: DataFrame, patch: DataFrame) -> Change:
@@ -502,6 +515,59 @@ def update_store_products(t: Tables, feed: DataFrame) -> Change:
 
 # --- W13 - W15: stores and users ---------------------------------------------------------------
 
+SLOW_ROUND = 0.1  # rounds that decide a smaller share of the open claims leave the rest to the fold
+
+
+def _winners(claims: DataFrame) -> DataFrame:
+    """(seq) of the accepted requests: a request is accepted unless an earlier accepted one claims one of its
+    values.  ``claims``: (seq, field, value), one row for every value a request needs.
+
+    In a round, requests that come first on all their values among the open ones are accepted, and those that
+    share a value with them refused; both leave.  Conflicts of short chains take few rounds; when a round
+    decides little, the rest is folded in order, one connected group of shared values at a time."""
+    claims = cut_lineage(claims)
+    done, before, left = [], None, claims.count()
+    while left:
+        if before is not None and left > (1 - SLOW_ROUND) * before:
+            done.append(_folded_claims(claims))
+            break
+        first = claims.groupBy("field", "value").agg(F.min("seq").alias("first"))
+        met = cut_lineage(claims.join(first, ["field", "value"]))
+        wins = cut_lineage(met.groupBy("seq").agg(F.min(F.col("seq") == F.col("first")).alias("wins"))
+                           .filter("wins").select("seq"))
+        over = met.join(wins.select(F.col("seq").alias("first")), "first", "left_semi").select("seq").distinct()
+        claims = cut_lineage(claims.join(over, "seq", "left_anti"))
+        done.append(wins)
+        before, left = left, claims.count()
+    out = claims.select("seq").limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _folded_claims(claims: DataFrame) -> DataFrame:
+    """The winners by one streamed fold per connected group, which keeps the values its accepted requests took."""
+    node = F.xxhash64("field", "value")
+    groups = connected_groups(claims.select(F.col("seq").alias("item"), node.alias("node")))
+    asked = claims.groupBy("seq").agg(F.collect_list(F.struct("field", "value")).alias("needs"), F.min(node).alias("node"))
+    ordered = asked.join(groups, "node").repartition("label").sortWithinPartitions("label", "seq").select("label", "seq", "needs")
+
+    def judge(batches):
+        group, taken = None, set()
+        for batch in batches:
+            seqs = []
+            for r in batch.to_pylist():
+                if r["label"] != group:
+                    group, taken = r["label"], set()
+                needs = [(n["field"], n["value"]) for n in r["needs"]]
+                if taken.isdisjoint(needs):
+                    taken.update(needs)
+                    seqs.append(r["seq"])
+            yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64())})
+
+    return ordered.mapInArrow(judge, "seq long")
+
+
 def _sequential_unique(rows: DataFrame, checks: list[tuple[str, DataFrame, str, str]]) -> tuple[DataFrame, DataFrame]:
     """Refuse rows whose values are taken, exactly as one-at-a-time
     processing in ``seq`` order would: a value is taken by an existing row
@@ -509,37 +575,30 @@ def _sequential_unique(rows: DataFrame, checks: list[tuple[str, DataFrame, str,
     existing rows, existing column, reason)] in the endpoint's order; a
     refused row's reason is its first check whose value is taken.
 
-    Rows that share a value belong to one group.  Groups are independent; a
-    group is judged in order by one streamed fold that keeps only the values
-    its accepted rows took, however long its chains of conflicts are."""
-    cols, whys = [c for c, _, _, _ in checks], [why for _, _, _, why in checks]
-    flagged = rows.select("seq", *cols)
+    Who is accepted is decided first (``_winners``); the reasons follow from the accepted rows' values."""
+    cols = [c for c, _, _, _ in checks]
+    whys = F.array(*[F.lit(why) for _, _, _, why in checks])
+    asked = rows.select(F.col("seq").cast("long"), *cols)
     for col, existing, column, _ in checks:
         held = existing.select(F.col(column).alias(col)).filter(F.col(col).isNotNull()).distinct()
-        flagged = flagged.join(held.withColumn(f"held_{col}", F.lit(True)), col, "left")
-    flagged = cut_lineage(flagged)
-    nodes = [F.xxhash64(F.lit(c), c) for c in cols]
-    groups = connected_groups(flagged.select(F.col("seq").alias("item"), F.explode(F.array(*nodes)).alias("node")))
-    ordered = (flagged.withColumn("node", nodes[0]).join(groups, "node")
-               .repartition("label").sortWithinPartitions("label", "seq"))
+        asked = asked.join(held.withColumn(f"held_{col}", F.lit(True)), col, "left")
+    asked = cut_lineage(asked)
 
-    def judge(batches):
-        group, taken = None, set()
-        for batch in batches:
-            seqs, reasons = [], []
-            for r in batch.to_pylist():
-                if r["label"] != group:
-                    group, taken = r["label"], set()
-                reason = next((why for c, why in zip(cols, whys) if r[f"held_{c}"] or (c, r[c]) in taken), None)
-                if reason is None:
-                    taken.update((c, r[c]) for c in cols if r[c] is not None)
-                seqs.append(r["seq"])
-                reasons.append(reason)
-            yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64()), "reason": pa.array(reasons, pa.string())})
+    def claims(requests: DataFrame) -> DataFrame:
+        needs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("value")) for n, c in enumerate(cols)])
+        return requests.select("seq", F.explode(needs).alias("need")).select("seq", "need.*").filter("value is not null")
 
-    judged = cut_lineage(ordered.mapInArrow(judge, "seq long, reason string"))
-    return (rows.join(judged.filter("reason is null").select("seq"), "seq", "left_semi"),
-            judged.filter("reason is not null"))
+    blocked = F.coalesce(*[f"held_{c}" for c in cols], F.lit(False))
+    free = asked.filter(~blocked)
+    unclaimed = free.filter(F.coalesce(*cols).isNull()).select("seq")
+    accepted = cut_lineage(_winners(claims(free)).unionByName(unclaimed))
+    refused = asked.join(accepted, "seq", "left_anti")
+    taken = claims(asked.join(accepted, "seq", "left_semi")).withColumnRenamed("seq", "owner")
+    lost = claims(refused).join(taken, ["field", "value"]).filter("owner < seq").select("seq", "field")
+    for n, c in enumerate(cols):
+        lost = lost.unionByName(refused.filter(f"held_{c}").select("seq", F.lit(n).alias("field")))
+    reasons = cut_lineage(lost.groupBy("seq").agg(F.get(whys, F.min("field")).alias("reason")))
+    return rows.join(accepted, "seq", "left_semi"), reasons
 
 
 def create_stores_with_admins(t: Tables, feed: DataFrame) -> Change:
@@ -624,31 +683,6 @@ def reassign_admins(users: DataFrame, changes: DataFrame) -> Change:
 
 # --- W16 --------------------------------------------------------------------------------------
 
-def _dupes(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    return (df.filter(F.least(*[F.col(c).isNotNull() for c in cols]) if len(cols) > 1 else F.col(cols[0]).isNotNull())
-            .groupBy(key.alias("key_value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-            .select(F.lit(table).alias("table_name"), F.lit("unique:" + ",".join(cols)).alias("rule"),
-                    "key_value", "n"))
-
-
-def _broken_rows(df: DataFrame, table: str, key: str, not_null: list[str], checks: dict[str, Column] | None = None) -> DataFrame:
-    """NOT NULL and CHECK rules of one table in one scan: a row per broken rule."""
-    rules = [F.when(F.col(c).isNull(), F.lit("not_null:" + c)) for c in not_null]
-    rules += [F.when(broken, F.lit("check:" + name)) for name, broken in (checks or {}).items()]
-    broken = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    return (df.select(F.col(key).cast("string").alias("key_value"), F.explode(broken).alias("rule"))
-            .select(F.lit(table).alias("table_name"), "rule", "key_value", F.lit(1).cast("long").alias("n")))
-
-
-def _orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Foreign keys without a parent: counted per value first, so the anti join meets distinct values."""
-    held = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("n"))
-    return held.join(parent.select(F.col(pk).alias("_fk")), "_fk", "left_anti").select(
-        F.lit(table).alias("table_name"), F.lit(f"foreign_key:{fk}").alias("rule"),
-        F.col("_fk").cast("string").alias("key_value"), "n")
-
-
 # The schema's NOT NULL columns (passwords are not kept here).
 NOT_NULL = {
     "stores": ["store_email", "store_name", "store_location"],
@@ -661,33 +695,92 @@ NOT_NULL = {
 }
 
 
+# The schema's unique columns, and its references (column -> table and key it must be found in).
+UNIQUE = {
+    "stores": [["store_id"], ["store_email"]],
+    "users": [["id"], ["username"], ["email"]],
+    "glass_categories": [["id"], ["category_name"]],
+    "products": [["id"]],
+    "inventory": [["id"], ["store_id", "product_id"]],
+    "invoices": [["invoice_id"]],
+    "invoice_items": [],
+}
+REFERENCES = {
+    "products": {"category_id": ("glass_categories", "id")},
+    "inventory": {"product_id": ("products", "id"), "store_id": ("stores", "store_id")},
+    "invoices": {"store_id": ("stores", "store_id"), "billed_by": ("users", "id")},
+    "invoice_items": {"invoice_id": ("invoices", "invoice_id"), "product_id": ("products", "id")},
+}
+ROW_KEY = {"stores": "store_id", "users": "id", "glass_categories": "id", "products": "id", "inventory": "id",
+           "invoices": "invoice_id", "invoice_items": "invoice_id"}
+# A finding's kind: once a row, more than one row a key, or rows without a parent.
+_ROW, _KEY, _CHILD = "row", "unique", "reference"
+RULES = ([(t, "not_null:" + c, _ROW) for t, cs in NOT_NULL.items() for c in cs] + [("users", "check:role", _ROW)]
+         + [(t, "unique:" + ",".join(cs), _KEY) for t, keys in UNIQUE.items() for cs in keys]
+         + [(t, "foreign_key:" + c, _CHILD) for t, refs in REFERENCES.items() for c in refs])
+_NUMBER = {(t, rule): n for n, (t, rule, _) in enumerate(RULES)}
+
+
+def _facts(df: DataFrame, table: str) -> DataFrame:
+    """All that the rules need of one table, in one scan: (rule, key, rows, parents).
+
+    A broken row rule counts the row, a unique key and a reference count the row under their value, and a key
+    that others refer to counts as a parent under each of those rules."""
+    def fact(rule: tuple[str, str], key: Column, parent: int, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(_NUMBER[rule]).alias("rule"), key.cast("string").alias("key"),
+                                     F.lit(1 - parent).alias("row"), F.lit(parent).alias("parent")))
+
+    row_key = F.col(ROW_KEY[table])
+    facts = [fact((table, "not_null:" + c), row_key, 0, F.col(c).isNull()) for c in NOT_NULL[table]]
+    if table == "users":
+        facts.append(fact((table, "check:role"), row_key, 0, ~F.col("role").isin(*ROLES)))
+    for cols in UNIQUE[table]:
+        whole = F.col(cols[0]).isNotNull()
+        for c in cols[1:]:
+            whole &= F.col(c).isNotNull()
+        facts.append(fact((table, "unique:" + ",".join(cols)), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 0, whole))
+    facts += [fact((table, "foreign_key:" + c), F.col(c), 0, F.col(c).isNotNull()) for c in REFERENCES.get(table, {})]
+    facts += [fact((child, "foreign_key:" + c), F.col(key), 1, F.col(key).isNotNull())
+              for child, refs in REFERENCES.items() for c, (parent, key) in refs.items() if parent == table]
+    return df.select(F.explode(F.filter(F.array(*facts), lambda x: x.isNotNull())).alias("fact")).select("fact.*")
+
+
+def _all_facts(t: Tables) -> DataFrame:
+    out = None
+    for table in ROW_KEY:
+        facts = _facts(getattr(t, table), table)
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+def _findings(facts: DataFrame) -> DataFrame:
+    """(table_name, rule, key_value, n) of the broken rules, from one aggregation over the facts."""
+    rules = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), F.lit(k).alias("kind")) for t, r, k in RULES])
+    seen = facts.groupBy("rule", "key").agg(F.sum("row").alias("n"), F.sum("parent").alias("parents"))
+    seen = seen.select(F.get(rules, F.col("rule")).alias("of"), F.col("key").alias("key_value"), "n", "parents")
+    kind, n = F.col("of.kind"), F.col("n")
+    broken = ((kind == _ROW) | ((kind == _KEY) & (n > 1)) | ((kind == _CHILD) & (n > 0) & (F.col("parents") == 0)))
+    # Rows that break a row rule are reported one by one, also under one key.
+    times = F.when(kind == _ROW, F.array_repeat(F.lit(1).cast("long"), n.cast("int"))).otherwise(F.array(n))
+    return seen.filter(broken).select("of.table_name", "of.rule", "key_value", F.explode(times).alias("n"))
+
+
 def constraint_violations(t: Tables) -> DataFrame:
     """Rows that break the schema's UNIQUE / NOT NULL / CHECK / FOREIGN
-    KEY rules, as (table_name, rule, key_value, n).  Unique keys and foreign
-    keys are counted per value (partial aggregates), never per row pair."""
-    s, u, c, p, i, inv, it = (t.stores, t.users, t.glass_categories, t.products, t.inventory, t.invoices,
-                              t.invoice_items)
-    parts = [
-        _broken_rows(s, "stores", "store_id", NOT_NULL["stores"]),
-        _broken_rows(u, "users", "id", NOT_NULL["users"], {"role": ~F.col("role").isin(*ROLES)}),
-        _broken_rows(c, "glass_categories", "id", NOT_NULL["glass_categories"]),
-        _broken_rows(p, "products", "id", NOT_NULL["products"]),
-        _broken_rows(i, "inventory", "id", NOT_NULL["inventory"]),
-        _broken_rows(inv, "invoices", "invoice_id", NOT_NULL["invoices"]),
-        _broken_rows(it, "invoice_items", "invoice_id", NOT_NULL["invoice_items"]),
-        _dupes(s, "stores", ["store_id"]), _dupes(s, "stores", ["store_email"]),
-        _dupes(u, "users", ["id"]), _dupes(u, "users", ["username"]), _dupes(u, "users", ["email"]),
-        _dupes(c, "glass_categories", ["id"]), _dupes(c, "glass_categories", ["category_name"]),
-        _dupes(p, "products", ["id"]),
-        _dupes(i, "inventory", ["id"]), _dupes(i, "inventory", ["store_id", "product_id"]),
-        _dupes(inv, "invoices", ["invoice_id"]),
-        _orphans(p, "products", "category_id", c, "id"),
-        _orphans(i, "inventory", "product_id", p, "id"), _orphans(i, "inventory", "store_id", s, "store_id"),
-        _orphans(inv, "invoices", "store_id", s, "store_id"), _orphans(inv, "invoices", "billed_by", u, "id"),
-        _orphans(it, "invoice_items", "invoice_id", inv, "invoice_id"),
-        _orphans(it, "invoice_items", "product_id", p, "id"),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("table_name", "rule", "key_value", F.col("n").cast("long").alias("n"))
+    KEY rules, as (table_name, rule, key_value, n).  Every table is read once and gives the facts of all its
+    rules; one aggregation, partial before the shuffle, decides all rules."""
+    return _findings(_all_facts(t))
+
+
+def violations_of_changes(t: Tables, changed: dict[str, DataFrame], removed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """W16 for the rules that a change can have broken: ``t`` are the tables after it, ``changed`` their new or
+    edited rows by table, ``removed`` the rows that went or were edited, as they were.
+
+    Only (rule, key) pairs that a changed row touches, as a row, a child or a parent, can have turned: the facts of all
+    tables are met by those pairs first, so the rest neither is shuffled nor aggregated."""
+    touched = None
+    for rows in (changed, removed or {}):
+        for table, df in rows.items():
+            facts = _facts(df, table).select("rule", "key")
+            touched = facts if touched is None else touched.unionByName(facts)
+    return _findings(_all_facts(t).join(touched.distinct(), ["rule", "key"], "left_semi"))

@@ -8,20 +8,41 @@ from pyspark.sql import functions as F
 from glazier.plans.session import cut_lineage
 
 
+def _hook(links: DataFrame, both_ways: bool) -> DataFrame:
+    """Links (high, low) after every node told its neighbours of the least node it knows.
+
+    ``both_ways``: all greater neighbours of a node move to its least neighbour (so does a root's whole
+    group); otherwise a node's lesser neighbours and itself do."""
+    known = links
+    if both_ways:
+        known = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
+    least = known.groupBy("high").agg(F.min("low").alias("least"))
+    told = known.join(least, "high")
+    if both_ways:
+        moved = told.filter("low > high").select(F.col("low").alias("high"), F.least("least", "high").alias("low"))
+    else:
+        moved = told.filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(
+            least.select("high", F.col("least").alias("low")))
+    return moved.distinct()
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of every node's connected group, given (item, node) pairs of longs.
 
-    Least labels spread over the items; a label is itself a node, so each round also takes the label's
-    label and reach doubles.  The lineage is cut every round; rounds end when nothing changes."""
+    An item's nodes hang on its least one.  Rounds of the two star steps then hang every node on the least node
+    of its group; their number grows with the logarithm of the longest path.  A round is written to the
+    shared folder; rounds end when the links stay the same."""
     edges = cut_lineage(edges.select("item", "node").distinct())
-    labels = cut_lineage(edges.select("node").distinct().withColumn("label", F.col("node")))
+    first = edges.groupBy("item").agg(F.min("node").alias("low"))
+    links = cut_lineage(edges.join(first, "item").filter("node <> low")
+                        .select(F.col("node").alias("high"), "low").distinct())
+    mark = None
     while True:
-        least = edges.join(labels, "node").groupBy("item").agg(F.min("label").alias("least"))
-        spread = edges.join(least, "item").groupBy("node").agg(F.min("least").alias("label"))
-        hop = spread.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        now = cut_lineage(spread.join(hop, "label", "left").select(
-            "node", F.least("label", F.coalesce("hop", "label")).alias("label")))
-        moved = now.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = now
-        if not moved:
-            return labels
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low") % 1_000_003)).first()
+        if now == mark or not now[0]:
+            break
+        mark = now
+        links = cut_lineage(_hook(_hook(links, both_ways=True), both_ways=False))
+    nodes = edges.select("node").distinct()
+    return nodes.join(links, F.col("node") == F.col("high"), "left").select(
+        "node", F.coalesce("low", "node").alias("label"))

@@ -202,14 +202,73 @@ def test_insert_users_matches_one_at_a_time_model(spark):
     assert sum(v == "accepted" for v in model.values()) > 0 and len(set(model.values())) >= 3
 
 
-def test_a_long_chain_of_conflicts(spark):
-    """Each request shares its email with the one before and its username with the one after."""
-    from brute import register_users_loop
-    n = 100
-    rows = [(i, "N", f"u{(i + 1) // 2}", f"e{i // 2}@x", "STORE_ADMIN", 1, T0) for i in range(n)]
-    feed = spark.createDataFrame(rows, "seq long, full_name string, username string, email string, role string, "
+def _users_feed(spark, rows):
+    return spark.createDataFrame(rows, "seq long, full_name string, username string, email string, role string, "
                                        "store_id int, created_at timestamp_ntz")
+
+
+def _equals_the_loop(spark, rows):
+    from brute import register_users_loop
+    feed = _users_feed(spark, rows)
     res = W.insert_users(make(spark, "users", []), feed)
     want = register_users_loop([], [dict(zip(feed.columns, r)) for r in rows])
     assert {r.seq: r.reason for r in res.rejects.collect()} == {k: v for k, v in want.items() if v != "accepted"}
     assert res.extra["new_users"].count() == sum(v == "accepted" for v in want.values())
+
+
+def test_a_long_chain_of_conflicts(spark):
+    """Each request shares its email with the one before and its username with the one after."""
+    _equals_the_loop(spark, [(i, "N", f"u{(i + 1) // 2}", f"e{i // 2}@x", "STORE_ADMIN", 1, T0) for i in range(10_000)])
+
+
+def test_random_conflicts_by_rounds_and_by_fold(spark, monkeypatch):
+    import random
+    draw = random.Random(4)
+    rows = [(i, "N", f"u{draw.randrange(300)}", f"e{draw.randrange(400)}@x", "STORE_ADMIN", 1, T0) for i in range(900)]
+    for slow in (0.0, 0.9):  # rounds only; the fold after the first
+        monkeypatch.setattr(W, "SLOW_ROUND", slow)
+        _equals_the_loop(spark, rows)
+
+
+def test_product_edits_name_a_known_category(spark):
+    products = make(spark, "products", [{"id": 1, "product_name": "p", "category_id": 1}, {"id": 2, "category_id": 1}])
+    cats = make(spark, "glass_categories", [{"id": 1, "category_name": "Clear"}, {"id": 2, "category_name": "Tinted"}])
+    fields = {f: products.schema[f].dataType.simpleString() for f in W.PRODUCT_FIELDS}
+    kinds = "id int, seq long, patched_at timestamp_ntz, " + ", ".join(f"{f} {k}, set_{f} boolean" for f, k in fields.items())
+
+    def edit(seq, id_, **given):
+        return (id_, seq, T0, *[v for f in fields for v in (given.get(f), f in given)])
+
+    patch = spark.createDataFrame([edit(1, 1, category_id=2, product_name="q"), edit(2, 1, category_id=77, product_name="lost"),
+                                   edit(3, 2, color="red"), edit(4, 2, category_id=None), edit(5, 9, color="x"), edit(6, 2)], kinds)
+    res = W.patch_products(products, patch, cats)
+    assert {r.id: (r.product_name, r.category_id, r.color) for r in res.table.collect()} == {1: ("q", 2, None), 2: (None, 1, "red")}
+    assert {(r.id, r.seq, r.reason) for r in res.rejects.collect()} == {
+        (1, 2, "category_not_found"), (2, 4, "category_not_found"), (9, 5, "not_found"), (2, 6, "no_fields")}
+
+
+def test_violations_of_changes(spark):
+    t = tables(spark, stores=[{"store_id": i, "store_email": f"s{i}", "store_name": "n", "store_location": "l"} for i in (1, 2)],
+               glass_categories=[{"id": 1, "category_name": "c"}],
+               products=[{"id": i, "product_name": "p", "category_id": 1, "color": "c", "thickness": "t", "length": D(1),
+                          "width": D(1), "area": D(1)} for i in (1, 2)],
+               inventory=[{"id": i, "store_id": 1, "product_id": i, "purchase_rate": D(1), "selling_rate": D(1)} for i in (1, 2)])
+    assert W.constraint_violations(t).count() == 0
+    added = make(spark, "inventory", [{"id": 2, "store_id": 1, "product_id": 2, "purchase_rate": D(1), "selling_rate": None},
+                                      {"id": 3, "store_id": 2, "product_id": 8, "purchase_rate": D(1), "selling_rate": D(1)}])
+    gone = t.products.filter("id = 1")
+    after = t.with_(inventory=t.inventory.unionByName(added), products=t.products.filter("id <> 1"))
+    got = sorted(tuple(r) for r in W.violations_of_changes(after, {"inventory": added}, {"products": gone}).collect())
+    assert got == sorted(tuple(r) for r in W.constraint_violations(after).collect())
+    assert got == [("inventory", "foreign_key:product_id", "1", 1), ("inventory", "foreign_key:product_id", "8", 1),
+                   ("inventory", "not_null:selling_rate", "2", 1), ("inventory", "unique:id", "2", 2),
+                   ("inventory", "unique:store_id,product_id", "1|2", 2)]
+    assert W.violations_of_changes(after, {"stores": t.stores.filter("store_id = 2")}).count() == 0
+
+
+def test_every_table_is_read_once(spark, tmp_path):
+    from glazier.sources.tables import load_tables, write_tables
+    empty = tables(spark)
+    t = load_tables(spark, write_tables(empty, str(tmp_path / "t")))
+    plan = W.constraint_violations(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 7
