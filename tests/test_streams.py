@@ -1,4 +1,9 @@
+import pytest
+
+from brute import post_bills_loop
+from glazier.operators import billing as B
 from glazier.sources.fixtures import sale_events_batch
+from glazier.streaming import keyed as K
 from glazier.streaming import streams as S
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +15,64 @@ def test_daily_tiles_equal_batch(spark, tmp_path):
     stream = {(r.store_id, r.day): (r.revenue, r.sales) for r in S.current_tiles(spark, out).collect()}
     batch = {(r.store_id, r.day): (r.revenue, r.sales) for r in S.daily_revenue(sale_events_batch(spark, SF)).collect()}
     assert stream == batch and len(batch) > 0
+
+
+def _serial(t):
+    lines = B.prepare_bill_lines(t.bill_requests, t).select(
+        "bill_id", "store_id", "created_at", "line_no", "product_id", "quantity", "start_stock", "found",
+        "invalid_reason", "applied_discount", "max_discount").toPandas()
+    return post_bills_loop(lines)
+
+
+def test_keyed_state_survives_a_stop_and_a_failed_batch(spark, small_tables, tmp_path, monkeypatch):
+    from glazier.registry import STREAM_BOUNDS
+    t, out, ck, req = small_tables, str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "req")
+    model = _serial(t)
+
+    def go_on(bounds, rows):
+        S.stage_bill_requests(rows, req, bounds)
+        K.run_post_bills_keyed(t, S.bill_request_stream(spark, req), out, ck)
+
+    early = t.bill_requests.filter("created_at < timestamp_ntz'1999-01-01'")
+    late = t.bill_requests.filter("created_at >= timestamp_ntz'1999-01-01'")
+    go_on(STREAM_BOUNDS[:1], early)                       # two batches, then the query ends
+
+    write = K.write_batch
+
+    def failing(folder):
+        handle = write(folder)
+
+        def fail(batch, batch_id):
+            handle(batch, batch_id)
+            raise RuntimeError("lost after its rows were written, before the batch was committed")
+        return fail
+
+    monkeypatch.setattr(K, "write_batch", failing)
+    with pytest.raises(Exception):
+        go_on(STREAM_BOUNDS[2:], late)
+    monkeypatch.setattr(K, "write_batch", write)
+    K.run_post_bills_keyed(t, S.bill_request_stream(spark, req), out, ck)
+
+    got = spark.read.parquet(f"{out}/decisions").collect()
+    assert {r.bill_id: (r.status, r.reason, r.failed_line) for r in got} == model["decisions"] and len(got) == len(model["decisions"])
+    stock = {(r.store_id, r.product_id): r.available_stock for r in K.stock_in_state(spark, ck).collect()}
+    assert all(stock[k] == v for k, v in model["stock"].items())
+    batch = B.post_bills(t)
+    for name, rows in (("invoices", batch.invoices), ("items", batch.invoice_items)):
+        posted = spark.read.parquet(f"{out}/{name}").drop("batch_id").select(*rows.columns)
+        assert sorted(map(str, posted.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_keyed_state_refuses_a_bill_past_the_header_s_range(spark, tmp_path):
+    from retail_rows import D, TS, make, tables
+    line = {"store_id": 1, "created_at": TS("2001-01-01 00:00:00"), "product_id": 1, "quantity": 1}
+    big = {"charged_rate": D("9999999999.99")}
+    reqs = [{**line, **big, "bill_id": 1, "line_no": 1}, {**line, **big, "bill_id": 1, "line_no": 2},
+            {**line, **big, "bill_id": 2, "line_no": 1}, {**line, "bill_id": 3, "line_no": None, "product_id": None}]
+    t = tables(spark, stores=[{"store_id": 1}], products=[{"id": 1}], bill_requests=reqs,
+               inventory=[{"id": 1, "store_id": 1, "product_id": 1, "available_stock": 5, "selling_rate": D(1)}])
+    t.bill_requests.coalesce(1).write.parquet(str(tmp_path / "req"))
+    out = K.run_post_bills_keyed(t, S.bill_request_stream(spark, str(tmp_path / "req")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    for rows in (spark.read.parquet(f"{out}/decisions"), B.post_bills(t).decisions):
+        assert {r.bill_id: (r.status, r.reason, r.failed_line) for r in rows.collect()} == {
+            1: ("rejected", "amount_out_of_range", 2), 2: ("accepted", None, None), 3: ("rejected", "no_items", None)}
