@@ -448,11 +448,12 @@ SELECT bill_id, line_no, line_length, line_width, line_billing_length, line_bill
        CAST(final_total AS DECIMAL(38,10)) AS final_total, CAST(final_total AS DECIMAL(12,2)) AS total_price
 FROM bill_priced""", *_BILL_VIEWS[:8])
 
-SQL["bill_quote_headers"] = with_views("""
+_HEADERS = """
 SELECT bill_id AS invoice_id, store_id, billed_by, customer_name, customer_phone, CAST(SUM(base_total) AS DECIMAL(12,2)) AS sub_total,
        CAST(NULL AS DECIMAL(12,2)) AS total_gst, CAST(SUM(final_total) AS DECIMAL(12,2)) AS grand_total, created_at
 FROM bill_priced WHERE bill_id IN (SELECT bill_id FROM clean_bills)
-GROUP BY bill_id, store_id, created_at, billed_by, customer_name, customer_phone""", *_BILL_VIEWS)
+GROUP BY bill_id, store_id, created_at, billed_by, customer_name, customer_phone"""
+SQL["bill_quote_headers"] = with_views(_HEADERS, *_BILL_VIEWS)
 
 SQL["bill_quote_items"] = with_views("""
 SELECT bill_id AS invoice_id, product_id, quantity, selling_rate AS unit_price, applied_discount AS discount_percent,
@@ -460,7 +461,7 @@ SELECT bill_id AS invoice_id, product_id, quantity, selling_rate AS unit_price,
        charged_dimension, CAST(line_area AS DECIMAL(10,4)) AS area, charged_rate, line_no
 FROM bill_priced WHERE bill_id IN (SELECT bill_id FROM clean_bills)""", *_BILL_VIEWS)
 
-SQL["stock_after_quotes"] = with_views("""
+_STOCK_AFTER = """
 SELECT i.id, i.store_id, i.product_id, i.purchase_rate, i.selling_rate,
        CASE WHEN q.sold IS NOT NULL THEN CAST(i.available_stock - q.sold AS INT) ELSE i.available_stock END
            AS available_stock,
@@ -469,7 +470,8 @@ SELECT i.id, i.store_id, i.product_id, i.purchase_rate, i.selling_rate,
 FROM inventory i LEFT JOIN (
     SELECT store_id, product_id, SUM(quantity) AS sold, MAX(created_at) AS sold_at FROM bill_priced
     WHERE bill_id IN (SELECT bill_id FROM clean_bills) GROUP BY store_id, product_id) q
-  ON i.store_id = q.store_id AND i.product_id = q.product_id""", *_BILL_VIEWS)
+  ON i.store_id = q.store_id AND i.product_id = q.product_id"""
+SQL["stock_after_quotes"] = with_views(_STOCK_AFTER, *_BILL_VIEWS)
 
 SQL["bill_receipts"] = with_views("""
 SELECT i.invoice_id, i.customer_name, i.grand_total AS total_price, i.created_at,
@@ -962,3 +964,256 @@ SELECT id, category_name FROM made
 WHERE id NOT IN (SELECT id FROM category_delete_ids)
    OR id IN (SELECT category_id FROM products WHERE category_id IS NOT NULL)""", "glass_categories", "category_delete_ids",
     "products")
+
+
+# --- bills in order: one recursive step decides the next bill of every store -------------------------
+# Only keys that all requests together can exhaust are remembered (``sold``): no other key ever runs short.
+VIEWS["scarce"] = """
+        SELECT store_id, product_id FROM bill_priced WHERE found
+        GROUP BY store_id, product_id HAVING sum(CASE WHEN quantity > 0 THEN quantity END) > max(start_stock)"""
+VIEWS["whole_bills"] = """
+        SELECT b.store_id, b.created_at, b.bill_id, row_number() OVER (PARTITION BY b.store_id ORDER BY b.created_at, b.bill_id) AS nth,
+               arg_min(invalid_reason, coalesce(line_no, 0)) FILTER (invalid_reason IS NOT NULL) AS invalid_reason,
+               min(coalesce(line_no, 0)) FILTER (invalid_reason IS NOT NULL) AS invalid_line,
+               list(struct_pack(line := line_no, product := b.product_id, quantity := quantity, found := found,
+                                stock := start_stock, scarce := s.product_id IS NOT NULL,
+                                limited := static_reason = 'discount_limit_exceeded') ORDER BY line_no) AS lines
+        FROM bill_priced b LEFT JOIN scarce s ON s.store_id = b.store_id AND s.product_id = b.product_id
+        GROUP BY b.store_id, b.created_at, b.bill_id"""
+_STOCK_LEFT = "l.stock - coalesce(p.sold[l.product], 0)"
+VIEWS["posted"] = f"""
+        SELECT store_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS bill_id, MAP {{}}::MAP(INTEGER, BIGINT) AS sold,
+               CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS INTEGER) AS failed_line
+        FROM (SELECT DISTINCT store_id FROM whole_bills)
+        UNION ALL
+        SELECT store_id, nth, bill_id,
+               CASE WHEN reason IS NOT NULL OR len(taken) = 0 THEN sold ELSE map_concat(sold, map_from_entries(
+                   list_transform(list_distinct(list_transform(taken, lambda l: l.product)), lambda k: struct_pack(k := k,
+                       v := coalesce(sold[k], 0) + CAST(list_sum(list_transform(list_filter(taken, lambda l: l.product = k), lambda l: l.quantity)) AS BIGINT))))) END,
+               reason, failed_line
+        FROM (
+            SELECT store_id, nth, bill_id, sold, list_filter(lines, lambda l: l.scarce) AS taken,
+                   CASE WHEN invalid_reason IS NOT NULL THEN invalid_reason WHEN bad IS NULL THEN NULL
+                        WHEN NOT bad.found THEN 'not_found' WHEN bad.short THEN 'insufficient_stock'
+                        ELSE 'discount_limit_exceeded' END AS reason,
+                   CASE WHEN invalid_reason IS NOT NULL THEN nullif(invalid_line, 0) ELSE bad.line END AS failed_line
+            FROM (
+                SELECT b.*, p.sold, list_filter(list_transform(b.lines, lambda l: struct_pack(line := l.line, found := l.found,
+                           short := {_STOCK_LEFT} < l.quantity, limited := coalesce(l.limited, false))),
+                           lambda x: NOT x.found OR x.short OR x.limited)[1] AS bad
+                FROM posted p JOIN whole_bills b ON b.store_id = p.store_id AND b.nth = p.nth + 1) tested) decided"""
+VIEWS["post_decisions"] = """
+        SELECT b.bill_id, b.store_id, b.created_at, CASE WHEN p.reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
+               p.reason, CAST(p.failed_line AS INTEGER) AS failed_line
+        FROM posted p JOIN whole_bills b ON b.bill_id = p.bill_id"""
+_POSTING = ("bill_requests", "inventory", "products", "stores", "bill_lines", "bill_checked", "bill_sized", "bill_priced",
+            "scarce", "whole_bills", "posted", "post_decisions")
+
+
+def _recursive(body: str, *names: str) -> str:
+    return with_views(body, *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["post_bills_decisions"] = _recursive("SELECT * FROM post_decisions", *_POSTING)
+_CLEAN, _ACCEPTED = "(SELECT bill_id FROM clean_bills)", "(SELECT bill_id FROM post_decisions WHERE status = 'accepted')"
+SQL["post_bills_invoices"] = _recursive(_HEADERS.replace(_CLEAN, _ACCEPTED), *_POSTING)
+SQL["post_bills_stock"] = _recursive(_STOCK_AFTER.replace(_CLEAN, _ACCEPTED), *_POSTING)
+# The stream replays the requests in four ranges of time, one batch each.
+_BATCH = " + ".join(f"CAST(created_at >= TIMESTAMP '{day}' AS INTEGER)" for day in ("1997-01-01", "1999-01-01", "2001-01-01"))
+SQL["stream_post_bills"] = _recursive(
+    f"SELECT *, CAST({_BATCH} AS BIGINT) AS batch_id, {_BATCH} AS batch FROM post_decisions", *_POSTING)
+SQL["stream_post_bills_keyed"] = _recursive(f"SELECT *, {_BATCH} AS batch_id FROM post_decisions", *_POSTING)
+SQL["stream_stock_keyed"] = f"SELECT store_id, product_id, available_stock FROM ({SQL['post_bills_stock']}) stock"
+
+# --- registrations in order -----------------------------------------------------------------------------
+VIEWS["user_inserts"] = f"""
+        SELECT c_custkey AS seq, c_name AS full_name,
+               CASE WHEN c_custkey % 5 = 0 THEN replace(c_name, 'Customer', 'Supplier') ELSE c_name END AS username,
+               concat('c', CAST(c_custkey % 500 AS VARCHAR), '@mail.test') AS email,
+               CASE c_custkey % 3 WHEN 0 THEN 'store_admin' WHEN 1 THEN 'MASTER_ADMIN' ELSE 'clerk' END AS role,
+               CAST(c_nationkey AS INT) AS store_id, {_FEED_TIME} AS created_at
+        FROM customer"""
+VIEWS["user_numbered"] = """
+        SELECT *, row_number() OVER (ORDER BY seq) AS nth, email IN (SELECT email FROM users) AS held_email,
+               username IN (SELECT username FROM users) AS held_username
+        FROM user_inserts WHERE upper(role) IN ('MASTER_ADMIN', 'STORE_ADMIN')"""
+VIEWS["user_judged"] = """
+        SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS emails, CAST([] AS VARCHAR[]) AS names
+        UNION ALL
+        SELECT nth, reason, CASE WHEN reason IS NULL THEN list_append(emails, email) ELSE emails END,
+               CASE WHEN reason IS NULL THEN list_append(names, username) ELSE names END
+        FROM (SELECT n.nth, n.email, n.username, j.emails, j.names,
+                     CASE WHEN n.held_email OR list_contains(j.emails, n.email) THEN 'duplicate_email'
+                          WHEN n.held_username OR list_contains(j.names, n.username) THEN 'duplicate_username' END AS reason
+              FROM user_judged j JOIN user_numbered n ON n.nth = j.nth + 1) step"""
+_REGISTERING = ("users", "user_inserts", "user_numbered", "user_judged")
+SQL["insert_users"] = _recursive("""
+SELECT CAST((SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS INT) AS id, store_id, full_name, username, email,
+       upper(role) AS role, true AS status, created_at, created_at AS updated_at
+FROM user_numbered n JOIN user_judged j ON j.nth = n.nth AND j.reason IS NULL""", *_REGISTERING)
+SQL["insert_users_rejects"] = _recursive("""
+SELECT seq, 'invalid_role' AS reason FROM user_inserts WHERE upper(role) NOT IN ('MASTER_ADMIN', 'STORE_ADMIN')
+UNION ALL SELECT n.seq, j.reason FROM user_numbered n JOIN user_judged j ON j.nth = n.nth WHERE j.reason IS NOT NULL""", *_REGISTERING)
+
+VIEWS["store_signups"] = f"""
+        SELECT c_custkey AS seq, concat(CASE WHEN c_custkey % 4 = 0 THEN replace(c_name, 'Customer', 'Supplier') ELSE c_name END,
+                                        '@example.test') AS store_email,
+               concat('Shop ', c_name) AS store_name, c_mktsegment AS store_location, c_name AS full_name,
+               concat('owner-', CAST(c_custkey % 700 AS VARCHAR)) AS username,
+               concat('owner', CAST(c_custkey AS VARCHAR), '@mail.test') AS email, {_FEED_TIME} AS created_at,
+               row_number() OVER (ORDER BY c_custkey) AS nth
+        FROM customer"""
+VIEWS["signup_judged"] = """
+        SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS taken
+        UNION ALL
+        SELECT nth, reason, CASE WHEN reason IS NULL THEN list_concat(taken, keys) ELSE taken END
+        FROM (SELECT n.nth, j.taken, ['s ' || store_email, 'e ' || email, 'u ' || username] AS keys,
+                     CASE WHEN store_email IN (SELECT store_email FROM stores) OR list_contains(taken, 's ' || store_email)
+                               THEN 'duplicate_store_email'
+                          WHEN email IN (SELECT email FROM users) OR list_contains(taken, 'e ' || email) THEN 'duplicate_email'
+                          WHEN username IN (SELECT username FROM users) OR list_contains(taken, 'u ' || username)
+                               THEN 'duplicate_username' END AS reason
+              FROM signup_judged j JOIN store_signups n ON n.nth = j.nth + 1) step"""
+VIEWS["signup_made"] = """
+        SELECT n.*, row_number() OVER (ORDER BY seq) AS place FROM store_signups n JOIN signup_judged j ON j.nth = n.nth AND j.reason IS NULL"""
+_SIGNING = ("stores", "users", "store_signups", "signup_judged", "signup_made")
+SQL["create_stores_with_admins"] = _recursive("""
+SELECT CAST((SELECT max(store_id) FROM stores) + place AS INT) AS store_id, store_email, store_name, store_location, true AS status,
+       created_at, CAST(NULL AS DECIMAL(5,2)) AS default_max_discount
+FROM signup_made""", *_SIGNING)
+SQL["create_stores_with_admins_users"] = _recursive("""
+SELECT CAST((SELECT max(id) FROM users) + place AS INT) AS id, CAST((SELECT max(store_id) FROM stores) + place AS INT) AS store_id,
+       full_name, username, email, 'STORE_ADMIN' AS role, true AS status, created_at, created_at AS updated_at
+FROM signup_made""", *_SIGNING)
+SQL["create_stores_with_admins_rejects"] = _recursive("""
+SELECT n.seq, j.reason FROM store_signups n JOIN signup_judged j ON j.nth = n.nth WHERE j.reason IS NOT NULL""", *_SIGNING)
+
+# --- store admins' product edits ---------------------------------------------------------------------------
+VIEWS["product_edits"] = """
+        SELECT bill_id * 100 + line_no AS seq, store_id, CAST(product_id + CASE WHEN line_no = 2 THEN 1 ELSE 0 END AS INT) AS product_id,
+               created_at AS patched_at, line_no, concat('Edited ', CAST(product_id AS VARCHAR)) AS product_name,
+               CAST(quantity * 10 AS DECIMAL(12,2)) AS selling_rate, quantity AS available_stock
+        FROM bill_requests WHERE line_no IS NOT NULL"""
+VIEWS["edits_held"] = """
+        SELECT e.* FROM product_edits e JOIN inventory i ON i.store_id = e.store_id AND i.product_id = e.product_id"""
+_EDITING = ("bill_requests", "products", "inventory", "product_edits", "edits_held")
+SQL["update_store_products"] = with_views("""
+SELECT p.* REPLACE (coalesce(e.product_name, p.product_name) AS product_name,
+                    CASE WHEN e.product_id IS NOT NULL THEN e.at ELSE p.updated_at END AS updated_at)
+FROM products p LEFT JOIN (
+    SELECT product_id, arg_max(product_name, seq) AS product_name, arg_max(patched_at, seq) AS at
+    FROM edits_held WHERE line_no = 1 GROUP BY product_id) e ON e.product_id = p.id""", *_EDITING)
+SQL["update_store_products_inventory"] = with_views("""
+SELECT i.* REPLACE (coalesce(e.selling_rate, i.selling_rate) AS selling_rate, coalesce(e.stock, i.available_stock) AS available_stock,
+                    CASE WHEN e.product_id IS NOT NULL THEN e.at ELSE i.updated_at END AS updated_at)
+FROM inventory i LEFT JOIN (
+    SELECT store_id, product_id, arg_max(selling_rate, seq) AS selling_rate, arg_max(patched_at, seq) AS at,
+           arg_max(available_stock, seq) FILTER (line_no = 3) AS stock
+    FROM edits_held WHERE line_no <= 3 GROUP BY store_id, product_id) e ON e.store_id = i.store_id AND e.product_id = i.product_id""", *_EDITING)
+SQL["update_store_products_rejects"] = with_views("""
+SELECT seq, 'not_in_store' AS reason FROM product_edits WHERE seq NOT IN (SELECT seq FROM edits_held)
+UNION ALL SELECT seq, 'no_fields' FROM edits_held WHERE line_no > 3""", *_EDITING)
+
+# --- rows that went through files or JSON come back as they were ---------------------------------------------
+SQL["invoice_history_from_json"] = SQL["invoice_history"]
+for _name in ("products", "inventory", "invoice_items"):
+    SQL[f"round_trip_{_name}"] = with_views(f"SELECT * FROM {_name}", _name)
+
+
+# --- edits of products, stores and users -----------------------------------------------------------------
+VIEWS["product_patches"] = f"""
+        SELECT CAST(CASE WHEN p_partkey % 19 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS INT) AS id,
+               p_partkey * 2 + again AS seq, {_FEED_TIME} AS patched_at,
+               concat('Renamed ', CAST(p_partkey * 2 + again AS VARCHAR)) AS product_name, (p_partkey * 2 + again) % 3 = 0 AS set_name,
+               CAST(p_partkey % 9 AS INT) AS category_id, (p_partkey * 2 + again) % 5 = 0 AS set_category,
+               CASE WHEN (p_partkey * 2 + again) % 4 = 0 THEN 'clear' END AS color, (p_partkey * 2 + again) % 7 = 0 AS set_color,
+               CAST((p_partkey * 2 + again) % 90 AS DECIMAL(10,2)) AS length, (p_partkey * 2 + again) % 11 = 0 AS set_length
+        FROM part CROSS JOIN (VALUES (0), (1)) twice(again)"""
+VIEWS["product_patches_judged"] = """
+        SELECT *, CASE WHEN set_category AND category_id NOT IN (SELECT id FROM glass_categories) THEN 'category_not_found'
+                       WHEN NOT (set_name OR set_category OR set_color OR set_length) THEN 'no_fields'
+                       WHEN id NOT IN (SELECT id FROM products) THEN 'not_found' END AS reason
+        FROM product_patches"""
+_PATCHING = ("glass_categories", "products", "product_patches", "product_patches_judged")
+SQL["patch_products"] = with_views(f"""
+SELECT p.* REPLACE (CASE WHEN k.a_name THEN k.n_name ELSE p.product_name END AS product_name,
+                    CASE WHEN k.a_cat THEN k.n_cat ELSE p.category_id END AS category_id,
+                    CASE WHEN k.a_color THEN k.n_color ELSE p.color END AS color,
+                    CASE WHEN k.a_length THEN k.n_length ELSE p.length END AS length,
+                    CASE WHEN k.id IS NOT NULL THEN k.at ELSE p.updated_at END AS updated_at)
+FROM products p LEFT JOIN (
+    SELECT id, max(patched_at) AS at, bool_or(set_name) AS a_name, bool_or(set_category) AS a_cat, bool_or(set_color) AS a_color,
+           bool_or(set_length) AS a_length, {_last_set('product_name', 'set_name')} AS n_name,
+           {_last_set('category_id', 'set_category')} AS n_cat, {_last_set('color', 'set_color')} AS n_color,
+           {_last_set('length', 'set_length')} AS n_length
+    FROM product_patches_judged WHERE reason IS NULL GROUP BY id) k ON k.id = p.id""", *_PATCHING)
+SQL["patch_products_rejects"] = with_views(
+    "SELECT id, seq, reason FROM product_patches_judged WHERE reason IS NOT NULL", *_PATCHING)
+
+VIEWS["store_patches"] = """
+        SELECT CAST(CASE WHEN store_id % 6 = 5 THEN store_id + 5000 ELSE store_id END AS INT) AS store_id, CAST(store_id AS BIGINT) AS seq,
+               concat('Branch ', CAST(store_id AS VARCHAR)) AS store_name, store_id % 2 = 0 AS set_name, store_id % 5 = 0 AS set_location,
+               store_id % 4 = 0 AS status, store_id % 3 = 0 AS set_status
+        FROM stores"""
+SQL["patch_stores"] = with_views("""
+SELECT s.* REPLACE (CASE WHEN k.set_name THEN k.store_name ELSE s.store_name END AS store_name,
+                    CASE WHEN k.set_location THEN NULL ELSE s.store_location END AS store_location,
+                    CASE WHEN k.set_status THEN k.status ELSE s.status END AS status)
+FROM stores s LEFT JOIN store_patches k ON k.store_id = s.store_id""", "stores", "store_patches")
+SQL["patch_stores_rejects"] = with_views("""
+SELECT store_id, seq, CASE WHEN NOT (set_name OR set_location OR set_status) THEN 'no_fields' ELSE 'not_found' END AS reason
+FROM store_patches WHERE NOT (set_name OR set_location OR set_status) OR store_id NOT IN (SELECT store_id FROM stores)""",
+    "stores", "store_patches")
+
+VIEWS["user_patches"] = f"""
+        SELECT CAST(c_custkey % ((SELECT count(*) FROM supplier) + 3) AS INT) AS id, c_custkey AS seq, {_FEED_TIME} AS patched_at,
+               concat('mail', CAST(c_custkey % 47 AS VARCHAR), '@x.test') AS email, c_custkey % 2 = 0 AS set_email,
+               concat('name', CAST(c_custkey % 31 AS VARCHAR)) AS username, c_custkey % 3 = 0 AS set_username,
+               c_name AS full_name, c_custkey % 5 = 0 AS set_full_name, c_custkey % 4 = 0 AS status, c_custkey % 11 = 0 AS set_status
+        FROM customer"""
+
+
+def _user_patches(anything: str, outsiders: str) -> tuple[str, str]:
+    """Edited users, and refusals, with edits judged one by one; the maps hold every user's email and name by then."""
+    views = f""",
+outsiders AS (SELECT id FROM users WHERE {outsiders}),
+asking AS (SELECT * FROM user_patches WHERE {anything} AND id IN (SELECT id FROM users) AND id NOT IN (SELECT id FROM outsiders)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS nth FROM asking WHERE set_email OR set_username),
+judged AS (
+  SELECT CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason,
+         map(list(id ORDER BY id), list(email ORDER BY id)) AS emails, map(list(id ORDER BY id), list(username ORDER BY id)) AS names
+  FROM users
+  UNION ALL
+  SELECT nth, seq, reason, CASE WHEN reason IS NULL AND set_email THEN map_concat(emails, MAP {{id: email}}) ELSE emails END,
+         CASE WHEN reason IS NULL AND set_username THEN map_concat(names, MAP {{id: username}}) ELSE names END
+  FROM (SELECT n.*, j.emails, j.names,
+               CASE WHEN n.set_email AND len(list_filter(map_entries(j.emails), lambda e: e.key <> n.id AND e.value = n.email)) > 0
+                         THEN 'duplicate_email'
+                    WHEN n.set_username AND len(list_filter(map_entries(j.names), lambda e: e.key <> n.id AND e.value = n.username)) > 0
+                         THEN 'duplicate_username' END AS reason
+        FROM judged j JOIN numbered n ON n.nth = j.nth + 1) step),
+refused AS (SELECT seq, reason FROM judged WHERE reason IS NOT NULL),
+taken AS (SELECT * FROM asking WHERE seq NOT IN (SELECT seq FROM refused))
+"""
+    more = ("CASE WHEN k.a_full THEN k.n_full ELSE u.full_name END AS full_name, "
+            "CASE WHEN k.a_status THEN k.n_status ELSE u.status END AS status, ") if known else ""
+    table = views + f"""
+SELECT u.* REPLACE ({more}CASE WHEN k.a_email THEN k.n_email ELSE u.email END AS email,
+                    CASE WHEN k.a_name THEN k.n_name ELSE u.username END AS username,
+                    CASE WHEN k.id IS NOT NULL THEN k.at ELSE u.updated_at END AS updated_at)
+FROM users u LEFT JOIN (
+    SELECT id, max(patched_at) AS at, bool_or(set_email) AS a_email, bool_or(set_username) AS a_name, bool_or(set_full_name) AS a_full,
+           bool_or(set_status) AS a_status, {_last_set('email', 'set_email')} AS n_email, {_last_set('username', 'set_username')} AS n_name,
+           {_last_set('full_name', 'set_full_name')} AS n_full, {_last_set('status', 'set_status')} AS n_status
+    FROM taken GROUP BY id) k ON k.id = u.id"""
+    rejects = views + f"""
+SELECT id, seq, CASE WHEN id IN (SELECT id FROM outsiders) THEN 'not_store_admin' WHEN NOT ({anything}) THEN 'no_fields'
+                     ELSE 'not_found' END AS reason
+FROM user_patches WHERE id IN (SELECT id FROM outsiders) OR NOT ({anything}) OR id NOT IN (SELECT id FROM users)
+UNION ALL SELECT p.id, r.seq, r.reason FROM refused r JOIN user_patches p ON p.seq = r.seq"""
+    return _recursive(table, "users", "user_patches"), _recursive(rejects, "users", "user_patches")
+
+
+SQL["patch_credentials"], SQL["patch_credentials_rejects"] = _user_patches("(set_email OR set_username)", "false")
+SQL["patch_store_admins"], SQL["patch_store_admins_rejects"] = _user_patches(
+    "(set_email OR set_username OR set_full_name OR set_status)", "upper(role) <> 'STORE_ADMIN'")

@@ -323,4 +323,29 @@ def change_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.lit(None).cast("decimal(12,2)").alias("purchase_rate"), F.lit(False).alias("set_purchase_rate"),
         F.col("quantity").alias("available_stock"), (F.col("line_no") == 3).alias("set_available_stock"),
         F.lit(None).cast("int").alias("minimum_stock"), F.lit(False).alias("set_minimum_stock"))
+    # Edits by the head office: two of every product, some of unknown products or categories.
+    twice = part.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    seq = pk * 2 + F.col("again")
+    feeds["product_patches"] = twice.select(
+        F.when(pk % 19 == 0, pk + 1000000).otherwise(pk).cast("int").alias("id"), seq.cast("long").alias("seq"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("patched_at"),
+        F.concat(F.lit("Renamed "), seq.cast("string")).alias("product_name"), (seq % 3 == 0).alias("set_product_name"),
+        (pk % 9).cast("int").alias("category_id"), (seq % 5 == 0).alias("set_category_id"),
+        F.when(seq % 4 == 0, "clear").alias("color"), (seq % 7 == 0).alias("set_color"),
+        _dec(seq % 90, 10, 2).alias("length"), (seq % 11 == 0).alias("set_length"),
+        *[F.lit(None).alias(f) for f in ("thickness", "width", "dimension_unit", "area", "unit", "product_image")],
+        *[F.lit(False).alias(f"set_{f}") for f in ("thickness", "width", "dimension_unit", "area", "unit", "product_image")])
+    feeds["store_patches"] = t.stores.select(
+        F.when(sid % 6 == 5, sid + 5000).otherwise(sid).cast("int").alias("store_id"), sid.cast("long").alias("seq"),
+        F.lit(FEED_TIME).cast("timestamp_ntz").alias("patched_at"),
+        F.concat(F.lit("Branch "), sid.cast("string")).alias("store_name"), (sid % 2 == 0).alias("set_store_name"),
+        F.lit(None).cast("string").alias("store_location"), (sid % 5 == 0).alias("set_store_location"),
+        (sid % 4 == 0).alias("status"), (sid % 3 == 0).alias("set_status"))
+    # Names and emails that are freed and taken again in the batch.
+    feeds["user_patches"] = customer.select(
+        (ck % (n_stores + 3)).cast("int").alias("id"), ck.alias("seq"), F.lit(FEED_TIME).cast("timestamp_ntz").alias("patched_at"),
+        F.concat(F.lit("mail"), (ck % 47).cast("string"), F.lit("@x.test")).alias("email"), (ck % 2 == 0).alias("set_email"),
+        F.concat(F.lit("name"), (ck % 31).cast("string")).alias("username"), (ck % 3 == 0).alias("set_username"),
+        F.col("c_name").alias("full_name"), (ck % 5 == 0).alias("set_full_name"),
+        (ck % 4 == 0).alias("status"), (ck % 11 == 0).alias("set_status"))
     return feeds
