@@ -1196,7 +1196,7 @@ refused AS (SELECT seq, reason FROM judged WHERE reason IS NOT NULL),
 taken AS (SELECT * FROM asking WHERE seq NOT IN (SELECT seq FROM refused))
 """
     more = ("CASE WHEN k.a_full THEN k.n_full ELSE u.full_name END AS full_name, "
-            "CASE WHEN k.a_status THEN k.n_status ELSE u.status END AS status, ") if known else ""
+            "CASE WHEN k.a_status THEN k.n_status ELSE u.status END AS status, ") if "set_status" in anything else ""
     table = views + f"""
 SELECT u.* REPLACE ({more}CASE WHEN k.a_email THEN k.n_email ELSE u.email END AS email,
                     CASE WHEN k.a_name THEN k.n_name ELSE u.username END AS username,
@@ -1217,3 +1217,27 @@ UNION ALL SELECT p.id, r.seq, r.reason FROM refused r JOIN user_patches p ON p.s
 SQL["patch_credentials"], SQL["patch_credentials_rejects"] = _user_patches("(set_email OR set_username)", "false")
 SQL["patch_store_admins"], SQL["patch_store_admins_rejects"] = _user_patches(
     "(set_email OR set_username OR set_full_name OR set_status)", "upper(role) <> 'STORE_ADMIN'")
+
+
+# --- reports after all requests are posted ------------------------------------------------------------------
+_ITEMS_POSTED = """
+SELECT bill_id AS invoice_id, product_id, quantity FROM bill_priced WHERE bill_id IN (
+    SELECT bill_id FROM post_decisions WHERE status = 'accepted')"""
+
+
+def _after_posting(name: str) -> str:
+    """A report's SQL with the posted bills added to its invoices and items, and the stock they left."""
+    outer = with_views("", *_POSTING).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    posted = {"invoices": f"SELECT * FROM ({VIEWS['invoices']}) b UNION ALL BY NAME SELECT * FROM posted_invoices",
+              "invoice_items": f"SELECT * FROM ({VIEWS['invoice_items']}) b UNION ALL BY NAME SELECT * FROM posted_items",
+              "inventory": "SELECT * FROM posted_stock"}
+    report = SQL[name]
+    for table, rows in posted.items():
+        report = report.replace(f"{table} AS ({VIEWS[table]})", f"{table} AS ({rows})")
+    views = [("posted_invoices", _HEADERS), ("posted_items", _ITEMS_POSTED), ("posted_stock", _STOCK_AFTER)]
+    added = ",\n".join(f"{view} AS ({body.replace(_CLEAN, _ACCEPTED)})" for view, body in views)
+    return f"{outer},\n{added}\nSELECT * FROM ({report}) report"
+
+
+for _name in ("master_summary", "branch_performance", "monthly_revenue", "store_summary", "store_wise_revenue", "top_products_by_store"):
+    SQL[f"fresh_{_name}"] = _after_posting(_name)

@@ -467,3 +467,53 @@ _EDITS = {
 for _name, _edit in _EDITS.items():
     _w(_name)((lambda edit: lambda t, f: edit(t, f).table)(_edit))
     _w(f"{_name}_rejects")((lambda edit: lambda t, f: edit(t, f).rejects)(_edit))
+
+
+# --- dashboards kept fresh by the posted batches ---------------------------------------------------------------
+from glazier.streaming import fresh as _Fresh  # noqa: E402
+
+
+def _fresh(name):
+    """Register a report from the partial sums that T1's batches left, after the last batch."""
+    def deco(build):
+        def query(s, d):
+            t = _t(s, d)
+            staged = _S.stage_bill_requests(t.bill_requests, _shared(s, "t1-requests"), STREAM_BOUNDS)
+            out = _shared(s, "t1-fresh")
+            _S.run_post_bills(t, _S.bill_request_stream(s, staged), out, _shared(s, "t1-ckpt"), reports=True)
+            last = _S.last_batch(s, out)
+            return build(t, out, last, _Fresh.partials(s, out, last))
+        register(f"fresh_{name}")(query)
+        return build
+    return deco
+
+
+@_fresh("master_summary")
+def _q_fresh_master(t, out, last, parts):
+    return _Fresh.master_summary(parts, t, FIXTURE_AS_OF)
+
+
+@_fresh("branch_performance")
+def _q_fresh_branches(t, out, last, parts):
+    return _Fresh.branch_performance(parts, t)
+
+
+@_fresh("monthly_revenue")
+def _q_fresh_months(t, out, last, parts):
+    posted = t.invoices.sparkSession.read.parquet(f"{out}/invoices").select(*t.invoices.columns)
+    return _Fresh.monthly_revenue(parts, t.invoices.unionByName(posted), FIXTURE_AS_OF)
+
+
+@_fresh("store_summary")
+def _q_fresh_store(t, out, last, parts):
+    return _Fresh.store_summary(parts, t, FIXTURE_AS_OF)
+
+
+@_fresh("store_wise_revenue")
+def _q_fresh_stores(t, out, last, parts):
+    return _Fresh.store_wise_revenue(parts, t, FIXTURE_AS_OF)
+
+
+@_fresh("top_products_by_store")
+def _q_fresh_top(t, out, last, parts):
+    return _Fresh.top_products_by_store(t.products.sparkSession, out, last, t.products)

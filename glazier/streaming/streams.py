@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from glazier.operators.billing import post_bills
 from glazier.sources.tables import SCHEMAS, Tables
+from glazier.streaming.fresh import write_partials
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -124,8 +125,9 @@ def stock_after(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame:
     }).select(*[f.name for f in SCHEMAS["inventory"].fields])
 
 
-def post_bills_batch(t: Tables, out_dir: str):
-    """The ``foreachBatch`` body of T1 (B8 per micro-batch).
+def post_bills_batch(t: Tables, out_dir: str, reports: bool = False):
+    """The ``foreachBatch`` body of T1 (B8 per micro-batch); with ``reports`` the partial sums of the
+    fresh dashboards (``glazier.streaming.fresh``) are written with every batch.
 
     A batch needs the stock its predecessor left: if that is missing, the
     batch raises instead of starting from the original stock again."""
@@ -146,11 +148,14 @@ def post_bills_batch(t: Tables, out_dir: str):
         posting.decisions.select("*", tag).write.mode("overwrite").parquet(f"{base}/decisions/batch={batch_id}")
         posting.invoices.select("*", tag).write.mode("overwrite").parquet(f"{base}/invoices/batch={batch_id}")
         posting.invoice_items.select("*", tag).write.mode("overwrite").parquet(f"{base}/items/batch={batch_id}")
+        sold = posting.lines.select("store_id", "product_id").distinct()
+        rows = posting.inventory.join(sold, ["store_id", "product_id"], "left_semi").select(*posting.inventory.columns)
+        if reports:
+            write_partials(t, base, batch_id, posting.invoices, posting.invoice_items,
+                           inventory.join(sold, ["store_id", "product_id"], "left_semi"), rows)
         # The stock is written last: its presence marks the batch as done.
         snapshot, changed = _stock_paths(base, batch_id)
         if changed:
-            sold = posting.lines.select("store_id", "product_id").distinct()
-            rows = posting.inventory.join(sold, ["store_id", "product_id"], "left_semi").select(*posting.inventory.columns)
             rows.write.mode("overwrite").parquet(changed[-1])
         else:
             posting.inventory.write.mode("overwrite").parquet(snapshot)
@@ -177,21 +182,30 @@ def _claim(spark: SparkSession, out_dir: str, checkpoint: str) -> None:
             row.write.mode("overwrite").json(path)
 
 
-def run_post_bills(t: Tables, requests: DataFrame, out_dir: str, checkpoint: str) -> str:
+def run_post_bills(t: Tables, requests: DataFrame, out_dir: str, checkpoint: str, reports: bool = False) -> str:
     """Post a stream of bill requests until the source is drained."""
     _claim(requests.sparkSession, out_dir, checkpoint)
     q = (requests.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(post_bills_batch(t, out_dir)).trigger(availableNow=True).start())
+         .foreachBatch(post_bills_batch(t, out_dir, reports)).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_dir
 
 
+def last_batch(spark: SparkSession, out_dir: str) -> int:
+    """The last committed batch of T1, from one listing of the stock folders; batches are committed in order."""
+    base = out_dir.rstrip("/")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [0]
+    for pattern in (f"{base}/inventory/v=*/_SUCCESS", f"{base}/stock_changes/v=*/_SUCCESS"):
+        marker = fs_path(pattern)
+        listed = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marker)
+        found += [int(status.getPath().getParent().getName().removeprefix("v=")) for status in listed or ()]
+    return max(found)
+
+
 def latest_stock(spark: SparkSession, out_dir: str) -> DataFrame:
     """Stock after the last committed batch of T1."""
-    last = 0
-    while _committed(spark, out_dir.rstrip("/"), last + 1):
-        last += 1
-    return stock_after(spark, out_dir, last)
+    return stock_after(spark, out_dir, last_batch(spark, out_dir))
 
 
 def bill_request_stream(spark: SparkSession, directory: str, files_per_trigger: int = 1) -> DataFrame:

@@ -76,3 +76,57 @@ def test_keyed_state_refuses_a_bill_past_the_header_s_range(spark, tmp_path):
     for rows in (spark.read.parquet(f"{out}/decisions"), B.post_bills(t).decisions):
         assert {r.bill_id: (r.status, r.reason, r.failed_line) for r in rows.collect()} == {
             1: ("rejected", "amount_out_of_range", 2), 2: ("accepted", None, None), 3: ("rejected", "no_items", None)}
+
+
+def test_reports_are_fresh_after_every_batch(spark, small_tables, tmp_path, monkeypatch):
+    """Four batches, bills out of time order, whole sets every second batch; every report equals its batch form."""
+    from pyspark.sql import functions as F
+
+    from glazier.operators import reports as R
+    from glazier.sources.fixtures import FIXTURE_AS_OF
+    from glazier.streaming import fresh
+    monkeypatch.setattr(fresh, "COMPACT_EVERY", 3)
+    t, out = small_tables, str(tmp_path / "out")
+    handle = S.post_bills_batch(t, out, reports=True)
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    for batch_id in range(4):
+        rows = t.bill_requests.filter(F.pmod(F.col("bill_id").cast("long"), F.lit(4)) == batch_id)
+        handle(rows, batch_id)
+        if batch_id == 1:
+            handle(rows, batch_id)                      # a replayed batch changes nothing
+        now = t.with_(
+            invoices=t.invoices.unionByName(spark.read.parquet(f"{out}/invoices").select(*t.invoices.columns)),
+            invoice_items=t.invoice_items.unionByName(spark.read.parquet(f"{out}/items").select(*t.invoice_items.columns)),
+            inventory=S.latest_stock(spark, out))
+        assert S.last_batch(spark, out) == batch_id
+        parts = fresh.partials(spark, out, batch_id)
+        assert same(fresh.master_summary(parts, t, FIXTURE_AS_OF), R.master_summary(now, FIXTURE_AS_OF))
+        assert same(fresh.branch_performance(parts, t), R.branch_performance(now))
+        assert same(fresh.monthly_revenue(parts, now.invoices, FIXTURE_AS_OF), R.monthly_revenue(now, FIXTURE_AS_OF))
+        assert same(fresh.store_summary(parts, t, FIXTURE_AS_OF), R.store_summary(now, FIXTURE_AS_OF))
+        assert same(fresh.store_wise_revenue(parts, t, FIXTURE_AS_OF), R.store_wise_revenue(now, FIXTURE_AS_OF))
+        assert same(fresh.top_products_by_store(spark, out, batch_id, t.products), R.top_products_by_store(now))
+
+
+def test_leaders_stay_exact(spark, tmp_path, monkeypatch):
+    """Random sales with many ties and one whole set at the start; the first two of every store after each batch."""
+    import random
+
+    from glazier.streaming import fresh
+    monkeypatch.setattr(fresh, "COMPACT_EVERY", 100)
+    monkeypatch.setattr(fresh, "SPARE", 2)
+    draw, base, totals = random.Random(7), str(tmp_path / "out"), {}
+    kinds = "store_id int, product_id int, sold long"
+    for batch_id in range(9):
+        sales = {(draw.randrange(12), draw.randrange(25)): draw.choice([1, 1, 2, 3, 9])
+                 for _ in range(150 if batch_id == 0 else 30)}
+        for key, units in sales.items():
+            totals[key] = totals.get(key, 0) + units
+        rows = spark.createDataFrame([(*k, v) for k, v in sales.items()], kinds).coalesce(1)
+        rows.write.parquet(fresh._paths(base, "units", batch_id)[-1])
+        fresh.write_leaders(spark, base, batch_id, n=2)
+        got = {(r.store_id, r.place): (r.product_id, r.sold) for r in spark.read.parquet(fresh._leaders(base, batch_id)).collect()}
+        for store in {s for s, _ in totals}:
+            ranked = sorted((-v, p) for (s, p), v in totals.items() if s == store)[:2]
+            for place, (minus, product) in enumerate(ranked, 1):
+                assert got[store, place] == (product, -minus), (batch_id, store)
