@@ -53,14 +53,19 @@ class PretokenTrie:
     score and its token count at each node of the path."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # The vocabulary as a trie of reversed pieces; a node's score is under "".
+        self.reversed: dict = {}
+        for piece, score in scores.items():
+            node = self.reversed
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[""] = score
         self.nodes = 0  # nodes scored so far
 
     def terminal_counts(self, pretokens) -> dict[str, tuple[int, float]]:
         """Token count and score of the best segmentation of every pre-token; of equal scores, the one
         with fewer tokens."""
-        out, get, longest, last = {}, self.scores.get, self.longest, ""
+        out, pieces, last = {}, self.reversed, ""
         best, count = [0.0], [0]
         for word in sorted(pretokens):
             depth, most = 0, min(len(word), len(last))
@@ -68,10 +73,17 @@ class PretokenTrie:
                 depth += 1
             del best[depth + 1:], count[depth + 1:]
             for end in range(depth + 1, len(word) + 1):
-                width = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                char = word[end - 1]
+                width = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
                 top, tokens = best[end - 1] + UNKNOWN * width, count[end - 1] + width
-                for start in range(max(0, end - longest), end):
-                    piece = get(word[start:end])
+                # Back from the end as long as pieces end that way.
+                start, node = end, pieces
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    piece = node.get("")
                     if piece is not None:
                         found = best[start] + piece
                         if found > top or found == top and count[start] + 1 < tokens:
