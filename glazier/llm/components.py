@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from glazier.llm.common import stored
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link, and that to a node without any: then the links name the components."""
+    ends = edges.union(edges.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return ends.filter("low <> high").limit(1).count() == 0
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,16 +35,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) of every node of ``links``; a component is named by its least id.
 
     Each round is written to the shared folder, so a lost executor repeats one round only.  Rounds
-    end when nothing changes; their number grows with the logarithm of the components' size.
+    end when all links are stars; their number grows with the logarithm of the components' size.
     """
-    edges = stored(links.filter(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars")
-    mark = _mark(edges)
+    edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     while True:
         edges = stored(_star(_star(edges, large=True), large=False), "stars")
-        now = _mark(edges)
-        if now == mark:
+        if _settled(edges):
             break
-        mark = now
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

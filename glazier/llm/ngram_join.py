@@ -346,10 +346,10 @@ def _bits(batch: pa.RecordBatch) -> np.ndarray:
 _ENTRY = ("token", "i", "j", "side", "sid", "place", "label")
 
 
-def _pairs(lists: DataFrame, leaders: int | None = None, only_count: bool = False) -> DataFrame:
-    """Pairs of sets (sids) that lists hold and no test skips; with ``leaders``, those of a round's leaders.
-    ``only_count``: their numbers in column a, a pair counting once for every list."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _pairs(lists: DataFrame, leaders: int | None = None) -> DataFrame:
+    """Pairs of sets (sids) that lists hold and no test skips.  With ``leaders``, those of a round's leaders, and
+    rows with the number of all pairs in ``total``, a pair counting once for every list."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("total", pa.int64())])
 
     def form(batches):
         rest = None
@@ -367,18 +367,18 @@ def _pairs(lists: DataFrame, leaders: int | None = None, only_count: bool = Fals
                 continue
             token, _, _, side, sid, place, label, bits = (x[:whole] for x in arrays)
             bits = bits if bits.any() else None
-            total = 0
-            for a, b in _list_pairs(group[:whole], token, side, sid, place, label, bits, leaders):
-                total += len(a)
-                if not only_count and len(a):
+            entries = (group[:whole], token, side, sid, place, label, bits)
+            for a, b in _list_pairs(*entries, leaders):
+                if len(a):
                     both = np.unique(np.stack([sid[a], sid[b]], axis=1), axis=0)
-                    yield batch_of(schema, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
-            if only_count:
-                yield batch_of(schema, [total], [0])
+                    yield batch_of(schema, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]),
+                                   pa.nulls(len(both), pa.int64()))
+            if leaders is not None:
+                yield batch_of(schema, [None], [None], [sum(len(a) for a, _ in _list_pairs(*entries, None))])
 
     dealt = (_blocks(lists).repartition(tasks(lists.sparkSession), "token", "i", "j")
              .sortWithinPartitions("token", "i", "j", "side", "place", "sid"))
-    return dealt.mapInArrow(form, "a long, b long")
+    return dealt.mapInArrow(form, "a long, b long, total long")
 
 
 # --- verification and components --------------------------------------------------------------
@@ -463,11 +463,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = lists.count()
     labelled, links, parts, before, turn = lists.withColumn("label", F.col("sid")), None, None, None, 0
     while True:
-        left = _pairs(labelled, only_count=True).agg(F.sum("a")).first()[0] or 0
-        # Leaders are asked while they save pairs and the pairs are not far fewer than the entries.
-        if 2 * left <= entries or (before is not None and left > 0.8 * before):
+        # One dealing of the lists tells how many pairs are left and forms the leaders' pairs.
+        asked = stored(_pairs(labelled, leaders=turn), "ngram-leaders")
+        left = asked.agg(F.sum("total")).first()[0] or 0
+        # Leaders are asked while they save pairs and the pairs are more than the entries.
+        if left <= entries or (before is not None and left > 0.8 * before):
             break
-        found = _links(docs, _pairs(labelled, leaders=turn), sets)
+        found = _links(docs, asked.filter("total is null").select("a", "b"), sets)
         links = found if links is None else links.union(found)
         parts = stored(components(links, "rep_a", "rep_b"), "ngram-parts")
         labels = sets.join(parts, sets["rep"] == parts["id"]).select("sid", "component")
@@ -475,7 +477,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             *lists.columns, F.coalesce("component", "sid").alias("label")), "ngram-labelled")
         before, turn = left, turn + 1
     if left:
-        found = _links(docs, _pairs(labelled), sets)
+        found = _links(docs, _pairs(labelled).select("a", "b"), sets)
         links = found if links is None else links.union(found)
         parts = stored(components(links, "rep_a", "rep_b"), "ngram-parts")
     full = documents.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sid", "sid2")
