@@ -1244,3 +1244,43 @@ def _after_posting(name: str) -> str:
 
 for _name in ("master_summary", "branch_performance", "monthly_revenue", "store_summary", "store_wise_revenue", "top_products_by_store"):
     SQL[f"fresh_{_name}"] = _after_posting(_name)
+
+
+# --- deep pages, more lookups, deletes by the reference graph ----------------------------------------------------
+SQL["invoice_history_indexed_page"] = with_views(
+    f"{_HISTORY} ORDER BY created_at DESC, invoice_id DESC LIMIT 10 OFFSET 990", "invoices", "invoice_items", "products")
+SQL["invoice_page_after"] = with_views("""
+SELECT invoice_id, store_id, grand_total, created_at FROM invoices ORDER BY created_at DESC, invoice_id DESC LIMIT 10 OFFSET 30""",
+    "invoices")
+SQL["lookup_users_by_email"] = with_views("""
+SELECT * FROM users WHERE email IN (SELECT 'admin-' || store_email FROM stores) AND email LIKE '%3%'""", "users", "stores")
+SQL["lookup_store_admins_by_id"] = with_views("""
+SELECT * FROM users WHERE upper(role) = 'STORE_ADMIN' AND id IN (SELECT store_id * 2 FROM stores)""", "users", "stores")
+SQL["lookup_categories_by_id"] = with_views("""
+SELECT * FROM glass_categories WHERE id IN (SELECT unnest([id, id + 7]) FROM glass_categories)""", "glass_categories")
+SQL["lookup_stores_by_email"] = with_views("""
+SELECT * FROM stores WHERE store_email IN (SELECT store_email FROM store_signups)""", "stores", "store_signups")
+_ASKED = "asked AS (SELECT DISTINCT CAST(id * 23 AS BIGINT) AS id FROM products)"
+SQL["delete_invoices_items"] = with_views(f""", {_ASKED}
+SELECT invoice_id, line_no, product_id, quantity FROM invoice_items
+WHERE invoice_id NOT IN (SELECT id FROM asked WHERE id IN (SELECT invoice_id FROM invoices))""", "products", "invoices", "invoice_items")
+SQL["delete_invoices_rejects"] = with_views(f""", {_ASKED}
+SELECT id, 'not_found' AS reason FROM asked WHERE id NOT IN (SELECT invoice_id FROM invoices)""", "products", "invoices")
+
+
+def _held_rejects(asked: str, table: str, key: str, column: str) -> str:
+    return with_views(f""",
+asked AS (SELECT DISTINCT CAST({asked} AS BIGINT) AS id FROM {table})
+SELECT id, CASE WHEN id IN (SELECT {key} FROM {table}) THEN 'still_referenced' ELSE 'not_found' END AS reason
+FROM asked WHERE id NOT IN (SELECT {key} FROM {table}) OR id IN (SELECT {column} FROM invoices)""", table, "invoices")
+
+
+SQL["delete_stores_rejects"] = _held_rejects("store_id * 2", "stores", "store_id", "store_id")
+SQL["delete_users_rejects"] = _held_rejects("CASE WHEN id % 13 = 0 THEN id + 1000 ELSE id END", "users", "id", "billed_by")
+SQL["delete_new_stores_inventory"] = _recursive("""
+SELECT store_id, count(*) AS stock_rows FROM (
+    SELECT store_id FROM inventory
+    UNION ALL
+    SELECT n.store_id FROM (SELECT CAST((SELECT max(store_id) FROM stores) + place AS INT) AS store_id FROM signup_made) n
+    JOIN inventory i ON i.product_id % 5 = 0 AND n.store_id % 97 = i.store_id WHERE n.store_id % 2 = 1) held
+GROUP BY store_id""", *_SIGNING, "inventory")

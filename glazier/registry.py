@@ -517,3 +517,66 @@ def _q_fresh_stores(t, out, last, parts):
 @_fresh("top_products_by_store")
 def _q_fresh_top(t, out, last, parts):
     return _Fresh.top_products_by_store(t.products.sparkSession, out, last, t.products)
+
+
+# --- deep pages, more lookups, deletes by the reference graph -------------------------------------------------
+from glazier.operators import paging as _P  # noqa: E402
+from glazier.operators import referential as _Ref  # noqa: E402
+
+
+def _indexed_page(s, d):
+    t = _t(s, d)
+    index = _P.index_invoice_history(t, _shared(s, "invoice-order"), rows_per_range=1_000)
+    return _P.indexed_invoice_history(t, index, 100, 10)
+
+
+def _page_after(s, d):
+    inv = _t(s, d).invoices.select("invoice_id", "store_id", "grand_total", "created_at")
+    order = [("created_at", False), ("invoice_id", False)]
+    shown = _L.page(inv, [_F.col("created_at").desc(), _F.col("invoice_id").desc()], 3, 10).collect()  # one page
+    return _L.page_after(inv, order, shown[-1].asDict() if shown else None, 10)
+
+
+register("invoice_history_indexed_page")(_indexed_page)
+register("invoice_page_after")(_page_after)
+register("lookup_users_by_email")(lambda s, d: _L.lookup(_t(s, d).users, "email", _t(s, d).stores.select(
+    _F.concat(_F.lit("admin-"), "store_email").alias("email")).filter(_F.col("email").contains("3"))))
+register("lookup_store_admins_by_id")(lambda s, d: _L.lookup(
+    _t(s, d).users.filter(_R.role_is("role", "store")), "id", _feeds(s, d)["store_deactivate_ids"]))
+register("lookup_categories_by_id")(lambda s, d: _L.lookup(_t(s, d).glass_categories, "id", _feeds(s, d)["category_delete_ids"]))
+register("lookup_stores_by_email")(lambda s, d: _L.lookup(_t(s, d).stores, "store_email", _feeds(s, d)["store_signups"], "store_email"))
+
+
+@_w("delete_invoices_items")
+def _q_del_invoices(t, f):
+    gone = _Ref.delete_rows(t, "invoices", t.products.select((_F.col("id") * 23).alias("id")))
+    return gone.tables.invoice_items.select("invoice_id", "line_no", "product_id", "quantity")
+
+
+@_w("delete_invoices_rejects")
+def _q_del_invoices_rej(t, f):
+    return _Ref.delete_rows(t, "invoices", t.products.select((_F.col("id") * 23).alias("id"))).rejects
+
+
+@_w("delete_stores_rejects")
+def _q_del_stores_rej(t, f):
+    return _Ref.delete_rows(t, "stores", f["store_deactivate_ids"]).rejects
+
+
+@_w("delete_users_rejects")
+def _q_del_users_rej(t, f):
+    return _Ref.delete_rows(t, "users", f["user_reassignments"].select("user_id")).rejects
+
+
+@_w("delete_new_stores_inventory")
+def _q_del_new_stores(t, f):
+    """New stores have no invoices yet: they go with the stock they were given."""
+    made = _W.create_stores_with_admins(t, f["store_signups"])
+    stores = made.extra["new_stores"]
+    given = t.inventory.filter(_F.col("product_id") % 5 == 0).join(
+        stores.select(_F.col("store_id").alias("new_id")), _F.col("new_id") % 97 == _F.col("store_id")).select(
+        (_F.col("id") + _F.col("new_id").cast("long") * 10**9).alias("id"), _F.col("new_id").cast("int").alias("store_id"),
+        *[c for c in t.inventory.columns if c not in ("id", "store_id")])
+    after = t.with_(stores=made.table, inventory=t.inventory.unionByName(given.select(*t.inventory.columns)))
+    gone = _Ref.delete_rows(after, "stores", stores.filter(_F.col("store_id") % 2 == 0).select("store_id"))
+    return gone.tables.inventory.groupBy("store_id").agg(_F.count(_F.lit(1)).alias("stock_rows"))
