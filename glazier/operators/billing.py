@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glazier.functions.rules import effective_max_discount, line_dimensions, line_price
 from glazier.plans.groups import connected_groups
 from glazier.plans.prefix import cut_ranges, sums_before
-from glazier.plans.session import cut_lineage
+from glazier.plans.session import cut_lineage, stored
 from glazier.sources.tables import Tables, conform
 
 # Reasons a bill is refused.
@@ -325,7 +325,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
     lines = lines.withColumns({
         "static_line": F.when(fails_late, F.max("line_no").over(w)).otherwise(F.col("static_line")),
         "bill_static_reason": F.when(fails_late, F.lit(R_AMOUNT)).otherwise(F.col("bill_static_reason"))})
-    lines = cut_lineage(lines)
+    lines = stored(lines, "bill-lines")
 
     # Demand per key from every bill that passes validation, on its lines up
     # to (and including) its first static failure: the only lines whose
@@ -336,7 +336,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
     demand = lb.groupBy("store_id", "product_id").agg(F.sum("quantity").alias("demand"),
                                                       F.max("start_stock").alias("stock"))
     contended = demand.filter(F.col("demand") > F.col("stock")).select("store_id", "product_id")
-    fold_lines = cut_lineage(lb.join(contended, ["store_id", "product_id"], "left_semi"))
+    fold_lines = stored(lb.join(contended, ["store_id", "product_id"], "left_semi"), "contended-lines")
     folded = _decide_contended(fold_lines)
 
     bill_rows = lines.filter(F.col("line_no") == F.col("first_line"))
@@ -346,7 +346,7 @@ def post_bills(t: Tables, reqs: DataFrame | None = None) -> Posting:
                       .otherwise(F.lit(REJECTED)).alias("status"),
                       F.coalesce("bill_invalid_reason", "bill_static_reason").alias("reason"),
                       F.nullif(F.coalesce("invalid_line", "static_line"), F.lit(0)).cast("int").alias("failed_line")))
-    decisions = cut_lineage(native.unionByName(folded))
+    decisions = stored(native.unionByName(folded), "bill-decisions")
     accepted = lines.join(decisions.filter(F.col("status") == ACCEPTED).select("bill_id"), "bill_id", "left_semi")
     return Posting(decisions=decisions, invoices=build_invoices(accepted),
                    invoice_items=build_invoice_items(accepted),
