@@ -26,6 +26,8 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -57,9 +59,10 @@ UNNAMED = frozenset("html body main".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 STOPS = frozenset("ul ol dl table article main section div body td th blockquote form menu".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+_RAW_NAME = re.compile(rf"(?:{RAW})\b", re.I)
+_TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
+DEEPEST = 64  # a path keeps so many names; deeper elements count as their ancestor there
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -74,7 +77,8 @@ class _Element:
     tag: str
     name: str
     state: int
-    number: int
+    path: tuple[str, ...] = ()
+    elements: tuple[tuple[int, str], ...] = ((0, ""),)
 
 
 @dataclass(slots=True)
@@ -86,6 +90,67 @@ class Block:
     linked: int
 
 
+class _Ends:
+    """Where tags end: the first ``>`` outside quotes.  Every quote and ``>`` of the page is looked at once, from the
+    back, so that unclosed tags and quotes cost no search of their own."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in _SPECIAL.finditer(page)]
+        n = len(self.at)
+        self.end = [-1] * (n + 1)       # the end of a tag that meets special character k outside quotes
+        following = {'"': n, "'": n}    # the next quote of either kind
+        for k in range(n - 1, -1, -1):
+            char = page[self.at[k]]
+            if char == ">":
+                self.end[k] = self.at[k] + 1
+            else:
+                closing = following[char]
+                self.end[k] = self.end[closing + 1] if closing < n else -1
+                following[char] = k
+
+    def of(self, start: int) -> int:
+        return self.end[bisect_left(self.at, start)]
+
+
+def _tokens(page: str):
+    """(start, end, tag, is an end tag, attributes) of the markup in page order, in linear time; the tag of comments,
+    declarations and raw elements is empty.  What is not closed is text, but a comment or raw element ends with the page."""
+    ends, at = _Ends(page), 0
+    closed = True  # whether a ">" may follow
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        if closed and (page.startswith("!", at + 1) or page.startswith("?", at + 1)):
+            end = page.find(">", at)
+            closed = end >= 0
+            if closed:
+                yield at, end + 1, "", False, ""
+                at = end + 1
+                continue
+        raw = _RAW_NAME.match(page, at + 1) if closed else None
+        if raw:
+            end = page.find(">", raw.end())
+            closed = end >= 0
+            if closed:
+                found = re.compile(rf"</{raw[0]}\s*>", re.I).search(page, end + 1)
+                end = found.end() if found else len(page)
+                yield at, end, "", False, ""
+                at = end
+                continue
+        name = _TAG_NAME.match(page, at + 1)
+        end = ends.of(name.end()) if name else -1
+        if end < 0:
+            at += 1
+            continue
+        is_end = name[0][0] == "/"
+        yield at, end, name[0][is_end:].lower(), is_end, page[name.end():end - 1]
+        at = end
+
+
 def _named(token: str) -> frozenset[str]:
     """The spared words of a class or id that is one of them or a known compound."""
     parts = _PART.findall(token)
@@ -114,7 +179,8 @@ def read_blocks(page: str, exempt: frozenset[int] = frozenset()) -> tuple[list[B
     ``exempt`` are not spared by name."""
     blocks: list[Block] = []
     named: list[int] = []
-    stack = [_Element("", "", KEEP, 0)]
+    stack = [_Element("", "", KEEP)]
+    held = Counter()  # open elements by tag
     parts: list[str] = []
     links = opened = linked = at = 0
 
@@ -122,50 +188,57 @@ def read_blocks(page: str, exempt: frozenset[int] = frozenset()) -> tuple[list[B
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         if text:
-            blocks.append(Block(text, tuple(e.name for e in stack[1:]), tuple((e.number, e.tag) for e in stack),
-                                stack[-1].state != KEEP, linked))
+            blocks.append(Block(text, stack[-1].path, stack[-1].elements, stack[-1].state != KEEP, linked))
         parts.clear()
         linked = 0
 
-    for found in _TOKEN.finditer(page):
-        if found.start() > at:
-            parts.append(page[at:found.start()])
+    def cut(size: int):
+        held.subtract(e.tag for e in stack[size:])
+        del stack[size:]
+
+    for start, end, tag, is_end, attrs in _tokens(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += found.start() - at
-        at = found.end()
-        tag = (found["tag"] or "").lower()
+                linked += start - at
+        at = end
         if not tag:
             continue
         if tag not in BLOCKS:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                links = 0 if found["end"] else 1
+                links = 0 if is_end else 1
             continue
         flush()
         links = 0
-        if found["end"]:
-            if any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+        if is_end:
+            if held[tag] > 0:
+                size = len(stack) - 1
+                while stack[size].tag != tag:
+                    size -= 1
+                cut(size)
             continue
         while stack[-1].tag == "p" or stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit() and tag[:1] == "h":
-            stack.pop()
+            cut(len(stack) - 1)
         closing = CLOSES.get(tag)
-        if closing:
+        if closing and any(held[t] > 0 for t in closing):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closing:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in STOPS:
                     break
         if tag not in VOID:
             opened += 1
-            name, state, by_name = _state(tag, found["attrs"], stack[-1].state,
-                                          any(e.tag in ("article", "main") for e in stack), opened in exempt)
+            above = stack[-1]
+            name, state, by_name = _state(tag, attrs, above.state, held["article"] + held["main"] > 0, opened in exempt)
             if by_name:
                 named.append(opened)
-            stack.append(_Element(tag, name, state, opened))
+            deep = len(stack) > DEEPEST
+            stack.append(_Element(tag, name, state, above.path if deep else (*above.path, name),
+                                  above.elements if deep else (*above.elements, (opened, tag))))
+            held[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     flush()
