@@ -17,7 +17,8 @@
    same document is drawn the same way again after a lost task.
 
 Defined cases: null values count as the class ``*`` (or none if there is no such class: weight 0);
-null or empty texts have weight 0 and the probability of their cell; repeated rows are drawn alike; an
+null or empty texts have weight 0 and the probability of their cell; repeated rows are drawn alike, and
+documents without an id by their text; an
 empty table gives no rows; extra columns are kept but for output names.
 """
 
@@ -27,6 +28,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +142,11 @@ def _profiles(batch: pa.RecordBatch, text: str, key: str, seed: int):
         words = word_hashes(t or b"")
         weights.append(len(words))
         counts.append(_word_counts(words))
-    ids = column(batch, key).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    ids = column(batch, key).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    missing = np.flatnonzero(column(batch, key).is_null().to_numpy(zero_copy_only=False))
+    if len(missing):  # documents without an id are drawn by their text, each text apart
+        texts = column(batch, text).take(pa.array(missing)).to_pylist()
+        ids[missing] = [xxhash.xxh3_64_intdigest((t or "").encode()) - 2**63 for t in texts]
     uniform = (mix64(ids.view(np.uint64) * np.uint64(2) + mix64(np.array([seed], np.uint64))) >> np.uint64(11)) / 2.0**53
     return weights, counts, uniform
 

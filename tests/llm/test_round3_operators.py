@@ -228,3 +228,30 @@ def test_bpe_query_equals_the_library(spark, reference, edge_dir, empty_dir):
         got = [tuple(r) for r in byte_bpe.op13_byte_bpe(spark, folder).collect()]
         assert sorted(got, key=str) == sorted(expected, key=str)
     assert byte_bpe.op13_byte_bpe(spark, empty_dir).count() == 0
+
+
+# --- earlier operators mended this round ----------------------------------------------------------------
+
+@pytest.mark.parametrize("piece", ["<script ", '<a "', "<a \"'>", "<div>x", "<", "<!--", "<div><ul><li>a, b. "])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    from glazier.llm.html_extraction import extract_text
+    page = "<article><p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    extract_text(page)
+    assert time.process_time() - began < 12
+
+
+def test_unclosed_markup_is_text():
+    from glazier.llm.html_extraction import _tokens, extract_text
+    assert extract_text("<p>one <a href='x>y'>two</a> <b three.") == "one two <b three."
+    assert [t[2:] for t in _tokens("<p x=\">\"><script a>b</SCRIPT ><!--c><br/><q 'r>")] == [
+        ("p", False, ' x=">"'), ("", False, ""), ("", False, "")]
+
+
+def test_documents_without_id_are_drawn_apart(spark):
+    from glazier.llm.mixing import profile
+    docs = spark.createDataFrame([(None, f"words of text {i // 2}") for i in range(40)], "doc_id long, text string")
+    drawn = [r.uniform for r in profile(docs, ["text"]).collect()]
+    assert len(set(drawn)) == 20 and 0.2 < sum(drawn) / 40 < 0.8
