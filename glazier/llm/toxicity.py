@@ -3,17 +3,19 @@
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full-width) to Latin letters, and maps digits,
 signs and look-alike letters inside words to one letter each, so ``1D10T`` and ``idiot`` are the same.
 
-Learning (``learn_lexicon``) uses labelled rows only, at most ``max_rows`` of them (a bounded sample
-in hash order).  Candidate terms are beginnings of folded words (at least ``MIN_STEM`` letters, up to
-the whole word) whose documents are nearly all toxic.  Toxic rows that are copies of each other count
-as one family, so chance words of a copied text stay rare.  Terms in too many families for chance are
-taken, then terms that explain the families still without one.  A term's weight is its smoothed log odds.  Exception
-phrases are a lexicon word with its neighbour that clean documents use and toxic ones do not; given
-ones are added.  The half point of the score is set between clean and toxic densities.
+Learning (``learn_lexicon``) uses labelled rows only, at most ``max_rows`` of them, half of either
+label (a bounded sample in hash order).  Rows of one label with the same least hash of three words
+are copies of each other and count once.  Candidate terms are beginnings of folded words (at least
+``MIN_STEM`` letters, up to the whole word; shorter words only whole) that toxic texts use many times
+as often for their length, beyond chance by the number of texts and of uses (likelihood ratios, held
+against the number of terms tested).  They are taken in the order of that evidence; of terms that
+begin each other the first stays.  A term's weight is the log ratio of its rates.  Exception phrases
+are a lexicon word with its neighbour that clean texts use and toxic ones do not; given ones are added.
 
 Scoring (``score_documents``) is one narrow pass over whole texts: the automaton reports terms at
-word starts, matches inside an exception phrase do not count, and the weights found are divided by
-the length of the text (``density``).  score = density / (density + half).
+word starts, and matches inside an exception phrase do not count.  The weights found are held against
+what a text must show: ``base``, the prior odds, and ``half`` for each unit of its length, the rate at
+which toxic texts use the lexicon.  score = found / (found + base + half * length).
 
 Defined cases: a null or empty text scores 0; without toxic labels the lexicon is empty and every
 score 0; repeated labels of a document count once, a document with both labels as toxic; repeated
@@ -29,9 +31,8 @@ import zlib
 from collections import Counter
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glazier.llm.common import batch_of, column, read_table, stored
@@ -49,7 +50,7 @@ _FOLD = str.maketrans({**SUBSTITUTES, **HOMOGLYPHS, **{k: SUBSTITUTES.get(v, v)
 _WORD = re.compile(r"[^\W_]+")
 MIN_STEM = 4
 LENGTH_UNIT = 6  # characters counted as one word
-SKETCH = 16  # smallest three-word hashes kept of a toxic text
+MARGIN = 10  # odds against toxicity besides the prior ones, so that clean texts are left alone
 
 
 def fold(text: str) -> str:
@@ -58,10 +59,12 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Folded word beginnings with weights, folded exception phrases, and the density scoring one half."""
+    """Folded word beginnings (with a last space: whole words) with weights, folded exception phrases, and the
+    weight that scores one half: ``base`` and ``half`` for each unit of length."""
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     half: float = 0.01
+    base: float = 0.0
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False, sort_keys=True)
@@ -71,8 +74,8 @@ def folded_words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
-def _stems(words) -> set[str]:
-    return {w[:n] for w in words for n in range(MIN_STEM, len(w) + 1)}
+def _stems(word: str) -> list[str]:
+    return [word[:n] for n in range(MIN_STEM, len(word) + 1)] or [word + " "]
 
 
 class Matcher:
@@ -80,194 +83,169 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         import ahocorasick
-        self.half = lexicon.half
+        self.half, self.base = lexicon.half, lexicon.base
         self.machine = ahocorasick.Automaton()
         for term, weight in lexicon.weights.items():
-            self.machine.add_word(term, (len(term), weight))
+            self.machine.add_word(term.rstrip(), (len(term.rstrip()), weight, term.endswith(" ")))
         for phrase in lexicon.exceptions:
             # A phrase that is itself a term is never a term any more.
-            self.machine.add_word(phrase, (len(phrase), 0.0))
+            self.machine.add_word(phrase, (len(phrase), 0.0, True))
         if lexicon.weights:
             self.machine.make_automaton()
         self.empty = not lexicon.weights
 
-    def density(self, text: str) -> float:
-        """Weights of the terms found at word starts over the length in units of ``LENGTH_UNIT``."""
-        if self.empty or not text:
-            return 0.0
-        folded = fold(text)
+    def found(self, folded: str) -> float:
+        """Weights of the terms found at word starts, without those inside exception phrases."""
         best: dict[int, float] = {}
         spared = []
-        for end, (length, weight) in self.machine.iter(folded):
+        for end, (length, weight, whole) in self.machine.iter(folded):
             start = end - length + 1
             if start and folded[start - 1].isalnum():
                 continue
+            if whole and end + 1 < len(folded) and folded[end + 1].isalnum():
+                continue
             if weight:
                 best[start] = max(weight, best.get(start, 0.0))
-            elif end + 1 == len(folded) or not folded[end + 1].isalnum():
+            else:
                 spared.append((start, end))
         for low, high in spared:
             for start in [s for s in best if low <= s <= high]:
                 del best[start]
-        return sum(best.values()) / (1 + len(folded) / LENGTH_UNIT)
+        return sum(best.values())
 
     def score(self, text: str) -> float:
-        found = self.density(text)
-        return found / (found + self.half) if found else 0.0
+        if self.empty or not text:
+            return 0.0
+        folded = fold(text)
+        found = self.found(folded)
+        return found / (found + self.base + self.half * (1 + len(folded) / LENGTH_UNIT)) if found else 0.0
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_terms: int = 50_000,
-                  precision: float = 0.97, least: int = 2, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, least: int = 3, ratio: float = 10.0,
+                  exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); reads no other column.
 
-    Bounds: ``max_rows`` labelled rows and ``max_terms`` candidate terms; the cover and the densities
-    on the driver are over these only.
+    ``max_rows`` bounds the labelled rows; a term needs ``least`` toxic texts and ``ratio`` times the clean rate.
+    The driver holds the terms that pass the tests.
     """
     known = (labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
-             .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    sample = stored(docs.select(F.col("doc_id"), F.col("text").cast("string"))
-                    .join(F.broadcast(known), "doc_id")  # at most max_rows label rows
-                    .select((F.col("toxic") == 1).alias("toxic"), F.coalesce("text", F.lit("")).alias("text")),
-                    "toxicity-sample")
-    totals = sample.groupBy("toxic").count().collect()
-    n_toxic, n_clean = (sum(r["count"] for r in totals if r["toxic"] == kind) for kind in (True, False))
-    counts = _counted(sample, lambda text: _stems(set(folded_words(text))))
-    share = F.col("toxic_docs") / (F.col("toxic_docs") + F.col("clean_docs"))
-    candidates = {r["term"]: (r["toxic_docs"], r["clean_docs"]) for r in (
-        counts.filter((F.col("toxic_docs") >= least) & (share >= precision))
-        .orderBy(F.col("toxic_docs").desc(), F.length("term").desc(), "term").limit(max_terms)).collect()}
-    if not candidates:
+             .agg((F.max(F.col("toxic").cast("int")) == 1).alias("toxic")))
+    rows = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two numbers
+    if not rows.get(True):
         return Lexicon()
+    taken = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2)
+             for kind in (True, False)]
+    sample = stored(_families(
+        docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        .join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("toxic", "text")),  # at most max_rows label rows
+        "toxicity-sample")
+    size = {r["toxic"]: (r["texts"], r["units"]) for r in sample.groupBy("toxic").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum(1 + F.length("text") / LENGTH_UNIT).alias("units")).collect()}
+    if True not in size:
+        return Lexicon()
+    (toxic, toxic_units), (clean, clean_units) = size[True], size.get(False, (1, 1.0))
+    counts = _counted(sample, lambda text: Counter(t for w in folded_words(text) for t in _stems(w)))
+    tried = stored(counts.filter(F.col("toxic_docs") >= least), "toxicity-terms")
+    need = 2 * math.log(max(tried.count(), 1) / 0.05)
+    rise = (F.log((F.col("toxic_uses") + 0.5) / toxic_units) - F.log((F.col("clean_uses") + 0.5) / clean_units))
+    by_texts = _evidence(F.col("toxic_docs"), toxic, F.col("clean_docs"), clean)
+    by_uses = _rate_evidence(F.col("toxic_uses"), toxic_units, F.col("clean_uses"), clean_units)
+    passed = tried.withColumns({"by_texts": by_texts, "by_uses": by_uses}).filter(
+        (rise >= math.log(ratio)) & ((F.col("by_texts") >= need) | (F.col("by_uses") >= need) & (F.col("by_texts") >= SOME)))
+    weights, rate = {}, 0.0
+    for r in choose_terms(passed.select("term", "toxic_uses", "clean_uses", "by_uses").collect()):
+        weights[r["term"]] = round(math.log((r["toxic_uses"] + 0.5) / (toxic_units + 1))
+                                   - math.log((r["clean_uses"] + 0.5) / (clean_units + 1)), 6)
+        rate += r["toxic_uses"] / toxic_units - r["clean_uses"] / clean_units
+    lexicon = Lexicon(weights)
+    if weights:
+        lexicon.exceptions = sorted({fold(p) for p in exceptions} | _exception_phrases(sample, lexicon))
+        # A text whose weights just meet the odds and the rate scores 0.7.
+        odds = max(0.0, math.log(MARGIN * (rows.get(False, 0) + 0.5) / (rows[True] + 0.5)))
+        lexicon.base, lexicon.half = odds * 3 / 7, rate * 3 / 7
+    return lexicon
+
+
+SOME = 10.83  # likelihood ratio by texts that one term in 1,000 reaches by chance
 
-    schema = pa.schema([("terms", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
-    def held(batches):
+def _families(rows: DataFrame) -> DataFrame:
+    """One text of each family of copies: those of a label with the same least hash of three words."""
+    schema = pa.schema([("toxic", pa.bool_()), ("text", pa.string()), ("family", pa.int64())])
+
+    def named(batches):
         for batch in batches:
-            words = [folded_words(t) for t in column(batch, "text").to_pylist()]
-            times = [Counter(t for x in w for t in _stems([x]) if t in candidates) for w in words]
-            yield batch_of(schema, [sorted(t) for t in times], [[t[x] for x in sorted(t)] for t in times],
-                           [sorted({zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(len(w))})[:SKETCH] for w in words])
-
-    rows = sample.filter("toxic").select("text").mapInArrow(
-        held, "terms array<string>, times array<bigint>, sketch array<bigint>").collect()
-    families = merge_copies([dict(zip(r["terms"], r["times"])) for r in rows], [r["sketch"] for r in rows])
-    chosen = choose_terms(families, n_toxic / (n_toxic + n_clean), len(candidates), least)
-    weights = {}
-    for term, found in chosen.items():
-        clean = candidates[term][1]
-        weights[term] = round(math.log((found + 0.5) / (len(families) + 1)) - math.log((clean + 0.5) / (n_clean + 1)), 6)
-    lexicon = Lexicon({t: w for t, w in weights.items() if w > 0})
-    lexicon.exceptions = sorted({fold(p) for p in exceptions} | _exception_phrases(sample, lexicon, least))
-    lexicon.half = _half_point(sample, lexicon)
-    return lexicon
+            texts = column(batch, "text").to_pylist()
+            words = [folded_words(t) for t in texts]
+            yield batch_of(schema, column(batch, "toxic"), texts, [
+                min((zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2)))) for w in words])
+
+    return (rows.mapInArrow(named, "toxic boolean, text string, family long").groupBy("toxic", "family")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("toxic", "text"))
+
+
+def _share(count: Column, part: Column) -> Column:
+    return F.when(count > 0, count * F.log(part)).otherwise(0.0)
+
+
+def _evidence(a: Column, n: int, b: Column, m: int) -> Column:
+    """Likelihood ratio statistic of a of n texts against b of m."""
+    mean = (a + b) / F.lit(float(n + m))
+    return 2 * (_share(a, F.try_divide(a / float(n), mean)) + _share(n - a, F.try_divide(1 - a / float(n), 1 - mean))
+                + _share(b, F.try_divide(b / float(m), mean)) + _share(m - b, F.try_divide(1 - b / float(m), 1 - mean)))
+
+
+def _rate_evidence(a: Column, u: float, b: Column, v: float) -> Column:
+    """The same of a uses in length u against b in v."""
+    mean = (a + b) / F.lit(u + v)
+    return 2 * (_share(a, F.try_divide(a / u, mean)) + _share(b, F.try_divide(b / v, mean)))
 
 
 def _counted(sample: DataFrame, features) -> DataFrame:
-    """Toxic and clean documents of every feature, counted per batch before the shuffle."""
-    schema = pa.schema([("term", pa.string()), ("toxic_docs", pa.int64()), ("clean_docs", pa.int64())])
+    """Toxic and clean texts and uses of every feature, counted per batch before the shuffle."""
+    names = ["toxic_docs", "clean_docs", "toxic_uses", "clean_uses"]
+    schema = pa.schema([("term", pa.string()), *((n, pa.int64()) for n in names)])
 
     def count(batches):
         for batch in batches:
-            seen = {True: Counter(), False: Counter()}
+            seen, uses = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
             for toxic, text in zip(column(batch, "toxic").to_pylist(), column(batch, "text").to_pylist()):
-                seen[toxic].update(features(text))
+                found = features(text)
+                seen[toxic].update(found.keys())
+                uses[toxic].update(found)
             terms = sorted(seen[True].keys() | seen[False].keys())
-            yield batch_of(schema, terms, [seen[True][t] for t in terms], [seen[False][t] for t in terms])
-
-    return (sample.mapInArrow(count, "term string, toxic_docs long, clean_docs long").groupBy("term")
-            .agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs")))
-
-
-def merge_copies(terms: list[dict[str, int]], sketches: list[list[int]]) -> list[dict[str, int]]:
-    """Terms (and how often) of families: rows that share a quarter of their sketches are copies of one
-    text and count once, with the terms all of them hold."""
-    root = list(range(len(terms)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    holders: dict[int, list[int]] = {}
-    for i, sketch in enumerate(sketches):
-        shared = Counter(find(j) for h in sketch for j in holders.get(h, ()))
-        for other, n in shared.items():
-            if 4 * n >= len(sketch):
-                root[find(other)] = find(i)
-        for h in sketch:
-            holders.setdefault(h, [])[:] = {*map(find, holders.get(h, ())), find(i)}
-    families: dict[int, dict[str, int]] = {}
-    for i, held in enumerate(terms):
-        known = families.setdefault(find(i), held)
-        families[find(i)] = {t: min(n, known[t]) for t, n in held.items() if t in known}
-    return list(families.values())
-
-
-def choose_terms(families: list[dict[str, int]], toxic_share: float, tested: int, least: int) -> dict[str, int]:
-    """Terms with the number of families that hold them.
-
-    First those that would hardly be in so many toxic families by chance, given the share of toxic
-    rows and the number of terms tested; then, for families not explained by one, terms that at least
-    three such families share, by a greedy cover (of terms in as many families, the one used most).  Of terms that begin each other the one in most
-    families is taken, the longest of equals."""
-    found = Counter(t for held in families for t in held)
-    sure = max(least, math.ceil(math.log(0.05 / max(tested, 1)) / math.log(min(max(toxic_share, 1e-6), 0.9))))
-    order = sorted(found, key=lambda t: (-found[t], -len(t), t))
-    chosen: dict[str, int] = {}
-
-    def related(term: str) -> bool:
-        return any(c.startswith(term) or term.startswith(c) for c in chosen)
-
-    for term in order:
-        if found[term] >= sure and not related(term):
-            chosen[term] = found[term]
-    left = [held for held in families if not held.keys() & chosen.keys()]
-    while left:
-        gains = Counter(t for held in left for t in held)
-        uses = Counter()
-        for held in left:
-            uses.update(held)
-        term = max(gains, key=lambda t: (gains[t], uses[t], found[t], len(t), t), default="")
-        if not term or gains[term] < 3:
-            break
-        chosen[term] = found[term]
-        left = [held for held in left if term not in held]
-    return chosen
-
-
-def _exception_phrases(sample: DataFrame, lexicon: Lexicon, least: int, most: int = 1000) -> set[str]:
-    """Two-word phrases with a lexicon word that ``least`` clean documents of the sample use and no toxic one."""
-    terms = tuple(lexicon.weights)
-
-    def phrases(text: str) -> set[str]:
-        words = folded_words(text)
-        return {f"{a} {b}" for a, b in zip(words, words[1:]) if a.startswith(terms) or b.startswith(terms)}
+            yield batch_of(schema, terms, *([held[kind][t] for t in terms] for held in (seen, uses) for kind in (True, False)))
 
-    found = _counted(sample, phrases).filter((F.col("toxic_docs") == 0) & (F.col("clean_docs") >= least))
-    return {r["term"] for r in found.orderBy(F.col("clean_docs").desc(), "term").limit(most).collect()}
+    return (sample.mapInArrow(count, "term string, " + ", ".join(f"{n} long" for n in names)).groupBy("term")
+            .agg(*(F.sum(n).alias(n) for n in names)))
 
 
-def _half_point(sample: DataFrame, lexicon: Lexicon) -> float:
-    """Density that scores one half, so that 0.7 lies between the clean and the toxic densities."""
-    matcher = lexicon.to_json()
+def choose_terms(rows: list) -> list:
+    """Rows (term, by_uses) in the order of their evidence, the longest of equals first, without terms that begin
+    a chosen one or that a chosen one begins."""
+    chosen, begun, kept = set(), set(), []
+    for r in sorted(rows, key=lambda r: (-r["by_uses"], -len(r["term"]), r["term"])):
+        word = r["term"].rstrip()
+        starts = {word[:n] for n in range(1, len(word) + 1)}
+        if word not in begun and not starts & chosen:
+            chosen.add(word)
+            begun |= starts
+            kept.append(r)
+    return kept
 
-    def measure(batches):
-        found = _matcher(matcher)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "toxic"), pa.array([found.density(t or "") for t in column(batch, "text").to_pylist()],
-                                                  pa.float64())], ["toxic", "density"])
-
-    # Two floats for each row of the bounded sample.
-    rows = sample.mapInArrow(measure, "toxic boolean, density double").collect()
-    toxic = np.array([r["density"] for r in rows if r["toxic"]])
-    clean = np.array([r["density"] for r in rows if not r["toxic"]])
-    low = float(np.quantile(toxic[toxic > 0], 0.01)) if (toxic > 0).any() else 1.0
-    high = float(np.quantile(clean, 0.995)) if len(clean) else 0.0
-    between = math.sqrt(low * high) if high > 0.3 * low else 0.3 * low
-    return between * 3 / 7
+
+def _exception_phrases(sample: DataFrame, lexicon: Lexicon, least: int = 2) -> set[str]:
+    """Two-word phrases with a lexicon word that ``least`` clean texts of the sample use and no toxic one."""
+    terms = tuple(t for t in lexicon.weights if not t.endswith(" "))
+    whole = {t.rstrip() for t in lexicon.weights if t.endswith(" ")}
+
+    def phrases(text: str) -> Counter:
+        words = folded_words(text)
+        listed = [w.startswith(terms) or w in whole for w in words]
+        return Counter(f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if listed[i] or listed[i + 1])
+
+    found = _counted(sample, phrases).filter((F.col("toxic_docs") == 0) & (F.col("clean_docs") >= least))
+    return {r["term"] for r in found.select("term").collect()}
 
 
 _MATCHERS: dict[str, Matcher] = {}
