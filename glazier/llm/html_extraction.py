@@ -4,15 +4,16 @@ A page is read once, leniently (unclosed and misnested tags are closed as browse
 cases).  Text is gathered into blocks; every block has its root-to-leaf path of block elements.
 
 1. Aggregate per path: text length, punctuation, blocks and linked text.
-2. Ratios: text length and punctuation per block of the path, less the linked share; blocks of
-   menus, notices, adverts, forms, side and foot parts and comments have ratio 0.  A class or id tells
-   them by a whole token or a known compound (``sidebar``, ``cookie-notice``, not ``has-sidebar``); no name
-   spares html, body or main, nor an element with most of the page's score and all its articles' text.
+2. Ratios: text length and punctuation per block of the path, less the linked share.  Names are a weight:
+   in menus, notices, adverts, forms, side and foot parts and comments a block counts a hundredth.  A class or
+   id tells them by a whole token or a known compound (``sidebar``, ``cookie-notice``, not ``has-sidebar``); no
+   name weighs on html, body or main, nor on an element with most of the page's score and all its articles' text.
 3. Smooth both ratios over the sequence of blocks with a Gaussian, fuse them (geometric mean), and
    threshold the mean of every path at a share of the page's spread.
-4. The blocks of the chosen paths fix the content node: the ``article`` or ``main`` element around
-   most of their text, or else their lowest common element.  Its blocks are the text, but for those
-   with ratio 0; short headings and paragraphs inside it belong to it.
+4. From the root, follow the element that holds nearly all score of the chosen paths, as far as an
+   ``article`` or ``main`` or until the score divides: that is the content node.  Its text are the blocks of
+   chosen paths and the short headings, items and paragraphs between them that no name weighs on and whose
+   path, but for headings, is not mostly links.
 
 The work is a narrow pass over pages; a page's memory is that of its own text.
 
@@ -55,6 +56,7 @@ COMPANIONS = frozenset(
     "items left link links list message outer page panel post primary right row secondary section site slot sticky "
     "text thread top unit wrapper zone".split())
 UNNAMED = frozenset("html body main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements an opening tag closes first, and the elements that stop the search.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -70,6 +72,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…¡¿。，、]")
 KEEP, SPARE, SPARE_COMMENT = 0, 1, 2
 SMOOTH = (0.06, 0.24, 0.40, 0.24, 0.06)
 THRESHOLD = 0.15
+NAMED = 0.01  # weight of blocks with names of page furniture
+NEARLY_ALL = 0.95  # of the chosen score, to go down to an element
 
 
 @dataclass(slots=True)
@@ -273,12 +277,12 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
         total = sums.setdefault(b.path, [0, 0, 0, 0])
         for i, v in enumerate((len(b.text), len(_PUNCTUATION.findall(b.text)), 1, b.linked)):
             total[i] += v
-    length, signs = [], []
+    length, signs, plain = [], [], []
     for b in blocks:
         chars, punctuation, n, linked = sums[b.path]
-        plain = 0.0 if b.spared else max(0.0, 1 - linked / chars)
-        length.append(plain * chars / n)
-        signs.append(plain * punctuation / n)
+        plain.append((NAMED if b.spared else 1.0) * max(0.0, 1 - linked / chars))
+        length.append(plain[-1] * chars / n)
+        signs.append(plain[-1] * punctuation / n)
 
     def smooth(values: list[float]) -> list[float]:
         half = len(SMOOTH) // 2
@@ -286,8 +290,9 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
         return [sum(k * padded[i + j] for j, k in enumerate(SMOOTH)) for i in range(len(values))]
 
     fused: dict[tuple[str, ...], list[float]] = {}
-    for b, x, y in zip(blocks, smooth(length), smooth(signs)):
-        fused.setdefault(b.path, []).append(0.0 if b.spared else math.sqrt(x * (1 + y)))
+    for b, x, y, share in zip(blocks, smooth(length), smooth(signs), plain):
+        # Again, since smoothing lends a menu the length of its neighbours.
+        fused.setdefault(b.path, []).append(share * math.sqrt(x * (1 + y)))
     return {path: sum(v) / len(v) for path, v in fused.items()}
 
 
@@ -299,37 +304,46 @@ def extract_text(page: str | None) -> str:
     wrong = _wrongly_named(page, blocks, named) if named else named
     if wrong:
         blocks, _ = read_blocks(page, wrong)
+    if all(b.spared for b in blocks):
+        return ""
     scores = path_scores(blocks)
     values = [scores[b.path] for b in blocks]
-    top = max(values, default=0.0)
+    top = max(values)
     if top <= 0:
         return ""
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    chosen = [b for b, v in zip(blocks, values) if not b.spared and v >= min(top, max(THRESHOLD * top, mean - spread))]
-    node = _content_node(chosen)
-    return " ".join(b.text for b in blocks if not b.spared and any(number == node for number, _ in b.elements))
-
-
-def _content_node(chosen: list[Block]) -> int:
-    """The outermost article or main element with most chosen text, or the lowest common element."""
-    held: dict[int, int] = {}
-    for b in chosen:
+    least = min(top, max(THRESHOLD * top, mean - spread))
+    node = _content_node(blocks, [v if v >= least else 0.0 for v in values])
+    chars, linked = Counter(), Counter()
+    for b in blocks:
+        chars[b.path] += len(b.text)
+        linked[b.path] += b.linked
+    return " ".join(
+        b.text for b, v in zip(blocks, values) if any(number == node for number, _ in b.elements)
+        and (v >= least or not b.spared and (2 * linked[b.path] <= chars[b.path] or b.elements[-1][1] in HEADINGS)))
+
+
+def _content_node(blocks: list[Block], scores: list[float]) -> int:
+    """The element reached from the root by following the one with nearly all of the score."""
+    held: dict[int, float] = {}
+    above: dict[int, list[tuple[int, str]]] = {}
+    for b, v in zip(blocks, scores):
+        last = None
         for number, tag in b.elements:
-            if tag in ("article", "main"):
-                held[number] = held.get(number, 0) + len(b.text)
-                break
-    total = sum(len(b.text) for b in chosen)
-    if held:
-        number, most = max(held.items(), key=lambda x: (x[1], -x[0]))
-        if 2 * most >= total:
-            return number
-    common = 0
-    for level in zip(*(b.elements for b in chosen)):
-        if any(x != level[0] for x in level):
+            if number not in held:
+                held[number] = 0.0
+                if last is not None:
+                    above.setdefault(last, []).append((number, tag))
+            held[number] += v
+            last = number
+    node, tag = 0, ""
+    while tag not in ("article", "main"):
+        best = max(above.get(node, ()), key=lambda x: held[x[0]], default=None)
+        if best is None or held[best[0]] < NEARLY_ALL * held[0]:
             break
-        common = level[0][0]
-    return common
+        node, tag = best
+    return node
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -255,3 +255,48 @@ def test_documents_without_id_are_drawn_apart(spark):
     docs = spark.createDataFrame([(None, f"words of text {i // 2}") for i in range(40)], "doc_id long, text string")
     drawn = [r.uniform for r in profile(docs, ["text"]).collect()]
     assert len(set(drawn)) == 20 and 0.2 < sum(drawn) / 40 < 0.8
+
+
+PLAIN_PAGE = ("<body><div><ul><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a></ul></div>"
+              "<div><h2>Head</h2><p>The first paragraph is long, and it says much. It goes on.</p>"
+              "<p>The second one is long as well, with commas, and it ends here.</p><p>Short end.</p></div>"
+              "<div><ul><li><a href=/d>Imprint</a><li><a href=/e>Contact</a></ul></div></body>")
+PLAIN_TEXT = ("Head The first paragraph is long, and it says much. It goes on. "
+              "The second one is long as well, with commas, and it ends here. Short end.")
+
+
+def test_path_scores_decide_without_article_and_names(monkeypatch):
+    from glazier.llm import html_extraction
+    assert html_extraction.extract_text(PLAIN_PAGE) == PLAIN_TEXT
+    with_article = "<body><nav><p>Menu</p></nav><article><p>Text one, fine. It goes on.</p></article><footer>Foot.</footer></body>"
+    assert html_extraction.extract_text(with_article) == "Text one, fine. It goes on."
+    monkeypatch.setattr(html_extraction, "path_scores", lambda blocks: {b.path: 1.0 for b in blocks})
+    assert html_extraction.extract_text(PLAIN_PAGE) != PLAIN_TEXT
+    assert html_extraction.extract_text(with_article) == "Menu Text one, fine. It goes on. Foot."
+
+
+def test_lexicon_matches_as_a_plain_scan():
+    import random
+    from glazier.llm import toxicity
+    rng = random.Random(5)
+    for _ in range(300):
+        stems = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 6))) for _ in range(4)}
+        whole = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(2)}
+        weights = {t: rng.uniform(1, 5) for t in stems} | {w + " ": rng.uniform(1, 5) for w in whole}
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 30))]
+        pair = rng.randrange(len(words))
+        spared = [" ".join(words[pair:pair + 2])] if rng.random() < 0.5 and pair + 1 < len(words) else []
+        free = [True] * len(words)
+        for i in range(len(words) - 1):
+            if " ".join(words[i:i + 2]) in spared:
+                free[i] = free[i + 1] = False
+        want = sum(max([v for t, v in weights.items() if (w + " " == t if t.endswith(" ") else w.startswith(t))], default=0.0)
+                   for w, counts in zip(words, free) if counts)
+        found = toxicity.Matcher(toxicity.Lexicon(weights, spared)).found(toxicity.fold(" ".join(words)))
+        assert abs(found - want) < 1e-9, (weights, spared, words)
+
+
+def test_chosen_terms_do_not_begin_each_other():
+    from glazier.llm import toxicity
+    rows = [{"term": t, "by_uses": v} for t, v in (("idio", 9.0), ("idiot", 9.0), ("id ", 8.0), ("scum", 5.0), ("scu ", 7.0), ("idiots", 3.0))]
+    assert [r["term"] for r in toxicity.choose_terms(rows)] == ["idiot", "scu "]
