@@ -17,7 +17,7 @@ Recall rests on 3.'s candidates only; the tables' parameters reach well over 0.9
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label or id, have no links and their own id as component; vectors of different lengths are
-not compared; rows repeating an id count as one vector, any of them; an
+not compared; rows repeating an id count as the least of them; an
 empty table gives no rows; extra columns are not read.
 """
 
@@ -141,9 +141,11 @@ def _ball_pairs(cells: DataFrame, balls: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding",
                     label: str = "label", tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE,
                     probes: int = PROBES, seed: int = 20) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+    """(vec_id, n_links, component_id, kept) of every vector; of rows with one vec_id the least by label, then
+    embedding, nulls first, counts."""
     rows = vectors.select(vec_id, embedding, label)
-    rows = rows.filter(F.col(vec_id).isNotNull()).dropDuplicates([vec_id]).union(rows.filter(F.col(vec_id).isNull()))
+    least = rows.filter(F.col(vec_id).isNotNull()).groupBy(vec_id).agg(F.min(F.struct(label, embedding)).alias("row"))
+    rows = least.select(vec_id, f"row.{embedding}", f"row.{label}").union(rows.filter(F.col(vec_id).isNull()))
     comparable = stored(_comparable(rows, vec_id, embedding, label), "e8-vectors")
     angle = math.acos(threshold)
     cells = _cells(comparable, tables, blocks, scale, probes, seed)

@@ -300,3 +300,11 @@ def test_chosen_terms_do_not_begin_each_other():
     from glazier.llm import toxicity
     rows = [{"term": t, "by_uses": v} for t, v in (("idio", 9.0), ("idiot", 9.0), ("id ", 8.0), ("scum", 5.0), ("scu ", 7.0), ("idiots", 3.0))]
     assert [r["term"] for r in toxicity.choose_terms(rows)] == ["idiot", "scu "]
+
+
+def test_repeated_vector_ids_count_by_their_least_row(spark):
+    from glazier.llm.embedding_dedup import near_duplicates
+    rows = [(1, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.0], 1)]
+    for order in (rows, rows[::-1]):
+        found = near_duplicates(spark.createDataFrame(order, "vec_id long, embedding array<float>, label int").repartition(3))
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
