@@ -31,7 +31,8 @@ STAGES = [
     ("packing", _pack),
 ]
 
-# Hashing, learning and tokenizing stages: SQL cannot express them; tests check each against brute force.
+# Hashing, learning and tokenizing stages: SQL cannot express them; tests check the operators
+# (README says how far) and that the stages run.
 ORACLE_SQL = None
 
 
