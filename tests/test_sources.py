@@ -46,3 +46,14 @@ def test_keyset_page_equals_offset_page(spark, small_tables):
     second = L.page_after(hist, order, cursor, 10).collect()
     by_offset = L.page(hist, [F.col("created_at").desc(), F.col("invoice_id").desc()], 2, 10).collect()
     assert second == by_offset
+
+
+def test_files_of_a_snapshot_grow_with_the_table(spark, small_tables, tmp_path, monkeypatch):
+    from glazier.sources import tables as S
+    monkeypatch.setattr(S, "ROWS_PER_FILE", 1000)
+    out = str(tmp_path / "grown")
+    S.write_tables(small_tables.with_(bill_requests=None), out, num_files=2)
+    rows = small_tables.invoice_items.count()
+    sizes = spark.read.parquet(f"{out}/invoice_items").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == rows and rows > 4000
+    assert max(r["count"] for r in sizes) < 2000      # two files would hold more
