@@ -130,3 +130,25 @@ def test_leaders_stay_exact(spark, tmp_path, monkeypatch):
             ranked = sorted((-v, p) for (s, p), v in totals.items() if s == store)[:2]
             for place, (minus, product) in enumerate(ranked, 1):
                 assert got[store, place] == (product, -minus), (batch_id, store)
+
+
+def test_a_store_s_stock_is_one_value_a_batch(spark, tmp_path, monkeypatch):
+    """Calls to the state do not grow with a store's products or lines."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+    calls, held = [], {}
+    value = SimpleNamespace(get=lambda: calls.append("get") or held.get("v"),
+                            update=lambda v: calls.append("update") or held.update(v=v))
+    store = K.StoreStock()
+    store.init(SimpleNamespace(getValueState=lambda name, schema: value))
+    n = 50
+    store.handleInitialState((1,), pd.DataFrame({"product_id": range(n), "available_stock": [1] * n}), None)
+    lines = pd.DataFrame({
+        "store_id": 1, "bill_id": range(2 * n), "created_at": pd.Timestamp("2001-01-01"), "line_no": 1,
+        "product_id": [i % n for i in range(2 * n)], "quantity": 1, "found": True, "invalid_reason": None,
+        "static_reason": None, "base_total": "1", "payload": "{}"}).sample(frac=1, random_state=3)
+    out = pd.concat(store.handleInputRows((1,), iter([lines]), None)).sort_values("bill_id")
+    assert list(out["status"]) == ["accepted"] * n + ["rejected"] * n
+    assert dict(map(tuple, held["v"][0])) == dict.fromkeys(range(n), 0)
+    assert len(calls) <= 4
