@@ -204,3 +204,21 @@ def test_stream_needs_its_predecessor_and_its_own_folder(spark, tmp_path):
     S._claim(spark, out, first)                         # the same query again
     with pytest.raises(ValueError):
         S._claim(spark, out, str(tmp_path / "ck2"))
+
+
+def test_staged_ranges_are_posted_one_by_one(spark, tmp_path):
+    """A range is written by all tasks, and all its files are one micro-batch."""
+    from glazier.streaming import streams as S
+    t = tables(spark, stores=[STORE], products=PRODUCTS, inventory=[_inv(1, 5)])
+    bills = [_line(n, 1, 1, 1, ts=f"{1996 + n // 4}-01-01 00:00:0{n % 4}") for n in range(8)]
+    out, ck, files = str(tmp_path / "out"), str(tmp_path / "ck"), []
+
+    def post(staged):
+        files.append(spark.read.parquet(staged).select(F.input_file_name()).distinct().count())
+        S.run_post_bills(t, S.bill_request_stream(spark, staged, files_per_trigger=None), out, ck)
+
+    S.stage_bill_requests(make(spark, "bill_requests", bills).repartition(3), str(tmp_path / "req"), ["1997-01-01", "1999-01-01"], post)
+    got = {(r.bill_id, r.batch_id, r.status) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert files[0] > 1
+    assert got == {(n, n // 4, "accepted" if n < 5 else "rejected") for n in range(8)}
+    assert S.last_batch(spark, out) == 2             # the empty last range is a micro-batch too
