@@ -222,3 +222,13 @@ def test_staged_ranges_are_posted_one_by_one(spark, tmp_path):
     assert files[0] > 1
     assert got == {(n, n // 4, "accepted" if n < 5 else "rejected") for n in range(8)}
     assert S.last_batch(spark, out) == 2             # the empty last range is a micro-batch too
+
+
+def test_clean_quotes_price_the_requests_once(spark, monkeypatch):
+    from glazier import registry
+    reqs = [_line(1, 1, 1, 1), _line(1, 2, 1, 0), _line(2, 1, 1, 2), {**_line(3, 1, 1, 1), "bill_id": None}]
+    t = tables(spark, stores=[STORE], products=PRODUCTS, inventory=[_inv(1, 5)], bill_requests=reqs)
+    monkeypatch.setattr(registry, "_t", lambda s, d: t)
+    lines = registry._clean_lines(spark, "")
+    assert sorted((r.bill_id or 0, r.line_no) for r in lines.collect()) == [(0, 1), (2, 1)]
+    assert "LeftAnti" not in lines._jdf.queryExecution().optimizedPlan().toString()
