@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -67,7 +68,7 @@ class _ChunkIds(dict):
             ids = self.quick.encode_ordinary(text)
         else:
             ids = self.full.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE_CHUNKS:
