@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glazier.llm.common import stored
+from glazier.llm.common import stored, tasks_for
+
+EDGES = 100_000  # links a task writes, at most that many where shuffle partitions allow
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -31,15 +33,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, component) of every node of ``links``; a component is named by its least id.
+def components(links: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
+    """(id, component) of every node of ``links``; a component is named by its least id.  With ``rows``, the number
+    of links, the rounds are written by as many tasks as so many links need.
 
     Each round is written to the shared folder, so a lost executor repeats one round only.  Rounds
     end when all links are stars; their number grows with the logarithm of the components' size.
     """
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     while True:
-        edges = stored(_star(_star(edges, large=True), large=False), "stars")
+        starred = _star(_star(edges, large=True), large=False)
+        if rows is not None:
+            starred = starred.coalesce(tasks_for(links.sparkSession, rows, EDGES))
+        edges = stored(starred, "stars")
         if _settled(edges):
             break
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glazier.llm.common import batch_of, column, longs, mix64, read_table, stored, tasks
+from glazier.llm.common import batch_of, column, longs, mix64, read_table, stored, tasks, tasks_for
 from glazier.llm.components import components
 from glazier.llm.shingles import shingle_set
 
@@ -51,6 +51,8 @@ BLOCK = 1024  # entries of a list block
 LONG, LIST_CELLS = 64, 1024  # lists of so many entries carry bitmaps of so many cells
 MARKS = 1 << 25  # bits of the bitmap that picks documents to read again
 LEADERS = 8  # orders in which lists choose their leaders, a round
+# Rows a task of a Python step takes at least, where there are more shuffle partitions than those need.
+TEXTS, ENTRIES, FOUND = 4_000, 400_000, 50_000
 
 
 def _signature(shingles: np.ndarray) -> tuple[int, int]:
@@ -90,12 +92,12 @@ _COUNTED = "part int, doc_id long, n long, sid long, sid2 long, bitmap binary, b
 _STATISTICS = "doc_id long, n long, sid long, sid2 long, bitmap binary, bucket long, times long"
 
 
-def _bucket_bits(docs: DataFrame) -> int:
+def _bucket_bits(texts: int) -> int:
     """Bits of a shingle's count bucket: about 256 buckets a document, so that buckets hold few chance meetings."""
-    return min(max(26, (docs.count() * 256 - 1).bit_length()), 40)
+    return min(max(26, (texts * 256 - 1).bit_length()), 40)
 
 
-def _statistics(docs: DataFrame, bits: int) -> DataFrame:
+def _statistics(docs: DataFrame, bits: int, n_tasks: int) -> DataFrame:
     """Rows of documents (size, signature, bitmap) and rows of buckets with their frequent counts."""
     ranges = 1 << (bits - RANGE_BITS)
     flush = max(FLUSH, 64 * ranges)
@@ -160,7 +162,7 @@ def _statistics(docs: DataFrame, bits: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, _COUNTED)
     return stored(rows.repartition(tasks(docs.sparkSession), "part").sortWithinPartitions("part")
-                  .mapInArrow(add_up, _STATISTICS), "ngram-statistics")
+                  .coalesce(n_tasks).mapInArrow(add_up, _STATISTICS), "ngram-statistics")
 
 
 def _frequent_buckets(statistics: DataFrame):
@@ -197,7 +199,7 @@ def _prefix(shingles: np.ndarray, buckets: np.ndarray, times: np.ndarray, bits:
 _LISTS = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64()), ("entry", pa.int64())])
 
 
-def _index(docs: DataFrame, frequent, bits: int) -> DataFrame:
+def _index(docs: DataFrame, frequent, bits: int, n_tasks: int) -> DataFrame:
     """Entries of lists of two sets or more: token, sid, place (size << 32 | position), entry number."""
     posted = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64())])
 
@@ -251,10 +253,10 @@ def _index(docs: DataFrame, frequent, bits: int) -> DataFrame:
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(post, "token long, sid long, place long")
     return stored(rows.repartition(tasks(docs.sparkSession), "token").sortWithinPartitions("token", "place", "sid")
-                  .mapInArrow(number, "token long, sid long, place long, entry long"), "ngram-lists")
+                  .coalesce(n_tasks).mapInArrow(number, "token long, sid long, place long, entry long"), "ngram-lists")
 
 
-def _with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_bits(lists: DataFrame, sets: DataFrame, n_tasks: int) -> DataFrame:
     """Entries of long lists with their sets' bitmaps, folded to ``LIST_CELLS`` cells; of others with NULL."""
     long = lists.filter(F.col("entry") == LONG - 1).select("token", F.lit(True).alias("long"))
     schema = pa.schema([("sid", pa.int64()), ("bits", pa.binary())])
@@ -265,10 +267,10 @@ def _with_bits(lists: DataFrame, sets: DataFrame) -> DataFrame:
                       for b in column(batch, "bitmap").to_pylist()]
             yield batch_of(schema, column(batch, "sid"), folded)
 
-    bits = sets.select("sid", "bitmap").dropDuplicates(["sid"]).mapInArrow(fold, "sid long, bits binary")
+    bits = sets.select("sid", "bitmap").dropDuplicates(["sid"]).coalesce(n_tasks).mapInArrow(fold, "sid long, bits binary")
     flagged = lists.join(long, "token", "left").withColumn("long", F.coalesce("long", F.lit(False)))
     return stored(flagged.join(bits.withColumn("long", F.lit(True)), ["sid", "long"], "left")
-                  .select(*lists.columns, "bits"), "ngram-entries")
+                  .select(*lists.columns, "bits").coalesce(n_tasks), "ngram-entries")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
@@ -346,7 +348,7 @@ def _bits(batch: pa.RecordBatch) -> np.ndarray:
 _ENTRY = ("token", "i", "j", "side", "sid", "place", "label")
 
 
-def _pairs(lists: DataFrame, leaders: int | None = None) -> DataFrame:
+def _pairs(lists: DataFrame, n_tasks: int, leaders: int | None = None) -> DataFrame:
     """Pairs of sets (sids) that lists hold and no test skips.  With ``leaders``, those of a round's leaders, and
     rows with the number of all pairs in ``total``, a pair counting once for every list."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("total", pa.int64())])
@@ -377,7 +379,7 @@ def _pairs(lists: DataFrame, leaders: int | None = None) -> DataFrame:
                 yield batch_of(schema, [None], [None], [sum(len(a) for a, _ in _list_pairs(*entries, None))])
 
     dealt = (_blocks(lists).repartition(tasks(lists.sparkSession), "token", "i", "j")
-             .sortWithinPartitions("token", "i", "j", "side", "place", "sid"))
+             .sortWithinPartitions("token", "i", "j", "side", "place", "sid").coalesce(n_tasks))
     return dealt.mapInArrow(form, "a long, b long, total long")
 
 
@@ -405,8 +407,10 @@ def _marked(wanted: DataFrame):
     return wanted.sparkSession.sparkContext.broadcast(words)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets (ids of their first documents) that are similar: by bitmaps first, then exactly."""
+def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_pairs: int) -> tuple[DataFrame, int]:
+    """Pairs of sets (ids of their first documents) that are similar, by bitmaps first, then exactly; and their number.
+    ``n_pairs`` (about as many as ``pairs`` has) decides the number of tasks only."""
+    n_tasks = tasks_for(docs.sparkSession, n_pairs, FOUND)
     def side(of: str) -> DataFrame:
         return sets.select(F.col("sid").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in ("rep", "n", "bitmap")])
 
@@ -421,9 +425,9 @@ def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(schema.names).filter(pa.array(near, pa.bool_()))
 
     near = stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b")
-                  .select(*schema.names, "bitmap_a", "bitmap_b")
+                  .select(*schema.names, "bitmap_a", "bitmap_b").coalesce(n_tasks)
                   .mapInArrow(bounded, "rep_a long, rep_b long, n_a long, n_b long"), "ngram-near")
-    wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
+    wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b"))  # a bit may be set twice
     marks = _marked(wanted)
     held = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -447,39 +451,45 @@ def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - common
-    return stored(near.join(of("a"), "rep_a").join(of("b"), "rep_b").filter(common * 100 >= union * PERCENT)
-                  .select("rep_a", "rep_b").distinct(), "ngram-links")
+    found = stored(near.join(of("a"), "rep_a").join(of("b"), "rep_b").filter(common * 100 >= union * PERCENT)
+                   .select("rep_a", "rep_b").distinct().coalesce(n_tasks), "ngram-links")
+    return found, found.count()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    bits = _bucket_bits(docs)
-    statistics = _statistics(docs, bits)
+    spark, texts = docs.sparkSession, docs.count()
+    bits, n_tasks = _bucket_bits(texts), tasks_for(docs.sparkSession, texts, TEXTS)
+    statistics = _statistics(docs, bits, n_tasks)
     documents = statistics.filter("bucket is null")
     sets = stored(documents.filter("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "ngram-members")
-    lists = _index(docs, _frequent_buckets(statistics), bits)
-    lists = _with_bits(lists, sets)
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).coalesce(n_tasks), "ngram-members")
+    lists = _index(docs, _frequent_buckets(statistics), bits, n_tasks)
+    lists = _with_bits(lists, sets, n_tasks)
     entries = lists.count()
-    labelled, links, parts, before, turn = lists.withColumn("label", F.col("sid")), None, None, None, 0
+    list_tasks = max(n_tasks, tasks_for(spark, entries, ENTRIES))
+    labelled, links, n_links, parts, before, turn = lists.withColumn("label", F.col("sid")), None, 0, None, None, 0
+
+    def joined(found: DataFrame, n: int) -> None:
+        nonlocal links, n_links, parts
+        links, n_links = found if links is None else links.union(found), n_links + n
+        parts = stored(components(links, "rep_a", "rep_b", n_links), "ngram-parts")
+
     while True:
         # One dealing of the lists tells how many pairs are left and forms the leaders' pairs.
-        asked = stored(_pairs(labelled, leaders=turn), "ngram-leaders")
-        left = asked.agg(F.sum("total")).first()[0] or 0
+        asked = stored(_pairs(labelled, list_tasks, leaders=turn), "ngram-leaders")
+        left, led = asked.agg(F.sum("total"), F.count("a")).first()
+        left = left or 0
         # Leaders are asked while they save pairs and the pairs are more than the entries.
         if left <= entries or (before is not None and left > 0.8 * before):
             break
-        found = _links(docs, asked.filter("total is null").select("a", "b"), sets)
-        links = found if links is None else links.union(found)
-        parts = stored(components(links, "rep_a", "rep_b"), "ngram-parts")
+        joined(*_links(docs, asked.filter("total is null").select("a", "b"), sets, led))
         labels = sets.join(parts, sets["rep"] == parts["id"]).select("sid", "component")
         labelled = stored(lists.join(labels, "sid", "left").select(
-            *lists.columns, F.coalesce("component", "sid").alias("label")), "ngram-labelled")
+            *lists.columns, F.coalesce("component", "sid").alias("label")).coalesce(list_tasks), "ngram-labelled")
         before, turn = left, turn + 1
     if left:
-        found = _links(docs, _pairs(labelled).select("a", "b"), sets)
-        links = found if links is None else links.union(found)
-        parts = stored(components(links, "rep_a", "rep_b"), "ngram-parts")
+        joined(*_links(docs, _pairs(labelled, list_tasks).select("a", "b"), sets, left))
     full = documents.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sid", "sid2")
     members = full.join(sets.select("sid", "sid2", "rep"), ["sid", "sid2"])
     if parts is not None:

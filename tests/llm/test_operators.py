@@ -1,6 +1,7 @@
 """Every operator against brute force, an exact round trip, or held-out accuracy."""
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -225,6 +226,29 @@ def test_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert joined(ngram_join.jaccard_components(docs)) == brute_components(made)
 
 
+def test_join_of_few_rows_takes_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions and few rows, every stored step is written by tasks sized by its rows."""
+    from glazier.llm import common
+    folders, path = [], common.shared_path
+    monkeypatch.setattr(common, "shared_path", lambda s, name: folders.append(path(s, name)) or folders[-1])
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    made = {i: " ".join([*base[:30], f"e{rng.random()}", *base[31:]]) if i % 3 else " ".join(f"r{rng.random()}" for _ in range(20))
+            for i in range(300)}
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert joined(ngram_join.jaccard_components(docs)) == brute_components(made)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = {f: len([x for x in os.listdir(f.removeprefix("file:")) if x.startswith("part-")]) for f in folders}
+    assert any("ngram-links" in f for f in files) and any("stars" in f for f in files)
+    assert all(n <= 8 for f, n in files.items() if "ngram-sets" not in f), files
+
+
 def test_shingle_hashes():
     rng = random.Random(2)
     for _ in range(200):
