@@ -66,6 +66,29 @@ def test_facts_of_a_bill_come_from_one_window(spark, small_tables, monkeypatch):
     assert sum("windowspecdefinition(bill_id" in line and "Window [" in line for line in plan.splitlines()) == 1
 
 
+def test_a_line_s_sides_area_and_base_are_computed_once(small_tables):
+    plan = _plan(billing.prepare_bill_lines(small_tables.bill_requests, small_tables).select(*billing.POSTING_COLUMNS))
+    assert plan.count("coalesce(height") == 1 and plan.count("* cast(quantity") == 1
+
+
+def test_a_batch_picks_its_accepted_lines_once(spark, small_tables, tmp_path, monkeypatch):
+    """Headers, items and sold stock are made of one written copy; the contended lines carry what decides them only."""
+    from glazier.streaming import streams as S
+    seen = []
+    for module in (billing, S):
+        write = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, write=write: seen.append((name, df.columns)) or write(df, name))
+    bills = small_tables.bill_requests.filter("created_at < timestamp_ntz'1997-01-01'")
+    S.post_bills_batch(small_tables, str(tmp_path / "out"))(bills, 0)
+    names = [name for name, _ in seen]
+    assert names.count("accepted-lines") == 1 and len(dict(seen)["contended-lines"]) <= 9
+    posting, read = billing.post_bills(small_tables, bills), spark.read.parquet
+    for folder, wanted in (("invoices/batch=0", posting.invoices), ("items/batch=0", posting.invoice_items),
+                           ("inventory/v=0", posting.inventory)):
+        got = read(str(tmp_path / "out" / folder)).select(*wanted.columns)
+        assert got.count() and got.exceptAll(wanted).count() == 0 == wanted.exceptAll(got).count()
+
+
 def test_sold_rows_know_the_stock_they_had(spark):
     t = tables(spark, inventory=[{"id": 1, "store_id": 1, "product_id": 1, "available_stock": 9},
                                  {"id": 2, "store_id": 1, "product_id": 2, "available_stock": 4}])
