@@ -20,7 +20,8 @@ All steps are exact: prefix, size, position and bitmap tests only drop pairs tha
 
 Bounds: at most 2^22 frequent buckets are broadcast, after a check of their number, and a bitmap of 4 MB
 that picks the documents whose sets are read again.  Lists are streamed and cut into blocks, copies
-are collapsed before the shuffle, and no list, component or set of pairs is collected.
+are collapsed before the shuffle, and no list, component or set of pairs is collected.  Entries carry whether
+their list is long and has several blocks, so only those lists are dealt again; a step's shuffles go with it.
 
 Defined cases: documents without words have an empty set, no links and their own id as component; with
 fewer than five words the whole sequence is one shingle; repeated rows are in one component; an empty
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glazier.llm.common import batch_of, column, longs, mix64, read_table, stored, tasks, tasks_for
+from glazier.llm.common import batch_of, column, longs, mix64, read_table, shuffles_dropped, stored, tasks, tasks_for
 from glazier.llm.components import components
 from glazier.llm.shingles import shingle_set
 
@@ -196,11 +197,12 @@ def _prefix(shingles: np.ndarray, buckets: np.ndarray, times: np.ndarray, bits:
     return np.concatenate([rare, often[np.argsort(times[at[frequent]], kind="stable")]])[:length]
 
 
-_LISTS = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64()), ("entry", pa.int64())])
+_LISTS = pa.schema([(c, pa.int64()) for c in ("token", "sid", "place", "entry")] + [(c, pa.bool_()) for c in ("long", "blocks")])
 
 
 def _index(docs: DataFrame, frequent, bits: int, n_tasks: int) -> DataFrame:
-    """Entries of lists of two sets or more: token, sid, place (size << 32 | position), entry number."""
+    """Entries of lists of two sets or more: token, sid, place (size << 32 | position), entry number, and whether
+    the list is long (``LONG`` entries or more) and has several blocks, so that later steps deal only such lists anew."""
     posted = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("place", pa.int64())])
 
     def post(batches):
@@ -227,38 +229,45 @@ def _index(docs: DataFrame, frequent, bits: int, n_tasks: int) -> DataFrame:
                 yield batch_of(posted, *map(np.concatenate, (tokens, sids, places)))
 
     def number(batches):
-        last = None  # token, sid, place, entry of the last row; entry -1: not written yet
-        for batch in batches:
-            token, sid, place = (longs(batch, c) for c in ("token", "sid", "place"))
-            if last is not None:
-                token, sid, place = (np.concatenate([[x], y]) for x, y in zip(last[:3], (token, sid, place)))
+        # The last list waits for the next batch: all its rows while they are at most ``most``, none of them
+        # written yet; then its last row only, with the number of rows written.
+        most, rest, written = max(LONG, BLOCK), None, 0
+        for batch in itertools.chain(batches, [None]):  # None: the list held back ends too
+            rows = [longs(batch, c) for c in posted.names] if batch is not None else [x[:0] for x in rest or []]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
+            if not rows or not len(rows[0]):
+                continue
+            token, sid, place = rows
             first = np.ones(len(token), bool)
             first[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (place[1:] != place[:-1])
             token, sid, place = token[first], sid[first], place[first]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             lengths = np.diff(np.r_[starts, len(token)])
             entry = np.arange(len(token)) - np.repeat(starts, lengths)
-            carried = last[3] if last is not None else -1
-            if carried > 0:
-                entry[:lengths[0]] += carried
-            # A list's first entry is written with its second; the last row waits for the next batch.
             keep = np.repeat(lengths > 1, lengths)
-            if carried > 0:
+            total = lengths.copy()
+            if written:  # the first row is the last one written
+                entry[:lengths[0]] += written - 1
+                total[0] += written - 1
+                keep[:lengths[0]] = True
                 keep[0] = False
-            tail = int(entry[-1])
-            alone = lengths[-1] == 1 and tail == 0
-            yield batch_of(_LISTS, token[keep], sid[keep], place[keep], entry[keep])
-            # An unwritten row is carried with entry 0, a written one with its number.
-            last = (token[-1], sid[-1], place[-1], 0 if alone else tail)
+            whole = batch is None or total[-1] > most
+            if not whole:
+                keep[starts[-1]:] = False
+            yield batch_of(_LISTS, token[keep], sid[keep], place[keep], entry[keep],
+                           *(np.repeat(x, lengths)[keep] for x in (total >= LONG, total > BLOCK)))
+            at, written = (len(token) - 1, int(total[-1])) if whole else (int(starts[-1]), 0)
+            rest = [x[at:] for x in (token, sid, place)]
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(post, "token long, sid long, place long")
     return stored(rows.repartition(tasks(docs.sparkSession), "token").sortWithinPartitions("token", "place", "sid")
-                  .coalesce(n_tasks).mapInArrow(number, "token long, sid long, place long, entry long"), "ngram-lists")
+                  .coalesce(n_tasks).mapInArrow(number, "token long, sid long, place long, entry long, long boolean, blocks boolean"),
+                  "ngram-lists")
 
 
 def _with_bits(lists: DataFrame, sets: DataFrame, n_tasks: int) -> DataFrame:
     """Entries of long lists with their sets' bitmaps, folded to ``LIST_CELLS`` cells; of others with NULL."""
-    long = lists.filter(F.col("entry") == LONG - 1).select("token", F.lit(True).alias("long"))
     schema = pa.schema([("sid", pa.int64()), ("bits", pa.binary())])
 
     def fold(batches):
@@ -268,9 +277,10 @@ def _with_bits(lists: DataFrame, sets: DataFrame, n_tasks: int) -> DataFrame:
             yield batch_of(schema, column(batch, "sid"), folded)
 
     bits = sets.select("sid", "bitmap").dropDuplicates(["sid"]).coalesce(n_tasks).mapInArrow(fold, "sid long, bits binary")
-    flagged = lists.join(long, "token", "left").withColumn("long", F.coalesce("long", F.lit(False)))
-    return stored(flagged.join(bits.withColumn("long", F.lit(True)), ["sid", "long"], "left")
-                  .select(*lists.columns, "bits").coalesce(n_tasks), "ngram-entries")
+    columns = [c for c in lists.columns if c != "long"]
+    short = lists.filter("not long").select(*columns, F.lit(None).cast("binary").alias("bits"))
+    return stored(short.union(lists.filter("long").join(bits, "sid", "left").select(*columns, "bits")).coalesce(n_tasks),
+                  "ngram-entries")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
@@ -280,7 +290,7 @@ def _blocks(lists: DataFrame) -> DataFrame:
     rows = lists.withColumn("i", block)
     alone = rows.select("token", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "sid", "place", "label", "bits")
     size = F.shiftright("place", 32)
-    longer = rows.join(rows.filter("i = 1").select("token").distinct(), "token", "left_semi")
+    longer = rows.filter("blocks")
     ranges = longer.groupBy("token", "i").agg(F.min(size).alias("low"), F.max(size).alias("high"))
     right = ranges.select("token", F.col("i").alias("j"), F.col("low").alias("least"))
     pairs = ranges.join(right, "token").filter((F.col("i") < F.col("j")) & (F.col("high") * 100 >= F.col("least") * PERCENT))
@@ -458,6 +468,11 @@ def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n_pairs: int) ->
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    with shuffles_dropped(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark, texts = docs.sparkSession, docs.count()
     bits, n_tasks = _bucket_bits(texts), tasks_for(docs.sparkSession, texts, TEXTS)
     statistics = _statistics(docs, bits, n_tasks)

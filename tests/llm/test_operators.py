@@ -2,8 +2,10 @@
 import hashlib
 import math
 import os
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glazier.llm import (components, embedding_dedup, fingerprints, html_extraction, lattice, mixing, ngram_join, packing,
-                         queries, sharding, shingles, token_counts, toxicity)
+from glazier.llm import (common, components, embedding_dedup, fingerprints, html_extraction, lattice, mixing, ngram_join,
+                         packing, queries, sharding, shingles, token_counts, toxicity)
 
 SF = "/root/testdata/sf0.001"
 
@@ -249,6 +251,55 @@ def test_join_of_few_rows_takes_few_tasks(spark, monkeypatch):
     assert all(n <= 8 for f, n in files.items() if "ngram-sets" not in f), files
 
 
+def test_index_tells_long_lists(spark, monkeypatch):
+    """Lists that end inside, at the end of or over batches, with repeated entries: numbers, lengths, nothing lost."""
+    monkeypatch.setattr(ngram_join, "LONG", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    made, tokens = [], {}
+    for list_of in range(60):
+        phrase = " ".join(f"p{list_of}x{k}" for k in range(5))
+        made += [f"{phrase} u{list_of}y{i}" for i in range(list_of % 13 + 1)]
+    made += made[::4]
+    for text in set(made):
+        shingles = ngram_join.shingle_set(text.encode(), 5)
+        for at, token in enumerate(shingles[:len(shingles) - -(-75 * len(shingles) // 100) + 1].view("int64").tolist()):
+            tokens.setdefault(token, set()).add(((len(shingles) << 32) + at, ngram_join._signature(shingles)[0]))
+    expected = {(token, sid, place, k, len(of) >= 3, len(of) > 5) for token, of in tokens.items() if len(of) > 1
+                for k, (place, sid) in enumerate(sorted(of))}
+    assert {x[4:] for x in expected} == {(False, False), (True, False), (True, True)}
+    docs = spark.createDataFrame([(t,) for t in made], "text string").repartition(4)
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    for rows in ("1", "2", "4", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found = [tuple(r) for r in ngram_join._index(docs, none, 26, 3).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len(expected) and set(found) == expected, rows
+
+
+def test_join_holds_the_shuffles_of_one_step(spark, monkeypatch):
+    """When the join has ended, the shuffles of its steps are gone, but for those of the small marks."""
+    def left():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name.split("_")[1] for d in dirs for f in pathlib.Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    marked, mark, before = [], ngram_join._marked, left()
+    monkeypatch.setattr(ngram_join, "_marked", lambda wanted: marked.append(1) or mark(wanted))
+    base = [f"b{i}" for i in range(60)]
+    made = {i: " ".join([*base[:30], f"e{i}", *base[31:]]) for i in range(100)}
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    conf = spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    found = ngram_join.jaccard_components(docs)
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, None) == conf
+    for _ in range(50):  # executors remove files behind the query's end
+        if len(left() - before) <= len(marked):
+            break
+        time.sleep(0.1)
+    assert len(left() - before) <= len(marked)
+    assert joined(found) == brute_components(made)
+
+
 def test_shingle_hashes():
     rng = random.Random(2)
     for _ in range(200):
