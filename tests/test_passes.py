@@ -108,3 +108,45 @@ def test_jobs_at_once_meet_and_raise():
 
     with pytest.raises(ValueError):
         at_once(fails, lambda: 1)
+
+
+def _copies(spark):
+    from glazier.plans.session import checkpoint_dir
+    return {p.name for p in Path(checkpoint_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def _made(spark, before):
+    """Names of the copies in the shared folder that were not there before."""
+    return sorted(name.rsplit("-", 1)[0] for name in _copies(spark) - before)
+
+
+def test_posting_shuffles_narrow_lines_and_forgets_its_copies(spark, small_tables, monkeypatch):
+    """Each wide shuffle of the lines is a step of its own; the window of a bill has only the columns that decide."""
+    from glazier.plans.session import SHUFFLE_CLEANUP
+    seen = []
+    write = billing.stored
+    monkeypatch.setattr(billing, "stored", lambda df, name: seen.append(
+        (name, df.columns, spark.conf.get(SHUFFLE_CLEANUP, None))) or write(df, name))
+    before, conf = _copies(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    posting = billing.post_bills(small_tables)
+    assert _made(spark, before) == ["bill-decisions", "priced-lines"]
+    assert {c for _, _, c in seen} == {"true"} and spark.conf.get(SHUFFLE_CLEANUP, None) == conf
+    assert not {"customer_name", "total_price", "base_total"} & set({n: c for n, c, _ in seen}["bill-lines"])
+    assert posting.decisions.count() and posting.invoices.count()
+
+
+def test_a_batch_leaves_only_its_output(spark, small_tables, tmp_path):
+    from glazier.streaming import streams as S
+    before = _copies(spark)
+    S.post_bills_batch(small_tables, str(tmp_path / "out"), reports=True)(small_tables.bill_requests, 0)
+    assert _made(spark, before) == []
+
+
+def test_only_copies_in_the_shared_folder_are_forgotten(spark, tmp_path):
+    from glazier.plans.session import forget, stored
+    spark.range(3).write.parquet(str(tmp_path / "mine"))
+    mine, copy = spark.read.parquet(str(tmp_path / "mine")), stored(spark.range(4), "copy")
+    folder = Path(copy.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    forget(mine, copy)
+    assert mine.count() == 3 and not folder.exists()
