@@ -150,3 +150,24 @@ def test_only_copies_in_the_shared_folder_are_forgotten(spark, tmp_path):
     assert folder.exists()
     forget(mine, copy)
     assert mine.count() == 3 and not folder.exists()
+
+
+def test_a_keyed_batch_leaves_only_its_output(spark, small_tables, tmp_path):
+    from glazier.operators.billing import POSTING_COLUMNS, prepare_bill_lines
+    from glazier.streaming import keyed as K
+    from pyspark.sql import functions as F
+    lines = prepare_bill_lines(small_tables.bill_requests.limit(20), small_tables).select(*POSTING_COLUMNS).withColumns(
+        {"status": F.lit("accepted"), "reason": F.lit(None).cast("string"), "failed_line": F.lit(None).cast("int")})
+    before = _copies(spark)
+    K.write_batch(str(tmp_path / "out"))(lines, 0)
+    assert _made(spark, before) == [] and spark.read.parquet(str(tmp_path / "out" / "decisions")).count()
+
+
+def test_the_keyed_stream_passes_fields_without_their_names(spark, small_tables, tmp_path):
+    from glazier.streaming import keyed as K
+    from glazier.streaming import streams as S
+    small_tables.bill_requests.limit(5).write.parquet(str(tmp_path / "req"))
+    decided = K.decided_lines(small_tables, S.bill_request_stream(spark, str(tmp_path / "req")))
+    plan = decided._jdf.queryExecution().analyzed().toString()
+    assert "struct(0, bill_id" in plan and "struct(bill_id, bill_id" not in plan
+    assert decided.columns[:len(K.POSTING_COLUMNS)] == list(K.POSTING_COLUMNS)
