@@ -57,3 +57,19 @@ def test_files_of_a_snapshot_grow_with_the_table(spark, small_tables, tmp_path,
     sizes = spark.read.parquet(f"{out}/invoice_items").groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in sizes) == rows and rows > 4000
     assert max(r["count"] for r in sizes) < 2000      # two files would hold more
+
+
+def test_a_snapshot_s_steps_leave_nothing_beside_it(spark, small_tables, tmp_path, monkeypatch):
+    """Every table is computed once, and shuffles and copies of the tables before do not pile up."""
+    from pathlib import Path
+
+    from glazier.plans.session import SHUFFLE_CLEANUP, checkpoint_dir
+    from glazier.sources import tables as S
+    shared = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before, conf, seen = set(shared.iterdir()), spark.conf.get(SHUFFLE_CLEANUP, None), []
+    write = S.write_table
+    monkeypatch.setattr(S, "write_table", lambda df, *more: seen.append(
+        (spark.conf.get(SHUFFLE_CLEANUP, None), df._jdf.queryExecution().optimizedPlan().toString())) or write(df, *more))
+    write_tables(small_tables, str(tmp_path / "snap"), num_files=2)
+    assert len(seen) == 8 and all(on == "true" and "Join" not in plan for on, plan in seen)
+    assert set(shared.iterdir()) == before and spark.conf.get(SHUFFLE_CLEANUP, None) == conf
