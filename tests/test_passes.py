@@ -171,3 +171,22 @@ def test_the_keyed_stream_passes_fields_without_their_names(spark, small_tables,
     plan = decided._jdf.queryExecution().analyzed().toString()
     assert "struct(0, bill_id" in plan and "struct(bill_id, bill_id" not in plan
     assert decided.columns[:len(K.POSTING_COLUMNS)] == list(K.POSTING_COLUMNS)
+
+
+def test_edits_meet_their_rows_in_one_join(spark):
+    """The rows' keys are not joined once more to drop unknown ones: as ids of one column they were broadcast."""
+    stock = tables(spark, inventory=[{"id": 1, "store_id": 1, "product_id": 1, "available_stock": 9},
+                                     {"id": 2, "store_id": 1, "product_id": 2, "available_stock": 4},
+                                     {"id": 3, "store_id": 1, "product_id": 2, "available_stock": 5},
+                                     {"id": 4, "store_id": 1, "product_id": None, "available_stock": 6}]).inventory
+    patch = spark.createDataFrame(
+        [(1, 1, 1, 70, True), (1, 1, 2, 71, True), (1, 2, 3, 72, True), (1, 3, 4, 73, True), (1, None, 5, 74, True),
+         (1, 1, 6, 75, False)],
+        "store_id int, product_id int, seq long, available_stock int, set_available_stock boolean").selectExpr(
+        "*", "timestamp_ntz'2001-01-01' as patched_at")
+    change = changes.patch_rows(stock, patch, ["store_id", "product_id"], ["available_stock"])
+    assert {r.id: r.available_stock for r in change.table.collect()} == {1: 71, 2: 72, 3: 72, 4: 6}
+    assert sorted((r.seq, r.reason) for r in change.rejects.collect()) == [
+        (4, "not_found"), (5, "not_found"), (6, "no_fields")]
+    plan = _plan(change.table)
+    assert "LeftSemi" not in plan and plan.count("Join ") == 1
