@@ -4,6 +4,7 @@ import threading
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from retail_rows import tables
 
 from glazier.operators import billing, changes
@@ -190,3 +191,28 @@ def test_edits_meet_their_rows_in_one_join(spark):
         (4, "not_found"), (5, "not_found"), (6, "no_fields")]
     plan = _plan(change.table)
     assert "LeftSemi" not in plan and plan.count("Join ") == 1
+
+
+def test_stock_is_met_by_the_key_of_the_bills(spark, tmp_path):
+    """Stock after a batch: changed rows by their id, found by store and product, so lines meet it without a second shuffle."""
+    from retail_rows import make
+    from glazier.streaming import streams as S
+    row = {"store_id": 1, "product_id": 1, "available_stock": 9}
+    rows = [{**row, "id": 1}, {**row, "id": 2}, {**row, "id": 3, "product_id": None}, {**row, "id": 4, "product_id": 2}]
+    make(spark, "inventory", rows).write.parquet(str(tmp_path / "inventory" / "v=0"))
+    for v, (stock, some) in enumerate([(5, rows[:1]), (3, rows[:2])], 1):
+        make(spark, "inventory", [{**r, "available_stock": stock} for r in some]).write.parquet(str(tmp_path / "stock_changes" / f"v={v}"))
+    now = S.stock_after(spark, str(tmp_path), 2)
+    assert {r.id: r.available_stock for r in now.collect()} == {1: 3, 2: 3, 3: 9, 4: 9}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.range(5).selectExpr("int(id) as store_id", "int(id) as product_id")
+        met = lines.join(now.select(now.store_id.alias("s"), now.product_id.alias("p"), "available_stock"),
+                         (F.col("store_id") == F.col("s")) & (F.col("product_id") == F.col("p")), "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the lines, the snapshot, and the changes twice: by row, then by store and product
+    assert plan.count("Exchange hashpartitioning(") - plan.count("ReusedExchange") <= 4
+    assert not [x for x in plan.splitlines() if "hashpartitioning(id#" in x]
